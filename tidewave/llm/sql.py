@@ -2,4 +2,107 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+OP5 = r"""
+with u as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), b as (
+  select page_id, regexp_extract(rest, '^[^?#]*') as before from u
+), h as (
+  select page_id, translate(regexp_extract(before, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         substr(before, length(regexp_extract(before, '^[^/]*')) + 1) as path from b
+), r(rhost, rpath, rverdict) as (
+  values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), m as (
+  select h.page_id, h.host, h.path, rhost || rpath as rule, rverdict,
+         row_number() over (partition by h.page_id, h.host, h.path order by length(rhost || rpath) desc) as place
+  from h join r on (h.host = rhost or ends_with(h.host, '.' || rhost)) and starts_with(h.path, rpath)
+)
+select h.page_id, h.host, h.path, m.rule, coalesce(m.rverdict, 'allow') as verdict
+from h left join m on m.page_id = h.page_id and m.host = h.host and m.path = h.path and m.place = 1
+"""
+
+# The two engines' regular expressions read \x escapes alike inside brackets.
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+_ALPHA, _DELTA = "2e-2", "5e-2"
+_RULES = (
+    ("symbols", "n_symbols / greatest(n_words, 1)", (0.05, 0.1, 0.2, 0.4, 0.8)),
+    ("duplicate_lines", "n_dup_lines / greatest(n_words, 1)", (0.005, 0.01, 0.02, 0.05, 0.1)),
+    ("repeated_words", "n_repeat_words / greatest(n_words, 1)", (0.02, 0.05, 0.1, 0.15, 0.2)),
+    ("long_words", "word_chars / greatest(n_words, 1)", (7.0, 8.0, 9.0, 10.0, 12.0)),
+    ("short_words", "-word_chars / greatest(n_words, 1)", (-4.0, -3.5, -3.0, -2.5, -2.0)),
+    ("few_words", "-n_words", (-60.0, -50.0, -40.0, -30.0, -25.0)),
+)
+_TESTS = "\n  union all ".join(f"select doc_id, lang, '{name}' as rule, {cut}::double as cutoff, ({feature})::double > {cut}::double as rejects from good" for name, feature, cuts in _RULES for cut in cuts)
+_KEEP = " and ".join(f"({feature})::double <= coalesce((select min(cutoff) from valid v where v.lang = f.lang and v.rule = '{name}'), 'infinity'::double)" for name, feature, _ in _RULES)
+# Windows are compared as text, and the binomial tail is summed term by term with log-gamma.
+OP3 = rf"""
+with w as (
+  select doc_id, lang, coalesce(text, '') as text, {_WORDS} as words from documents
+), wins as (
+  select doc_id, i, array_to_string(words[i:i + 7], ' ') as win from (select doc_id, words, unnest(range(1, len(words) - 6)) as i from w where len(words) >= 8)
+), twice as (
+  select doc_id, i from wins qualify count(*) over (partition by doc_id, win) > 1
+), rep as (
+  select doc_id, count(distinct i + j) as n from twice, range(8) as t(j) group by doc_id
+), lines as (
+  select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from w
+), f as (
+  select w.doc_id, w.lang, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+         coalesce(rep.n, 0)::bigint as n_repeat_words
+  from w join lines using (doc_id) left join rep using (doc_id)
+), b as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f
+), good as (
+  select b.* from b semi join (select doc_id from labels group by doc_id having min(quality) = 1) using (doc_id) where not base_failed
+), tests as (
+  {_TESTS}
+), counts as (
+  select lang, rule, cutoff, count(*)::double as n, count(*) filter (rejects)::double as k from tests where lang is not null group by all
+), tails as (
+  select lang, rule, cutoff, n, k, case when k >= n * {_ALPHA} then 1e0 else (
+    select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_ALPHA}) + (n - i) * ln(1e0 - {_ALPHA}))) from range(k::bigint + 1) as t(i)) end as tail from counts
+), valid as (
+  select lang, rule, cutoff from tails where tail <= {_DELTA} / ((select count(distinct lang) from counts) * {sum(len(c) for *_, c in _RULES)})
+)
+select doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_KEEP} as kept from b f
+"""
+
+OP6 = r"""
+with recursive t as (
+  select doc_id, source, lang, coalesce(text, '') as text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens from documents
+), d as (
+  select doc_id, source, lang, n_tokens, case when contains(text, ' | ') then 'table' when len(regexp_extract_all(text, '[#*$%&<>]')) * 5 > n_tokens then 'markup'
+    when n_tokens < 100 then 'short' when n_tokens < 1000 then 'medium' else 'long' end as topic from t
+), c as (
+  select coalesce(source, '') as s, coalesce(lang, '') as l, topic as p, sum(n_tokens)::double as tok from d group by all having sum(n_tokens) > 0
+), ts as (select s, pow(sum(tok), 5e-1) as x from c group by s), tp as (select p, pow(sum(tok), 7e-1) as x from c group by p),
+tl as (select distinct l, case l when 'en' then 55e-2 when 'de' then 15e-2 when 'es' then 15e-2 when 'fr' then 15e-2 else 5e-2 end as x from c),
+g as (
+  select c.*, ts.x / (select sum(x) from ts) as gs, tl.x / (select sum(x) from tl) as gl, tp.x / (select sum(x) from tp) as gp
+  from c join ts using (s) join tl using (l) join tp using (p)
+), r as (
+  select 0 as it, s, l, p, tok, gs, gl, gp, tok / sum(tok) over () as w from g
+  union all
+  select it + 1, s, l, p, tok, gs, gl, gp, w2 * gp / sum(w2) over (partition by p) from (
+    select *, w1 * gl / sum(w1) over (partition by l) as w2 from (
+      select *, w * gs / sum(w) over (partition by s) as w1 from r where it < 120))
+), q as (
+  select s, l, p, tok, w, w / tok as per from r where it = 120
+), o as (
+  select *, row_number() over z as place, (sum(tok) over () * 5e-1 - coalesce(sum(tok) over y, 0)) / greatest(sum(w) over () - coalesce(sum(w) over y, 0), 1e-300) as scale
+  from q window z as (order by per desc, s, l, p), y as (order by per desc, s, l, p rows between unbounded preceding and 1 preceding)
+), b as (
+  select arg_min(scale, place) as scale, min(place) as place from o where scale * per <= 1
+), e as (
+  select o.s, o.l, o.p, o.per, case when b.place is null or o.place < b.place then 1e0 else greatest(0e0, least(1e0, b.scale * o.per)) end as prob from o, b
+), f as (
+  select d.*, case when n_tokens > 0 then coalesce(e.prob, 0e0) else 0e0 end as pr, coalesce(e.per * n_tokens, 0e0) as we
+  from d left join e on coalesce(source, '') = s and coalesce(lang, '') = l and topic = p
+)
+select doc_id, source, lang, topic, n_tokens, round(we, 9) as weight, round(pr, 6) as prob,
+       ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 12))::bigint / 281474976710656e0 < pr as kept from f
+"""
+
+ORACLE: dict[str, str] = {"op3_quality_rules": OP3, "op5_url_filters": OP5, "op6_mixing": OP6}
