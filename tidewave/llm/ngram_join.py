@@ -86,7 +86,7 @@ def _summaries(k: int, percent: int):
                     outer.append(len(fams))
                 flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
                 items = pa.StructArray.from_arrays([pa.array(fams, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), flat)], ["fam", "sigs"])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(outer, pa.int32()), items)], ["doc_id", "n", "h1", "h2", "fams"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(outer, pa.int32()), items)], ["doc_id", "text_key", "n", "h1", "h2", "fams"])
 
     return run
 
@@ -142,7 +142,10 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, class_h1, class_h2; a row for each input row.
+    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, class_h1, class_h2, component, text_key.
+
+    A row for each input row. class_h1 and class_h2 name the set, component the
+    component without regard to ids (null for empty sets), text_key is xxhash64 of the text.
 
     Linked: 100 * |A and B| >= percent * |A or B| over sets of k-word shingles.
     component_id is the smallest doc_id of the component. Null or wordless
@@ -153,8 +156,9 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16)
     if not 50 < percent < 100:
         raise ValueError("percent must lie between 50 and 100")
     r = 1 - percent / 100
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    flat = "doc_id long, n long, h1 long, h2 long, fams array<struct<fam:int,sigs:array<long>>>"
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    flat = "doc_id long, text_key long, n long, h1 long, h2 long, fams array<struct<fam:int,sigs:array<long>>>"
     summary = cut(docs.mapInArrow(_summaries(k, percent), flat))
 
     entries = summary.where("n > 0").dropDuplicates(["h1", "h2"]).select(F.col("h1").alias("node"), "n", F.explode("fams").alias("f"))
@@ -208,13 +212,41 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16)
             members = cut(stay.unionByName(visit))
         take = pivots
     names = summary.where("n > 0").groupBy(F.col("h1").alias("node")).agg(F.min("doc_id").alias("least"))
-    if edges is not None:
-        labels = components(edges)
-        names = names.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        best = names.groupBy("comp").agg(F.min("least").alias("component"))
-        names = names.join(best, "comp").select("node", "component")
-    else:
-        names = names.select("node", F.col("least").alias("component"))
-    out = summary.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(names.withColumnRenamed("node", "h1"), "h1", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("h1").alias("class_h1"), F.col("h2").alias("class_h2"))
+    names = names.withColumn("comp", F.col("node")) if edges is None else names.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    best = names.groupBy("comp").agg(F.min("least").alias("component_id"))
+    names = names.join(best, "comp").select(F.col("node").alias("h1"), F.col("comp").alias("component"), F.col("component_id").alias("least"))
+    out = summary.drop("fams").join(names, "h1", "left")
+    linked = F.col("n") > 0
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.col("h1").alias("class_h1"), F.col("h2").alias("class_h2"), F.when(linked, F.col("component")).alias("component"), "text_key",
+    )
+
+
+def keep_one_each(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows of docs that stay when each component keeps one, columns unchanged.
+
+    The row with the smallest doc_id stays, null ids last; of rows with one id
+    the one of smallest text hash, and one of identical rows. Wordless and null
+    texts are no duplicates of each other and all stay.
+    """
+    labelled = cut(jaccard_components(docs, k, percent).select("doc_id", "text_key", "component").where("component is not null"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    best = labelled.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = labelled.join(best, "component").select("doc_id", "text_key", (order == F.col("best")).alias("best"))
+    keys = cut(ranked.groupBy("doc_id", "text_key").agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n")))
+
+    def named(rows: DataFrame) -> DataFrame:
+        """At most BROADCAST_NODES rows are sent to all executors; more are shuffled."""
+        rows = rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+        return F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
+
+    keyed = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    kept = keyed.join(named(keys.where("not best")), same, "left_anti")
+    again = keys.where("best and n > 1")
+    if not again.isEmpty():
+        again = named(again)
+        once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__text"])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
