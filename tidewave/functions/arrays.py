@@ -48,10 +48,9 @@ def filtered(values: Column, matrix: np.ndarray) -> Column:
 
 
 def by_batch(x: pd.Series, f) -> pd.Series:
-    out, there = pd.Series([None] * len(x), dtype=object), x.notna().to_numpy()
-    if there.any():
-        out[there] = list(f(np.stack(x[there].to_numpy())))
-    return out
+    there = x.notna()
+    rows = iter(f(np.stack(x[there].to_numpy())) if there.any() else ())
+    return pd.Series([next(rows) if t else None for t in there], dtype=object)
 
 
 def centred_bins(a: Column, n: int) -> Column:

@@ -1 +1,220 @@
-"""Catalogue."""
+"""Catalogue: predictions, losses, metrics. Probabilities are softmax(embedding[0:8]), truth label % 8, recording vec_id div 10, fold vec_id % 8."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..catalogue import query, read
+from ..functions import arrays as A
+from ..operators import augment, metrics, model
+from .queries_features import _E, vectors
+
+WEIGHTS = [1.0, 1.0, 1.5, 1.5, 1.2, 2.0, 1.0, 0.8]
+
+_P = f"""
+z as (select vec_id, label % 8 as truth, vec_id // 10 as rec, vec_id % 8 as fold, list_transform(e[1:8], lambda x: exp(x - list_max(e[1:8]))) as u from ({_E})),
+p as (select *, list_transform(u, lambda x: x / list_sum(u)) as probs from z),
+a as (select *, list_position(probs, list_max(probs)) - 1 as pred, list_max(probs) as conf from p)
+"""
+_CELLS = "cells as (select t.c as truth, q.c as pred, (select count(*) from a where a.truth = t.c and a.pred = q.c) as n from range(8) as t(c), range(8) as q(c))"
+_CLASSES = """
+cls as (select c, sum(case when truth = c and pred = c then n else 0 end) as tp, sum(case when pred = c then n else 0 end) as said, sum(case when truth = c then n else 0 end) as support from cells, range(8) as k(c) group by 1),
+prf as (select c as cls, coalesce(tp / nullif(said, 0), 0e0) as precision, coalesce(tp / nullif(support, 0), 0e0) as recall, coalesce(2 * tp / nullif(said + support, 0), 0e0) as f1, support::bigint as support, said + support > 0 as present from cls)
+"""
+
+
+def predictions(spark, d):
+    p = vectors(spark, d).withColumn("probs", A.softmax(F.slice("e", 1, 8)))
+    return p.select("vec_id", (F.col("label") % 8).alias("truth"), F.floor(F.col("vec_id") / 10).alias("rec"), (F.col("vec_id") % 8).alias("fold"), "probs", "e", metrics.argmax(F.col("probs")).alias("pred"), F.array_max("probs").alias("conf"))
+
+
+@query("confusion_matrix", "MET1 MET2", f"with {_P}, {_CELLS} select truth::int as truth, pred::int as pred, n from cells")
+def confusion_matrix(spark, d):
+    return metrics.confusion(predictions(spark, d), 8)
+
+
+@query("confusion_row_normalized", "MET9", """
+select t.c::int as truth, q.c::int as pred, (select count(*) from labels where quality = t.c and toxic = q.c) as n,
+       round(coalesce((select count(*) from labels where quality = t.c and toxic = q.c) / nullif((select count(*) from labels where quality = t.c), 0), 0e0), 6) as share
+from range(2) as t(c), range(2) as q(c)
+""")
+def confusion_row_normalized(spark, d):
+    cells = metrics.confusion(read(spark, d, "labels").select(F.col("quality").alias("truth"), F.col("toxic").alias("pred")), 2)
+    return metrics.row_normalised(cells).withColumn("share", F.round("share", 6))
+
+
+@query("per_class_prf", "MET3 MET5", f"with {_P}, {_CELLS}, {_CLASSES} select cls::int as cls, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support, present from prf")
+def per_class_prf(spark, d):
+    c = metrics.per_class(metrics.confusion(predictions(spark, d), 8))
+    return c.select("cls", *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")), "support", "present")
+
+
+@query("macro_f1", "MET4 MET5 INF1", f"""
+with {_P}, {_CELLS}, {_CLASSES} select round(avg(f1) filter (present), 6) as macro_f1, round(max(recall) filter (cls = 5), 6) as fall_recall, round(max(f1) filter (cls = 7), 6) as empty_f1 from prf
+""")
+def macro_f1(spark, d):
+    c = metrics.per_class(metrics.confusion(predictions(spark, d), 8))
+    return c.agg(F.round(F.avg(F.when(F.col("present"), F.col("f1"))), 6).alias("macro_f1"), F.round(F.max(F.when(F.col("cls") == 5, F.col("recall"))), 6).alias("fall_recall"), F.round(F.max(F.when(F.col("cls") == 7, F.col("f1"))), 6).alias("empty_f1"))
+
+
+@query("ece", "MET6", f"""
+with {_P}, b as (select floor(conf * 10) as bin, count(*) as n, avg(conf) as c, avg((truth = pred)::int) as acc from a group by 1)
+select round(sum(n / (select count(*) from a) * abs(acc - c)), 6) as ece from b where bin < 10
+""")
+def ece(spark, d):
+    p = predictions(spark, d).select(F.col("conf").alias("confidence"), (F.col("truth") == F.col("pred")).alias("correct"))
+    return metrics.calibration_error(p).withColumn("ece", F.round("ece", 6))
+
+
+@query("recording_pool_metrics", "AGG12 MET7 JN8", f"""
+with {_P}, m as (select rec, i, avg(probs[i + 1]) as p from a, range(8) as r(i) group by 1, 2), t as (select rec, min(truth) as truth from a group by 1)
+select rec, truth, arg_max(i, (round(p, 9), -i))::int as pred, round(max(p), 6) as conf from m join t using (rec) group by 1, 2
+""")
+def recording_pool_metrics(spark, d):
+    p = predictions(spark, d)
+    pool = metrics.pooled(p, ["rec"], "probs").withColumn("probs", F.transform("probs", lambda x: F.round(x, 9)))
+    return pool.join(p.groupBy("rec").agg(F.min("truth").alias("truth")), "rec").select("rec", "truth", metrics.argmax(F.col("probs")).alias("pred"), F.round(F.array_max("probs"), 6).alias("conf"))
+
+
+_FOLDF1 = f"""
+with {_P}, fc as (select fold, c, count(*) filter (truth = c and pred = c) as tp, count(*) filter (pred = c) as said, count(*) filter (truth = c) as support from a, range(8) as k(c) group by 1, 2),
+ff as (select fold, avg(2 * tp / (said + support)) as f1, avg(case when c = 5 then coalesce(tp / nullif(support, 0), 0e0) end) as x from fc where said + support > 0 group by 1)
+"""
+
+
+def fold_scores(spark, d):
+    cells = metrics.confusion(predictions(spark, d), 8, ("fold",))
+    return metrics.macro_f1(metrics.per_class(cells, ("fold",)), ("fold",))
+
+
+@query("fold_summary", "AGG13 AGG15 SRT3", _FOLDF1 + "select round(avg(f1), 6) as mean, round(stddev_pop(f1), 6) as std, arg_max(fold, (f1, -fold)) as best_fold from ff")
+def fold_summary(spark, d):
+    s = metrics.fold_summary(fold_scores(spark, d), [], "macro_f1")
+    return s.select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "best_fold")
+
+
+@query("comparison_table", "MET8 SNK7 SCL10 SRC14", _FOLDF1 + """
+select case when fold < 4 then 'a' else 'b' end as dataset, count(*) as folds, printf('%.2f%%', 100 * avg(f1)) as mean, printf('%.2f%%', 100 * stddev_pop(f1)) as std, printf('%.2f%%', 100 * max(f1)) as best from ff group by 1
+""")
+def comparison_table(spark, d):
+    f = fold_scores(spark, d).withColumn("dataset", F.when(F.col("fold") < 4, "a").otherwise("b"))
+    show = lambda c: F.format_string("%.2f%%", 100 * c)
+    return f.groupBy("dataset").agg(F.count(F.lit(1)).alias("folds"), show(F.avg("macro_f1")).alias("mean"), show(F.stddev_pop("macro_f1")).alias("std"), show(F.max("macro_f1")).alias("best"))
+
+
+_HEADS = "h as (select vec_id, 1 / (1 + exp(-e[1])) as occ, 1 / (1 + exp(-e[2])) as dyn, list_transform(e[3:8], lambda x: exp(x - list_max(e[3:8]))) as u from (" + _E + "))"
+
+
+@query("heads_compose", "MDL7 SCL7", f"""
+with {_HEADS} select vec_id, i, round(case when i < 6 then occ * dyn * u[i + 1] / list_sum(u) when i = 6 then occ * (1 - dyn) else 1 - occ end, 6) as p from h, range(8) as r(i)
+""")
+def heads_compose(spark, d):
+    v = vectors(spark, d)
+    p = metrics.composed(A.sigmoid(F.col("e")[0]), A.sigmoid(F.col("e")[1]), A.softmax(F.slice("e", 3, 6)))
+    return v.select("vec_id", F.posexplode(p).alias("i", "p")).select("vec_id", F.col("i").cast("long"), F.round("p", 6).alias("p"))
+
+
+GRID = [0.5, 1.0, 1.5, 2.0, 3.0, 5.0]
+
+
+@query("temperature_scale_grid", "MDL8", f"""
+with {_P}, g as (select unnest([5e-1, 1e0, 15e-1, 2e0, 3e0, 5e0]) as temperature),
+n as (select temperature, -ln(greatest(pow(probs[truth + 1], 1 / temperature) / list_sum(list_transform(probs, lambda x: pow(x, 1 / temperature))), 1e-12)) as nll from a, g)
+select temperature, round(avg(nll), 6) as nll from n group by 1
+""")
+def temperature_scale_grid(spark, d):
+    return metrics.temperature_grid(predictions(spark, d), "probs", "truth", GRID).withColumn("nll", F.round("nll", 6))
+
+
+@query("loss_main", "LSS1", f"""
+with {_P} select round(avg(-list_sum(list_transform(range(8), lambda i: ((case when i = truth then 95e-2 else 0e0 end) + 5e-2 / 8) * ln(greatest(probs[i + 1], 1e-8)))) * [1e0, 1e0, 15e-1, 15e-1, 12e-1, 2e0, 1e0, 8e-1][truth + 1]), 6) as loss from a
+""")
+def loss_main(spark, d):
+    return predictions(spark, d).agg(F.round(F.avg(metrics.smoothed_loss(F.col("probs"), F.col("truth"), WEIGHTS)), 6).alias("loss"))
+
+
+@query("loss_occ_dyn", "LSS2", f"""
+with {_HEADS}, t as (select h.*, label % 8 as truth from h join embeddings using (vec_id)),
+b as (select *, least(greatest(occ, 1e-7), 1 - 1e-7) as o, least(greatest(dyn, 1e-7), 1 - 1e-7) as y from t)
+select round(avg(-case when truth <> 7 then ln(o) else ln(1 - o) end), 6) as presence, round(avg(-case when truth < 6 then ln(y) else ln(1 - y) end) filter (truth <> 7), 6) as motion from b
+""")
+def loss_occ_dyn(spark, d):
+    v = vectors(spark, d).withColumn("truth", F.col("label") % 8)
+    flag = lambda c: c.cast("int").cast("double")
+    occ = metrics.binary_loss(A.sigmoid(F.col("e")[0]), flag(F.col("truth") != 7))
+    dyn = metrics.binary_loss(A.sigmoid(F.col("e")[1]), flag(F.col("truth") < 6))
+    return v.agg(F.round(F.avg(occ), 6).alias("presence"), F.round(F.avg(F.when(F.col("truth") != 7, dyn)), 6).alias("motion"))
+
+
+@query("loss_focal", "LSS3", f"""
+with {_HEADS}, t as (select h.*, label % 8 as truth from h join embeddings using (vec_id)), q as (select greatest(u[truth + 1] / list_sum(u), 1e-8) as p from t where truth < 6)
+select round(avg(-pow(1 - p, 2) * ln(p)), 6) as loss from q
+""")
+def loss_focal(spark, d):
+    v = vectors(spark, d).withColumn("truth", F.col("label") % 8).where("truth < 6")
+    p = F.get(A.softmax(F.slice("e", 3, 6)), F.col("truth"))
+    return v.agg(F.round(F.avg(metrics.focal_loss(p)), 6).alias("loss"))
+
+
+@query("loss_consistency", "LSS4 MDL5", f"""
+with x as (select vec_id, r, i, e[r * 16 + i + 1] as z from ({_E}), range(3) as q(r), range(16) as s(i)), m as (select *, avg(z) over (partition by vec_id, i) as m from x)
+select round(avg((z - m) * (z - m)), 6) as loss from m
+""")
+def loss_consistency(spark, d):
+    x = vectors(spark, d).select("vec_id", F.posexplode(F.slice("e", 1, 48)).alias("j", "z")).withColumn("i", F.col("j") % 16)
+    m = F.avg("z").over(Window.partitionBy("vec_id", "i"))
+    return x.withColumn("m", m).agg(F.round(F.avg((F.col("z") - F.col("m")) * (F.col("z") - F.col("m"))), 6).alias("loss"))
+
+
+@query("loss_total", "LSS5", f"""
+with {_P} select round(avg(-ln(greatest(conf, 1e-8))) + 6e-1 * (3e-1 * avg(conf) + 5e-2 * avg(1 - conf)), 6) as loss from a
+""")
+def loss_total(spark, d):
+    return predictions(spark, d).agg(F.round(metrics.total_loss(F.avg(-F.log(F.greatest("conf", F.lit(1e-8)))), [(0.3, F.avg("conf")), (0.05, F.avg(1 - F.col("conf")))], 3), 6).alias("loss"))
+
+
+@query("receiver_fusion", "MDL5", f"""
+with w as (select vec_id, e, list_transform(e[1:3], lambda x: exp(x - list_max(e[1:3]))) as u from ({_E}))
+select vec_id, i, round((u[1] * e[i + 4] + u[2] * e[i + 24] + u[3] * e[i + 44]) / list_sum(u), 5) as z from w, range(20) as r(i)
+""")
+def receiver_fusion(spark, d):
+    """Three receivers' 20-vectors, weighed by a softmax of three logits."""
+    v = vectors(spark, d).withColumn("w", A.softmax(F.slice("e", 1, 3)))
+    z = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: sum((F.get("w", F.lit(r)) * F.get("e", i + 3 + 20 * r) for r in range(3)), F.lit(0.0)))
+    return v.select("vec_id", F.posexplode(z).alias("i", "z")).select("vec_id", F.col("i").cast("long"), F.round("z", 5).alias("z"))
+
+
+@query("envelope_per_class", "MET10 SRT4", f"""
+with r as (select *, row_number() over (partition by label order by vec_id) as k from ({_E})), x as (select label, vec_id, i, list_avg(list_transform(e[i * 4 + 1:i * 4 + 4], lambda v: abs(v))) as m from r, range(16) as q(i) where k <= 10)
+select label, i, round(avg(m), 5) as mean, round(stddev_pop(m), 5) as std from x group by 1, 2
+""")
+def envelope_per_class(spark, d):
+    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    v = vectors(spark, d).withColumn("k", k).where("k <= 10")
+    x = v.select("label", "vec_id", F.posexplode("e").alias("j", "v")).groupBy("label", "vec_id", F.floor(F.col("j") / 4).alias("i")).agg(F.avg(F.abs("v")).alias("m"))
+    return x.groupBy("label", "i").agg(F.round(F.avg("m"), 5).alias("mean"), F.round(F.stddev_pop("m"), 5).alias("std"))
+
+
+@query("lr_schedule", "TRN2 MET12 SRC15", """
+select epoch, round(1e9 * case when epoch < 5 then 1e-5 + 9e-5 * epoch / 5 when epoch < 55 then 1e-6 + 99e-6 * (1 + cos(pi() * (epoch - 5) / 50)) / 2 else 1e-7 + 99e-7 * (1 + cos(pi() * (epoch - 55) / 20)) / 2 end, 3) as nano_rate
+from range(75) as r(epoch)
+""")
+def lr_schedule(spark, d):
+    return spark.range(75).select(F.col("id").alias("epoch"), F.round(1e9 * metrics.learning_rate(F.col("id")), 3).alias("nano_rate"))
+
+
+@query("augment_random", "AUG1 SMP2")
+def augment_random(spark, d):
+    return augment.augmented(vectors(spark, d), "vec_id", "e", seed=42)
+
+
+@query("weighted_sample", "SMP1")
+def weighted_sample(spark, d):
+    return augment.weighted_sample(vectors(spark, d).select("vec_id", "label"), "label", "vec_id", seed=42)
+
+
+@query("hierarchical_classifier", "MDL7 MDL10 TRN3")
+def hierarchical_classifier(spark, d):
+    v = vectors(spark, d).withColumn("truth", F.col("label") % 8)
+    return model.fit_and_predict(v, "vec_id", "e", "truth", test=F.col("vec_id") % 5 == 0)

@@ -1 +1,57 @@
-"""Catalogue."""
+"""Catalogue: captures, discovery and the preprocessing pipeline."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalogue import query, read
+from ..sources import capture, folds
+from . import preprocess
+
+
+@query("recording_discovery", "SRC10 SRC11 SRC12 SCL9", """
+with f as (select 'data/person_P' || s_nationkey || '/room_' || s_suppkey % 3 || '/setup_1/trajectory_Tr' || s_suppkey % 2 || '/walk_rep' || s_suppkey as id, s_suppkey from supplier)
+select id as recording_id, 'P' || regexp_extract(id, 'person_P([0-9]+)/', 1) as person, regexp_extract(id, 'room_([0-9]+)/', 1) as room, 'walk' as activity, s_suppkey::varchar as repetition, s_suppkey % 5 = 0 as copied
+from f
+""")
+def recording_discovery(spark, d):
+    """Receiver files of made-up recordings; every fifth one has its first receiver only."""
+    s = read(spark, d, "supplier").select(F.concat(F.lit("data/person_P"), "s_nationkey", F.lit("/room_"), F.col("s_suppkey") % 3, F.lit("/setup_1/trajectory_Tr"), F.col("s_suppkey") % 2, F.lit("/walk_rep"), "s_suppkey").alias("id"), "s_suppkey")
+    files = s.select("s_suppkey", "id", F.explode(F.array(*map(F.lit, range(3)))).alias("rx")).where("rx = 0 or s_suppkey % 5 <> 0")
+    found = capture.recordings(files.select(F.concat("id", F.lit("_rx"), "rx", F.lit(".pcap")).alias("path")), fallback=True)
+    return found.select("recording_id", "person", "room", "activity", "repetition", "copied")
+
+
+@query("header_decode", "SRC2 SRC4 SCL12", """
+with h as (select l_orderkey, l_linenumber, printf('%012x', l_orderkey * 1000003 + l_partkey) || printf('%04x', l_partkey % 65536) || printf('%04x', (l_suppkey * 13) % 65536) as hex from lineitem)
+select l_orderkey, l_linenumber, array_to_string(list_transform(range(6), lambda i: substr(hex, (1 + 2 * i)::bigint, 2)), ':') as mac,
+       (('0x' || substr(hex, 15, 2) || substr(hex, 13, 2))::bigint)::int as seq, (('0x' || substr(hex, 17, 2))::bigint & 7)::int as core from h
+""")
+def header_decode(spark, d):
+    """Header bytes from lineitem keys: MAC, little-endian sequence, core in the low bits of the next."""
+    hexed = F.concat(F.lower(F.lpad(F.hex(F.col("l_orderkey") * 1000003 + F.col("l_partkey")), 12, "0")), F.lower(F.lpad(F.hex(F.col("l_partkey") % 65536), 4, "0")), F.lower(F.lpad(F.hex((F.col("l_suppkey") * 13) % 65536), 4, "0")))
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hexed.alias("h"))
+    number = lambda c: F.conv(c, 16, 10).cast("int")
+    mac = F.array_join(F.transform(F.array(*map(F.lit, range(6))), lambda i: F.substring(F.col("h"), 1 + 2 * i, F.lit(2))), ":")
+    return rows.select("l_orderkey", "l_linenumber", mac.alias("mac"), number(F.concat(F.substring("h", 15, 2), F.substring("h", 13, 2))).alias("seq"), number(F.substring("h", 17, 2)).bitwiseAND(F.lit(7)).alias("core"))
+
+
+@query("summary_json", "SNK6 SRC13 SNK1", """
+with f as (select user_id % 3 as dataset, user_id % 15 as fold, round(avg(value), 4) as macro_f1 from events group by 1, 2)
+select dataset, count(*) as folds, round(avg(macro_f1), 4) as mean, round(stddev_pop(macro_f1), 3) as std from f group by 1
+""")
+def summary_json(spark, d):
+    """Fold values to JSON documents and read back."""
+    f = read(spark, d, "events").groupBy((F.col("user_id") % 3).alias("dataset"), (F.col("user_id") % 15).alias("fold")).agg(F.round(F.avg("value"), 4).alias("macro_f1"))
+    back = folds.summary_json(f, ["dataset"]).select("dataset", F.from_json("json", "mean double, std double, per_fold array<struct<fold:long,macro_f1:double>>").alias("j"))
+    return back.select("dataset", F.size("j.per_fold").cast("long").alias("folds"), F.round("j.mean", 4).alias("mean"), F.round("j.std", 3).alias("std"))
+
+
+@query("window_feature_pipeline", "DSP3 DSP4 DSP5 WIN15 AGG9 SRC16 TST1 SRC9 PRJ6")
+def window_feature_pipeline(spark, d):
+    """Synthetic packets through cleaning, alignment, resampling and both feature branches."""
+    packets = preprocess.synthetic_packets(spark, persons=1)
+    frames = preprocess.uniform_frames(packets.drop("person", "label"))
+    refs = frames.select("recording_id").distinct().withColumn("ref", F.lit(0))
+    w = preprocess.window_features(frames, refs, 52)
+    return w.select("recording_id", "window_idx", "rx", F.size("amplitude").alias("n_amplitude"), F.size("doppler").alias("n_doppler"))
