@@ -31,7 +31,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _SEGMENT = re.compile(" *[^ ]+| +")
-_REMEMBERED = 200_000
+#: Segments in each of two generations, about 200 bytes each.
+_REMEMBERED = 300_000
+#: Of one left piece, at most so many verdicts are remembered.
+MAX_FOLLOWERS = 2_000
 
 
 def _fields(data: bytes):
@@ -86,10 +89,16 @@ class Model:
         self.unknown = self.kinds.index(_UNKNOWN)
         self.longest = max(map(len, self.ids))
         self.least = min(self.scores) - 10
-        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        #: node: character -> node, and "" -> the piece that ends here
+        self.trie: dict = {}
+        for p in self.ids:
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
         self.words_end = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.output = [b"" if k == _CONTROL else bytes([int(p[3:5], 16)]) if k == _BYTE else " ⁇ ".encode() if k == _UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
-        self._apart: dict[tuple[str, str], bool] = {}
+        self._apart: dict[str, dict[str, bool]] = {}
         self._split: dict[str, tuple[str, str] | None] = {}
         self._made: dict[str, bool] = {}
 
@@ -122,20 +131,24 @@ class Model:
             self._made[piece] = len(parts) == 1
         return self._split[piece]
 
-    def apart(self, left: str, right: str) -> bool:
+    def after(self, left: str) -> dict[str, bool]:
+        """What is known of the pieces that may follow `left`: whether the two stay apart."""
+        known = self._apart.get(left)
+        if known is None:
+            known = self._apart[left] = {}
+        return known
+
+    def judge(self, left: str, right: str, known: dict[str, bool]) -> bool:
         """Whether the two pieces stay as they are when merged together.
 
         Merges across the border are looked for from the last step backwards: of
         the two sides, the one merged last is taken apart, and a join across the
         border counts if its rank comes before that merge.
         """
-        key = (left, right)
-        known = self._apart.get(key)
-        if known is None:
-            if len(self._apart) > _REMEMBERED:
-                self._apart.clear()
-            known = self._apart[key] = self._apart_test(left, right)
-        return known
+        if len(known) > MAX_FOLLOWERS:
+            known.clear()
+        known[right] = self._apart_test(left if left in self.ids else "", right)
+        return known[right]
 
     def _apart_test(self, left: str, right: str) -> bool:
         self._parts(right)
@@ -170,70 +183,81 @@ class Stream:
     def __init__(self, model: Model):
         self.model = model
         self.text = ""  # not yet committed
-        #: for each position of the text: (last piece, where it starts, score) of its best path, or None
-        self.best: list[tuple[str, int, float] | None] = [("", 0, 0.0)]
-        #: unfinished pieces: (where it starts, its characters so far)
-        self.open: list[tuple[int, str]] = [(0, "")]
+        #: for each position of the text: the last piece of its best path, or None where no path ends
+        self.best: list[str | None] = [""]
+        #: unigram models: the paths' scores
+        self.score: list[float] = [0.0]
+        #: unfinished pieces: (where it starts, its trie node, verdicts on what may follow the piece before it)
+        self.open: list[tuple[int, dict, dict]] = [(0, model.trie, model.after(""))]
         self.out: list[str] = []
         self.most = 0
 
     def feed(self, chars: str) -> None:
         m = self.model
-        ids, prefixes, apart, scores, bpe = m.ids, m.prefixes, m.apart, m.scores, m.bpe
         for c in chars:
             self.text += c
-            end, found, best, still = len(self.text), None, self.best, []
-            for a, piece in self.open:
-                piece += c
-                if piece in prefixes:
-                    still.append((a, piece))
-                    if piece in ids:
-                        left = best[a]
-                        if not bpe:
-                            score = left[2] + scores[ids[piece]]
-                            if found is None or score > found[2]:
-                                found = (piece, a, score)
-                        elif found is None and apart(left[0] if left[0] in ids else "", piece):
-                            found = (piece, a, 0.0)
-            if c not in ids and best[end - 1] is not None and (found is None or not bpe):
-                score = best[end - 1][2] + m.least
-                if found is None or score > found[2]:
-                    found = (c, end - 1, score)
+            found, best, still, end = None, self.best, [], len(self.best)
+            if m.bpe:
+                for entry in self.open:
+                    node = entry[1].get(c)
+                    if node is not None:
+                        still.append((entry[0], node, entry[2]))
+                        piece = node.get("")
+                        if piece is not None and found is None:
+                            apart = entry[2].get(piece)
+                            if apart is None:
+                                apart = m.judge(best[entry[0]], piece, entry[2])
+                            if apart:
+                                found = piece
+                if found is None and c not in m.ids and best[-1] is not None:
+                    found = c
+            else:
+                top = 0.0
+                for a, node, after in self.open:
+                    node = node.get(c)
+                    if node is not None:
+                        still.append((a, node, after))
+                        piece = node.get("")
+                        if piece is not None and (found is None or self.score[a] + m.scores[m.ids[piece]] > top):
+                            found, top = piece, self.score[a] + m.scores[m.ids[piece]]
+                if c not in m.ids and best[-1] is not None and (found is None or self.score[-1] + m.least > top):
+                    found, top = c, self.score[-1] + m.least
+                self.score.append(top)
             best.append(found)
             if found is not None:
-                still.append((end, ""))
+                still.append((end, m.trie, m.after(found if found in m.ids else "")))
             self.open = still
-            if end > self.most:
-                self.most = end
             if end >= m.longest or len(still) == 1:
+                self.most = max(self.most, end)
                 self._commit()
 
     def _commit(self) -> None:
         """Cut at the last boundary that the paths of all unfinished pieces share."""
-        points = {a for a, _ in self.open}
+        points = {entry[0] for entry in self.open}
         while len(points) > 1:
             last = max(points)
             points.remove(last)
-            points.add(self.best[last][1])
+            points.add(last - len(self.best[last]))
         if points and (cut := points.pop()):
             self._take(cut)
-            piece, _, base = self.best[cut]
-            self.best = [(piece, 0, 0.0)] + [b and (b[0], b[1] - cut, b[2] - base) for b in self.best[cut + 1 :]]
-            self.open = [(a - cut, piece) for a, piece in self.open]
+            self.best = self.best[cut:]
+            if not self.model.bpe:
+                self.score = [x - self.score[cut] for x in self.score[cut:]]
+            self.open = [(a - cut, node, after) for a, node, after in self.open]
             self.text = self.text[cut:]
 
     def _take(self, end: int) -> None:
         path = []
         while end:
-            piece, start, _ = self.best[end]
-            path.append(piece)
-            end = start
+            path.append(self.best[end])
+            end -= len(path[-1])
         self.out += reversed(path)
 
     def close(self) -> list[str]:
+        out = self.out
         self._take(len(self.text))
-        self.text, self.best, self.open = "", [("", 0, 0.0)], [(0, "")]
-        return self.out
+        self.__init__(self.model)
+        return out
 
 
 def viterbi(model: Model, segment: str) -> list[int]:
@@ -251,13 +275,17 @@ class Codec:
 
     def __init__(self, data: bytes):
         self.model = Model(data)
+        #: two generations of remembered segments: what is asked for again moves to the new one
         self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _segment(self, s: str) -> bytes:
-        ids = np.array(viterbi(self.model, s.replace(" ", MARK)), "<i4").tobytes()
+        ids = self.old.get(s)
+        if ids is None:
+            ids = np.array(viterbi(self.model, s.replace(" ", MARK)), "<i4").tobytes()
         if len(s) <= 64:
             if len(self.seen) >= _REMEMBERED:
-                self.seen.clear()
+                self.old, self.seen = self.seen, {}
             self.seen[s] = ids
         return ids
 
@@ -290,9 +318,21 @@ def _sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+#: The codec of this worker process and the digest of its model: tasks that follow go on with what it remembers.
+_CODEC: dict[str, Codec] = {}
+
+
+def worker_codec(data: bytes) -> Codec:
+    name = _sha(data)
+    if name not in _CODEC:
+        _CODEC.clear()
+        _CODEC[name] = Codec(data)
+    return _CODEC[name]
+
+
 def _run(data: bytes):
     def run(batches):
-        codec = Codec(data)
+        codec = worker_codec(data)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 b = batch.slice(at, 128)
