@@ -124,3 +124,9 @@ def mixed_ids(docs: DataFrame, share: float = 0.5) -> DataFrame:
     n = tokens(F.col("text"))
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", n.alias("n_tokens"), form(F.col("text"), n).alias("topic")))
     return _drawn(rows, _cells(rows), share).select("doc_id", *CELL, "n_tokens", "weight", "prob", "kept")
+
+
+def keep_mixed(docs: DataFrame, share: float) -> DataFrame:
+    """The rows of docs that mix() draws, columns unchanged."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "lang", "text")
+    return mix(rows, share).where("kept").select("__row.*")

@@ -156,4 +156,5 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
     _, cutoffs = learn_cutoffs(docs, labels, stratum)
-    return apply_cutoffs(features(docs), cutoffs, stratum).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(stratum).alias(stratum), F.col("text").alias("text"))
+    return apply_cutoffs(features(rows), cutoffs, stratum).where("kept").select("__row.*")

@@ -105,4 +105,23 @@ select doc_id, source, lang, topic, n_tokens, round(we, 9) as weight, round(pr,
        ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 12))::bigint / 281474976710656e0 < pr as kept from f
 """
 
-ORACLE: dict[str, str] = {"op3_quality_rules": OP3, "op5_url_filters": OP5, "op6_mixing": OP6}
+OP1 = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
+), s as (
+  select distinct doc_id, array_to_string(ws[i:i + 2], ' ') as sh from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as i from w where len(ws) > 0)
+), n as (
+  select doc_id, count(*) as n from s group by 1
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2
+), e as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)
+), f as (
+  select a, b from e union all select b, a from e
+), r as (
+  select doc_id, doc_id as comp from documents union select f.b, r.comp from r join f on f.a = r.doc_id
+)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.comp as component_id from w left join n using (doc_id) join (select doc_id, min(comp) as comp from r group by 1) m using (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op3_quality_rules": OP3, "op5_url_filters": OP5, "op6_mixing": OP6}
