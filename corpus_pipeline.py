@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.llm.common import cut, table
-from tidewave.llm.mixing import mix
+from tidewave.llm.mixing import keep_mixed
 from tidewave.llm.ngram_join import keep_one_each
 from tidewave.llm.pii import mask_personal_data
 from tidewave.llm.quality_rules import keep_good
@@ -37,7 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn with raked probabilities."""
-    return mix(docs, SHARE).where("kept").select(*docs.columns)
+    return keep_mixed(docs, SHARE)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
