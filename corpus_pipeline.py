@@ -15,6 +15,7 @@ from tidewave.llm.ngram_join import keep_one_each
 from tidewave.llm.pii import mask_personal_data
 from tidewave.llm.quality_rules import keep_good
 from tidewave.llm.sentencepiece_codec import encode_decode
+from tidewave.shipping import ship
 
 #: Of the tokens that come so far, the share that the mixture draws.
 SHARE = 0.8
@@ -27,11 +28,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked at Jaccard 0.8 over five-word shingles the smallest doc_id stays."""
+    ship(spark)
     return keep_one_each(docs, k=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found spans are replaced by their kind's name; n_chars follows the text."""
+    ship(spark)
     return mask_personal_data(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -41,6 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return encode_decode(docs)
 
 
