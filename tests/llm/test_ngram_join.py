@@ -57,8 +57,8 @@ def corpus(seed, n=160):
         for _ in range(rng.choice([1, 1, 2, 6, 20])):
             w = list(base)
             for _ in range(rng.choice([0, 0, 1, 2, 4])):
-                i = rng.randrange(len(w))
-                w[i : i + 1] = rng.choice([[], [rng.choice(vocabulary)], [w[i], rng.choice(vocabulary)]])
+                i = rng.randrange(len(w) + 1)
+                w[i : i + 1] = rng.choice([[], [rng.choice(vocabulary)], [*w[i : i + 1], rng.choice(vocabulary)]])
             rows.append((len(rows), " ".join(w)))
     return rows
 
