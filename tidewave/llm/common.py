@@ -7,6 +7,7 @@ few vector passes and no per-word Python work.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -31,12 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: short lineage that outlives executors."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: short lineage that outlives executors.
+
+    free: then ask the driver's JVM to collect its garbage, upon which Spark
+    removes the shuffle files of the plans that are done.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
+    if free:
+        gc.collect()
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

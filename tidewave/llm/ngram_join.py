@@ -7,10 +7,13 @@ The metric is the Jaccard distance d of shingle sets, the radius r = 1 - t.
     within that window of the next shell are copied to it. A shell cuts the hash
     space into m equal blocks. Sets of n shingles within r differ in at most
     D = floor(n(1-t)/t) shingles, each of which spoils one block, so linked sets
-    share all their blocks but D. Each set is therefore a member of the districts
-    (block, content) of its D+1 rarest blocks only, and linked sets always meet.
-    A set whose shingles fill fewer than D+1 blocks is also a member by its single
-    shingles, under the same rule, which then always holds.
+    share all their blocks but D. In one order of all block contents, by hash, the
+    first D + k of each therefore have k in common, and of these, in another order,
+    by rarity, the first D + 1 have one in common: each set is a member of the
+    districts (block, content) of those D + 1 blocks only, and linked sets always
+    meet. k depends on the shell alone; it is how many frequent blocks can be left
+    out. A set whose shingles fill fewer than D + 1 blocks is also a member by its
+    single shingles, under the same rule, which then always holds.
 2.  Recursion. In every district, pivots are chosen; each member's distance to
     them is computed; members go to the Voronoi region of their nearest pivot,
     and, as guests, to each later region q with d(x,q) <= d(x,p) + 2r (two linked
@@ -39,6 +42,8 @@ from .common import cut, mix, shingle_sets
 #: Up to so many distinct sets with partners are sent to all executors (16 bytes each); more are shuffled.
 BROADCAST_NODES = 500_000
 SLACK = 1.25
+#: k is 2^-SPARE of a shell's blocks.
+SPARE = 4
 _SINGLE = 63
 
 
@@ -52,19 +57,20 @@ def shell(n: int, percent: int) -> int:
 
 
 def districts(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
-    """(family, block signatures) of one sorted set, a family for each shell it reaches."""
+    """(family, block signatures) of one sorted set, a family for each shell it reaches: the first D + k by hash."""
     n, out, thin = len(s), [], False
     if not n:
         return out
-    inner = mix(s + np.uint64(0xA0761D6478BD642F))
+    most, inner = spread(n, percent), mix(s + np.uint64(0xA0761D6478BD642F))
     for j in range(shell(n, percent), shell(n * 100 // percent, percent) + 1):
         block = (s >> np.uint64(64 - j)) if j else np.zeros(n, np.uint64)
         start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         total = np.add.reduceat(inner, start)
-        out.append((j, mix(total + (block[start] * np.uint64(64) + np.uint64(j)) * np.uint64(0xE7037ED1A0B428DB))))
-        thin |= len(start) <= spread(n, percent)
+        sigs = mix(total + (block[start] * np.uint64(64) + np.uint64(j)) * np.uint64(0xE7037ED1A0B428DB))
+        out.append((j, np.sort(sigs)[: most + max(1, (1 << j) >> SPARE)]))
+        thin |= len(start) <= most
     if thin:
-        out.append((_SINGLE, mix(s + np.uint64(0x8EBC6AF09C88C6E3))))
+        out.append((_SINGLE, np.sort(mix(s + np.uint64(0x8EBC6AF09C88C6E3)))[: most + SPARE]))
     return out
 
 
@@ -161,23 +167,25 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16)
     flat = "doc_id long, text_key long, n long, h1 long, h2 long, fams array<struct<fam:int,sigs:array<long>>>"
     summary = cut(docs.mapInArrow(_summaries(k, percent), flat))
 
-    entries = summary.where("n > 0").dropDuplicates(["h1", "h2"]).select(F.col("h1").alias("node"), "n", F.explode("fams").alias("f"))
+    # copies stay in: they only raise a district's frequency, which every member sees alike
+    entries = summary.where("n > 0").select(F.col("h1").alias("node"), "n", F.explode("fams").alias("f"))
     entries = entries.select("node", "n", F.col("node").bitwiseXOR(F.col("f.fam").cast("long")).alias("entry"), F.col("f.sigs").alias("sigs"))
     rows = entries.select("entry", F.explode("sigs").alias("region"))
-    often = rows.groupBy("region").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    shared = rows.join(often, "region")
-    sizes = entries.select("entry", "node", F.size("sigs").alias("b"), F.floor(F.col("n") * (100 - percent) / percent).alias("spread"))
+    often = rows.groupBy("region").agg(F.count(F.lit(1)).alias("freq"), F.min("entry").alias("lo"), F.max("entry").alias("hi")).where("lo < hi").select("region", "freq")
+    shared = rows.join(often, "region").distinct()
+    sizes = entries.select("entry", "node", F.size("sigs").alias("b"), F.floor(F.col("n") * (100 - percent) / percent).alias("spread")).distinct()
     by = Window.partitionBy("entry")
     ranked = shared.join(sizes, "entry").select("region", "node", "b", "spread", F.row_number().over(by.orderBy("freq", "region")).alias("rank"), F.count(F.lit(1)).over(by).alias("cnt"))
     members = ranked.where("rank + b - cnt <= spread + 1").select("region", "node").distinct()
-    members = cut(members)
+    members = cut(members, free=True)
     crowded = members.groupBy("region").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("region")
     members = cut(members.join(crowded, "region", "left_semi").withColumn("home", F.lit(True)))
 
     nodes = members.select("node").distinct()
     found = docs.select("text").mapInArrow(_sets(k), "node long, items array<long>")
     nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    sets = cut(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    sets = cut(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), free=True)
+    lengths = sets.select("node", F.size("items").cast("long").alias("n"))
 
     edges, labels, take = None, None, 1
     while True:
@@ -193,9 +201,13 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16)
         chosen = live.where("home").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= take).select("region", F.col("node").alias("p"), "rank", F.col("comp").alias("cp"))
         met = live.join(chosen, "region").where("node <> p")
         # the last round of a region needs links alone, and those between components only
-        tests = met.where((F.col("homes") > take) & F.lit(take > 1) | (F.col("comp") != F.col("cp")))
-        tests = tests.select(F.least("node", "p").alias("x"), F.greatest("node", "p").alias("p")).distinct()
-        dist = cut(_distances(tests, sets))
+        apart = (F.col("homes") > take) & F.lit(take > 1)
+        tests = met.where(apart | (F.col("comp") != F.col("cp"))).select(F.least("node", "p").alias("x"), F.greatest("node", "p").alias("p"), apart.alias("apart"))
+        tests = tests.groupBy("x", "p").agg(F.max("apart").alias("apart"))
+        # where no distance is needed, sizes alone rule out most pairs before their sets are fetched
+        tests = tests.join(lengths.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x").join(lengths.select(F.col("node").alias("p"), F.col("n").alias("np")), "p")
+        tests = tests.where(F.col("apart") | (100 * F.least("nx", "np") >= percent * F.greatest("nx", "np"))).select("x", "p")
+        dist = cut(_distances(tests, sets), free=True)
         hits = dist.where(_linked(percent)).select(F.col("x").alias("a"), F.col("p").alias("b"))
         edges = hits if edges is None else edges.unionByName(hits)
         rest = met.where(F.col("homes") > take).join(chosen.select("region", F.col("p").alias("node"), F.lit(True).alias("used")), ["region", "node"], "left").where("used is null")
