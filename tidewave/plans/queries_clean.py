@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from ..catalogue import query, read
 from ..operators import align, clean, split
 
-#: Seconds since 2024-01-01, exact in double precision.
-SECONDS = F.expr("(unix_micros(cast(ts as timestamp)) - 1704067200000000) / 1e6")
-
 
 def track(spark, d):
+    """Packets with t, seconds since 2024-01-01, exact in double precision."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return read(spark, d, "events").select("user_id", "event_id", "event_type", SECONDS.alias("t"), "value")
+    seconds = F.expr("(unix_micros(cast(ts as timestamp)) - 1704067200000000) / 1e6")
+    return read(spark, d, "events").select("user_id", "event_id", "event_type", seconds.alias("t"), "value")
 
 
 _T = "(epoch_us(ts) - 1704067200000000) / 1e6"
