@@ -130,7 +130,7 @@ def pchip_resample(spark, d):
 @query("pchip_repair", "WIN3 WIN15", _HAMPEL + f""", o as (select *, (row_number() over (partition by user_id order by t) - 1)::bigint as i from f),
 k as (select user_id as g, i::double as x, value as y from o where not dilated), {_SLOPES},
 kc as (select g, count(*) as n, min(x) as lo, arg_min(y, x) as ylo from k group by 1)
-select o.user_id, o.i, round(case when not dilated or coalesce(kc.n, 0) < 4 then o.value when o.i < kc.lo then kc.ylo else {_CURVE.format(t='o.i')} end, 5) as repaired
+select o.user_id, o.i, round(case when not dilated or coalesce(kc.n, 0) < 4 then o.value when o.i < kc.lo then kc.ylo else {_CURVE.format(t="o.i")} end, 6) as repaired
 from o left join kc on kc.g = o.user_id asof left join s3 on s3.g = o.user_id and o.i >= s3.x
 """)
 def pchip_repair(spark, d):
@@ -139,7 +139,7 @@ def pchip_repair(spark, d):
 
     f = f.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("t")) - 1)
     out = align.repaired(f, ["user_id"], "i", "value", "dilated")
-    return out.select("user_id", "i", F.round("repaired", 5).alias("repaired"))
+    return out.select("user_id", "i", F.round("repaired", 6).alias("repaired"))
 
 
 @query("xcorr_lag", "WIN4 JN10 FLT7", f"""
