@@ -44,6 +44,7 @@ BROADCAST_NODES = 500_000
 SLACK = 1.25
 #: k is 2^-SPARE of a shell's blocks.
 SPARE = 4
+STAR_ROUNDS = 3
 _SINGLE = 63
 
 
@@ -187,8 +188,11 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16)
     sets = cut(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), free=True)
     lengths = sets.select("node", F.size("items").cast("long").alias("n"))
 
-    edges, labels, take = None, None, 1
+    # the first rounds take one pivot each, as links to a few pivots make one component of most copies
+    edges, labels, turn = None, None, 0
     while True:
+        take = pivots if turn >= STAR_ROUNDS else 1
+        turn += 1
         if labels is not None:
             named = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         else:
@@ -214,7 +218,6 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16)
         if take == 1:
             # one pivot: its region is the district without it
             members = cut(rest.select("region", "node", "home"))
-            labels = components(edges)
         else:
             far = rest.withColumn("x", F.least("node", "p")).withColumn("y", F.greatest("node", "p")).join(dist.select("x", F.col("p").alias("y"), "d"), ["x", "y"])
             near = F.min(F.struct("d", "rank")).over(Window.partitionBy("region", "node"))
@@ -222,7 +225,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16)
             stay = far.where("rank = near.rank and home").select(F.xxhash64("region", "p").alias("region"), "node", F.lit(True).alias("home"))
             visit = far.where((F.col("d") <= F.col("near.d") + 2 * r + 1e-9) & (~F.col("home") | (F.col("rank") > F.col("near.rank")))).select(F.xxhash64("region", "p").alias("region"), "node", F.lit(False).alias("home"))
             members = cut(stay.unionByName(visit))
-        take = pivots
+        labels = components(edges)
     names = summary.where("n > 0").groupBy(F.col("h1").alias("node")).agg(F.min("doc_id").alias("least"))
     names = names.withColumn("comp", F.col("node")) if edges is None else names.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     best = names.groupBy("comp").agg(F.min("least").alias("component_id"))
