@@ -227,7 +227,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16)
             members = cut(stay.unionByName(visit))
         labels = components(edges)
     names = summary.where("n > 0").groupBy(F.col("h1").alias("node")).agg(F.min("doc_id").alias("least"))
-    names = names.withColumn("comp", F.col("node")) if edges is None else names.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    names = names.withColumn("comp", F.col("node")) if edges is None else names.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     best = names.groupBy("comp").agg(F.min("least").alias("component_id"))
     names = names.join(best, "comp").select(F.col("node").alias("h1"), F.col("comp").alias("component"), F.col("component_id").alias("least"))
     out = summary.drop("fams").join(names, "h1", "left")
