@@ -58,6 +58,16 @@ def test_pii_patterns_find_unseen_identifiers(spark):
     assert out[201].spans == ""
 
 
+def test_pii_one_unseen_in_eight(spark):
+    rows = [(i, f"please call {'+1 (555) 010-%04d' % i if i % 8 else 'line 555-%04d' % i} today about it") for i in range(80)]
+    # the same share of numbers that are met elsewhere too is evidence against a context
+    rows += [(100 + i, f"so they {'+1 (555) 020-%04d' % i if i % 4 else '19%02d' % i} were there") for i in range(80)]
+    rows += [(200 + i, f"the year 19{i:02d} had books") for i in range(80)]
+    out = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(0, 80, 8)] == ["phone:17:25"] * 10
+    assert [i for i in range(100, 180, 4) if out[i]] == [] and [i for i in range(200, 280) if out[i]] == []
+
+
 def test_pii_mask_and_odd_rows(spark):
     assert pii.masked("a x@y.zz b +1 555 555 5555", [("email", 2, 8), ("phone", 11, 26)]) == "a <EMAIL> b <PHONE>"
     docs = odd_docs(spark)

@@ -5,9 +5,11 @@ pattern-instance edges: an instance is a candidate token run (a digit or '@' in
 it), a pattern is the word before it, a slot (with '@' or without) and the word
 after it, or the slot with one of the two. Spark sums the edges and scores the
 graph in turns: a pattern is as good as the share of its mentions that are
-already believed, an instance as good as its best pattern. Patterns that end
-above the confidence and the support discover unseen identifiers in a second
-pass; base spans always stay.
+already believed, an instance as good as its best pattern. Mentions of unseen
+instances that occur nowhere else are neither for nor against a pattern, as far
+as they are no more than the believed ones; those met elsewhere without belief
+count against it. Patterns that end above the confidence and the support
+discover unseen identifiers in a second pass; base spans always stay.
 """
 
 from __future__ import annotations
@@ -128,18 +130,22 @@ def learn_patterns(docs: DataFrame, rounds: int = 3, confidence: float = 0.9, su
     """pattern, kind, score: what the whole corpus' contexts teach, best first."""
     edges = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_edges, "pattern string, instance string, kind string, n long")
     edges = cut(edges.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n")))
+    # every mention has three patterns; a mention no base expression knows is open by the share of its instance's mentions that lie here
+    total = edges.groupBy("instance").agg((F.sum("n") / 3).alias("total"))
+    edges = edges.join(total, "instance").select("pattern", "instance", "kind", "n", F.when(F.col("kind") == "", F.col("n") * F.col("n") / F.col("total")).otherwise(0.0).alias("open"))
     # a pattern belongs to the base kind most of its seeds have
     kinds = edges.where("kind <> ''").groupBy("pattern", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("seeds"))
     kinds = kinds.groupBy("pattern").agg(F.max_by("kind", F.struct("n", "kind")).alias("as_kind"), F.max_by("seeds", F.struct("n", "kind")).alias("seeds"))
-    graph = cut(edges.join(kinds, "pattern").select("pattern", "as_kind", "seeds", "instance", "n", F.when(F.col("kind") == F.col("as_kind"), 1.0).otherwise(0.0).alias("seed")))
+    graph = cut(edges.join(kinds, "pattern").select("pattern", "as_kind", "seeds", "instance", "n", "open", F.when(F.col("kind") == F.col("as_kind"), 1.0).otherwise(0.0).alias("seed")))
     belief = None
     for _ in range(rounds):
         if belief is None:
             held = graph.withColumn("believed", F.col("seed"))
         else:
             held = graph.join(belief, ["instance", "as_kind"], "left").withColumn("believed", F.greatest("seed", F.coalesce("trust", F.lit(0.0))))
-        scores = held.groupBy("pattern", "as_kind").agg((F.sum(F.col("n") * F.col("believed")) / F.sum("n")).alias("score"), F.max("seeds").alias("seeds"), F.sum("n").alias("n"))
-        scores = cut(scores)
+        weight, unseen = F.sum(F.col("n") * F.col("believed")), F.sum(F.when(F.col("believed") == 0, F.col("open")).otherwise(0.0))
+        scores = held.groupBy("pattern", "as_kind").agg(weight.alias("weight"), unseen.alias("open"), F.max("seeds").alias("seeds"), F.sum("n").alias("n"))
+        scores = cut(scores.withColumn("score", F.col("weight") / (F.col("n") - F.least("open", "weight"))))
         good = scores.where((F.col("score") >= confidence) & (F.col("seeds") >= support)).select("pattern", "as_kind", "score")
         belief = graph.join(good, ["pattern", "as_kind"]).groupBy("instance", "as_kind").agg(F.max("score").alias("trust"))
     best = scores.where((F.col("score") >= confidence) & (F.col("seeds") >= support))
