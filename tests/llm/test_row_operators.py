@@ -68,6 +68,19 @@ def test_pii_one_unseen_in_eight(spark):
     assert [i for i in range(100, 180, 4) if out[i]] == [] and [i for i in range(200, 280) if out[i]] == []
 
 
+def test_pii_patterns_beyond_the_broadcast(spark, monkeypatch):
+    rows = [(i, f"w{i % 30} +1 (555) 010-{i:04d} v{i % 30} and more") for i in range(300)]
+    rows += [(300 + i, f"w{i} line{i} 555-{i:04d} v{i} and w{i} 777-{i:04d} at") for i in range(30)] + [(400, None), (401, ""), (300, "w0 777-0000 at")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    far, masks = sorted(map(repr, pii.find_personal_data(docs).collect())), sorted(map(repr, pii.mask_personal_data(docs).collect()))
+    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", 3)
+    found = pii.find_personal_data(docs)
+    assert sorted(map(repr, found.collect())) == far and sorted(map(repr, pii.mask_personal_data(docs).collect())) == masks
+    assert len([r for r in found.collect() if r.doc_id >= 300 and r.spans]) == 31
+    # patterns beyond the bound are all kept
+    assert pii.learn_patterns(docs).count() == 90
+
+
 def test_pii_mask_and_odd_rows(spark):
     assert pii.masked("a x@y.zz b +1 555 555 5555", [("email", 2, 8), ("phone", 11, 26)]) == "a <EMAIL> b <PHONE>"
     docs = odd_docs(spark)

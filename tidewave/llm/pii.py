@@ -38,8 +38,8 @@ _REST = re.compile(r"[^\x20\x09-\x0D]*")
 _SPACE = frozenset(" \t\n\x0b\x0c\r")
 _WORD_BEFORE = re.compile(r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\Z")
 _WORD_AFTER = re.compile(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)")
-#: At most so many patterns are kept, the best first by (score, support, text): a bound on the model, not on rows.
-MAX_PATTERNS = 10_000
+#: Up to so many patterns (short strings) are sent to all executors; more are joined with the mentions by a shuffle.
+BROADCAST_PATTERNS = 10_000
 
 
 def luhn(digits: str) -> bool:
@@ -127,7 +127,7 @@ def _edges(batches):
 
 
 def learn_patterns(docs: DataFrame, rounds: int = 3, confidence: float = 0.9, support: int = 5) -> DataFrame:
-    """pattern, kind, score: what the whole corpus' contexts teach, best first."""
+    """pattern, kind, score, n: all that the whole corpus' contexts teach."""
     edges = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_edges, "pattern string, instance string, kind string, n long")
     edges = cut(edges.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n")))
     # every mention has three patterns; a mention no base expression knows is open by the share of its instance's mentions that lie here
@@ -149,7 +149,7 @@ def learn_patterns(docs: DataFrame, rounds: int = 3, confidence: float = 0.9, su
         good = scores.where((F.col("score") >= confidence) & (F.col("seeds") >= support)).select("pattern", "as_kind", "score")
         belief = graph.join(good, ["pattern", "as_kind"]).groupBy("instance", "as_kind").agg(F.max("score").alias("trust"))
     best = scores.where((F.col("score") >= confidence) & (F.col("seeds") >= support))
-    return best.select("pattern", F.col("as_kind").alias("kind"), "score", "n").orderBy(F.desc("score"), F.desc("n"), "pattern").limit(MAX_PATTERNS)
+    return best.select("pattern", F.col("as_kind").alias("kind"), "score", "n")
 
 
 def find_spans(text: str, patterns: dict[str, str]) -> tuple[list, list]:
@@ -178,12 +178,19 @@ def masked(text: str, spans) -> str:
     return "".join([*out, text[at:]])
 
 
-def _find(patterns: dict[str, str]):
+def _models(batch, patterns: dict[str, str] | None):
+    """The patterns for each row: the ones given, or those in the batch's last column."""
+    if patterns is not None:
+        return [patterns] * batch.num_rows
+    return [{h["pattern"]: h["kind"] for h in own or ()} for own in batch.column(batch.num_columns - 1).to_pylist()]
+
+
+def _find(patterns: dict[str, str] | None):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                both = [find_spans(t or "", patterns) for t in b.column(1).to_pylist()]
+                both = [find_spans(t or "", own) for t, own in zip(b.column(1).to_pylist(), _models(b, patterns))]
                 counts = [pa.array([sum(s[0] == kind for s in base) for base, _ in both], pa.int64()) for kind in BASE]
                 digest = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in both], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, pa.array([joined(found) for _, found in both], pa.string())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
@@ -191,34 +198,61 @@ def _find(patterns: dict[str, str]):
     return run
 
 
-def _mask(patterns: dict[str, str], place: int):
+def _mask(patterns: dict[str, str] | None, place: int, width: int):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                texts = [t if t is None else masked(t, find_spans(t, patterns)[1]) for t in b.column(place).to_pylist()]
-                cols = list(b.columns)
+                texts = [t if t is None else masked(t, find_spans(t, own)[1]) for t, own in zip(b.column(place).to_pylist(), _models(b, patterns))]
+                cols = list(b.columns)[:width]
                 cols[place] = pa.array(texts, b.column(place).type)
-                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:width])
 
     return run
 
 
-def _model(docs: DataFrame) -> dict[str, str]:
-    return {r.pattern: r.kind for r in learn_patterns(docs).collect()}
+def _asked(batches):
+    """(digest of the text, pattern) of the mentions outside base spans."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            keys, asked = [], []
+            for t in batch.slice(at, 512).column(0).to_pylist():
+                if t and (own := {p for kind, *_, ps in mentions(t, base_spans(t)) if not kind for p in ps}):
+                    keys += [hashlib.sha256(t.encode()).hexdigest()] * len(own)
+                    asked += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(asked, pa.string())], ["__digest", "pattern"])
+
+
+def _modelled(docs: DataFrame, column: str, patterns: DataFrame) -> DataFrame:
+    """docs with a last column of the patterns that each text's own mentions meet."""
+    text = F.col(column).cast("string")
+    asked = docs.select(text.alias("text")).mapInArrow(_asked, "__digest string, pattern string").distinct()
+    met = asked.join(patterns.select("pattern", "kind"), "pattern").groupBy("__digest").agg(F.collect_list(F.struct("pattern", "kind")).alias("__met"))
+    keyed = docs.withColumn("__digest", F.sha2(text, 256)).join(cut(met), "__digest", "left")
+    return keyed.select(*docs.columns, "__met")
+
+
+def _model(docs: DataFrame, column: str) -> tuple[DataFrame, dict[str, str] | None]:
+    """(docs, the patterns), or docs with their patterns as a further column and None where there are too many to broadcast."""
+    patterns = cut(learn_patterns(docs.select(F.col(column).alias("text"))))
+    if patterns.count() <= BROADCAST_PATTERNS:
+        return docs, {r.pattern: r.kind for r in patterns.collect()}
+    return _modelled(docs, column, patterns), None
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; a row for each input row.
 
     Null texts count as empty; other columns are not read; repeated rows stay.
-    The patterns sent to the executors are at most MAX_PATTERNS short strings.
+    At most BROADCAST_PATTERNS patterns are sent to the executors; more are joined.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_find(_model(docs)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    docs, patterns = _model(docs, "text")
+    return docs.mapInArrow(_find(patterns), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask_personal_data(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs, all columns kept, with every found span in `column` replaced by <KIND>; nulls stay null."""
-    model = _model(docs.select(F.col(column).alias("text")))
-    return docs.mapInArrow(_mask(model, docs.columns.index(column)), docs.schema)
+    columns, schema = docs.columns, docs.schema
+    docs, patterns = _model(docs, column)
+    return docs.mapInArrow(_mask(patterns, columns.index(column), len(columns)), schema)
