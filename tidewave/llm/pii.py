@@ -5,7 +5,8 @@ pattern-instance edges: an instance is a candidate token run (a digit or '@' in
 it), a pattern is the word before it, a slot (with '@' or without) and the word
 after it, or the slot with one of the two. Spark sums the edges and scores the
 graph in turns: a pattern is as good as the share of its mentions that are
-already believed, an instance as good as its best pattern. Mentions of unseen
+already believed, an instance as good as its best pattern, and instances believed
+in one turn are seeds in the next, until no pattern is added. Mentions of unseen
 instances that occur nowhere else are neither for nor against a pattern, as far
 as they are no more than the believed ones; those met elsewhere without belief
 count against it. Patterns that end above the confidence and the support
@@ -126,30 +127,42 @@ def _edges(batches):
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(rows.values()), pa.int64())], ["pattern", "instance", "kind", "n"])
 
 
-def learn_patterns(docs: DataFrame, rounds: int = 3, confidence: float = 0.9, support: int = 5) -> DataFrame:
-    """pattern, kind, score, n: all that the whole corpus' contexts teach."""
+def learn_patterns(docs: DataFrame, rounds: int | None = None, confidence: float = 0.9, support: int = 5) -> DataFrame:
+    """pattern, kind, score, n: all that the whole corpus' contexts teach, in so many rounds or until none is added.
+
+    A pattern once found good stays with its kind, so the rounds end.
+    """
     edges = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_edges, "pattern string, instance string, kind string, n long")
     edges = cut(edges.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n")))
     # every mention has three patterns; a mention no base expression knows is open by the share of its instance's mentions that lie here
     total = edges.groupBy("instance").agg((F.sum("n") / 3).alias("total"))
-    edges = edges.join(total, "instance").select("pattern", "instance", "kind", "n", F.when(F.col("kind") == "", F.col("n") * F.col("n") / F.col("total")).otherwise(0.0).alias("open"))
-    # a pattern belongs to the base kind most of its seeds have
-    kinds = edges.where("kind <> ''").groupBy("pattern", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("seeds"))
-    kinds = kinds.groupBy("pattern").agg(F.max_by("kind", F.struct("n", "kind")).alias("as_kind"), F.max_by("seeds", F.struct("n", "kind")).alias("seeds"))
-    graph = cut(edges.join(kinds, "pattern").select("pattern", "as_kind", "seeds", "instance", "n", "open", F.when(F.col("kind") == F.col("as_kind"), 1.0).otherwise(0.0).alias("seed")))
-    belief = None
-    for _ in range(rounds):
-        if belief is None:
-            held = graph.withColumn("believed", F.col("seed"))
-        else:
-            held = graph.join(belief, ["instance", "as_kind"], "left").withColumn("believed", F.greatest("seed", F.coalesce("trust", F.lit(0.0))))
-        weight, unseen = F.sum(F.col("n") * F.col("believed")), F.sum(F.when(F.col("believed") == 0, F.col("open")).otherwise(0.0))
-        scores = held.groupBy("pattern", "as_kind").agg(weight.alias("weight"), unseen.alias("open"), F.max("seeds").alias("seeds"), F.sum("n").alias("n"))
-        scores = cut(scores.withColumn("score", F.col("weight") / (F.col("n") - F.least("open", "weight"))))
-        good = scores.where((F.col("score") >= confidence) & (F.col("seeds") >= support)).select("pattern", "as_kind", "score")
-        belief = graph.join(good, ["pattern", "as_kind"]).groupBy("instance", "as_kind").agg(F.max("score").alias("trust"))
-    best = scores.where((F.col("score") >= confidence) & (F.col("seeds") >= support))
-    return best.select("pattern", F.col("as_kind").alias("kind"), "score", "n")
+    graph = edges.join(total, "instance").select("pattern", "instance", "kind", "n", F.when(F.col("kind") == "", F.col("n") * F.col("n") / F.col("total")).otherwise(0.0).alias("open"))
+    graph = cut(graph)
+    # seeds are believed in full, other instances as their best pattern is, and of its kind
+    base = graph.withColumn("as_kind", F.when(F.col("kind") != "", F.col("kind"))).withColumn("trust", F.when(F.col("kind") != "", 1.0).otherwise(0.0))
+    held, good, turn = base, None, 0
+    while rounds is None or turn < rounds:
+        turn += 1
+        by_kind = held.groupBy("pattern", "as_kind").agg(
+            F.sum(F.col("n") * F.col("trust")).alias("weight"), F.sum("n").alias("n"), F.sum("open").alias("open"), F.count(F.lit(1)).alias("seeds")
+        )
+        # a pattern belongs to the kind most of its believed mentions have
+        most = F.when(F.col("as_kind").isNotNull(), F.struct("weight", "as_kind", "seeds"))
+        scores = by_kind.groupBy("pattern").agg(F.max(most).alias("m"), F.sum("n").alias("n"), F.sum(F.when(F.col("as_kind").isNull(), F.col("open")).otherwise(0.0)).alias("open"))
+        scores = scores.select("pattern", F.col("m.as_kind").alias("kind"), "n", F.col("m.seeds").alias("seeds"), (F.col("m.weight") / (F.col("n") - F.least("open", "m.weight"))).alias("score"))
+        new = scores.where((F.col("score") >= confidence) & (F.col("seeds") >= support)).select("pattern", "kind", "score", "n")
+        if good is not None:
+            new = new.join(good, "pattern", "left_anti")
+        new = cut(new)
+        if new.isEmpty():
+            return new if good is None else good
+        good = new if good is None else cut(good.unionByName(new))
+        belief = graph.where("kind = ''").join(good.select("pattern", F.col("kind").alias("as_kind"), "score"), "pattern").groupBy("instance")
+        belief = cut(belief.agg(F.max(F.struct("score", "as_kind")).alias("b")).select("instance", F.col("b.as_kind").alias("b_kind"), F.col("b.score").alias("b_score")))
+        unseen = graph.where("kind = ''").join(belief, "instance", "left")
+        unseen = unseen.select("pattern", "instance", "kind", "n", "open", F.col("b_kind").alias("as_kind"), F.coalesce("b_score", F.lit(0.0)).alias("trust"))
+        held = base.where("kind <> ''").unionByName(unseen)
+    return good
 
 
 def find_spans(text: str, patterns: dict[str, str]) -> tuple[list, list]:
