@@ -114,3 +114,22 @@ def test_districts_meet_whatever_the_blocks():
 
 def test_schema_constant():
     assert "doc_id" in DOCS
+
+
+@pytest.mark.parametrize("seed, k, percent, pivots", [(21, 3, 90, 16), (22, 2, 70, 2)])
+def test_every_link_is_counted(spark, seed, k, percent, pivots):
+    rows = corpus(seed, 90)
+    # near copies of one component, all linked, and exact copies of one of them
+    line = [f"q{i}" for i in range(120)]
+    rows += [(5000 + i, " ".join(w for j, w in enumerate(line) if j != 10 * i)) for i in range(12)] + [(6000, " ".join(line)), (6001, " ".join(line).upper()), (6002, None), (None, " ".join(line))]
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append(frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset())
+    linked = [[bool(a) and 100 * len(a & b) >= percent * len(a | b) for b in sets] for a in sets]
+    want = sorted(((d, len(s), sum(row) - bool(s)) for (d, _), s, row in zip(rows, sets, linked)), key=repr)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.link_counts(docs, k, percent, pivots).collect()), key=repr) == want
+    pairs = {(min(i, j), max(i, j)) for i, a in enumerate(set(sets)) for j, b in enumerate(set(sets)) if i != j and a and b and 100 * len(a & b) >= percent * len(a | b)}
+    links = J.jaccard_links(docs, k, percent, pivots)
+    assert links.count() == len(pairs) == links.distinct().count() and links.where("a >= b").count() == 0

@@ -148,21 +148,10 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out.withColumn("d", 1 - F.col("both") / (F.col("nx") + F.col("np") - F.col("both")))
 
 
-def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, class_h1, class_h2, component, text_key.
-
-    A row for each input row. class_h1 and class_h2 name the set, component the
-    component without regard to ids (null for empty sets), text_key is xxhash64 of the text.
-
-    Linked: 100 * |A and B| >= percent * |A or B| over sets of k-word shingles.
-    component_id is the smallest doc_id of the component. Null or wordless
-    texts have n_shingles 0, no links, and their own doc_id. Repeated rows
-    and repeated or null doc_ids stay as rows; null ids are never a
-    component's name unless it has no other. An empty table gives no rows.
-    """
+def _prepared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(summary of each row, members of the districts, sets of the members, their sizes)."""
     if not 50 < percent < 100:
         raise ValueError("percent must lie between 50 and 100")
-    r = 1 - percent / 100
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     flat = "doc_id long, text_key long, n long, h1 long, h2 long, fams array<struct<fam:int,sigs:array<long>>>"
@@ -187,6 +176,23 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16)
     nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     sets = cut(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), free=True)
     lengths = sets.select("node", F.size("items").cast("long").alias("n"))
+    return summary, members, sets, lengths
+
+
+def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, class_h1, class_h2, component, text_key.
+
+    A row for each input row. class_h1 and class_h2 name the set, component the
+    component without regard to ids (null for empty sets), text_key is xxhash64 of the text.
+
+    Linked: 100 * |A and B| >= percent * |A or B| over sets of k-word shingles.
+    component_id is the smallest doc_id of the component. Null or wordless
+    texts have n_shingles 0, no links, and their own doc_id. Repeated rows
+    and repeated or null doc_ids stay as rows; null ids are never a
+    component's name unless it has no other. An empty table gives no rows.
+    """
+    r = 1 - percent / 100
+    summary, members, sets, lengths = _prepared(docs, k, percent)
 
     # the first rounds take one pivot each, as links to a few pivots make one component of most copies
     edges, labels, turn = None, None, 0
@@ -214,17 +220,12 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16)
         dist = cut(_distances(tests, sets), free=True)
         hits = dist.where(_linked(percent)).select(F.col("x").alias("a"), F.col("p").alias("b"))
         edges = hits if edges is None else edges.unionByName(hits)
-        rest = met.where(F.col("homes") > take).join(chosen.select("region", F.col("p").alias("node"), F.lit(True).alias("used")), ["region", "node"], "left").where("used is null")
         if take == 1:
             # one pivot: its region is the district without it
+            rest = met.where(F.col("homes") > take)
             members = cut(rest.select("region", "node", "home"))
         else:
-            far = rest.withColumn("x", F.least("node", "p")).withColumn("y", F.greatest("node", "p")).join(dist.select("x", F.col("p").alias("y"), "d"), ["x", "y"])
-            near = F.min(F.struct("d", "rank")).over(Window.partitionBy("region", "node"))
-            far = far.withColumn("near", near)
-            stay = far.where("rank = near.rank and home").select(F.xxhash64("region", "p").alias("region"), "node", F.lit(True).alias("home"))
-            visit = far.where((F.col("d") <= F.col("near.d") + 2 * r + 1e-9) & (~F.col("home") | (F.col("rank") > F.col("near.rank")))).select(F.xxhash64("region", "p").alias("region"), "node", F.lit(False).alias("home"))
-            members = cut(stay.unionByName(visit))
+            members = cut(_voronoi(met, chosen, dist.select("x", F.col("p").alias("y"), "d"), take, r))
         labels = components(edges)
     names = summary.where("n > 0").groupBy(F.col("h1").alias("node")).agg(F.min("doc_id").alias("least"))
     names = names.withColumn("comp", F.col("node")) if edges is None else names.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -238,6 +239,57 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16)
     )
 
 
+def _voronoi(met: DataFrame, chosen: DataFrame, dist: DataFrame, take: int, r: float) -> DataFrame:
+    """The members of the next regions: homes by the nearest pivot, guests by the 2r window; dist is (x, y, d)."""
+    rest = met.where(F.col("homes") > take).join(chosen.select("region", F.col("p").alias("node"), F.lit(True).alias("used")), ["region", "node"], "left").where("used is null")
+    far = rest.withColumn("x", F.least("node", "p")).withColumn("y", F.greatest("node", "p")).join(dist, ["x", "y"])
+    far = far.withColumn("near", F.min(F.struct("d", "rank")).over(Window.partitionBy("region", "node")))
+    stay = far.where("rank = near.rank and home").select(F.xxhash64("region", "p").alias("region"), "node", F.lit(True).alias("home"))
+    visit = far.where((F.col("d") <= F.col("near.d") + 2 * r + 1e-9) & (~F.col("home") | (F.col("rank") > F.col("near.rank")))).select(F.xxhash64("region", "p").alias("region"), "node", F.lit(False).alias("home"))
+    return stay.unionByName(visit)
+
+
+def jaccard_links(docs: DataFrame, k: int, percent: int, pivots: int = 16) -> DataFrame:
+    """The exact join: (a, b), a < b, class_h1 of every two distinct sets that are linked, each pair once.
+
+    No region is closed for being of one component, so no link is left out; a
+    group of g different sets that are all linked has g (g - 1) / 2 rows.
+    """
+    return _links(*_prepared(docs, k, percent)[1:], percent, pivots)
+
+
+def _links(members: DataFrame, sets: DataFrame, lengths: DataFrame, percent: int, pivots: int) -> DataFrame:
+    r, links = 1 - percent / 100, None
+    while True:
+        open_ = members.groupBy("region").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("c")).where("homes > 0 and c > 1").select("region", "homes")
+        live = cut(members.join(open_, "region"))
+        if live.isEmpty() and links is not None:
+            return links.distinct()
+        order = Window.partitionBy("region").orderBy(F.xxhash64("node"), "node")
+        chosen = live.where("home").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("region", F.col("node").alias("p"), "rank")
+        met = live.join(chosen, "region").where("node <> p")
+        tests = met.select(F.least("node", "p").alias("x"), F.greatest("node", "p").alias("p"), (F.col("homes") > pivots).alias("apart")).groupBy("x", "p").agg(F.max("apart").alias("apart"))
+        # where no distance is needed, sizes alone rule out pairs before their sets are fetched
+        tests = tests.join(lengths.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x").join(lengths.select(F.col("node").alias("p"), F.col("n").alias("np")), "p")
+        tests = tests.where(F.col("apart") | (100 * F.least("nx", "np") >= percent * F.greatest("nx", "np"))).select("x", "p")
+        dist = cut(_distances(tests, sets), free=True)
+        hits = dist.where(_linked(percent)).select(F.col("x").alias("a"), F.col("p").alias("b"))
+        links = hits if links is None else links.unionByName(hits)
+        members = cut(_voronoi(met, chosen, dist.select("x", F.col("p").alias("y"), "d"), pivots, r))
+
+
+def link_counts(docs: DataFrame, k: int, percent: int, pivots: int = 16) -> DataFrame:
+    """doc_id, n_shingles, n_links: for each input row the number of other rows linked with it, copies included."""
+    summary, members, sets, lengths = _prepared(docs, k, percent)
+    copies = summary.where("n > 0").groupBy(F.col("h1").alias("node")).agg(F.count(F.lit(1)).alias("c"))
+    links = cut(_links(members, sets, lengths, percent, pivots))
+    both = links.select(F.col("a").alias("h1"), F.col("b").alias("node")).unionByName(links.select(F.col("b").alias("h1"), F.col("a").alias("node")))
+    beside = both.join(copies, "node").groupBy("h1").agg(F.sum("c").alias("beside"))
+    own = copies.select(F.col("node").alias("h1"), F.col("c").alias("own")).join(beside, "h1", "left")
+    n_links = F.coalesce(F.col("own") - 1 + F.coalesce("beside", F.lit(0)), F.lit(0)).cast("long")
+    return summary.join(own, "h1", "left").select("doc_id", F.col("n").alias("n_shingles"), n_links.alias("n_links"))
+
+
 def keep_one_each(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The rows of docs that stay when each component keeps one, columns unchanged.
 
