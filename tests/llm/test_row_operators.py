@@ -214,6 +214,37 @@ def test_decoder_reads_back_references_and_colour_cache():
     assert webp.decode(w.file()).tolist() == [first, [*first[:4], b]]
 
 
+def test_media_column_to_pixels(spark):
+    rng = np.random.default_rng(3)
+    used = [7, 9, 11, 200, 257]
+    w = Stream()
+    w.head(40, 30)
+    w.put(1, 1), w.put(webp.SUBTRACT_GREEN, 2), w.put(0, 1)  # green is subtracted
+    w.put(0, 1), w.put(0, 1)  # no cache, one group of codes
+    green, red = w.code(spread(280, used)), w.code(spread(256, [0, 3, 5]))
+    one(w, 2), one(w, 255)
+    distance = w.code(spread(40, [0, 1, 5]))
+    want = []
+    while len(want) < 1200:
+        if len(want) > 40 and len(want) < 1190 and rng.random() < 0.3:
+            w.symbol(green, 257), w.symbol(distance, 1)  # two pixels from one to the left
+            want += [want[-1]] * 2
+        else:
+            g, r = int(rng.choice(used[:4])), int(rng.choice([0, 3, 5]))
+            w.symbol(green, g), w.symbol(red, r)
+            want.append(255 << 24 | (r + g) % 256 << 16 | g << 8 | (2 + g) % 256)
+    image = rng.integers(0, 2**32, (3, 16), dtype=np.uint64).astype(np.uint32)
+    rows = [(1, w.file()), (2, webp.encode(image)), (3, None), (4, b"no image"), (5, w.file()[:60]), (1, w.file())]
+    out = webp.media_pixels(spark.createDataFrame([(i, None if m is None else bytearray(m)) for i, m in rows], "id long, media binary")).collect()
+    assert len(out) == 6
+    for r in out:
+        if r.id in (1, 2):
+            assert (r.width, r.height, r.error) == ((40, 30, None) if r.id == 1 else (16, 3, None))
+            assert np.array(r.pixels, np.int32).view(np.uint32).tolist() == (want if r.id == 1 else image.reshape(-1).tolist())
+        else:
+            assert (r.width, r.height, r.pixels) == (None, None, None) and (r.error is None) == (r.id == 3)
+
+
 def forward_predictor(p, mode):
     """Residuals of an image under one predictor mode, from the decoder's own rule for one pixel."""
     h, wide, _ = p.shape

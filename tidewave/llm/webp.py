@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WIDTH = 16
 MAX_HEIGHT = 16384
@@ -108,9 +109,29 @@ class Prefix:
     def symbols(self) -> np.ndarray:
         return np.array([s for s, n in enumerate(self.lengths) if n], np.uint32)
 
+    @functools.cached_property
+    def table(self) -> tuple[list[int], int]:
+        """(symbol << 4 | bits by the stream's next bits, the number of bits looked at)."""
+        if self.only is not None:
+            return [self.only << 4], 0
+        top = max(self.lengths)
+        out = np.zeros(1 << top, np.int64)
+        for (n, code), s in self.codes.items():
+            out[_reverse(code, n) :: 1 << n] = s << 4 | n
+        return out.tolist(), top
+
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
+        if bits.have < 15:
+            bits.peek(15)
+        if bits.have >= 15:
+            # one look at the table; the last bits of a stream are read singly
+            table, top = self.table
+            v = table[bits.value & ((1 << top) - 1)]
+            bits.value >>= v & 15
+            bits.have -= v & 15
+            return v >> 4
         n = code = 0
         while n < 16:
             code = code << 1 | bits.read(1)
@@ -543,3 +564,40 @@ def text_media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     flat = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return docs.mapInArrow(_run(keep_media), flat + ", media binary" * keep_media)
+
+
+_PIXELS = (("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.list_(pa.int32())), ("error", pa.string()))
+
+
+def pixel_row(media: bytes | None) -> tuple:
+    """(width, height, ARGB pixels row by row, null) of one lossless WebP file, or nulls and what is wrong with it."""
+    if media is None:
+        return None, None, None, None
+    try:
+        p = decode(media)
+    except (ValueError, IndexError, struct.error) as e:
+        return None, None, None, str(e) or type(e).__name__
+    return p.shape[1], p.shape[0], p.reshape(-1).view(np.int32), None
+
+
+def _read_media(place: int):
+    def run(batches):
+        for batch in batches:
+            # one image at a time, as a file may hold up to 2^28 pixels
+            for at in range(batch.num_rows):
+                b = batch.slice(at, 1)
+                row = pixel_row(b.column(place)[0].as_py())
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([v], kind) for v, (_, kind) in zip(row, _PIXELS))], [*b.schema.names, *(name for name, _ in _PIXELS)])
+
+    return run
+
+
+def media_pixels(rows: DataFrame, column: str = "media") -> DataFrame:
+    """rows with width, height, pixels (ARGB as int, row by row) and error of the lossless WebP file in the binary `column`.
+
+    A row for each input row. Null media give nulls; a file that is no valid
+    lossless WebP image gives nulls and its error.
+    """
+    kinds = (T.IntegerType(), T.IntegerType(), T.ArrayType(T.IntegerType()), T.StringType())
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(name, kind) for (name, _), kind in zip(_PIXELS, kinds))])
+    return rows.mapInArrow(_read_media(rows.columns.index(column)), schema)
