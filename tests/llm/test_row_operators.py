@@ -383,6 +383,13 @@ def test_quotation_weighs_less_than_abuse():
     assert abuse[1] > quote[1] and quote[2] > abuse[2]
 
 
+def test_lexicon_keeps_every_word_of_evidence(spark):
+    # 30 texts of each class, 600 words that only toxic texts hold, each in twenty of them
+    rows = [(" ".join(f"bad{j}x" for j in range(600) if j % 3 != i % 3), 1) for i in range(30)] + [("some clean words", 0)] * 30
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    assert set(toxicity.learn_lexicon(sample, 30, 30)) == {f"bad{j}x" for j in range(600)}
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(5)
     plain = [f"word{i}" for i in range(60)]

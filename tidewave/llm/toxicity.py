@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 #: The classifier is fitted on at most so many labelled rows, those of smallest hash.
 MAX_LABELLED = 20_000
-MAX_LEXICON = 500
 #: Words shorter than this must match exactly.
 FUZZY_FROM = 5
 WINDOW = 6
@@ -147,13 +146,13 @@ def _word_rows(batches):
 
 
 def learn_lexicon(sample: DataFrame, pos: int, neg: int) -> dict[str, float]:
-    """Words with a large smoothed log ratio between toxic and clean labelled texts."""
+    """All words with a large smoothed log ratio between toxic and clean labelled texts; the sample bounds their number."""
     counts = sample.mapInArrow(_word_rows, "word string, toxic int").groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     weight = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 0.5) / (neg + 1))
     # a word is evidence if it is frequent enough and its ratio stays large less two standard errors
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     best = counts.where("a >= 3").withColumn("w", weight).where((F.col("w") - 2 * error > 0.3) & (F.col("w") > 1.2))
-    return {r.word: r.w for r in best.orderBy(F.desc(F.col("w") * F.sqrt("a")), "word").limit(MAX_LEXICON).collect()}
+    return {r.word: r.w for r in best.orderBy(F.desc(F.col("w") * F.sqrt("a")), "word").collect()}
 
 
 def _feature_rows(words: dict[str, float]):
