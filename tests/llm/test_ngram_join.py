@@ -5,7 +5,7 @@ import pytest
 
 from tidewave.llm import ngram_join as J
 
-from .helpers import DOCS, no_docs, odd_docs
+from .helpers import no_docs, odd_docs
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -63,10 +63,11 @@ def corpus(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("k,percent,pivots", [(3, 90, 16), (5, 80, 16), (3, 60, 2), (2, 70, 3)])
-def test_against_brute_force(spark, k, percent, pivots):
+@pytest.mark.parametrize("k,percent,pivots,most,weight,close", [(3, 90, 16, 1000, 10**6, False), (5, 80, 16, 1000, 10**6, True), (3, 60, 2, 6, 10**6, True), (2, 70, 3, 4, 10**6, False), (2, 60, 2, 8, 300, True)])
+def test_against_brute_force(spark, k, percent, pivots, most, weight, close):
+    """Regions of any size: those that fit a task, those that pivots divide and those compared block by block."""
     rows = corpus(percent)
-    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k, percent, pivots)
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k, percent, pivots, most, weight, close)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute(rows, k, percent)
 
 
@@ -112,12 +113,15 @@ def test_districts_meet_whatever_the_blocks():
         assert met
 
 
-def test_schema_constant():
-    assert "doc_id" in DOCS
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    for m, top in ((1, 5), (2, 9), (40, 60), (90, 5000)):
+        sets = [np.unique(rng.integers(0, top, rng.integers(1, 80))) for _ in range(m)]
+        assert (J.overlaps(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets])[~np.eye(m, dtype=bool)].all()
 
 
-@pytest.mark.parametrize("seed, k, percent, pivots", [(21, 3, 90, 16), (22, 2, 70, 2)])
-def test_every_link_is_counted(spark, seed, k, percent, pivots):
+@pytest.mark.parametrize("seed, k, percent, pivots, most", [(21, 3, 90, 16, 1000), (22, 2, 70, 2, 5), (23, 2, 60, 3, 10)])
+def test_every_link_is_counted(spark, seed, k, percent, pivots, most):
     rows = corpus(seed, 90)
     # near copies of one component, all linked, and exact copies of one of them
     line = [f"q{i}" for i in range(120)]
@@ -129,7 +133,7 @@ def test_every_link_is_counted(spark, seed, k, percent, pivots):
     linked = [[bool(a) and 100 * len(a & b) >= percent * len(a | b) for b in sets] for a in sets]
     want = sorted(((d, len(s), sum(row) - bool(s)) for (d, _), s, row in zip(rows, sets, linked)), key=repr)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, J.link_counts(docs, k, percent, pivots).collect()), key=repr) == want
+    assert sorted(map(tuple, J.jaccard_components(docs, k, percent, pivots, most).select("doc_id", "n_shingles", "n_links").collect()), key=repr) == want
     pairs = {(min(i, j), max(i, j)) for i, a in enumerate(set(sets)) for j, b in enumerate(set(sets)) if i != j and a and b and 100 * len(a & b) >= percent * len(a | b)}
-    links = J.jaccard_links(docs, k, percent, pivots)
+    links = J.jaccard_links(docs, k, percent, pivots, most)
     assert links.count() == len(pairs) == links.distinct().count() and links.where("a >= b").count() == 0

@@ -7,14 +7,14 @@ few vector passes and no per-word Python work.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,29 +32,54 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: short lineage that outlives executors.
 
-    free: then ask the driver's JVM to collect its garbage, upon which Spark
-    removes the shuffle files of the plans that are done.
+    Spark is asked to remove the shuffle files of the write when it is done.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    if free:
-        gc.collect()
-        spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of cut() whose successors are written."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path in _WRITTEN:
+            _delete(_WRITTEN.pop(path), path)
+
+
+def written() -> set[str]:
+    """The tables of cut() that there are, for drop_since()."""
+    return set(_WRITTEN)
+
+
+def drop_since(before: set[str], *keep: DataFrame) -> None:
+    """Delete the tables written since, but those to keep."""
+    for path in set(_WRITTEN) - before - {df._cut_path for df in keep}:
+        _delete(_WRITTEN.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _WRITTEN:
+    for path, spark in _WRITTEN.items():
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session is gone; nothing is left to clean
             return
 

@@ -24,7 +24,7 @@ MIX_SHARE = 0.5
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

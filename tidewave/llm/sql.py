@@ -120,8 +120,11 @@ with recursive w as (
   select a, b from e union all select b, a from e
 ), r as (
   select doc_id, doc_id as comp from documents union select f.b, r.comp from r join f on f.a = r.doc_id
+), c as (
+  select a as doc_id, count(*) as n_links from f group by 1
 )
-select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.comp as component_id from w left join n using (doc_id) join (select doc_id, min(comp) as comp from r group by 1) m using (doc_id)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.comp as component_id, coalesce(c.n_links, 0)::bigint as n_links
+from w left join n using (doc_id) left join c using (doc_id) join (select doc_id, min(comp) as comp from r group by 1) m using (doc_id)
 """
 
 ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op3_quality_rules": OP3, "op5_url_filters": OP5, "op6_mixing": OP6}
