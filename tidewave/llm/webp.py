@@ -1,20 +1,27 @@
-"""Media columns: the lossless WebP format (VP8L), read in full and written simply.
+"""Media columns: the lossless WebP format (VP8L), read in full and written with its main tools.
 
 `decode` reads any VP8L image: canonical prefix codes (simple and normal),
 meta prefix codes, LZ77 back-references with the 2-D distance map, the colour
 cache, and the inverse predictor, cross-colour, subtract-green and palette
-transforms. `encode` writes ARGB pixels with one prefix code of equal lengths
-per channel, after the subtract-green transform if asked; streams of such codes
-are decoded by array operations, all others symbol by symbol.
-
-Payloads of any length become images of 16 x h pixels, four bytes a pixel, at
-most 1 MB each; more follow as further RIFF files.
+transforms. Where one channel alone takes bits, tokens are read by array
+operations: every bit position is looked up in the code's table, and the chain of
+positions that tokens start at is followed from the first; all other images are
+read symbol by symbol.
+
+`encode` picks the transforms by the entropy that they leave (palette, subtract
+green, cross-colour, a predictor), finds back-references by equal runs of pixels,
+uses the colour cache where several channels vary, and writes prefix codes built
+for the image.
+
+Payloads become grey images of 64 x h pixels, a byte a pixel in the green channel,
+at most 1 MB each; more follow as further RIFF files.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import struct
 import zlib
 
@@ -24,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WIDTH = 16
+WIDTH = 64
 MAX_HEIGHT = 16384
+OPAQUE = 0xFF000000
 # Fixed values of the format: order of code length codes; short distances as (x, y) steps.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 SHORT_DISTANCES = (
@@ -77,48 +85,46 @@ class Bits:
         self.read(bit % 8)
 
 
+#: Every 16 bits reversed.
+_REVERSED = np.packbits(np.unpackbits(np.arange(1 << 16, dtype=">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, ::-1], axis=1).view(">u2").reshape(-1).astype(np.int64)
+
+
 class Prefix:
-    """A canonical prefix code: {(length, code): symbol}; one used symbol takes no bits."""
+    """A canonical prefix code; one used symbol takes no bits."""
 
     def __init__(self, lengths: list[int]):
-        self.lengths = lengths
-        used = [s for s, n in enumerate(lengths) if n]
-        if not used:
+        n = np.array(lengths, np.int64)
+        used = np.flatnonzero(n)
+        if not len(used):
             raise ValueError("a prefix code without symbols")
-        self.only = used[0] if len(used) == 1 else None
-        self.codes: dict[tuple[int, int], int] = {}
-        code = 0
-        for n in range(1, max(lengths) + 1):
-            for s in used:
-                if lengths[s] == n:
-                    self.codes[n, code] = s
-                    code += 1
-            code <<= 1
-        if self.only is None and code != 1 << max(lengths) + 1:
+        self.only = int(used[0]) if len(used) == 1 else None
+        self.symbols = used[np.argsort(n[used], kind="stable")]
+        self.bits = n[self.symbols]
+        self.top = int(self.bits[-1])
+        share = 1 << (self.top - self.bits)
+        ends = np.cumsum(share)
+        self.code = (ends - share) >> (self.top - self.bits)
+        if self.only is None and ends[-1] != 1 << self.top:
             raise ValueError("an incomplete prefix code")
+        #: The codes as the stream holds them, first bit lowest.
+        self.written = _REVERSED[self.code << (16 - self.bits)]
 
     @functools.cached_property
-    def uniform(self) -> int | None:
-        """The bits of every symbol, if they are equal; 0 if there is one symbol."""
-        if self.only is not None:
-            return 0
-        n = set(self.lengths) - {0}
-        return n.pop() if len(n) == 1 else None
+    def codes(self) -> dict[tuple[int, int], int]:
+        """{(length, code): symbol}."""
+        return {(n, c): s for n, c, s in zip(self.bits.tolist(), self.code.tolist(), self.symbols.tolist())}
 
     @functools.cached_property
-    def symbols(self) -> np.ndarray:
-        return np.array([s for s, n in enumerate(self.lengths) if n], np.uint32)
+    def lookup(self) -> np.ndarray:
+        """symbol << 4 | bits, by the stream's next `top` bits."""
+        # in the order of codes the table is runs; the stream's order is that with its bits reversed
+        runs = np.repeat((self.symbols << 4 | self.bits).astype(np.uint16), 1 << (self.top - self.bits))
+        return runs[_REVERSED[: 1 << self.top] >> (16 - self.top)]
 
     @functools.cached_property
     def table(self) -> tuple[list[int], int]:
         """(symbol << 4 | bits by the stream's next bits, the number of bits looked at)."""
-        if self.only is not None:
-            return [self.only << 4], 0
-        top = max(self.lengths)
-        out = np.zeros(1 << top, np.int64)
-        for (n, code), s in self.codes.items():
-            out[_reverse(code, n) :: 1 << n] = s << 4 | n
-        return out.tolist(), top
+        return ([self.only << 4], 0) if self.only is not None else (self.lookup.tolist(), self.top)
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
@@ -146,30 +152,8 @@ def _prefix(lengths: tuple[int, ...]) -> Prefix:
     return Prefix(list(lengths))
 
 
-#: (alphabet, next 64 bits) -> codes read before: their bits, how many, and the code.
-_READ: dict[tuple[int, int], list[tuple[int, int, Prefix]]] = {}
-
-
 def read_prefix(bits: Bits, size: int) -> Prefix:
-    """The code that the stream holds; one whose bits were all seen before is not built again."""
-    known = _READ.setdefault((size, bits.peek(64)), [])
-    for value, n, code in known:
-        if bits.peek(n) == value:
-            bits.read(n)
-            return code
-    if len(_READ) > 1000:
-        _READ.clear()
-    start, data = bits.position, bits.data
-    code = _parse_prefix(bits, size)
-    n = bits.position - start
-    again = Bits(data)
-    again.seek(start)
-    if len(known) < 8:
-        known.append((again.peek(n), n, code))
-    return code
-
-
-def _parse_prefix(bits: Bits, size: int) -> Prefix:
+    """The code that the stream holds."""
     if bits.read(1):
         count = bits.read(1) + 1
         first = bits.read(8 if bits.read(1) else 1)
@@ -223,8 +207,8 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     groups = [[read_prefix(bits, n) for n in sizes] for _ in range(1 + (int(meta.max()) if meta is not None else 0))]
     total = width * height
-    if meta is None and not cache_bits and all(g.uniform is not None for g in groups[0][:4]) and groups[0][0].symbols[-1] < 256:
-        return _equal_lengths(bits, groups[0], total)
+    if meta is None and main and not cache_bits and all(g.only is not None for g in groups[0][1:4]):
+        return _one_channel(bits, groups[0], width, total)
     out = [0] * total
     cache = [0] * (1 << cache_bits) if cache_bits else None
     shift, columns = 32 - cache_bits, _block(width, meta_bits)
@@ -240,8 +224,7 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             if code > 120:
                 back = code - 120
             else:
-                x, y = SHORT_DISTANCES[code - 1]
-                back = max(1, x + y * width)
+                back = _near(width)[code - 1]
             if back > at or at + length > total:
                 raise ValueError("a back-reference leaves the image")
             new = [out[at - back + i] if i < back else 0 for i in range(length)]
@@ -257,28 +240,92 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _equal_lengths(bits: Bits, group: list[Prefix], total: int) -> np.ndarray:
-    """Literals only, each channel with codes of one length: the bits form a matrix."""
-    widths = [g.uniform for g in group[:4]]
-    start, n = bits.position, sum(widths)
-    first = start // 8
-    flat = np.unpackbits(np.frombuffer(bits.data, np.uint8)[first : (start + n * total + 7) // 8], bitorder="little")[start - 8 * first :]
-    if len(flat) < n * total:
-        raise ValueError("the bit stream ends early")
-    flat = flat[: n * total].reshape(total, n)
-    channels, at = [], 0
-    for g, w in zip(group, widths):
-        if w:
-            symbols = g.symbols
-            padded = np.zeros((total, 8), np.uint8)
-            padded[:, 8 - w :] = flat[:, at : at + w]
-            channels.append(symbols[np.packbits(padded, axis=1)[:, 0]])
-        else:
-            channels.append(np.full(total, g.only, np.uint32))
-        at += w
-    bits.seek(start + n * total)
-    green, red, blue, alpha = channels
-    return alpha << 24 | red << 16 | green << 8 | blue
+@functools.cache
+def _near(width: int) -> list[int]:
+    """The distances of the short codes in a row of so many pixels."""
+    return [max(1, x + y * width) for x, y in SHORT_DISTANCES]
+
+
+def _words(data: bytes, dtype) -> np.ndarray:
+    """At each byte the bits that follow, as many as the type holds; zeros follow the end."""
+    size = np.dtype(dtype).itemsize
+    raw = np.frombuffer(data + b"\0" * (2 * size), np.uint8)
+    words = raw[: len(raw) - size].astype(dtype)
+    for i in range(1, size):
+        words |= raw[i : i + len(words)].astype(dtype) << dtype(8 * i)
+    return words
+
+
+def _looked(code: Prefix) -> np.ndarray:
+    """The code's lookup; for one symbol, which takes no bits, one of zero bits."""
+    return code.lookup if code.only is None else np.full(1 << code.top, code.only << 4, np.uint16)
+
+
+def _extra_at(words: np.ndarray, at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of length or distance symbols whose extra bits stand at the bit positions; the positions after."""
+    more = np.where(s < 4, 0, np.maximum(s - 2, 0) >> 1)
+    low = (words[np.minimum(at >> 3, len(words) - 1)] >> (at & 7).astype(np.uint64)).astype(np.int64) & ((1 << more) - 1)
+    return np.where(s < 4, s + 1, ((2 + (s & 1)) << more) + low + 1), at + more
+
+
+def _references(words: np.ndarray, at: np.ndarray, symbol: np.ndarray, distance: Prefix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, distance code, position after) of back-references whose length symbols end at the bit positions."""
+    length, at = _extra_at(words, at, symbol)
+    window = (words[np.minimum(at >> 3, len(words) - 1)] >> (at & 7).astype(np.uint64)) & np.uint64((1 << distance.top) - 1)
+    seen = _looked(distance)[window.astype(np.int64)].astype(np.int64)
+    code, at = _extra_at(words, at + (seen & 15), seen >> 4)
+    return length, code, at
+
+
+def _one_channel(bits: Bits, group: list[Prefix], width: int, total: int) -> np.ndarray:
+    """An image whose literals differ in green alone: literals and back-references by array operations."""
+    green, distance = group[0], group[4]
+    rest = group[3].only << 24 | group[1].only << 16 | group[2].only
+    if green.only is not None and green.only < 256:
+        return np.full(total, rest | green.only << 8, np.uint32)
+    start = bits.position
+    data, start = bits.data[start // 8 :], start % 8
+    n = 8 * len(data)
+    near = _words(data, np.uint32)[: len(data)]
+    seen = np.empty((len(data), 8), np.uint16)
+    table, mask = _looked(green), np.uint32((1 << green.top) - 1)
+    for i in range(8):
+        seen[:, i] = table[near >> np.uint32(i) & mask]
+    seen = seen.reshape(-1)
+    follow = (seen & np.uint16(15)).astype(np.int32)
+    follow += np.arange(n, dtype=np.int32)
+    far = np.flatnonzero(seen >= 256 << 4)
+    words = _words(data, np.uint64)
+    if len(far):
+        follow[far] = _references(words, follow[far].astype(np.int64), (seen[far] >> 4).astype(np.int64) - 256, distance)[2]
+    jump, chain, at = memoryview(follow), [], start
+    add = chain.append
+    while at < n:
+        add(at)
+        at = jump[at]
+    chain = np.array(chain, np.int64)
+    symbol = (seen[chain] >> 4).astype(np.int64)
+    ref = np.flatnonzero(symbol > 255)
+    pixels = np.ones(len(chain), np.int64)
+    pixels[ref], code, _ = _references(words, chain[ref] + (seen[chain[ref]] & 15), symbol[ref] - 256, distance)
+    ends = np.cumsum(pixels)
+    last = int(np.searchsorted(ends, total)) + 1
+    if last > len(chain) or ends[last - 1] != total:
+        raise ValueError("the bit stream ends early or a back-reference leaves the image")
+    starts = ends - pixels
+    few = int(np.searchsorted(ref, last))
+    ref, code = ref[:few], code[:few]
+    back = np.where(code > 120, code - 120, np.array(_near(width))[np.minimum(code, 120) - 1])
+    if (symbol[:last] > 279).any() or (back > starts[ref]).any():
+        raise ValueError("a back-reference leaves the image")
+    out = np.zeros(total, np.uint8)
+    plain = np.flatnonzero(symbol[:last] < 256)
+    out[starts[plain]] = symbol[plain]
+    out = bytearray(out.tobytes())
+    for o, k, d in zip(starts[ref].tolist(), pixels[ref].tolist(), back.tolist()):
+        piece = out[o - d : o - d + k]
+        out[o : o + k] = piece if d >= k else (piece[:d] * (k // d + 1))[:k]
+    return np.frombuffer(out, np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(rest)
 
 
 def _split(p: np.ndarray) -> np.ndarray:
@@ -438,70 +485,320 @@ class Writer:
         self.n += n
 
 
-def _reverse(v: int, n: int) -> int:
-    return int(format(v, f"0{n}b")[::-1], 2) if n else 0
-
-
-def _write_equal(w: Writer, k: int, size: int) -> None:
-    """A prefix code of the symbols below 2^k with k bits each; for k = 0 of the symbol 0."""
-    if not k:
-        w.put(1, 1), w.put(0, 1), w.put(0, 1), w.put(0, 1)
+def code_lengths(counts: np.ndarray, most: int) -> list[int]:
+    """Lengths of a prefix code for the counts, none above `most`; flatter counts shorten the longest."""
+    used = np.flatnonzero(counts).tolist()
+    out = [0] * len(counts)
+    weights = counts[used].tolist()
+    while used:
+        heap = [(n, i) for i, n in enumerate(weights)]
+        heapq.heapify(heap)
+        above, new = [0] * (2 * len(used)), len(used)
+        while len(heap) > 1:
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            above[i] = above[j] = new
+            heapq.heappush(heap, (a + b, new))
+            new += 1
+        depth = [0] * new
+        for i in range(new - 2, -1, -1):
+            depth[i] = depth[above[i]] + 1
+        if max(depth[: len(used)]) <= most:
+            for s, n in zip(used, depth):
+                out[s] = max(n, 1)
+            break
+        weights = [n // 2 + 1 for n in weights]
+    return out
+
+
+def _codes_of(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(bits as written, how many) of every symbol; one used symbol takes none."""
+    code, size = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.uint64)
+    prefix = _prefix(tuple(lengths))
+    if prefix.only is None:
+        code[prefix.symbols], size[prefix.symbols] = prefix.written, prefix.bits
+    return code, size
+
+
+def _write_code(w: Writer, lengths: list[int]) -> None:
+    used = [s for s, n in enumerate(lengths) if n]
+    if len(used) <= 2 and all(s < 256 for s in used):
+        used = used or [0]
+        w.put(1, 1), w.put(len(used) - 1, 1), w.put(int(used[0] > 1), 1), w.put(used[0], 8 if used[0] > 1 else 1)
+        if len(used) == 2:
+            w.put(used[1], 8)
         return
-    # lengths are one k, its repeats (16) and zeros (18), with codes 10, 0 and 11
-    w.put(0, 1), w.put(15, 4)
-    for s in LENGTH_ORDER:
-        w.put(1 if s == 16 else 2 if s in (k, 18) else 0, 3)
+    runs: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
+    edges = np.flatnonzero(np.diff(lengths)) + 1
+    for at, end in zip([0, *edges.tolist()], [*edges.tolist(), len(lengths)]):
+        n, left = lengths[at], end - at
+        if n:
+            runs.append((n, 0, 0))
+            left -= 1
+        while left >= 3:
+            k = min(left, 6 if n else 10 if left < 11 else 138)
+            runs.append((16, k - 3, 2) if n else (17, k - 3, 3) if k < 11 else (18, k - 11, 7))
+            left -= k
+        runs += [(n, 0, 0)] * left
+    of = code_lengths(np.bincount([s for s, *_ in runs], minlength=19), 7)
+    n = max(4, 1 + max(i for i, s in enumerate(LENGTH_ORDER) if of[s]))
+    w.put(0, 1), w.put(n - 4, 4)
+    for s in LENGTH_ORDER[:n]:
+        w.put(of[s], 3)
     w.put(0, 1)
-    w.put(0b01, 2)
-    left = (1 << k) - 1
-    while left:
-        if left >= 3:
-            n = min(6, left)
-            w.put(0, 1), w.put(n - 3, 2)
-        else:
-            n = 1
-            w.put(0b01, 2)
-        left -= n
-    left = size - (1 << k)
-    while left >= 11:
-        n = min(138, left)
-        w.put(0b11, 2), w.put(n - 11, 7)
-        left -= n
-    if left:
-        raise ValueError("the code's unused tail is too short to write")
+    code, size = _codes_of(of)
+    for s, value, more in runs:
+        w.put(int(code[s]), int(size[s])), w.put(value, more)
 
 
-@functools.cache
-def _codes_head(widths: tuple[int, ...]) -> np.ndarray:
-    w = Writer()
-    for k, size in zip(widths, (280, 256, 256, 256)):
-        _write_equal(w, k, size)
-    _write_equal(w, 0, 40)
-    return _bits_of(w)
+def _value_code(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra value, extra bits) of lengths or distance codes."""
+    u = v - 1
+    top = np.frexp(np.maximum(u, 1).astype(np.float64))[1] - 1
+    more = np.where(v <= 4, 0, np.maximum(top - 1, 0))
+    return np.where(v <= 4, u, 2 * top + (u >> more & 1)), u & ((1 << more) - 1), more
 
 
-def _bits_of(w: Writer) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(w.value.to_bytes((w.n + 7) // 8, "little"), np.uint8), bitorder="little")[: w.n]
+def back_references(rank: np.ndarray, few: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance): from left to right, runs that equal the last place where their first pixels stand.
 
-
-def encode(pixels: np.ndarray, subtract_green: bool = False) -> bytes:
-    """(height, width) ARGB pixels to one RIFF file."""
+    few: at most 256 kinds of pixels, of which six make a beginning; else three of at most 2^21.
+    """
+    least, wide = (6, 8) if few else (3, 21)
+    none = (np.zeros(0, np.int64),) * 3
+    n = len(rank) - least + 1
+    if n < 2:
+        return none
+    key = rank[:n].astype(np.uint64)
+    for i in range(1, least):
+        key |= rank[i : i + n].astype(np.uint64) << np.uint64(wide * i)
+    # neighbours in the order of a short hash; of those that differ in the key none is taken
+    order = np.argsort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
+    sorted_ = key[order]
+    again = np.flatnonzero(sorted_[1:] == sorted_[:-1])
+    if not len(again):
+        return none
+    distance = np.zeros(n, np.int32)
+    later = order[again + 1]
+    distance[later] = later - order[again]
+    some = np.flatnonzero(distance)
+    edges = np.flatnonzero(distance[1:] != distance[:-1])
+    edges = np.append(edges, n - 1)
+    length = memoryview(edges[np.searchsorted(edges, some)] - some + least)
+    following = np.zeros(len(rank) + 1, np.int32)
+    following[some + 1] = 1
+    following = memoryview(np.cumsum(following, dtype=np.int32))
+    place, taken, at, many = memoryview(some), [], 0, len(some)
+    while (i := following[at]) < many:
+        taken.append(i)
+        at = place[i] + min(length[i], 4096)
+    start = some[taken]
+    return start, np.minimum(np.asarray(length)[taken], 4096), distance[start].astype(np.int64)
+
+
+def cached(p: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot in a colour cache of 2^bits, whether the pixel is there already) of every pixel."""
+    slot = (p * np.uint32(HASH_MULTIPLIER)) >> np.uint32(32 - bits)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(p), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (p[order[1:]] == p[order[:-1]])
+    return slot.astype(np.int64), hit
+
+
+def _bits_of(counts: np.ndarray) -> float:
+    """Bits that symbols of these counts cost by their own frequencies."""
+    n = counts[counts > 0]
+    return float((n * np.log2(n.sum() / n)).sum())
+
+
+def _entropy(p: np.ndarray) -> float:
+    return sum(_bits_of(np.bincount((p >> np.uint32(shift)) & np.uint32(255))) for shift in (24, 16, 8, 0))
+
+
+def _write_image(w: Writer, p: np.ndarray, width: int, main: bool, use: set[str]) -> np.ndarray:
+    """Put the codes of an entropy-coded image into w; its tokens' bits."""
+    grey = ((p ^ p[0]) & np.uint32(0xFFFF00FF) == 0).all()
+    slot, hit, cache_bits = None, None, 0
+    if main and not grey:
+        slot, hit = cached(p, 8)
+        if 10 * hit.sum() >= len(p):
+            cache_bits = 8
+            use.add("colour cache")
+    if grey:
+        start, length, back = back_references((p >> np.uint32(8)).astype(np.uint8), True)
+    else:
+        colours, rank = np.unique(p, return_inverse=True)
+        start, length, back = back_references(rank, len(colours) <= 256) if len(colours) < 1 << 21 else (np.zeros(0, np.int64),) * 3
+    use.add("prefix codes")
+    if len(start):
+        use.add("back-references")
+    inside = np.zeros(len(p) + 1, np.int8)
+    inside[start] += 1
+    inside[start + length] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    token = ~inside
+    token[start] = True
+    place = np.flatnonzero(token)
+    ref = inside[place]
+    there = p[place]
+    first = (there >> np.uint32(8) & np.uint32(255)).astype(np.int64)
+    literal = ~ref
+    if cache_bits:
+        hit = hit[place] & literal
+        literal &= ~hit
+        first[hit] = 280 + slot[place][hit]
+    len_symbol, len_extra, len_bits = _value_code(length)
+    first[ref] = 256 + len_symbol
+    near: dict[int, int] = {}
+    for code, d in enumerate(_near(width), 1):
+        near.setdefault(d, code)
+    code = np.array([near.get(d, d + 120) for d in back.tolist()], np.int64)
+    dist_symbol, dist_extra, dist_bits = _value_code(code)
+    w.put(1, 1) if cache_bits else w.put(0, 1)
+    if cache_bits:
+        w.put(cache_bits, 4)
+    if main:
+        w.put(0, 1)  # one group of codes
+    value, size = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
+
+    def add(rows, v, n) -> None:
+        value[rows] |= v.astype(np.uint64) << size[rows]
+        size[rows] += n.astype(np.uint64)
+
+    everything = np.ones(len(place), bool)
+    parts = [(everything, first, 280 + (1 << cache_bits if cache_bits else 0))] + [(literal, (there[literal] >> np.uint32(s) & np.uint32(255)).astype(np.int64), 256) for s in (16, 0, 24)] + [(ref, dist_symbol, 40)]
+    for i, (rows, symbols, alphabet) in enumerate(parts):
+        if grey and 0 < i < 4:  # one symbol, no bits
+            w.put(0b101, 3), w.put(int(there[0] >> np.uint32((16, 0, 24)[i - 1]) & np.uint32(255)), 8)
+            continue
+        lengths = code_lengths(np.bincount(symbols, minlength=alphabet), LONGEST)
+        _write_code(w, lengths)
+        if len(symbols):
+            codes, sizes = _codes_of(lengths)
+            if i == 4:
+                add(ref, len_extra, len_bits)
+            add(rows, codes[symbols], sizes[symbols])
+    add(ref, dist_extra, dist_bits)
+    size = size.astype(np.int64)
+    begin = np.cumsum(size) - size
+    # each token's bits, by bytes: a token ends 71 bits after its first byte at most
+    total = int(size.sum())
+    out = np.zeros(total // 8 + 10, np.uint8)
+    shift, byte = (begin & 7).astype(np.uint64), begin >> 3
+    low, high = value << shift, value >> (np.uint64(63) - shift) >> np.uint64(1)
+    for i in range(9):
+        part = (low >> np.uint64(8 * i) if i < 8 else high).astype(np.uint8)
+        some = np.flatnonzero(part)
+        if len(some):
+            out += np.bincount(byte[some] + i, weights=part[some], minlength=len(out)).astype(np.uint8)
+    return np.unpackbits(out, bitorder="little")[:total]
+
+
+def _put_image(w: Writer, p: np.ndarray, width: int) -> None:
+    body = _write_image(w, p, width, False, set())
+    w.put(int.from_bytes(np.packbits(body, bitorder="little").tobytes(), "little"), len(body))
+
+
+def residuals(c: np.ndarray, mode: int) -> np.ndarray:
+    """What one predictor mode leaves of channels (height, width, 4): by whole arrays, as every neighbour is known."""
+    left, top, corner = np.roll(c, 1, 1), np.roll(c, 1, 0), np.roll(np.roll(c, 1, 0), 1, 1)
+    right = np.concatenate([top[:, 1:], c[:, :1]], 1)
+    half = lambda a, b: (a + b) // 2
+    if mode == 11:
+        guess = left + top - corner
+        nearer = np.abs(guess - left).sum(-1, keepdims=True) < np.abs(guess - top).sum(-1, keepdims=True)
+        guess = np.where(nearer, left, top)
+    elif mode == 13:
+        m = half(left, top)
+        guess = np.clip(m + np.sign(m - corner) * (np.abs(m - corner) // 2), 0, 255)
+    else:
+        guess = {
+            0: np.broadcast_to(np.array([255, 0, 0, 0]), c.shape), 1: left, 2: top, 3: right, 4: corner, 5: half(half(left, right), top), 6: half(left, corner), 7: half(left, top),
+            8: half(corner, top), 9: half(top, right), 10: half(half(left, corner), half(top, right)), 12: np.clip(left + top - corner, 0, 255),
+        }[mode]
+    out = c - guess
+    out[0, 1:], out[1:, 0], out[0, 0] = c[0, 1:] - c[0, :-1], c[1:, 0] - c[:-1, 0], c[0, 0] - [255, 0, 0, 0]
+    return out & 0xFF
+
+
+def _rough(c: np.ndarray, mode: int) -> float:
+    """Bits that bytes (height, width, channels) cost when predicted by left (1), top (2) or left + top - corner, wrapped (12)."""
+    left, top, here = c[1:, :-1], c[:-1, 1:], c[1:, 1:]
+    rest = here - (left if mode == 1 else top if mode == 2 else left + top - c[:-1, :-1])
+    counts = [np.bincount(rest[..., i].reshape(-1)) for i in range(c.shape[2])]
+    return sum(map(_bits_of, counts)) * c.size / rest.size
+
+
+#: Codes are written with so many bits at most, though 15 can be read.
+LONGEST = 12
+#: Predictor modes that encode() tries.
+MODES = (1, 2, 12)
+TILE_BITS = 9
+
+
+def encode(pixels: np.ndarray, use: set[str] | None = None) -> bytes:
+    """(height, width) ARGB pixels to one RIFF file; use: gets the names of the tools used."""
     height, width = pixels.shape
-    c = _split(pixels.reshape(-1))
+    p, use = np.ascontiguousarray(pixels, np.uint32).reshape(-1), set() if use is None else use
     w = Writer()
     w.put(0x2F, 8), w.put(width - 1, 14), w.put(height - 1, 14), w.put(1, 1), w.put(0, 3)
-    if subtract_green:
-        w.put(1, 1), w.put(SUBTRACT_GREEN, 2)
-        c[:, 1] -= c[:, 2]
-        c[:, 3] -= c[:, 2]
-        c &= 0xFF
-    w.put(0, 1), w.put(0, 1), w.put(0, 1)
-    # 7 bits hold ASCII bytes, 8 all; a channel of zeros takes none
-    tops = c.max(0)
-    widths = tuple(0 if not tops[i] else 7 if tops[i] < 128 else 8 for i in (2, 1, 3, 0))
-    columns = [np.unpackbits(c[:, i].astype(np.uint8)[:, None], axis=1)[:, 8 - k :] for i, k in zip((2, 1, 3, 0), widths)]
-    body = np.hstack(columns).reshape(-1)
-    stream = np.packbits(np.concatenate([_bits_of(w), _codes_head(widths), body]), bitorder="little").tobytes()
+    wide = width
+    grey = ((p ^ p[0]) & np.uint32(0xFFFF00FF) == 0).all()
+    if grey:
+        byte = (p >> np.uint32(8)).astype(np.uint8)
+        counts = np.bincount(byte, minlength=256)
+        colours = p[0] & np.uint32(0xFFFF00FF) | np.flatnonzero(counts).astype(np.uint32) << np.uint32(8)
+    else:
+        colours = np.unique(p)
+    if len(colours) <= 16 or len(colours) <= 256 and not grey:
+        use.add("palette")
+        packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        w.put(1, 1), w.put(PALETTE, 2), w.put(len(colours) - 1, 8)
+        steps = np.diff(_split(colours), axis=0, prepend=0)
+        _put_image(w, _join(steps), len(colours))
+        index = np.searchsorted(colours, p).reshape(height, width)
+        wide = _block(width, packed)
+        index = np.pad(index, ((0, 0), (0, (wide << packed) - width))).reshape(height, wide, 1 << packed)
+        p = OPAQUE | (index << (np.arange(1 << packed) * (8 >> packed))).sum(-1).astype(np.uint32).reshape(-1) << np.uint32(8)
+    else:
+        best = _bits_of(counts) if grey else _entropy(p)
+        tiles = lambda bits: _block(width, bits) * _block(height, bits)
+        c = None if grey else _split(p)
+        if not grey:
+            less = c.copy()
+            less[:, 1] -= c[:, 2]
+            less[:, 3] -= c[:, 2]
+            # a common slope of red and blue by green
+            g = c[:, 2].astype(np.int8).astype(np.int64)
+            slope = lambda x: int(np.clip(round(32 * float((g * x).sum()) / max(1.0, float((g * g).sum()))), -128, 127))
+            g2r, g2b = (slope(c[:, i].astype(np.int8).astype(np.int64)) for i in (1, 3))
+            cross = c.copy()
+            cross[:, 1] -= g2r * g >> 5
+            cross[:, 3] -= g2b * g >> 5
+            green, crossed = _entropy(_join(less)), _entropy(_join(cross)) + 64
+            if min(green, crossed) < 0.97 * best:
+                best = min(green, crossed)
+                if green <= crossed:
+                    use.add("subtract green")
+                    w.put(1, 1), w.put(SUBTRACT_GREEN, 2)
+                    c = less & 0xFF
+                else:
+                    use.add("cross-colour")
+                    w.put(1, 1), w.put(CROSS_COLOUR, 2), w.put(TILE_BITS - 2, 3)
+                    _put_image(w, np.full(tiles(TILE_BITS), OPAQUE | (g2b & 255) << 8 | g2r & 255, np.uint32), _block(width, TILE_BITS))
+                    c = cross & 0xFF
+        # the rough cost of a mode, by whole bytes; edges are left out
+        flat = byte.reshape(height, width, 1) if grey else c.astype(np.uint8).reshape(height, width, 4)
+        tried = [(_rough(flat, mode), mode) for mode in MODES] if min(height, width) > 1 else []
+        if tried and min(tried)[0] < 0.97 * best:
+            use.add("predictor")
+            w.put(1, 1), w.put(PREDICTOR, 2), w.put(TILE_BITS - 2, 3)
+            _put_image(w, np.full(tiles(TILE_BITS), OPAQUE | min(tried)[1] << 8, np.uint32), _block(width, TILE_BITS))
+            c = residuals((_split(p) if grey else c).reshape(height, width, 4), min(tried)[1]).reshape(-1, 4)
+        p = p if c is None else _join(c)
+    w.put(0, 1)
+    body = _write_image(w, p, wide, True, use)
+    head = np.unpackbits(np.frombuffer(w.value.to_bytes((w.n + 7) // 8, "little"), np.uint8), bitorder="little")[: w.n]
+    stream = np.packbits(np.concatenate([head, body]), bitorder="little").tobytes()
     chunk = stream + b"\0" * (len(stream) % 2)
     return b"RIFF" + struct.pack("<I", 12 + len(chunk)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + chunk
 
@@ -510,17 +807,17 @@ def padded(data: bytes) -> bytes:
     return data + b"\0" * ((-len(data)) % 64 or (0 if data else 64))
 
 
-def store(payload: bytes) -> bytes:
+def store(payload: bytes, use: set[str] | None = None) -> bytes:
     """A payload of a positive multiple of 64 bytes as one or more RIFF files."""
-    p = np.frombuffer(payload, "<u4").reshape(-1, WIDTH)
-    return b"".join(encode(p[at : at + MAX_HEIGHT]) for at in range(0, len(p), MAX_HEIGHT))
+    p = OPAQUE | np.frombuffer(payload, np.uint8).reshape(-1, WIDTH).astype(np.uint32) << np.uint32(8)
+    return b"".join(encode(p[at : at + MAX_HEIGHT], use) for at in range(0, len(p), MAX_HEIGHT))
 
 
 def load(media: bytes) -> bytes:
     out, at = [], 0
     while at < len(media):
         size = 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
-        out.append(decode(media[at : at + size]).astype("<u4").tobytes())
+        out.append((decode(media[at : at + size]) >> np.uint32(8)).astype(np.uint8).tobytes())
         at += size
     return b"".join(out)
 
