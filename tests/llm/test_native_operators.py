@@ -69,11 +69,11 @@ def test_binomial_tail_is_exact(spark):
         assert r.p == pytest.approx(want, rel=1e-6, abs=1e-300)
 
 
-def test_cutoffs_limit_false_rejections(spark):
-    """Good texts have few symbols in one stratum and many in the other; only the first gets the rule."""
-    text = lambda i, s: " ".join(f"w{i}x{j}" for j in range(40)) + "".join(f" #{i}y{j}" for j in range(s))
-    rows = [(i, text(i, 0 if i % 2 or i % 50 == 0 else 30), "en" if i % 2 else "de") for i in range(4000)]
-    rows += [(10_000 + i, text(i, 30), "en") for i in range(5)]
+def test_steps_limit_false_rejections(spark):
+    """Good texts have few symbols in one stratum and many in the other; only the first gets the rules."""
+    text = lambda i, s: " ".join(f"w{i}x{j}" for j in range(70)) + "".join(f" #{i}y{j}" for j in range(s))
+    rows = [(i, text(i, 0 if i % 2 or i % 50 == 0 else 60), "en" if i % 2 else "de") for i in range(4000)]
+    rows += [(10_000 + i, text(i, 60), "en") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     marks = labels(spark, [(i, 1, 0) for i in range(4000)])
     out = quality_rules.judge(docs, marks)
@@ -83,6 +83,22 @@ def test_cutoffs_limit_false_rejections(spark):
     assert quality_rules.judge(docs, marks.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_rules_work_and_their_losses_are_bounded_on_rows_not_calibrated_on(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    marks = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string")) % 2
+    out = quality_rules.judge(docs.join(marks.select("doc_id"), "doc_id", "left_semi"), marks.where(half == 0))
+    held = out.join(marks, "doc_id").where(half == 1).where("not base_failed")
+    rates = held.groupBy("lang").agg(F.avg(F.when(F.col("quality") == 1, (~F.col("kept")).cast("int"))).alias("lost"), F.avg(F.when(F.col("quality") == 0, (~F.col("kept")).cast("int"))).alias("found")).collect()
+    calibrated = [r for r in rates if r.found]
+    assert all(r.lost <= quality_rules.ALPHA + 0.01 for r in rates) and len(calibrated) >= 3
+    assert all(r.found > 0.9 for r in calibrated)
+
+
+def test_rules_judge_beyond_the_base_rule(spark):
+    assert queries.queries()["op3_quality_rules"](spark, "/root/testdata/sf0.01").where("not kept and not base_failed").count() > 5
+
+
 def test_quality_odd_rows(spark):
     docs = odd_docs(spark)
     out = quality_rules.judge(docs, labels(spark))

@@ -1,13 +1,17 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule rejects a text whose feature lies beyond a cutoff. Labelled texts
-that pass the base rule calibrate: for every stratum, rule and cutoff of a
-fixed grid, the good texts that it would reject are counted, and the cutoff is
-valid if the exact binomial test rejects "the false rejection rate is alpha or
-more" at level delta divided by the number of tests (Bonferroni over strata,
-rules and cutoffs). Of the valid cutoffs the strictest is chosen; where none is
-valid the rule rejects nothing there. So with probability 1 - delta every rule
-rejects at most a share alpha of the good texts of every stratum at once.
+Each rule rejects a text whose feature lies beyond a cutoff. The rules, each from
+its laxest cutoff to its strictest, make one sequence of steps fixed beforehand,
+the surest signs of junk first; step s rejects whatever a step up to s rejects, so
+each text has one number, the first step at which it goes, and the rejected sets
+grow with s. Labelled texts that pass the base rule calibrate: for every stratum the
+good texts rejected at each step are counted, and the steps are tested in order
+while the exact binomial test rejects "the share of good texts lost by all rules
+together is alpha or more". Fixed-sequence testing needs no correction over the
+steps of a stratum; Bonferroni over the strata makes the level delta / strata.
+The last step passed is the verdict; where not even the first passes, the rules
+reject nothing. So with probability 1 - delta the rules together lose at most a
+share alpha of the good texts of every stratum at once.
 """
 
 from __future__ import annotations
@@ -19,20 +23,21 @@ from .common import cut
 
 #: Strata up to this many are sent to all executors.
 BROADCAST_STRATA = 10_000
-#: At most this share of a stratum's good texts may be lost by one rule ...
+#: At most this share of a stratum's good texts may be lost by all rules together ...
 ALPHA = 0.02
-#: ... with this probability of any rule doing so in any stratum.
+#: ... with this probability of losing more in any stratum.
 DELTA = 0.05
 WINDOW = 8
-#: (rule, feature as SQL, cutoffs from strict to lax): a text is rejected if the feature is larger.
+#: (rule, feature as SQL, cutoffs from lax to strict) in the order of the steps: a text is rejected if the feature is larger.
 RULES = (
-    ("symbols", "n_symbols / greatest(n_words, 1)", (0.05, 0.1, 0.2, 0.4, 0.8)),
-    ("duplicate_lines", "n_dup_lines / greatest(n_words, 1)", (0.005, 0.01, 0.02, 0.05, 0.1)),
-    ("repeated_words", "n_repeat_words / greatest(n_words, 1)", (0.02, 0.05, 0.1, 0.15, 0.2)),
-    ("long_words", "word_chars / greatest(n_words, 1)", (7.0, 8.0, 9.0, 10.0, 12.0)),
-    ("short_words", "-word_chars / greatest(n_words, 1)", (-4.0, -3.5, -3.0, -2.5, -2.0)),
-    ("few_words", "-n_words", (-60.0, -50.0, -40.0, -30.0, -25.0)),
+    ("symbols", "n_symbols / greatest(n_words, 1)", (0.8, 0.4, 0.2, 0.1, 0.05)),
+    ("long_words", "word_chars / greatest(n_words, 1)", (12.0, 10.0, 9.0, 8.0, 7.0)),
+    ("short_words", "-word_chars / greatest(n_words, 1)", (-2.0, -2.5, -3.0, -3.5, -4.0)),
+    ("duplicate_lines", "n_dup_lines / greatest(n_words, 1)", (0.1, 0.05, 0.02, 0.01, 0.005)),
+    ("repeated_words", "n_repeat_words / greatest(n_words, 1)", (0.2, 0.15, 0.1, 0.05, 0.02)),
+    ("few_words", "-n_words", (-25.0, -30.0, -40.0, -50.0, -60.0)),
 )
+STEPS = tuple((feature, cut) for _, feature, cuts in RULES for cut in cuts)
 
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -113,48 +118,56 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), top * (total["sum"] + F.when(rest > 0, total["term"] * ratio / (1 - ratio)).otherwise(0.0))))
 
 
-def choose_cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """stratum, rule, cutoff: the strictest valid cutoffs. scored: features with doc_id and the stratum."""
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    holdout = scored.where("not base_failed").join(good, "doc_id", "left_semi")
-    rejected = [F.count_if(F.expr(f"{feature} > {cut}")).alias(f"c{i}_{j}") for i, (_, feature, cuts) in enumerate(RULES) for j, cut in enumerate(cuts)]
-    counts = holdout.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).cast("double").alias("n"), *rejected)
-    tests = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(i).alias("ord"), F.lit(float(cut)).alias("cutoff"), F.col(f"c{i}_{j}").cast("double").alias("k")) for i, (name, _, cuts) in enumerate(RULES) for j, cut in enumerate(cuts))))
-    counts = counts.crossJoin(F.broadcast(counts.agg(F.count(F.lit(1)).alias("strata")))).select("stratum", "n", "strata", tests.alias("t")).select("stratum", "n", "strata", "t.*")
-    level = DELTA / (F.col("strata") * sum(len(cuts) for *_, cuts in RULES))
-    valid = counts.where(binomial_cdf(F.col("k"), F.col("n"), ALPHA) <= level)
-    return valid.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+def first_step() -> Column:
+    """The first step at which a measured text goes; one more than there are for a text that none rejects."""
+    return F.expr("case " + " ".join(f"when {feature} > {cut} then {i}" for i, (feature, cut) in enumerate(STEPS, 1)) + f" else {len(STEPS) + 1} end")
 
 
-def learn_cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(features of docs by doc_id and stratum, a row of cutoffs for each stratum), both written once."""
-    measured = cut(features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum, "text")).drop("text"))
-    found = choose_cutoffs(measured, labels, stratum).groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"__cut_{name}") for name, *_ in RULES))
-    found = cut(found.withColumnRenamed("stratum", "__stratum"))
-    return measured, F.broadcast(found) if found.count() <= BROADCAST_STRATA else found
+def labelled_good(labels: DataFrame) -> DataFrame:
+    """doc_id of the rows that all their labels call good."""
+    return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+
+
+def choose_steps(good: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """__stratum, __step: the last step passed in each stratum; good: features of the good holdout with the stratum."""
+    holdout = good.where("not base_failed").where(F.col(stratum).isNotNull()).withColumn("__first", first_step())
+    lost = F.array(*(F.count_if(F.col("__first") <= i).cast("double") for i in range(1, len(STEPS) + 1)))
+    counts = holdout.groupBy(F.col(stratum).alias("__stratum")).agg(F.count(F.lit(1)).cast("double").alias("n"), lost.alias("lost"))
+    counts = counts.crossJoin(F.broadcast(counts.agg(F.count(F.lit(1)).alias("strata"))))  # one row
+    steps = counts.select("__stratum", "n", "strata", F.posexplode("lost").alias("at", "k"))
+    # the tail grows with k and k with the step, so the last step that passes has only passes before it
+    passed = steps.where(binomial_cdf(F.col("k"), F.col("n"), alpha) <= F.lit(delta) / F.col("strata"))
+    return passed.groupBy("__stratum").agg(F.max(F.col("at") + 1).alias("__step"))
 
 
-def apply_cutoffs(scored: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
-    joined = scored.join(cutoffs, F.col(stratum) == F.col("__stratum"), "left")
-    kept = ~F.col("base_failed")
-    for name, feature, _ in RULES:
-        kept = kept & F.coalesce(F.expr(f"{feature} <= __cut_{name}"), F.lit(True))
-    return joined.withColumn("kept", kept).drop("__stratum", *(f"__cut_{name}" for name, *_ in RULES))
+def _bounded(steps: DataFrame) -> DataFrame:
+    steps = cut(steps)
+    return F.broadcast(steps) if steps.count() <= BROADCAST_STRATA else steps
+
+
+def apply_steps(scored: DataFrame, steps: DataFrame, stratum: str = "lang") -> DataFrame:
+    joined = scored.join(steps, F.col(stratum) == F.col("__stratum"), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & (first_step() > F.coalesce("__step", F.lit(0)))).drop("__stratum", "__step")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """doc_id, the stratum, the features, base_failed and kept; a row for each input row.
 
     Null texts have no words and fail the base rule; null or unlabelled strata
-    have no cutoffs of their own, so only the base rule judges them. Labels
+    have no steps of their own, so only the base rule judges them. Labels
     without a text, and null labels, are ignored; a doc_id labelled twice counts
-    as good only if both labels say so. Repeated rows stay.
+    as good only if both labels say so. Repeated rows stay, equal features get
+    equal verdicts, very long texts are measured whole, and an empty table gives
+    no rows.
     """
-    return apply_cutoffs(*learn_cutoffs(docs, labels, stratum), stratum)
+    measured = cut(features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum, "text")).drop("text"))
+    return apply_steps(measured, _bounded(choose_steps(measured.join(labelled_good(labels), "doc_id", "left_semi"), stratum)), stratum)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
-    _, cutoffs = learn_cutoffs(docs, labels, stratum)
+    # only labelled rows calibrate, so only they are measured for it
+    good = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum, "text").join(labelled_good(labels), "doc_id", "left_semi")
+    steps = _bounded(choose_steps(features(good), stratum))
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(stratum).alias(stratum), F.col("text").alias("text"))
-    return apply_cutoffs(features(rows), cutoffs, stratum).where("kept").select("__row.*")
+    return apply_steps(features(rows), steps, stratum).where("kept").select("__row.*")

@@ -26,15 +26,15 @@ _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D
 
 _ALPHA, _DELTA = "2e-2", "5e-2"
 _RULES = (
-    ("symbols", "n_symbols / greatest(n_words, 1)", (0.05, 0.1, 0.2, 0.4, 0.8)),
-    ("duplicate_lines", "n_dup_lines / greatest(n_words, 1)", (0.005, 0.01, 0.02, 0.05, 0.1)),
-    ("repeated_words", "n_repeat_words / greatest(n_words, 1)", (0.02, 0.05, 0.1, 0.15, 0.2)),
-    ("long_words", "word_chars / greatest(n_words, 1)", (7.0, 8.0, 9.0, 10.0, 12.0)),
-    ("short_words", "-word_chars / greatest(n_words, 1)", (-4.0, -3.5, -3.0, -2.5, -2.0)),
-    ("few_words", "-n_words", (-60.0, -50.0, -40.0, -30.0, -25.0)),
+    ("n_symbols / greatest(n_words, 1)", (0.8, 0.4, 0.2, 0.1, 0.05)),
+    ("word_chars / greatest(n_words, 1)", (12.0, 10.0, 9.0, 8.0, 7.0)),
+    ("-word_chars / greatest(n_words, 1)", (-2.0, -2.5, -3.0, -3.5, -4.0)),
+    ("n_dup_lines / greatest(n_words, 1)", (0.1, 0.05, 0.02, 0.01, 0.005)),
+    ("n_repeat_words / greatest(n_words, 1)", (0.2, 0.15, 0.1, 0.05, 0.02)),
+    ("-n_words", (-25.0, -30.0, -40.0, -50.0, -60.0)),
 )
-_TESTS = "\n  union all ".join(f"select doc_id, lang, '{name}' as rule, {cut}::double as cutoff, ({feature})::double > {cut}::double as rejects from good" for name, feature, cuts in _RULES for cut in cuts)
-_KEEP = " and ".join(f"({feature})::double <= coalesce((select min(cutoff) from valid v where v.lang = f.lang and v.rule = '{name}'), 'infinity'::double)" for name, feature, _ in _RULES)
+_CUTS = [(feature, cut) for feature, cuts in _RULES for cut in cuts]
+_FIRST = "least(" + ", ".join(f"case when ({feature})::double > {cut}::double then {i} else {len(_CUTS) + 1} end" for i, (feature, cut) in enumerate(_CUTS, 1)) + ")"
 # Windows are compared as text, and the binomial tail is summed term by term with log-gamma.
 OP3 = rf"""
 with w as (
@@ -57,16 +57,17 @@ with w as (
 ), good as (
   select b.* from b semi join (select doc_id from labels group by doc_id having min(quality) = 1) using (doc_id) where not base_failed
 ), tests as (
-  {_TESTS}
+  select lang, {_FIRST} as first from good where lang is not null
 ), counts as (
-  select lang, rule, cutoff, count(*)::double as n, count(*) filter (rejects)::double as k from tests where lang is not null group by all
+  select lang, step, count(*)::double as n, count(*) filter (first <= step)::double as k from tests, range(1, {len(_CUTS) + 1}) as t(step) group by all
 ), tails as (
-  select lang, rule, cutoff, n, k, case when k >= n * {_ALPHA} then 1e0 else (
+  select lang, step, case when k >= n * {_ALPHA} then 1e0 else (
     select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_ALPHA}) + (n - i) * ln(1e0 - {_ALPHA}))) from range(k::bigint + 1) as t(i)) end as tail from counts
-), valid as (
-  select lang, rule, cutoff from tails where tail <= {_DELTA} / ((select count(distinct lang) from counts) * {sum(len(c) for *_, c in _RULES)})
+), passed as (
+  select lang, max(step) as step from tails where tail <= {_DELTA} / (select count(distinct lang) from counts) group by lang
 )
-select doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_KEEP} as kept from b f
+select doc_id, f.lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_FIRST} > coalesce(passed.step, 0) as kept
+from b f left join passed on passed.lang = f.lang
 """
 
 OP6 = r"""
