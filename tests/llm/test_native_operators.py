@@ -192,6 +192,46 @@ def test_diagonals_survive_small_edits(spark):
     assert out[0].score == 1.0 and license_scan.COVER <= out[1].score < 1 and out[2].score == 0
 
 
+def plain_spans(text):
+    """(label, cover) of every verified run, by loops over places, diagonals and windows."""
+    k, w, out = license_scan.K, [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if x], []
+    for label, notice in license_scan.TEMPLATES:
+        t = notice.split()
+        hits = sorted(((p - a, p, a) for p in range(len(w) - k + 1) for a in range(len(t) - k + 1) if w[p : p + k] == t[a : a + k]))
+        runs = []
+        for h in hits:
+            if not runs or h[0] - runs[-1][-1][0] > license_scan.DRIFT:
+                runs.append([])
+            runs[-1].append(h)
+        for run in runs:
+            best = max(len({a for _, p, a in run if start <= p and p + k <= start + license_scan.STRETCH * len(t)}) for _, start, _ in run) / (len(t) - k + 1)
+            if best >= license_scan.COVER:
+                out.append((label, round(best, 9)))
+    return sorted(out)
+
+
+def test_spans_against_plain_diagonals(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            w = rng.choice(license_scan.TEMPLATES)[1].split()
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(w))
+                w[i : i + 1] = rng.choice([[], ["odd", w[i]], w[i : i + 3] * rng.randrange(1, 15)])
+            parts += [*w, *["filler"] * rng.randrange(5)]
+        texts.append(" ".join(parts))
+    isc = next(t for label, t in license_scan.TEMPLATES if label == "isc")
+    texts.append(isc.replace("or without fee", "or without fee " * 13))
+    got = license_scan.spans(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string")).collect()
+    found = {i: [] for i in range(len(texts))}
+    for r in got:
+        found[int(r.key)].append((r.label, round(r.cover, 9)))
+    assert {i: sorted(x) for i, x in found.items()} == {i: plain_spans(t) for i, t in enumerate(texts)}
+    assert "isc" in dict(found[len(texts) - 1])
+
+
 def test_licenses_odd_rows(spark):
     docs = odd_docs(spark)
     assert license_scan.scan_licenses(docs).count() == docs.count() and license_scan.scan_licenses(no_docs(spark)).count() == 0

@@ -5,7 +5,9 @@ k-grams of the license templates. Each hit votes for the diagonal (its place in
 the text less its place in the template); votes are summed, neighbouring
 diagonals of one stretch of text merged, so that small insertions do not split
 a notice, and a span is verified if it holds enough of the template's k-grams
-within a span of about its length.
+within a span of about its length. Of a merged run the best such window counts, and
+each of the template's k-grams once, so that a phrase repeated inside a notice
+neither stretches it nor makes up for what is missing.
 
 Base labels come from phrases whose words stand consecutively.
 """
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality_rules import let
+from .url_filter import lower_ascii
 
 K = 3
 #: A span is verified with this share of the template's k-grams ...
@@ -44,7 +47,7 @@ TEMPLATES = (
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
+    return F.array_remove(F.split(lower_ascii(text), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -82,14 +85,20 @@ def spans(keyed: DataFrame) -> DataFrame:
     templates = F.broadcast(_template_grams(keyed.sparkSession))  # a constant of this module
     grams = keyed.select("key", F.posexplode(let(_words(F.col("text")), _grams)).alias("place", "gram"))
     hits = grams.join(templates, "gram").select("key", "template", "label", "n", "total", "place", "at").distinct()
-    votes = hits.groupBy("key", "template", "label", "n", "total", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+    hits = hits.withColumn("diagonal", F.col("place") - F.col("at"))
     by = Window.partitionBy("key", "template").orderBy("diagonal")
-    fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT).cast("int"), F.lit(1))
-    merged = votes.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by))
-    stretches = merged.groupBy("key", "template", "label", "n", "total", "run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    length = F.col("hi") - F.col("lo") + K
-    cover = F.least(F.lit(1.0), F.col("votes") / F.col("total"))
-    return stretches.where((cover >= COVER) & (length <= STRETCH * F.col("n"))).select("key", "template", "label", F.col("lo").alias("start"), length.alias("length"), cover.alias("cover"))
+    hits = hits.withColumn("run", F.sum(F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT).cast("int"), F.lit(1))).over(by))
+    merged = Window.partitionBy("key", "template", "run")
+    hits = hits.withColumn("votes", F.count(F.lit(1)).over(merged)).where(F.col("votes") >= COVER * F.col("total"))
+    # the best window of a run: from each hit on, the template's places within the allowed length; no more than the longest template's
+    ahead = F.collect_set(F.struct("place", "at")).over(merged.orderBy("place").rangeBetween(0, int(STRETCH * max(len(text.split()) for _, text in TEMPLATES))))
+    inside = F.filter(ahead, lambda h: h["place"] + K <= F.col("place") + STRETCH * F.col("n"))
+    found = hits.withColumn("inside", inside)
+    cover = F.size(F.array_distinct(F.transform("inside", lambda h: h["at"]))) / F.col("total")
+    length = F.array_max(F.transform("inside", lambda h: h["place"])) - F.col("place") + K
+    found = found.select("key", "template", "label", "run", "place", length.alias("length"), cover.alias("cover")).where(F.col("cover") >= COVER)
+    best = found.groupBy("key", "template", "label", "run").agg(F.max(F.struct("cover", -F.col("length"), -F.col("place"))).alias("b"))
+    return best.select("key", "template", "label", (-F.col("b.col3")).alias("start"), (-F.col("b.col2")).alias("length"), F.col("b.cover").alias("cover"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -97,7 +106,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     score: 1 if a base phrase stands in the text, else the largest cover of a
     verified span, else 0. Null texts count as empty: no words, no labels.
-    Repeated rows stay, with equal results.
+    Repeated rows stay, with equal results; very long texts are scanned whole; an
+    empty table gives no rows. Of equal windows the shortest, then the first counts.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
