@@ -148,6 +148,17 @@ def test_raking_meets_the_marginals(spark):
         assert r.x == pytest.approx(share, abs=1e-9) and r.m <= 1
 
 
+def test_many_cells_are_raked_alike(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"s{i % 7}", "en de fr es".split()[i % 4], "abc"[rng.randrange(3)], rng.randrange(1, 500)) for i in range(80)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    few = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells).collect()}
+    monkeypatch.setattr(mixing, "SMALL_CELLS", 0)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-5)
+    many = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells).collect()}
+    assert many == pytest.approx(few, rel=1e-2, abs=1e-5) and mixing.rake(cells.limit(0)).count() == 0
+
+
 def test_mixture_draws_what_it_should(spark):
     rows = [(i, "some words of a text " * (1 + i % 7), ("de", "en")[i % 2], f"s{i % 3}") for i in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

@@ -4,7 +4,7 @@ Tokens are summed by cell (source, language, topic). The cells' weights are
 raked in turn until their three marginals meet the targets; a document's
 probability is in proportion to its cell's weight per token, at most 1, and
 scaled so that the expected tokens meet the budget. DataFrame functions only:
-rounds of window sums over the cells.
+sums over the cells by marginal, and joins.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
-#: Up to this many cells are raked in one partition and sent to all executors (100 bytes each); more are shuffled.
+#: Up to this many cells are raked in one partition and sent to all executors (100 bytes each); more are summed and joined by shuffles.
 SMALL_CELLS = 50_000
 ROUNDS, PASSES, TOLERANCE = 6, 20, 1e-10
 #: Target shares of languages before they are scaled to those that occur; others get OTHER.
@@ -43,50 +43,87 @@ def chance(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long") / float(2**48)
 
 
+def _targets(cells: DataFrame, c: str) -> DataFrame:
+    """(value, to): the share that each value of a marginal should have; a row for each value."""
+    sums = cells.groupBy(c).agg(F.sum("tokens").cast("double").alias("tokens"))
+    power = {"source": SOURCE_POWER, "topic": TOPIC_POWER}.get(c)
+    raw = F.pow("tokens", F.lit(power)) if power else F.coalesce(*(F.when(F.col(c) == k, v) for k, v in LANGUAGES.items()), F.lit(OTHER))
+    sums = cut(sums.select(c, raw.alias("raw")))
+    return sums.select(c, (F.col("raw") / F.lit(sums.agg(F.sum("raw")).first()[0])).alias(f"__to_{c}"))
+
+
 def rake(cells: DataFrame) -> DataFrame:
     """cells (source, lang, topic, tokens) plus weight, which sums to 1 and meets the three marginals.
 
     Targets that the cells cannot meet together are met as nearly as raking can in the rounds it has.
+    Up to SMALL_CELLS cells are one partition with window sums; of more, every turn sums one marginal by groupBy.
     """
-    whole = Window.partitionBy(F.lit(0))
     cells = cells.where("tokens > 0")
     n = cells.count()
-    cells = cells.coalesce(1) if n <= SMALL_CELLS else cells
-    wanted = {
-        "source": lambda c: F.pow(F.sum("tokens").over(Window.partitionBy(c)).cast("double"), F.lit(SOURCE_POWER)),
-        "topic": lambda c: F.pow(F.sum("tokens").over(Window.partitionBy(c)).cast("double"), F.lit(TOPIC_POWER)),
-        "lang": lambda c: F.coalesce(*(F.when(F.col(c) == k, v) for k, v in LANGUAGES.items()), F.lit(OTHER)),
-    }
+    if not n:
+        return cells.select(*CELL, "tokens", F.lit(0.0).alias("weight"))
+    total = cells.agg(F.sum("tokens")).first()[0]
+    targets = {c: _targets(cells, c) for c in CELL}
+    return (_rake_small if n <= SMALL_CELLS else _rake_wide)(cells, total, targets).select(*CELL, "tokens", "weight")
+
+
+def _rake_small(cells: DataFrame, total: int, targets: dict[str, DataFrame]) -> DataFrame:
     for c in CELL:
-        cells = cells.withColumn(f"__raw_{c}", wanted[c](c))
-        # a marginal's total counts each of its values once
-        first = F.row_number().over(Window.partitionBy(c).orderBy(*CELL)) == 1
-        cells = cells.withColumn("__one", F.when(first, F.col(f"__raw_{c}")).otherwise(0.0)).withColumn(f"__to_{c}", F.col(f"__raw_{c}") / F.sum("__one").over(whole)).drop("__raw_" + c, "__one")
-    cells = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(whole))
+        cells = cells.join(targets[c], c)
+    cells = cut(cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))).coalesce(1)
     for _ in range(PASSES):
         for _ in range(ROUNDS):
             for c in CELL:
                 cells = cells.withColumn("weight", F.col("weight") * F.col(f"__to_{c}") / F.sum("weight").over(Window.partitionBy(c)))
         errors = [F.abs(F.sum("weight").over(Window.partitionBy(c)) - F.col(f"__to_{c}")).alias(f"e{c}") for c in CELL]
-        cells = cut(cells)
-        cells = cells.coalesce(1) if n <= SMALL_CELLS else cells
+        cells = cut(cells).coalesce(1)
         if (cells.select(F.greatest(*errors).alias("e")).agg(F.max("e")).first()[0] or 0) < TOLERANCE:
             break
-    return cells.select(*CELL, "tokens", "weight")
+    return cells
+
+
+def _rake_wide(cells: DataFrame, total: int, targets: dict[str, DataFrame]) -> DataFrame:
+    """A cell's weight is its tokens' share times a factor for each marginal; a turn sets the factors of one."""
+    factor = {c: targets[c].select(c, F.lit(1.0).alias(f"__by_{c}")) for c in CELL}
+
+    def weighted() -> DataFrame:
+        out = cells
+        for c in CELL:
+            out = out.join(factor[c], c)
+        by = F.lit(1.0)
+        for c in CELL:
+            by = by * F.col(f"__by_{c}")
+        return out.withColumn("weight", F.col("tokens") / F.lit(float(total)) * by)
+
+    for _ in range(PASSES * ROUNDS):
+        error = 0.0
+        for c in CELL:
+            sums = cut(weighted().groupBy(c, f"__by_{c}").agg(F.sum("weight").alias("sum")).join(targets[c], c))
+            error = max(error, sums.agg(F.max(F.abs(F.col("sum") - F.col(f"__to_{c}")))).first()[0])
+            drop(factor[c])
+            factor[c] = sums
+            factor[c] = cut(sums.select(c, (F.col(f"__by_{c}") * F.col(f"__to_{c}") / F.col("sum")).alias(f"__by_{c}")))
+            drop(sums)
+        if error < TOLERANCE:
+            break
+    return cut(weighted())
 
 
 def probabilities(raked: DataFrame, share: float) -> DataFrame:
-    """raked plus prob: min(1, c * weight / tokens), with c such that the expected tokens are `share` of all."""
-    whole = Window.partitionBy(F.lit(0))
-    order = whole.orderBy(F.desc("per"), *CELL)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    """raked plus prob: min(1, c * weight / tokens), with c such that the expected tokens are `share` of all.
+
+    c only grows while cells reach 1 and leave their surplus to the others, so the turns end.
+    """
     cells = raked.withColumn("per", F.col("weight") / F.col("tokens"))
-    cells = cells.withColumn("budget", F.sum("tokens").over(whole) * share)
-    cells = cells.withColumn("used", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("left", F.greatest(F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)), F.lit(1e-300)))
-    # with the cells before this one at 1, what scale do the rest need?
-    cells = cells.withColumn("scale", (F.col("budget") - F.col("used")) / F.col("left")).withColumn("place", F.row_number().over(order))
-    cells = cells.withColumn("best", F.min(F.when(F.col("scale") * F.col("per") <= 1, F.struct("place", "scale"))).over(whole))
-    prob = F.when(F.col("best").isNull() | (F.col("place") < F.col("best.place")), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("best.scale") * F.col("per"))))
+    scale, full = 0.0, -1
+    while True:
+        at_one = F.lit(scale) * F.col("per") > 1
+        r = cells.agg(F.sum("tokens").alias("all"), F.sum(F.when(at_one, F.col("tokens"))).alias("used"), F.sum(F.when(~at_one, F.col("weight"))).alias("left"), F.count_if(at_one).alias("full")).first()
+        if r["all"] is None or r.full == full:
+            break
+        full = r.full
+        scale = max(scale, (r["all"] * share - (r.used or 0)) / max(r.left or 0.0, 1e-300))
+    prob = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(scale) * F.col("per")))
     return cells.select(*CELL, "per", prob.alias("prob"))
 
 
@@ -96,7 +133,8 @@ def mix(docs: DataFrame, share: float = 0.5) -> DataFrame:
     weight is the share of the mixture that the document should make up, prob
     its chance, kept the draw, which depends on doc_id alone. Null sources and
     languages are cells of their own; texts without tokens, or null, have weight
-    0 and are not kept. Columns of docs with the outputs' names are replaced.
+    0 and are not kept. Columns of docs with the outputs' names are replaced. Rows of
+    one doc_id share a draw; very long texts are counted whole; an empty table gives no rows.
     """
     docs = docs.drop("topic", "n_tokens", "weight", "prob", "kept")
     rows = docs.withColumn("n_tokens", tokens(F.col("text")))
