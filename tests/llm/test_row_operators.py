@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import json
 import random
 import re
@@ -457,6 +458,79 @@ def test_lexicon_keeps_every_word_of_evidence(spark):
     assert set(toxicity.learn_lexicon(sample, 30, 30)) == {f"bad{j}x" for j in range(600)}
 
 
+def plain_toxicity(rows, marks):
+    """{doc_id: score} by word counts, edit distances to every entry and gradient descent on the loss."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    text, y = dict(rows), {i: t for i, _, t in marks if not held(i)}
+    word = lambda t: re.sub(r"^\W+|\W+$", "", t).lower()
+    own = {i: {w for x in text[i].split() if (w := word(x))} for i in y}
+    pos = sum(y.values())
+    neg, base, n = len(y) - pos, pos / len(y), {}
+    for i, ws in own.items():
+        for w in ws:
+            a, b = n.get(w, (0, 0))
+            n[w] = (a + y[i], b + 1 - y[i])
+    strange = {}
+    for w, (a, b) in n.items():
+        if a + b >= 3:
+            kl = sum(k * math.log(k / (a + b) / q) for k, q in ((a, base), (b, 1 - base)) if k)
+            strange[w] = kl if a / (a + b) > base else 0.0
+    level = next((s / 4 for s in range(1, 401) if len(strange) * math.exp(-s / 4) <= 0.05 * sum(v >= s / 4 for v in strange.values())), None)
+    lexicon = {w: math.log((n[w][0] + 0.5) / (pos + 1)) - math.log((n[w][1] + 0.5) / (neg + 1)) for w, v in strange.items() if level and v >= level}
+
+    def hit(token):
+        w = word(token)
+        near = [(d, -lexicon[x], x) for x in lexicon if w and (d := distance(w, x)) <= 1]
+        d, _, x = min(near, default=(9, 0, ""))
+        return None if d > 1 or d and min(len(w), len(x)) < 5 else (x, d)
+
+    def measured(t):
+        tokens = t.split()
+        hits = [(i, h) for i, x in enumerate(tokens) if (h := hit(x))]
+        if not hits:
+            return [0.0] * 9
+        weights = [lexicon[w] * (1 - 0.3 * d) for _, (w, d) in hits]
+        quoted = abuse = 0.0
+        for (i, _), v in zip(hits, weights):
+            near = tokens[max(0, i - 6) : i + 7]
+            marked = lambda x: x[0] in toxicity.QUOTES or x[-1] in toxicity.QUOTES
+            signs = (marked(tokens[i]) or sum(map(marked, near)) > 1) + sum(word(x) in toxicity.REPORTING for x in near)
+            quoted += v * signs / (1 + signs)
+            abuse += v / (1 + signs) * (1.25 if any(word(x) in toxicity.ADDRESS for x in near) else 1)
+        loud = sum(tokens[i].isupper() or "!" in tokens[i] for i, _ in hits)
+        l = math.log1p  # noqa: E741
+        return [1.0, l(abuse), l(quoted), l(sum(d > 0 for _, (_, d) in hits)), l(loud), max(weights), l(len({w for _, (w, _) in hits})), l(100 * len(hits) / len(tokens)), l(sum(weights))]
+
+    x = np.array([measured(text[i]) + [1.0] for i in y])
+    t, w, pull = np.array(list(y.values()), float), np.zeros(10), np.array([1.0] * 9 + [1e-6])
+    step = 1 / (np.linalg.norm(x, 2) ** 2 / 4 + 1)
+    speed, last = w, w
+    for k in range(60_000):  # accelerated descent
+        p = 1 / (1 + np.exp(-x @ speed))
+        w = speed - step * (x.T @ (p - t) + pull * speed)
+        speed, last = w + (k / (k + 3)) * (w - last), w
+    return {i: 1 / (1 + math.exp(-float(np.dot(measured(s) + [1.0], w)))) for i, s in rows}
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(11)
+    plain, bad = [f"word{i}" for i in range(80)], ["moronic", "worthless", "scum", "achlich", "réeux"]
+    rows, marks = [], []
+    for i in range(300):
+        t = rng.choices(plain, k=rng.randrange(5, 40))
+        toxic = int(i % 3 == 0)
+        if toxic or i % 10 == 1:
+            w = rng.choice(bad)
+            w = rng.choice([w, w.upper() + "!", w[:-1], f'"{w}"'])
+            t.insert(rng.randrange(len(t)), rng.choice([w, f"you {w}", f"he said {w}"] if toxic else [f'he wrote "{w}"']))
+        rows.append((i, " ".join(t)))
+        marks.append((i, 1, toxic))
+    out = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    want = plain_toxicity(rows, marks)
+    got = {r.doc_id: r.score for r in out.collect()}
+    assert max(want.values()) > 0.9 and got == pytest.approx(want, abs=2e-4)
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(5)
     plain = [f"word{i}" for i in range(60)]

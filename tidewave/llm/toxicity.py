@@ -1,7 +1,7 @@
 """Toxicity by a learnt lexicon, a Levenshtein automaton over its trie, and context windows.
 
-Words that labelled toxic texts use far more often than clean ones make a
-lexicon. Its trie is intersected with the Levenshtein automaton of distance 1;
+Words that labelled toxic texts use more often than chance allows, with a
+correction for the number of words tried, make a lexicon. Its trie is intersected with the Levenshtein automaton of distance 1;
 the product is made deterministic state by state, as words ask for it, so most
 words die after a few characters. Each hit is weighed by its window: quotation
 marks and words of reporting speak for quotation, address and shouting for
@@ -17,14 +17,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: The classifier is fitted on at most so many labelled rows, those of smallest hash.
 MAX_LABELLED = 20_000
 #: Words shorter than this must match exactly.
 FUZZY_FROM = 5
 WINDOW = 6
-#: Cue words of a context window.
-REPORTING = frozenset("said says wrote writes called quoted quote quotes word term phrase means meaning definition allegedly".split())
-ADDRESS = frozenset("you your youre u are is such total utter absolute complete".split())
+#: The expected share of the lexicon that chance put there.
+LEXICON_ERROR = 0.05
+#: Words of fewer labelled texts are not tried.
+LEAST_TEXTS = 3
+# Cue words of a context window, in English, German, Spanish and French.
+REPORTING = frozenset(
+    "said says wrote writes called quoted quote quotes word term phrase means meaning definition allegedly "
+    "sagte sagt schrieb schreibt nannte zitierte zitat wort begriff ausdruck bedeutet bedeutung angeblich "
+    "dijo dice escribió escribe llamó citó cita palabra término frase significa significado supuestamente "
+    "dit disait écrit écrivait appelé cité citation mot terme expression signifie sens prétendument".split()
+)
+ADDRESS = frozenset(
+    "you your youre u are is such total utter absolute complete "
+    "du dich dir dein deine bist ihr euch so totaler völliger "
+    "tú tu te eres usted ustedes vosotros tan total completo "
+    "tu toi ton ta es vous votre êtes tellement complet".split()
+)
 QUOTES = "\"'“”‘’«»„`"
 FEATURES = 9
 
@@ -132,27 +148,40 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & (fold != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    return docs.join(F.broadcast(known), "doc_id").select("text", "toxic")
+    # a doc_id that stands in several rows counts once
+    return docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _word_rows(batches):
     for batch in batches:
         words, toxic = [], []
         for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = {w for x in set((t or "").split()) if 2 < len(w := plain(x)) < 30}
+            own = {w for x in set((t or "").split()) if (w := plain(x))}
             words += own
             toxic += [y] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], ["word", "toxic"])
 
 
 def learn_lexicon(sample: DataFrame, pos: int, neg: int) -> dict[str, float]:
-    """All words with a large smoothed log ratio between toxic and clean labelled texts; the sample bounds their number."""
+    """The words that toxic labelled texts use more often than chance allows; the sample bounds their number.
+
+    If a word fell on texts by chance, a or more of its a + b texts would be toxic with
+    probability exp(-(a + b) KL(a / (a + b), pos / (pos + neg))) at most (Chernoff). The
+    largest bound is taken at which the words tried would give LEXICON_ERROR of those
+    found by chance (Benjamini and Hochberg's rule on a grid of exponents).
+    """
     counts = sample.mapInArrow(_word_rows, "word string, toxic int").groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
+    n, base = F.col("a") + F.col("b"), pos / (pos + neg)
+    clean = F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / n / (1 - base))).otherwise(0.0)
+    strange = F.when(F.col("a") / n > base, F.col("a") * F.log(F.col("a") / n / base) + clean).otherwise(0.0)
     weight = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 0.5) / (neg + 1))
-    # a word is evidence if it is frequent enough and its ratio stays large less two standard errors
-    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = counts.where("a >= 3").withColumn("w", weight).where((F.col("w") - 2 * error > 0.3) & (F.col("w") > 1.2))
-    return {r.word: r.w for r in best.orderBy(F.desc(F.col("w") * F.sqrt("a")), "word").collect()}
+    words = cut(counts.where(n >= LEAST_TEXTS).select("word", weight.alias("w"), strange.alias("strange")))
+    steps = {r.step: r["count"] for r in words.groupBy(F.least(F.floor(F.col("strange") * 4), F.lit(400)).cast("int").alias("step")).count().collect()}
+    tried = sum(steps.values())
+    passed = [step for step in range(1, 401) if tried * math.exp(-step / 4) <= LEXICON_ERROR * sum(c for s, c in steps.items() if s >= step)]
+    if not passed:
+        return {}
+    return {r.word: r.w for r in words.where(F.col("strange") >= passed[0] / 4).orderBy("word").collect()}
 
 
 def _feature_rows(words: dict[str, float]):
@@ -209,7 +238,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Only text is scored; labels (doc_id, toxic, ...) of the rows whose
     crc32(doc_id as text) mod 5 is 0 are never used. Null texts count as empty;
-    repeated rows stay; null ids are not held out; repeated labels count once.
+    repeated rows stay and equal texts have equal scores; null ids are not held out;
+    repeated labels count once; very long texts are scored whole; an empty table
+    gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.mapInArrow(_score(*learn(docs, labels)), "doc_id long, score double, abuse_margin double")
