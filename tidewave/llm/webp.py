@@ -298,12 +298,20 @@ def _one_channel(bits: Bits, group: list[Prefix], width: int, total: int) -> np.
     words = _words(data, np.uint64)
     if len(far):
         follow[far] = _references(words, follow[far].astype(np.int64), (seen[far] >> 4).astype(np.int64) - 256, distance)[2]
-    jump, chain, at = memoryview(follow), [], start
+    # the chain is followed eight tokens at a time, and filled in after
+    np.minimum(follow, n, out=follow)
+    follow = np.append(follow, np.int32(n))
+    two = follow[follow]
+    four = two[two]
+    jump, chain, at = memoryview(four[four]), [], start
     add = chain.append
     while at < n:
         add(at)
         at = jump[at]
-    chain = np.array(chain, np.int64)
+    chain = np.array(chain, np.int32)
+    chain = np.stack([chain, follow[chain], two[chain], follow[two[chain]]], 1)
+    chain = np.concatenate([chain, four[chain]], 1).reshape(-1).astype(np.int64)
+    chain = chain[: int(np.searchsorted(chain, n))]
     symbol = (seen[chain] >> 4).astype(np.int64)
     ref = np.flatnonzero(symbol > 255)
     pixels = np.ones(len(chain), np.int64)
@@ -648,9 +656,7 @@ def _write_image(w: Writer, p: np.ndarray, width: int, main: bool, use: set[str]
         first[hit] = 280 + slot[place][hit]
     len_symbol, len_extra, len_bits = _value_code(length)
     first[ref] = 256 + len_symbol
-    near: dict[int, int] = {}
-    for code, d in enumerate(_near(width), 1):
-        near.setdefault(d, code)
+    near = _short_codes(width)
     code = np.array([near.get(d, d + 120) for d in back.tolist()], np.int64)
     dist_symbol, dist_extra, dist_bits = _value_code(code)
     w.put(1, 1) if cache_bits else w.put(0, 1)
@@ -680,17 +686,13 @@ def _write_image(w: Writer, p: np.ndarray, width: int, main: bool, use: set[str]
     add(ref, dist_extra, dist_bits)
     size = size.astype(np.int64)
     begin = np.cumsum(size) - size
-    # each token's bits, by bytes: a token ends 71 bits after its first byte at most
-    total = int(size.sum())
-    out = np.zeros(total // 8 + 10, np.uint8)
-    shift, byte = (begin & 7).astype(np.uint64), begin >> 3
-    low, high = value << shift, value >> (np.uint64(63) - shift) >> np.uint64(1)
-    for i in range(9):
-        part = (low >> np.uint64(8 * i) if i < 8 else high).astype(np.uint8)
-        some = np.flatnonzero(part)
-        if len(some):
-            out += np.bincount(byte[some] + i, weights=part[some], minlength=len(out)).astype(np.uint8)
-    return np.unpackbits(out, bitorder="little")[:total]
+    return ((np.repeat(value, size) >> (np.arange(int(size.sum())) - np.repeat(begin, size)).astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+
+
+@functools.cache
+def _short_codes(width: int) -> dict[int, int]:
+    """The least short code of every distance that has one."""
+    return {d: code for code, d in reversed([*enumerate(_near(width), 1)])}
 
 
 def _put_image(w: Writer, p: np.ndarray, width: int) -> None:
@@ -788,7 +790,7 @@ def encode(pixels: np.ndarray, use: set[str] | None = None) -> bytes:
                     c = cross & 0xFF
         # the rough cost of a mode, by whole bytes; edges are left out
         flat = byte.reshape(height, width, 1) if grey else c.astype(np.uint8).reshape(height, width, 4)
-        tried = [(_rough(flat, mode), mode) for mode in MODES] if min(height, width) > 1 else []
+        tried = [(_rough(flat, mode), mode) for mode in (MODES[:2] if grey else MODES)] if min(height, width) > 1 else []
         if tried and min(tried)[0] < 0.97 * best:
             use.add("predictor")
             w.put(1, 1), w.put(PREDICTOR, 2), w.put(TILE_BITS - 2, 3)
