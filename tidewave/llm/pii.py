@@ -2,21 +2,23 @@
 
 Base expressions give seed entities. In a first pass each text yields its
 pattern-instance edges: an instance is a candidate token run (a digit or '@' in
-it), a pattern is the word before it, a slot (with '@' or without) and the word
-after it, or the slot with one of the two. Spark sums the edges and scores the
+it, spaced numbers as one), a pattern is the word before it, a slot (with '@' or
+without) and the word after it, or the slot with one of the two. Spark sums the edges and scores the
 graph in turns: a pattern is as good as the share of its mentions that are
 already believed, an instance as good as its best pattern, and instances believed
 in one turn are seeds in the next, until no pattern is added. Mentions of unseen
 instances that occur nowhere else are neither for nor against a pattern, as far
 as they are no more than the believed ones; those met elsewhere without belief
-count against it. Patterns that end above the confidence and the support
-discover unseen identifiers in a second pass; base spans always stay.
+count against it. A pattern must also tell: its context holds believed mentions
+half of the times that it stands anywhere, which function words don't. Patterns that
+end above the confidence and the support discover unseen identifiers in a second pass; base spans always stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,10 +39,12 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _MARK = re.compile("[0-9@]")
 _REST = re.compile(r"[^\x20\x09-\x0D]*")
 _SPACE = frozenset(" \t\n\x0b\x0c\r")
-_WORD_BEFORE = re.compile(r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\Z")
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _WORD_AFTER = re.compile(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)")
 #: Up to so many patterns (short strings) are sent to all executors; more are joined with the mentions by a shuffle.
 BROADCAST_PATTERNS = 10_000
+#: A pattern's context holds believed mentions at least this share of the times it stands anywhere.
+SPECIFIC = 0.5
 
 
 def luhn(digits: str) -> bool:
@@ -92,8 +96,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+_NUMBER = re.compile(r"[0-9 ().+/-]+")
+
+
+def _joinable(text: str, a: int, b: int, c: int, d: int) -> bool:
+    """Pieces of one spaced number: digits and their marks, with blanks or brackets between."""
+    return c - b <= 3 and not text[b:c].strip(" ()") and bool(_NUMBER.fullmatch(text, a, b)) and bool(_NUMBER.fullmatch(text, c, d))
+
+
+def _name(piece: str, most: int) -> str:
+    """A short string as it is; a digest names a long one."""
+    return piece if len(piece) <= most else "#" + hashlib.md5(piece.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def mentions(text: str, spans: list[tuple[str, int, int]]):
-    """(kind or '', start, end, instance, patterns) of base spans and other candidates."""
+    """(kind or '', start, end, instance, patterns) of base spans and other candidates.
+
+    Candidates are words with a digit or '@', spaced numbers as one. A context is the
+    whole word before or after, or the slot of the base span that stands there.
+    """
     taken = sorted((a, b) for _, a, b in spans)
     free, at = [], 0
     for a, b in _candidates(text):
@@ -105,12 +126,31 @@ def mentions(text: str, spans: list[tuple[str, int, int]]):
             at += 1
         # base spans may nest, so look on from the first that ends after a
         if a < b and not any(x < b and a < y for x, y in taken[at : at + 4]) and any(c in "0123456789@" for c in text[a:b]):
-            free.append(("", a, b))
-    for kind, a, b in [*spans, *free]:
-        before, after = _WORD_BEFORE.search(text, max(0, a - 40), a), _WORD_AFTER.match(text, b)
-        before, after = (before[1][-20:].lower() if before else "^"), (after[1][:20].lower() if after else "$")
-        slot = "[@]" if "@" in text[a:b] else "[9]"
-        yield kind, a, b, text[a:b][:64], (f"{before} {slot}", f"{slot} {after}", f"{before} {slot} {after}")
+            if free and _joinable(text, free[-1][1], free[-1][2], a, b):
+                free[-1] = ("", free[-1][1], b)
+            else:
+                free.append(("", a, b))
+    found = sorted([*spans, *free], key=lambda s: (s[1], s[2]))
+    slots = ["[@]" if "@" in text[a:b] else "[9]" for _, a, b in found]
+
+    def beside(i: int, apart: bool) -> str:
+        kind, a, b = found[i]
+        return slots[i] if kind or not apart else _name(text[a:b].lower(), 40)
+
+    for i, (kind, a, b) in enumerate(found):
+        # contexts end at the neighbouring mentions, so each stretch is walked once
+        low, high = found[i - 1][2] if i else 0, found[i + 1][1] if i + 1 < len(found) else len(text)
+        y = a
+        while y > low and text[y - 1] in _SPACE:
+            y -= 1
+        x = y
+        while x > low and text[x - 1] not in _SPACE:
+            x -= 1
+        before = _name(text[x:y].lower(), 40) if x < y else beside(i - 1, y < a) if i else "^"
+        m = _WORD_AFTER.match(text, b, max(b, high))
+        after = _name(m[1].lower(), 40) if m else beside(i + 1, b < high) if i + 1 < len(found) else "$"
+        slot = slots[i]
+        yield kind, a, b, _name(text[a:b], 64), (f"{before}\t{slot}\t", f"\t{slot}\t{after}", f"{before}\t{slot}\t{after}")
 
 
 def _edges(batches):
@@ -127,12 +167,55 @@ def _edges(batches):
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(rows.values()), pa.int64())], ["pattern", "instance", "kind", "n"])
 
 
+def _token(word: str) -> str:
+    return _name(word, 40)
+
+
+def _contexts(wanted: frozenset[str] | None):
+    """(context, seen): how often each wanted context, or any, stands around one word of whatever form."""
+    sides = None if wanted is None else {side for c in wanted for side in c.split("\t")}
+    pairs = wanted is None or any(all(c.split("\t")) for c in wanted)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                n: dict[str, int] = {}
+                for t in batch.slice(at, 512).column(0).to_pylist():
+                    words = ["^", *map(_token, _WORDS.findall((t or "").lower())), "$"]
+                    for w, k in Counter(words).items():
+                        if sides is None or w in sides:
+                            for c in (f"{w}\t", f"\t{w}"):
+                                if wanted is None or c in wanted:
+                                    n[c] = n.get(c, 0) + k
+                    for a, b in zip(words, words[2:]) if pairs else ():
+                        if sides is None or a in sides and b in sides and f"{a}\t{b}" in wanted:
+                            n[f"{a}\t{b}"] = n.get(f"{a}\t{b}", 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["context", "seen"])
+
+    return run
+
+
+def _telling(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The patterns whose context holds a believed mention at least SPECIFIC of the times that it stands in any text.
+
+    Function words stand before identifiers now and then, and before other words far more often.
+    """
+    parts = F.split("pattern", "\t")
+    keyed = cut(patterns.withColumn("context", F.concat_ws("\t", parts[0], parts[2])))
+    contexts = keyed.select("context").distinct()
+    wanted = frozenset(r.context for r in contexts.collect()) if keyed.count() <= BROADCAST_PATTERNS else None
+    seen = docs.mapInArrow(_contexts(wanted), "context string, seen long").groupBy("context").agg(F.sum("seen").alias("seen"))
+    out = keyed.join(seen, "context", "left").where(F.col("weight") >= SPECIFIC * F.coalesce("seen", F.lit(0)))
+    return cut(out.select(*patterns.columns))
+
+
 def learn_patterns(docs: DataFrame, rounds: int | None = None, confidence: float = 0.9, support: int = 5) -> DataFrame:
     """pattern, kind, score, n: all that the whole corpus' contexts teach, in so many rounds or until none is added.
 
     A pattern once found good stays with its kind, so the rounds end.
     """
-    edges = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_edges, "pattern string, instance string, kind string, n long")
+    docs = docs.select(F.col("text").cast("string").alias("text"))
+    edges = docs.mapInArrow(_edges, "pattern string, instance string, kind string, n long")
     edges = cut(edges.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n")))
     # every mention has three patterns; a mention no base expression knows is open by the share of its instance's mentions that lie here
     total = edges.groupBy("instance").agg((F.sum("n") / 3).alias("total"))
@@ -149,11 +232,12 @@ def learn_patterns(docs: DataFrame, rounds: int | None = None, confidence: float
         # a pattern belongs to the kind most of its believed mentions have
         most = F.when(F.col("as_kind").isNotNull(), F.struct("weight", "as_kind", "seeds"))
         scores = by_kind.groupBy("pattern").agg(F.max(most).alias("m"), F.sum("n").alias("n"), F.sum(F.when(F.col("as_kind").isNull(), F.col("open")).otherwise(0.0)).alias("open"))
-        scores = scores.select("pattern", F.col("m.as_kind").alias("kind"), "n", F.col("m.seeds").alias("seeds"), (F.col("m.weight") / (F.col("n") - F.least("open", "m.weight"))).alias("score"))
-        new = scores.where((F.col("score") >= confidence) & (F.col("seeds") >= support)).select("pattern", "kind", "score", "n")
+        scores = scores.select("pattern", F.col("m.as_kind").alias("kind"), "n", F.col("m.seeds").alias("seeds"), F.col("m.weight").alias("weight"), (F.col("m.weight") / (F.col("n") - F.least("open", "m.weight"))).alias("score"))
+        new = scores.where((F.col("score") >= confidence) & (F.col("seeds") >= support)).select("pattern", "kind", "score", "n", "weight")
         if good is not None:
             new = new.join(good, "pattern", "left_anti")
         new = cut(new)
+        new = new if new.isEmpty() else _telling(docs, new)
         if new.isEmpty():
             return new if good is None else good
         good = new if good is None else cut(good.unionByName(new))
