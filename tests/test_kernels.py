@@ -12,6 +12,7 @@ from tidewave.functions import kernels as K
 from tidewave.operators import align, augment, clean, metrics, split, stats
 from tidewave.plans import preprocess
 from tidewave.sources import arrays as files
+from tidewave.sources.arrays import array_recordings
 from tidewave.sources import capture, folds
 
 
@@ -216,3 +217,79 @@ def test_augmentation_is_a_function_of_seed_and_id(spark):
     df = spark.range(20).select("id", F.array(*(F.lit(float(i)) for i in range(40))).alias("v"))
     a, b = (augment.augmented(df.repartition(n), "id", "v", 5).orderBy("id").collect() for n in (1, 4))
     assert a == b and any(r.v != r.augmented for r in a)
+
+
+def test_a_second_fold_is_added_and_the_first_stays(spark, tmp_path):
+    df = spark.range(12).select(F.col("id").cast("string").alias("recording_id"), (F.col("id") % 2).cast("int").alias("fold"), F.lit("test").alias("split"), F.lit(1).alias("v"))
+    path = str(tmp_path / "f")
+    folds.write_fold(df.where("fold = 0"), path)
+    folds.write_fold(df.withColumn("v", F.lit(2)), path)
+    assert {r.fold: (r.n, r.v) for r in spark.read.parquet(path).groupBy("fold").agg(F.count("v").alias("n"), F.max("v").alias("v")).collect()} == {0: (6, 1), 1: (6, 2)}
+    folds.write_fold(df.where("fold = 1").withColumn("v", F.lit(3)), path, overwrite=True)
+    assert {r.fold: r.v for r in spark.read.parquet(path).groupBy("fold").agg(F.max("v").alias("v")).collect()} == {0: 1, 1: 3}
+
+
+def test_log_keeps_its_first_columns(spark, tmp_path):
+    path = str(tmp_path / "log")
+    folds.append_log(spark.createDataFrame([(0, "train", 1.5)], "epoch int, phase string, loss double"), path)
+    folds.append_log(spark.createDataFrame([(1, "val", 9.0)], "epoch int, phase string, f1 double"), path)
+    log = spark.read.parquet(path)
+    assert sorted(map(tuple, log.collect())) == [(0, "train", 1.5), (1, "val", None)]
+    folds.csv_log(log, str(tmp_path / "csv"))
+    assert folds.read_log(spark, str(tmp_path / "csv"), "train").count() == 1 and folds.read_log(spark, str(tmp_path / "csv")).count() == 2
+    with pytest.warns(UserWarning):
+        assert folds.read_summaries(spark, str(tmp_path / "none")) is None
+
+
+def test_array_files_without_folders(spark):
+    files = spark.createDataFrame([("d/S1_walk_2.npy",), ("d/S2_other.npy",), ("d/S3_standing_up_1.mat",), ("d/S4_fall.txt",)], "path string")
+    got = {r.recording_id: (r.person, r.class_id) for r in array_recordings(files, split.CLASSES_30, "d").collect()}
+    assert got == {"S1_walk_2": ("S1", 0), "S3_standing_up_1": ("S3", 2)}
+
+
+def test_fold_statistics_against_loops(spark, tmp_path):
+    """From packets to fold tables; the statistics are those of the training persons' windows, counted by loops."""
+    rng = np.random.default_rng(3)
+    bins, rows = 14, []
+    for p in range(3):
+        for c in range(2):
+            for rx in range(3):
+                t = np.arange(560) / 350 + rng.uniform(0, 2e-4, 560)
+                tone = 1 + (0.2 + 0.3 * c) * np.exp(2j * np.pi * (3 + 4 * c) * t)[:, None] * np.exp(1j * np.linspace(0, 2, bins))
+                for ant in range(4):
+                    h = tone * np.exp(1j * ant) + 0.02 * (rng.normal(size=(560, bins)) + 1j * rng.normal(size=(560, bins)))
+                    rows += [(f"p{p}c{c}", f"p{p}", "room", c, rx, float(a), ant, x.real.tolist(), x.imag.tolist()) for a, x in zip(t, h)]
+    packets = spark.createDataFrame(rows, "recording_id string, person string, room string, label int, rx int, ts double, ant int, re array<double>, im array<double>")
+    path = str(tmp_path / "out")
+    preprocess.preprocess(packets, path, bins)
+    windows, refs = {}, {r.recording_id: r.ref for r in spark.read.parquet(f"{path}/folds").select("recording_id", "ref").distinct().collect()}
+    frames = {}
+    for r in spark.read.parquet(f"{path}/frames").orderBy("t_idx").collect():
+        frames.setdefault((r.recording_id, r.rx), []).append(np.array(r.re) + 1j * np.array(r.im))
+    for rec in refs:
+        h = np.stack([np.stack(frames[rec, rx]) for rx in range(3)], 1).reshape(-1, 3, bins, 4)
+        for at in range(0, len(h) - 349, 175):
+            w = h[at : at + 350]
+            low = np.tensordot(K.filter_matrix("low", 350, 350.0), np.abs(w), (1, 0))
+            c = w * np.conj(w[..., refs[rec]])[..., None]
+            c = np.tensordot(K.filter_matrix("band", 350, 350.0), c - c.mean(0), (1, 0))
+            dynamic = np.delete(np.abs(c).var(0), refs[rec], axis=2).mean((0, 2))
+            windows.setdefault(rec, []).append((low - np.median(low, 0), dynamic))
+    assert len(refs) == 6 and all(len(w) >= 1 for w in windows.values())
+    for fold in range(3):
+        train = [r for r in refs if int(r[1]) == (fold + 2) % 3]
+        own = np.concatenate([a for r in train for a, _ in windows[r]])
+        z = {r.place: r for r in folds.read_statistics(spark, f"{path}/statistics", "zscore", fold).collect()}
+        assert [z[i].mu for i in range(3 * bins * 4)] == pytest.approx(own.mean(0).ravel().tolist(), abs=1e-9)
+        assert [z[i].sigma for i in range(3 * bins * 4)] == pytest.approx((own.std(0) + 1e-8).ravel().tolist(), abs=1e-9)
+        x, y = np.array([d for r in train for _, d in windows[r]]), np.array([int(r[3]) for r in train for _ in windows[r]])
+        between = sum((y == c).sum() * (x[y == c].mean(0) - x.mean(0)) ** 2 for c in (0, 1))
+        score = between / (sum((y == c).sum() * x[y == c].var(0) for c in (0, 1)) + 1e-12)
+        want = [int(g[np.argmax(score[g])]) for g in np.array_split(np.arange(bins), 13)]
+        chosen = folds.read_statistics(spark, f"{path}/statistics", "selected", fold).orderBy("grp").collect()
+        assert [r["sub"] for r in chosen] == want
+        out = folds.read_fold(spark, f"{path}/folds", fold, "train").collect()
+        assert {r.recording_id for r in out} == set(train)
+        r = next(r for r in out if r.window_idx == 0)
+        unit = (windows[r.recording_id][0][0] - own.mean(0)) / (own.std(0) + 1e-8)
+        assert r.amplitude == pytest.approx(unit[:, r.rx].ravel().tolist(), abs=1e-4) and len(r.doppler) == 28 * 128

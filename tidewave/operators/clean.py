@@ -7,8 +7,10 @@ over the same keys share that exchange.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAD_TO_SIGMA = 1.4826
 
@@ -30,11 +32,11 @@ def first_by_time(df: DataFrame, by: list[str], time: str, order: str) -> DataFr
 def loss_report(df: DataFrame, by: list[str], seconds: Column, rate: float | None = None, min_count: int = 300, max_loss: float = 0.15) -> DataFrame:
     """by, n, duration, loss, rejected: tracks that are too short or lost too many packets.
 
-    Without a rate, that of the median track is taken.
+    Without a rate, that of the median track is taken, from percentiles that merge.
     """
     out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.max(seconds) - F.min(seconds)).alias("duration"))
     if rate is None:
-        typical = out.where("duration > 0").agg(F.median(F.col("n") / F.col("duration")).alias("rate"))
+        typical = out.where("duration > 0").agg(F.percentile_approx(F.col("n") / F.col("duration"), 0.5, 100_000).alias("rate"))
         out = out.crossJoin(F.broadcast(typical))  # one row
     else:
         out = out.withColumn("rate", F.lit(float(rate)))
@@ -55,20 +57,24 @@ def gaps(df: DataFrame, by: list[str], time: str, seconds: Column, factor: float
 def anchored_groups(df: DataFrame, by: list[str], time: str, item: Column, span: float) -> DataFrame:
     """by, group_start, items: packets merged while they lie within `span` of the group's first.
 
-    The anchor is the group's first packet, not the last one, so this is a fold
-    over the sorted track and no session window. A track is one recording.
+    The anchor is the group's first packet, not the last one, so this is no session
+    window: one pass over the sorted track marks the anchors. A track is one recording.
     """
-    packed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), item.alias("item")))).alias("packets"))
-
-    def step(groups: Column, p: Column) -> Column:
-        last = F.try_element_at(groups, F.lit(-1))
-        fresh = F.struct(p["t"].alias("start"), F.array(p["item"]).alias("items"))
-        grown = F.struct(last["start"].alias("start"), F.concat(last["items"], F.array(p["item"])).alias("items"))
-        joins = F.coalesce(F.abs(p["t"] - last["start"]) <= span, F.lit(False))
-        return F.when(joins, F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(groups, F.array(fresh)))
-
-    empty = F.filter(F.transform("packets", lambda p: F.struct(p["t"].alias("start"), F.array(p["item"]).alias("items"))), lambda x: F.lit(False))
-    return packed.select(*by, F.explode(F.aggregate("packets", empty, step)).alias("g")).select(*by, F.col("g.start").alias("group_start"), F.col("g.items").alias("items"))
+    rows = df.select(*by, F.col(time).alias("__t"), item.alias("__item"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("group_start", rows.schema["__t"].dataType)])
+
+    def mark(track: pa.Table) -> pa.Table:
+        track = track.sort_by("__t")
+        starts, start = [], None
+        for t in track["__t"].to_pylist():
+            if start is None or abs(t - start) > span:
+                start = t
+            starts.append(start)
+        return track.append_column("group_start", pa.array(starts, track["__t"].type))
+
+    groups = rows.groupBy(*by).applyInArrow(mark, schema).groupBy(*by, "group_start")
+    packed = groups.agg(F.array_sort(F.collect_list(F.struct("__t", "__item"))).alias("__p"))
+    return packed.select(*by, "group_start", F.col("__p.__item").alias("items"))
 
 
 def gain_normalised(df: DataFrame, by: list[str], magnitudes: str, floor_ratio: float = 1e-3) -> DataFrame:

@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def subject_folds(df: DataFrame, person: str) -> DataFrame:
-    """fold, person, split for all folds: persons sorted; test = k, val = k + 1 (cyclic), the rest train.
+#: Up to so many persons are sent to all executors; more are joined by a shuffle.
+BROADCAST_PERSONS = 100_000
+
+# Activity names of the 30-subcarrier set and their classes, in the order of the search.
+CLASSES_30 = (
+    ("walking", 0), ("walk", 0), ("running", 1), ("run", 1), ("standing up", 2), ("standup", 2), ("stand_up", 2), ("sitting down", 3), ("sitdown", 3), ("sit_down", 3), ("picking up", 4), ("pickup", 4),
+    ("pick_up", 4), ("falling down", 5), ("fall", 5), ("falling", 5), ("fallen", 5), ("lying down", 6), ("lying", 6), ("lying_still", 6), ("sleeping", 6), ("no person", 7), ("empty", 7), ("background", 7),
+)
+# The same of the 2048-subcarrier set.
+CLASSES_2048 = (
+    ("walking", 0), ("walk", 0), ("running", 1), ("run", 1), ("standing", 2), ("stand", 2), ("standing up", 2), ("sitting", 3), ("sitting down", 3), ("sit", 3), ("bending", 4), ("bend", 4), ("picking", 4),
+    ("falling", 5), ("fall", 5), ("lying", 6), ("lie", 6), ("lying still", 6), ("empty", 7), ("no one", 7), ("background", 7), ("gesturing", 4), ("other", 7),
+)
+
 
-    At least three persons are needed, else test and validation meet.
+def person_ranks(df: DataFrame, person: str) -> DataFrame:
+    """person, k, persons: places in the sorted list of persons, from 0. At least three are needed, else test and validation meet.
+
+    Folds times persons is what a split asks for, so one task can rank them.
     """
     people = df.select(person).distinct()
     n = people.count()
     if n < 3:
         raise ValueError("leave-one-subject-out needs three persons")
-    ranked = people.withColumn("__k", F.dense_rank().over(Window.orderBy(person)) - 1)
-    folds = ranked.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    split = F.when(F.col("__k") == F.col("fold"), "test").when(F.col("__k") == (F.col("fold") + 1) % n, "val").otherwise("train")
-    return folds.select("fold", person, split.alias("split"))
+    ranked = people.select(person, (F.dense_rank().over(Window.orderBy(person)) - 1).alias("k"), F.lit(n).alias("persons"))
+    return F.broadcast(ranked) if n <= BROADCAST_PERSONS else ranked
+
+
+def split_of(k: Column, fold: Column, persons: Column) -> Column:
+    """test for the fold's own person, val for the next (cyclic), train for the rest."""
+    return F.when(k == fold, "test").when(k == (fold + 1) % persons, "val").otherwise("train")
+
+
+def subject_folds(df: DataFrame, person: str) -> DataFrame:
+    """fold, person, split for all folds."""
+    return with_folds(df.select(person).distinct(), person).select("fold", person, "split")
+
+
+def with_folds(df: DataFrame, person: str) -> DataFrame:
+    """Each row of df once for every fold, with fold and split; the split is arithmetic on the person's rank, no table of folds x persons."""
+    rows = df.join(person_ranks(df, person), person)
+    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.col("persons") - 1)))
+    return rows.withColumn("split", split_of(F.col("k"), F.col("fold"), F.col("persons"))).drop("k", "persons")
 
 
 def leakage(splits: DataFrame, unit: str) -> DataFrame:
@@ -30,12 +60,12 @@ def leakage(splits: DataFrame, unit: str) -> DataFrame:
     return wide.unpivot("fold", [f"{a}/{b}" for a, b in pairs], "pair", "shared")
 
 
-def mapped_class(df: DataFrame, name: str, classes: list[tuple[str, int]]) -> DataFrame:
+def mapped_class(df: DataFrame, name: str, classes: list[tuple[str, int]], blanks: str = "_") -> DataFrame:
     """df plus class_id: the exact key, else the first key that contains the name or is contained in it, else null.
 
-    The map is a bounded list, so this is a chain of tests and no join.
+    Names are trimmed and lower-cased, their blanks replaced. The map is a bounded list, so this is a chain of tests and no join.
     """
-    key = F.replace(F.lower(F.trim(name)), F.lit(" "), F.lit("_"))
+    key = F.replace(F.lower(F.trim(name)), F.lit(" "), F.lit(blanks))
     exact = F.coalesce(*(F.when(key == k, v) for k, v in classes))
     part = F.coalesce(*(F.when(key.contains(k) | F.lit(k).contains(key), v) for k, v in classes))
     return df.withColumn("class_id", F.coalesce(exact, part))

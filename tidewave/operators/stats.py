@@ -43,13 +43,13 @@ def zscore_apply(df: DataFrame, stats: DataFrame, by: list[str], value: str) ->
     return df.join(stats, by).withColumn("z", (F.col(value) - F.col("mu")) / F.col("sigma"))
 
 
-def fisher(df: DataFrame, sub: str, label: str, value: str, eps: float = 1e-12) -> DataFrame:
-    """sub, score: between-class over within-class scatter."""
-    per = df.groupBy(sub, label).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
-    mean = F.sum(F.col("n") * F.col("m")).over(Window.partitionBy(sub)) / F.sum("n").over(Window.partitionBy(sub))
-    per = per.withColumn("g", mean)
+def fisher(df: DataFrame, sub: str, label: str, value: str, eps: float = 1e-12, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, sub, score: between-class over within-class scatter."""
+    per = df.groupBy(*by, sub, label).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    w = Window.partitionBy(*by, sub)
+    per = per.withColumn("g", F.sum(F.col("n") * F.col("m")).over(w) / F.sum("n").over(w))
     between = F.sum(F.col("n") * (F.col("m") - F.col("g")) * (F.col("m") - F.col("g")))
-    return per.groupBy(sub).agg((between / (F.sum(F.col("n") * F.col("v")) + eps)).alias("score"))
+    return per.groupBy(*by, sub).agg((between / (F.sum(F.col("n") * F.col("v")) + eps)).alias("score"))
 
 
 def group_of(sub: Column, size: int, groups: int) -> Column:
@@ -58,10 +58,28 @@ def group_of(sub: Column, size: int, groups: int) -> Column:
     return F.when(sub < r * (q + 1), F.floor(sub / (q + 1))).otherwise(r + F.floor((sub - r * (q + 1)) / max(q, 1)))
 
 
-def best_per_group(scores: DataFrame, sub: str, size: int, groups: int = 13) -> DataFrame:
-    """grp, sub, score: each group's best, the first on ties."""
+def best_per_group(scores: DataFrame, sub: str, size: int, groups: int = 13, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, grp, sub, score: each group's best, the first on ties."""
     ranked = scores.withColumn("grp", group_of(F.col(sub), size, groups))
-    return ranked.groupBy("grp").agg(F.max_by(F.struct(sub, "score"), F.struct("score", -F.col(sub))).alias("b")).select("grp", f"b.{sub}", "b.score")
+    return ranked.groupBy(*by, "grp").agg(F.max_by(F.struct(sub, "score"), F.struct("score", -F.col(sub))).alias("b")).select(*by, "grp", f"b.{sub}", "b.score")
+
+
+def fold_statistics(windows: DataFrame, size: int, groups: int = 13) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What each fold learns from its training windows alone, over all folds at once: three small tables.
+
+    windows: fold, label, window (its key), mean and var of every place's centred
+    amplitude (arrays), x (a dynamic feature of every subcarrier). All windows have one
+    length, so the pooled variance, samples in two windows counted twice, is the mean of
+    the variances plus the variance of the means.
+
+    (fold, place, mu, sigma), (fold, sub, score) and (fold, grp, sub, score): z-score
+    statistics, Fisher scores, and the best subcarrier of each group.
+    """
+    places = windows.select("fold", F.posexplode(F.arrays_zip("mean", "var")).alias("place", "w"))
+    zscore = places.groupBy("fold", "place").agg(F.avg("w.mean").alias("mu"), (F.sqrt(F.avg("w.var") + F.var_pop("w.mean")) + 1e-8).alias("sigma"))
+    features = windows.select("fold", "label", F.posexplode("x").alias("sub", "v"))
+    scores = fisher(features, "sub", "label", "v", by=("fold",))
+    return zscore, scores, best_per_group(scores, "sub", size, groups, by=("fold",))
 
 
 def reference_antenna(df: DataFrame, by: list[str], time: str, antenna: str, magnitude: str, floor: float = 0.1) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..operators import split, stats
+from ..sources import folds
 
 FRAME = "recording_id string, t_idx int, rx int, re array<double>, im array<double>"
 
@@ -114,6 +116,96 @@ def window_features(frames: DataFrame, references: DataFrame, bins: int, antenna
     return frames.join(references, "recording_id").groupBy("recording_id", "rx").applyInPandas(run, schema)
 
 
+def window_summaries(frames: DataFrame, references: DataFrame, bins: int, antennas: int = 4, receivers: int = 3, length: int = 350, stride: int = 175) -> DataFrame:
+    """recording_id, window, mean, var (places: receiver, bin, antenna), x (bins): what fold_statistics() takes of each whole window.
+
+    mean and var are of the low-passed magnitude less its median; x is the variance over
+    time of the band-passed product with the reference antenna, averaged over receivers and the other antennas.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t_idx")
+        h = (np.stack(pdf["re"]) + 1j * np.stack(pdf["im"])).reshape(-1, bins, antennas)
+        ref, rows = int(pdf["ref"].iloc[0]), []
+        others = [a for a in range(antennas) if a != ref]
+        for at in range(0, len(h) - length + 1, stride):
+            w = h[at : at + length]
+            if np.isfinite(w).all():
+                a = K.amplitude(w)
+                c = w[:, :, others] * np.conj(w[:, :, ref])[..., None]
+                c = np.tensordot(K.filter_matrix("band", length, 350.0), c - c.mean(0), (1, 0))
+                rows.append((pdf["recording_id"].iloc[0], at // stride, int(pdf["rx"].iloc[0]), a.mean(0).ravel(), a.var(0).ravel(), np.abs(c).var(0).mean(1)))
+        return pd.DataFrame(rows, columns=["recording_id", "window", "rx", "mean", "var", "x"])
+
+    per = frames.join(references, "recording_id").groupBy("recording_id", "rx").applyInPandas(run, "recording_id string, window int, rx int, mean array<double>, var array<double>, x array<double>")
+    own = F.array_sort(F.collect_list(F.struct("rx", "mean", "var", "x")))  # one for each receiver
+    whole = per.groupBy("recording_id", "window").agg(own.alias("r")).where(F.size("r") == receivers)
+    total = F.transform(F.get("r.x", 0), lambda _, i: F.aggregate(F.col("r.x"), F.lit(0.0), lambda s, x: s + F.get(x, i)) / receivers)
+    return whole.select("recording_id", "window", F.flatten("r.mean").alias("mean"), F.flatten("r.var").alias("var"), total.alias("x"))
+
+
+def fit_folds(frames: DataFrame, recordings: DataFrame, bins: int, **shape) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The statistics of every fold from its training persons alone; recordings: recording_id, person, label, ref."""
+    windows = window_summaries(frames, recordings.select("recording_id", "ref"), bins, **shape)
+    folds = split.with_folds(recordings.select("recording_id", "person", "label"), "person").where("split = 'train'")
+    return stats.fold_statistics(windows.join(folds, "recording_id"), bins)
+
+
+def fold_features(frames: DataFrame, recordings: DataFrame, statistics: tuple[DataFrame, DataFrame, DataFrame], bins: int, antennas: int = 4, length: int = 350, stride: int = 175) -> DataFrame:
+    """fold, split, recording_id, person, room, label, ref, window_idx, rx, amplitude, doppler: both branches for all folds.
+
+    The amplitude is in units of the fold's training statistics, the spectrogram of the
+    bins that the fold selected. recordings: recording_id, person, room, label, ref.
+    """
+    zscore, _, selected = statistics
+    chosen = selected.groupBy("fold").agg(F.array_sort(F.collect_list("sub")).alias("subs"))  # one bin for each group
+    of = split.with_folds(recordings, "person").join(chosen, "fold")
+    wanted = of.groupBy("recording_id", "ref").agg(F.collect_list(F.struct("fold", "subs")).alias("folds"))
+    schema = "recording_id string, fold int, window_idx int, rx int, amplitude array<double>, doppler array<double>"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t_idx")
+        h = (np.stack(pdf["re"]) + 1j * np.stack(pdf["im"])).reshape(-1, bins, antennas)
+        ref, rows, n = int(pdf["ref"].iloc[0]), [], 0
+        others = [a for a in range(antennas) if a != ref]
+        for at in range(0, len(h) - length + 1, stride):
+            w = h[at : at + length]
+            if not np.isfinite(w).all():
+                continue
+            a = K.amplitude(w).ravel()
+            for f in pdf["folds"].iloc[0]:
+                subs = list(f["subs"])
+                d = K.doppler(w[:, subs][:, :, others], w[:, subs, ref])
+                rows.append((pdf["recording_id"].iloc[0], f["fold"], n, int(pdf["rx"].iloc[0]), a, d.ravel()))
+            n += 1
+        return pd.DataFrame(rows, columns=["recording_id", "fold", "window_idx", "rx", "amplitude", "doppler"])
+
+    raw = frames.join(wanted, "recording_id").groupBy("recording_id", "rx").applyInPandas(run, schema)
+    per = bins * antennas
+    units = zscore.withColumn("rx", F.floor(F.col("place") / per).cast("int")).groupBy("fold", "rx").agg(F.array_sort(F.collect_list(F.struct("place", "mu", "sigma"))).alias("z"))
+    out = raw.join(units, ["fold", "rx"]).withColumn("amplitude", F.transform("amplitude", lambda x, i: ((x - F.get("z.mu", i % per)) / F.get("z.sigma", i % per)).cast("float")))
+    out = out.withColumn("doppler", F.transform("doppler", lambda x: x.cast("float"))).drop("z")
+    return out.join(of.select("recording_id", "person", "room", "label", "ref", "fold", "split"), ["recording_id", "fold"])
+
+
+def preprocess(packets: DataFrame, path: str, bins: int, rate: float = 350.0) -> None:
+    """From packets (recording_id, person, room, label, rx, ts, ant, re, im) to fold tables and statistics under path.
+
+    Packets are cleaned, aligned and resampled; the reference antenna of each recording is the steadiest of its frames.
+    """
+    frames = uniform_frames(packets.drop("person", "room", "label"), rate)
+    spark = packets.sparkSession
+    frames.write.mode("overwrite").parquet(f"{path}/frames")
+    frames = spark.read.parquet(f"{path}/frames")
+    antenna = frames.select("recording_id", "t_idx", "rx", F.posexplode(F.zip_with("re", "im", lambda a, b: F.sqrt(a * a + b * b))).alias("i", "m"))
+    antenna = antenna.select("recording_id", F.concat_ws(":", "t_idx", "rx").alias("time"), (F.col("i") % 4).alias("ant"), "m")
+    refs = stats.reference_antenna(antenna, ["recording_id"], "time", "ant", "m").select("recording_id", F.col("ant").cast("int").alias("ref"))
+    recordings = packets.select("recording_id", "person", "room", "label").distinct().join(refs, "recording_id")
+    folds.write_statistics(spark, f"{path}/statistics", **dict(zip(("zscore", "fisher", "selected"), fit_folds(frames, recordings, bins))))
+    statistics = tuple(folds.read_statistics(spark, f"{path}/statistics", name) for name in ("zscore", "fisher", "selected"))
+    folds.write_fold(fold_features(frames, recordings, statistics, bins), f"{path}/folds")
+
+
 def synthetic_packets(spark, persons: int = 3, repetitions: int = 1, seconds: float = 5.0, rate: float = 350.0, bins: int = 52, seed: int = 42) -> DataFrame:
     """Moving reflectors: a class's Doppler tone on every antenna with gain jitter and noise; ts jitters and some packets are lost."""
     # Doppler frequency of each class in Hz.
@@ -134,4 +226,4 @@ def synthetic_packets(spark, persons: int = 3, repetitions: int = 1, seconds: fl
                     h = (1 + 0.5 * np.exp(1j * (phase + ant))) * rng.uniform(0.8, 1.2, (len(t), 1)) + 0.05 * (rng.normal(size=(len(t), bins)) + 1j * rng.normal(size=(len(t), bins)))
                     yield pd.DataFrame({"recording_id": name, "person": f"p{person}", "label": cls, "rx": rx, "ts": t, "ant": ant, "re": list(h.real), "im": list(h.imag)})
 
-    return units.repartition(8).mapInPandas(run, "recording_id string, person string, label int, rx int, ts double, ant int, re array<double>, im array<double>")
+    return units.repartition(units.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "recording_id string, person string, label int, rx int, ts double, ant int, re array<double>, im array<double>")

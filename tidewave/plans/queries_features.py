@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalogue import query, read
 from ..functions import arrays as A
 from ..functions.kernels import filter_matrix
-from ..operators import clean, stats
+from ..operators import augment, clean, split, stats
 from .queries_clean import _TRACK, track
 
 
@@ -83,12 +83,12 @@ def fisher_of(spark, d):
     return stats.fisher(n, "sub", "label", "v")
 
 
-@query("fisher_scores", "AGG6 AGG5", _FISHER.replace("with ", "with ", 1).replace("g as (select i,", "gm as (select i,").replace("join g using", "join gm using") + "select sub, round(score, 6) as score from f")
+@query("fisher_scores", "AGG6", _FISHER.replace("with ", "with ", 1).replace("g as (select i,", "gm as (select i,").replace("join g using", "join gm using") + "select sub, round(score, 6) as score from f")
 def fisher_scores(spark, d):
     return fisher_of(spark, d).select(F.col("sub").cast("long"), F.round("score", 6).alias("score"))
 
 
-@query("fisher_select", "PRJ1 AGG2 AGG6 AGG7 PRJ4", _FISHER.replace("g as (select i,", "gm as (select i,").replace("join g using", "join gm using") + """
+@query("fisher_select", "PRJ1 AGG2 AGG6 AGG7", _FISHER.replace("g as (select i,", "gm as (select i,").replace("join g using", "join gm using") + """
 , s as (select sub // 4 as grp, sub, round(score, 9) as score from f) select grp, arg_max(sub, (score, -sub)) as sub, round(max(score), 6) as score from s group by 1
 """)
 def fisher_select(spark, d):
@@ -256,7 +256,7 @@ query("lowpass_matrix", "DSP1", _matrix_sql("low"))(_filtered("low"))
 query("bandpass_matrix", "DSP2", _matrix_sql("band"))(_filtered("band"))
 
 
-@query("mask_fixed", "AUG2 AUG4", f"select vec_id, i, case when i >= 10 and i < 16 then 0e0 else round(e[i + 1], 6) end as value from ({_E}), range(64) as r(i)")
+@query("mask_fixed", "AUG2", f"select vec_id, i, case when i >= 10 and i < 16 then 0e0 else round(e[i + 1], 6) end as value from ({_E}), range(64) as r(i)")
 def mask_fixed(spark, d):
     return vectors(spark, d).select("vec_id", F.posexplode(A.masked(F.col("e"), 10, 6)).alias("i", "value")).select("vec_id", F.col("i").cast("long"), F.round("value", 6).alias("value"))
 
@@ -266,7 +266,7 @@ def shift_fixed(spark, d):
     return vectors(spark, d).select("vec_id", F.posexplode(A.shifted(F.col("e"), 5)).alias("i", "value")).select("vec_id", F.col("i").cast("long"), F.round("value", 6).alias("value"))
 
 
-@query("cutmix_fixed", "AUG3 JN9", f"""
+@query("cutmix_fixed", "AUG3", f"""
 with v as (select *, row_number() over (partition by vec_id // 16 order by vec_id) - 1 as k, count(*) over (partition by vec_id // 16) as n from ({_E}))
 select a.vec_id, b.vec_id as partner, i, round(case when i >= 20 and i < 32 then b.e[i + 1] else a.e[i + 1] end, 6) as value
 from v a join v b on a.vec_id // 16 = b.vec_id // 16 and b.k = (a.k + 1) % a.n, range(64) as r(i)
@@ -279,3 +279,90 @@ def cutmix_fixed(spark, d):
     mixed = F.concat(F.slice("e", 1, 20), F.slice("o.e", 21, 12), F.slice("e", 33, 32))
     out = v.select("vec_id", F.col("o.vec_id").alias("partner"), F.posexplode(mixed).alias("i", "value"))
     return out.select("vec_id", "partner", F.col("i").cast("long"), F.round("value", 6).alias("value"))
+
+
+# tracks of embeddings: recording = label, person = label % 5, class = label % 3; windows of 20 vectors, 10 apart
+_WIN = f"""
+t as (select label, row_number() over (partition by label order by vec_id) - 1 as i, count(*) over (partition by label) as n, e from ({_E})),
+w as (select label, w as win, j // 4 as sub, j % 4 as ant, abs(e[j + 1]) as m, abs(e[j - j % 4 + 1]) as r from t, range(1000) as g(w), range(64) as q(j) where n >= 20 and w <= (n - 20) // 10 and i between 10 * w and 10 * w + 19),
+c as (select *, m - median(m) over (partition by label, win, sub, ant) as a, m * r - avg(m * r) over (partition by label, win, sub, ant) as p from w),
+v as (select label, win, sub, ant, avg(a) as mean, var_pop(a) as var, var_pop(abs(p)) as x from c group by all),
+k as (select distinct label % 5 as person from v), f as (select fold::int as fold, label from (select distinct label from v) l, range(5) as g(fold) where (label % 5) not in (fold, (fold + 1) % 5)),
+z as (select fold, (sub * 4 + ant)::int as place, avg(mean) as mu, sqrt(avg(var) + var_pop(mean)) + 1e-8 as sigma from v join f using (label) group by 1, 2),
+x as (select fold, label % 3 as cls, sub, avg(x) as x from v join f using (label) where ant > 0 group by fold, label, win, sub),
+s as (select fold, cls, sub, count(*) as n, avg(x) as m, var_pop(x) as v from x group by 1, 2, 3), g as (select fold, sub, sum(n * m) / sum(n) as m from s group by 1, 2),
+h as (select s.fold, s.sub, sum(s.n * (s.m - g.m) * (s.m - g.m)) / (sum(s.n * s.v) + 1e-12) as score from s join g on g.fold = s.fold and g.sub = s.sub group by 1, 2)
+"""
+
+
+def fold_windows(spark, d):
+    """Windows of made-up frames of 16 subcarriers and 4 antennas, with the reference antenna 0, on their folds' training side."""
+    v = vectors(spark, d)
+    rows = v.select("vec_id", "label", F.posexplode("e").alias("j", "v"))
+    ref = F.abs(F.get(F.col("e"), F.col("j") - F.col("j") % 4))
+    rows = rows.join(v.select("vec_id", "e"), "vec_id").select("vec_id", "label", "j", F.abs("v").alias("m"), (F.abs("v") * ref).alias("product"))
+    w = stats.sliding(rows, ["label", "j"], "vec_id", 20, 10)
+    by = Window.partitionBy("label", "j", "window_idx")
+    w = w.withColumn("a", F.col("m") - F.median("m").over(by)).withColumn("p", F.abs(F.col("product") - F.avg("product").over(by)))
+    per = w.groupBy("label", "window_idx", "j").agg(F.avg("a").alias("mean"), F.var_pop("a").alias("var"), F.var_pop("p").alias("x"))
+    places = F.array_sort(F.collect_list(F.struct("j", "mean", "var")))  # 64 places
+    subs = per.where("j % 4 <> 0").groupBy("label", "window_idx", F.floor(F.col("j") / 4).alias("sub")).agg(F.avg("x").alias("x"))
+    subs = subs.groupBy("label", "window_idx").agg(F.array_sort(F.collect_list(F.struct("sub", "x"))).alias("s"))
+    whole = per.groupBy("label", "window_idx").agg(places.alias("p")).join(subs, ["label", "window_idx"])
+    whole = whole.select((F.col("label") % 5).alias("person"), (F.col("label") % 3).alias("label"), F.concat_ws(":", "label", "window_idx").alias("window"), F.col("p.mean").alias("mean"), F.col("p.var").alias("var"), F.col("s.x").alias("x"))
+    return split.with_folds(whole, "person").where("split = 'train'")
+
+
+@query("fold_zscore", "AGG4 JN5 JN6", f"with {_WIN} select fold, place, round(mu, 6) as mu, round(sigma, 6) as sigma from z")
+def fold_zscore(spark, d):
+    """Each fold's z-score statistics, from the windows of its training persons."""
+    zscore, _, _ = stats.fold_statistics(fold_windows(spark, d), 16, 4)
+    return zscore.select(F.col("fold").cast("int"), "place", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
+
+
+@query("fold_selection", "AGG5 AGG6 AGG7", f"with {_WIN} select fold, (sub // 4)::bigint as grp, arg_max(sub, (score, -sub))::int as sub, round(max(score), 5) as score from h group by 1, 2")
+def fold_selection(spark, d):
+    """Each fold's Fisher-selected subcarriers by the variance of the product with the reference antenna."""
+    _, _, best = stats.fold_statistics(fold_windows(spark, d), 16, 4)
+    return best.select(F.col("fold").cast("int"), F.col("grp").cast("long"), F.col("sub").cast("int"), F.round("score", 5).alias("score"))
+
+
+def _draw(key, seed, what):
+    return f"(('0x' || substr(md5({key} || ':{seed}:{what}'), 1, 12))::bigint / 281474976710656e0)"
+
+
+@query("mask_drawn", "AUG2", f"""
+with m as (select vec_id, e, case when {_draw('vec_id', 42, 'bins?')} < 4e-1 then floor({_draw('vec_id', 42, 'bins width')} * 7)::int + 3 else 0 end as width from ({_E})),
+s as (select *, floor({_draw('vec_id', 42, 'bins')} * (65 - width))::int as start from m)
+select vec_id, i, case when i >= start and i < start + width then 0e0 else round(e[i + 1], 6) end as value from s, range(64) as r(i)
+""")
+def mask_drawn(spark, d):
+    """Stretches of 3 to 9 bins masked with chance 0.4."""
+    out = augment.masked_bins(vectors(spark, d), "vec_id", "e", 42)
+    return out.select("vec_id", F.posexplode("masked").alias("i", "value")).select("vec_id", F.col("i").cast("long"), F.round("value", 6).alias("value"))
+
+
+@query("spectrogram_mask_drawn", "AUG4", f"""
+with m as (select vec_id, e, case when {_draw('vec_id', 7, 'doppler?')} < 3e-1 then floor({_draw('vec_id', 7, 'doppler width')} * 5)::int + 2 else 0 end as cw, case when {_draw('vec_id', 7, 'frames?')} < 3e-1 then floor({_draw('vec_id', 7, 'frames width')} * 3)::int + 1 else 0 end as rw from ({_E})),
+s as (select *, floor({_draw('vec_id', 7, 'doppler')} * (17 - cw))::int as c, floor({_draw('vec_id', 7, 'frames')} * (5 - rw))::int as r from m)
+select vec_id, i, case when (i % 16 >= c and i % 16 < c + cw) or (i // 16 >= r and i // 16 < r + rw) then 0e0 else round(e[i + 1], 6) end as value from s, range(64) as q(i)
+""")
+def spectrogram_mask_drawn(spark, d):
+    """Vectors as spectrograms of 4 frames and 16 bins."""
+    out = augment.masked_spectrogram(vectors(spark, d), "vec_id", "e", 4, 16, 7)
+    return out.select("vec_id", F.posexplode("masked").alias("i", "value")).select("vec_id", F.col("i").cast("long"), F.round("value", 6).alias("value"))
+
+
+@query("cutmix_drawn", "AUG3 JN9", f"""
+with v as (select *, vec_id // 16 as b, row_number() over (partition by vec_id // 16 order by {_draw('vec_id', 53, 'order')}, vec_id) - 1 as k, count(*) over (partition by vec_id // 16) as n from ({_E})),
+m as (select *, case when {_draw('b', 53, 'cut?')} < 3e-1 then floor({_draw('b', 53, 'cut width')} * 12)::int + 1 else 0 end as width from v),
+s as (select *, floor({_draw('b', 53, 'cut')} * (65 - width))::int as start from m)
+select a.vec_id, o.vec_id as partner, round(1 - a.width / 64, 6) as weight, i, round(case when i >= start and i < start + width then o.e[i + 1] else a.e[i + 1] end, 6) as value
+from s a join v o on a.b = o.b and o.k = (a.k + 1) % a.n, range(64) as r(i)
+""")
+def cutmix_drawn(spark, d):
+    """Epoch 11: batches of 16 take up to a fifth of the time from a shuffled partner with chance 0.3."""
+    rows = vectors(spark, d).withColumn("b", F.floor(F.col("vec_id") / 16))
+    out = augment.cut_and_mixed(rows, "b", "vec_id", "e", "label", 42, epoch=11)
+    out = out.select("vec_id", "partner", F.round("weight", 6).alias("weight"), F.posexplode("mixed").alias("i", "value"))
+    return out.select("vec_id", "partner", "weight", F.col("i").cast("long"), F.round("value", 6).alias("value"))

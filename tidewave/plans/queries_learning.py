@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalogue import query, read
 from ..functions import arrays as A
 from ..operators import augment, metrics, model
+from ..sources import folds
 from .queries_features import _E, vectors
 
 WEIGHTS = [1.0, 1.0, 1.5, 1.5, 1.2, 2.0, 1.0, 0.8]
@@ -94,7 +95,7 @@ def fold_summary(spark, d):
     return s.select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "best_fold")
 
 
-@query("comparison_table", "MET8 SNK7 SCL10 SRC14", _FOLDF1 + """
+@query("comparison_table", "MET8 SCL10", _FOLDF1 + """
 select case when fold < 4 then 'a' else 'b' end as dataset, count(*) as folds, printf('%.2f%%', 100 * avg(f1)) as mean, printf('%.2f%%', 100 * stddev_pop(f1)) as std, printf('%.2f%%', 100 * max(f1)) as best from ff group by 1
 """)
 def comparison_table(spark, d):
@@ -127,6 +128,41 @@ def temperature_scale_grid(spark, d):
     return metrics.temperature_grid(predictions(spark, d), "probs", "truth", GRID).withColumn("nll", F.round("nll", 6))
 
 
+@query("temperature_fit", "MDL8", f"""
+with {_P}, g as (select t / 100e0 as temperature from range(5, 2001) as r(t)),
+n as (select temperature, -ln(greatest(pow(probs[truth + 1], 1 / temperature) / list_sum(list_transform(probs, lambda x: pow(x, 1 / temperature))), 1e-12)) as nll from a, g),
+b as (select temperature, avg(nll) as nll from n group by 1)
+select arg_min(temperature, (nll, temperature)) as temperature, round(min(nll), 6) as nll from b
+""")
+def temperature_fit(spark, d):
+    """The temperature of least loss, to a hundredth."""
+    p = predictions(spark, d)
+    best = metrics.fitted_temperature(p, "probs", "truth")
+    return metrics.temperature_grid(p, "probs", "truth", [best]).withColumn("nll", F.round("nll", 6))
+
+
+@query("comparison_lines", "SNK7 MET8", _FOLDF1 + """
+, b as (select case when fold < 4 then 'a' else 'b' end as dataset, avg(f1) as mean, stddev_pop(f1) as std, avg(x) as fall, arg_max(fold, (f1, -fold)) as best from ff group by 1),
+k as (select dataset, best, mean, std, fall, list(printf('%.1f', 100 * coalesce(2 * tp / nullif(said + support, 0), 0e0)) order by c) as per from b join fc on fc.fold = b.best group by all),
+t as (select dataset, printf('%.2f%%', 100 * mean) as m, printf('%.2f%%', 100 * std) as s, printf('%.2f%%', 100 * coalesce(fall, 0e0)) as f, array_to_string(per, ' ') as p from k)
+select dataset, lpad(dataset, 4, ' ') || ' | ' || lpad(m, 8, ' ') || ' | ' || lpad(s, 8, ' ') || ' | ' || lpad(f, 8, ' ') || ' | ' || lpad(p, 48, ' ') as text_line, dataset || ' & ' || replace(m, '%', '') || ' & ' || replace(s, '%', '') || ' & ' || replace(f, '%', '') || ' & ' || p || ' \\\\' as latex_line from t
+""")
+def comparison_lines(spark, d):
+    """Mean, spread, fall recall and the best fold's F1 by class, as lines of a text table and of LaTeX."""
+    p = predictions(spark, d)
+    per = metrics.per_class(metrics.confusion(p, 8, ("fold",)), ("fold",))
+    by = lambda c: F.when(F.col("fold") < 4, "a").otherwise("b").alias("dataset") if c else None
+    f = metrics.macro_f1(per, ("fold",)).join(per.where("cls = 5").select("fold", F.when(F.col("present"), F.col("recall")).alias("fall")), "fold")
+    t = metrics.fold_summary(f.select("*", by(True)), ["dataset"], "macro_f1").join(f.groupBy(by(True)).agg(F.coalesce(F.avg("fall"), F.lit(0.0)).alias("fall")), "dataset")
+    best = per.join(t.select(F.col("best_fold").alias("fold"), "dataset"), "fold").groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("cls", F.format_string("%.1f", 100 * F.col("f1")).alias("f")))).alias("c"))
+    show = lambda c: F.format_string("%.2f%%", 100 * F.col(c)).alias(c)
+    rows = t.join(best, "dataset").select("dataset", show("mean"), show("std"), show("fall"), F.array_join("c.f", " ").alias("classes"))
+    text = folds.text_table(rows, {"dataset": 4, "mean": 8, "std": 8, "fall": 8, "classes": 48}).select(F.trim(F.substring("line", 1, 4)).alias("dataset"), F.col("line").alias("text_line"))
+    plain = rows.select("dataset", *(F.replace(c, F.lit("%"), F.lit("")).alias(c) for c in ("mean", "std", "fall")), "classes")
+    latex = folds.latex_rows(plain).select(F.substring_index("line", " &", 1).alias("dataset"), F.col("line").alias("latex_line"))
+    return text.join(latex, "dataset")
+
+
 @query("loss_main", "LSS1", f"""
 with {_P} select round(avg(-list_sum(list_transform(range(8), lambda i: ((case when i = truth then 95e-2 else 0e0 end) + 5e-2 / 8) * ln(greatest(probs[i + 1], 1e-8)))) * [1e0, 1e0, 15e-1, 15e-1, 12e-1, 2e0, 1e0, 8e-1][truth + 1]), 6) as loss from a
 """)
@@ -196,7 +232,7 @@ def envelope_per_class(spark, d):
     return x.groupBy("label", "i").agg(F.round(F.avg("m"), 5).alias("mean"), F.round(F.stddev_pop("m"), 5).alias("std"))
 
 
-@query("lr_schedule", "TRN2 MET12 SRC15", """
+@query("lr_schedule", "TRN2", """
 select epoch, round(1e9 * case when epoch < 5 then 1e-5 + 9e-5 * epoch / 5 when epoch < 55 then 1e-6 + 99e-6 * (1 + cos(pi() * (epoch - 5) / 50)) / 2 else 1e-7 + 99e-7 * (1 + cos(pi() * (epoch - 55) / 20)) / 2 end, 3) as nano_rate
 from range(75) as r(epoch)
 """)
@@ -204,7 +240,7 @@ def lr_schedule(spark, d):
     return spark.range(75).select(F.col("id").alias("epoch"), F.round(1e9 * metrics.learning_rate(F.col("id")), 3).alias("nano_rate"))
 
 
-@query("augment_random", "AUG1 SMP2")
+@query("augment_random", "AUG1")
 def augment_random(spark, d):
     return augment.augmented(vectors(spark, d), "vec_id", "e", seed=42)
 
@@ -214,7 +250,7 @@ def weighted_sample(spark, d):
     return augment.weighted_sample(vectors(spark, d).select("vec_id", "label"), "label", "vec_id", seed=42)
 
 
-@query("hierarchical_classifier", "MDL7 MDL10 TRN3")
+@query("hierarchical_classifier", "MDL7")
 def hierarchical_classifier(spark, d):
     v = vectors(spark, d).withColumn("truth", F.col("label") % 8)
     return model.fit_and_predict(v, "vec_id", "e", "truth", test=F.col("vec_id") % 5 == 0)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalogue import query, read
-from ..sources import capture, folds
+from ..operators import split
+from ..sources import arrays, capture, folds
 from . import preprocess
 
 
-@query("recording_discovery", "SRC10 SRC11 SRC12 SCL9", """
+@query("recording_discovery", "SRC10 SRC12 SCL9", """
 with f as (select 'data/person_P' || s_nationkey || '/room_' || s_suppkey % 3 || '/setup_1/trajectory_Tr' || s_suppkey % 2 || '/walk_rep' || s_suppkey as id, s_suppkey from supplier)
 select id as recording_id, 'P' || regexp_extract(id, 'person_P([0-9]+)/', 1) as person, regexp_extract(id, 'room_([0-9]+)/', 1) as room, 'walk' as activity, s_suppkey::varchar as repetition, s_suppkey % 5 = 0 as copied
 from f
@@ -22,7 +23,7 @@ def recording_discovery(spark, d):
     return found.select("recording_id", "person", "room", "activity", "repetition", "copied")
 
 
-@query("header_decode", "SRC2 SRC4 SCL12", """
+@query("header_decode", "SRC2 SCL12", """
 with h as (select l_orderkey, l_linenumber, printf('%012x', l_orderkey * 1000003 + l_partkey) || printf('%04x', l_partkey % 65536) || printf('%04x', (l_suppkey * 13) % 65536) as hex from lineitem)
 select l_orderkey, l_linenumber, array_to_string(list_transform(range(6), lambda i: substr(hex, (1 + 2 * i)::bigint, 2)), ':') as mac,
        (('0x' || substr(hex, 15, 2) || substr(hex, 13, 2))::bigint)::int as seq, (('0x' || substr(hex, 17, 2))::bigint & 7)::int as core from h
@@ -36,7 +37,7 @@ def header_decode(spark, d):
     return rows.select("l_orderkey", "l_linenumber", mac.alias("mac"), number(F.concat(F.substring("h", 15, 2), F.substring("h", 13, 2))).alias("seq"), number(F.substring("h", 17, 2)).bitwiseAND(F.lit(7)).alias("core"))
 
 
-@query("summary_json", "SNK6 SRC13 SNK1", """
+@query("summary_json", "SNK6", """
 with f as (select user_id % 3 as dataset, user_id % 15 as fold, round(avg(value), 4) as macro_f1 from events group by 1, 2)
 select dataset, count(*) as folds, round(avg(macro_f1), 4) as mean, round(stddev_pop(macro_f1), 3) as std from f group by 1
 """)
@@ -55,3 +56,31 @@ def window_feature_pipeline(spark, d):
     refs = frames.select("recording_id").distinct().withColumn("ref", F.lit(0))
     w = preprocess.window_features(frames, refs, 52)
     return w.select("recording_id", "window_idx", "rx", F.size("amplitude").alias("n_amplitude"), F.size("doppler").alias("n_doppler"))
+
+
+def _values(classes):
+    return ", ".join(f"('{name}', {value}, {i})" for i, (name, value) in enumerate(classes))
+
+
+@query("array_discovery", "SRC11 LBL1", f"""
+with m(name, id, ord) as (values {_values(split.CLASSES_30)}),
+f as (select s_suppkey, (select name from m where ord = s_suppkey % 24) as name, 'data/set/' || upper((select name from m where ord = s_suppkey % 24)) || '/S' || s_nationkey || '_' || s_suppkey || case when s_suppkey % 2 = 0 then '.npy' else '.mat' end as path from supplier)
+select path, 'S' || s_nationkey || '_' || s_suppkey as recording_id, 'S' || s_nationkey as person, 'default' as room, (select id from m where m.name = f.name)::int as class_id
+from (select f.*, s_nationkey from f join supplier using (s_suppkey)) f
+""")
+def array_discovery(spark, d):
+    """Array files in folders of activities, names in capitals."""
+    names = F.array(*(F.lit(name) for name, _ in split.CLASSES_30))
+    s = read(spark, d, "supplier").withColumn("name", F.get(names, (F.col("s_suppkey") % 24).cast("int")))
+    files = s.select(F.concat(F.lit("data/set/"), F.upper("name"), F.lit("/S"), "s_nationkey", F.lit("_"), "s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, ".npy").otherwise(".mat")).alias("path"))
+    return arrays.array_recordings(files, split.CLASSES_30, "data/set")
+
+
+@query("fold_features", "DSP3 DSP4 DSP5 PRJ4 JN5 SRC16")
+def fold_features(spark, d):
+    """Synthetic packets of three persons to both branches of all folds, by each fold's own training statistics."""
+    packets = preprocess.synthetic_packets(spark, persons=3, seconds=2.2)
+    frames = preprocess.uniform_frames(packets.drop("person", "label"))
+    recordings = packets.select("recording_id", "person", F.lit("room").alias("room"), "label").distinct().withColumn("ref", F.lit(1))
+    out = preprocess.fold_features(frames, recordings, preprocess.fit_folds(frames, recordings, 52), 52)
+    return out.select("fold", "split", "recording_id", "person", "label", "window_idx", "rx", F.size("amplitude").alias("n_amplitude"), F.size("doppler").alias("n_doppler"))

@@ -74,3 +74,21 @@ def read_arrays(spark: SparkSession, path: str, shape: str = "narrow", antennas:
 
 def timed(frames: DataFrame, rate: float) -> DataFrame:
     return frames.withColumn("ts", F.col("t_idx") / rate)
+
+
+def array_recordings(files: DataFrame, classes: tuple[tuple[str, int], ...], root: str = "") -> DataFrame:
+    """path -> recording_id, person, room, class_id: array files by activity folder, or by a label in the name where no folder has one.
+
+    The folder's name is the activity; files right under root have none. Person is the stem before the first '_'.
+    """
+    from ..operators.split import mapped_class
+
+    rows = files.select("path").where(F.lower("path").rlike(r"\.(npy|npz|mat)$"))
+    inner = F.substring(F.col("path"), F.lit(len(root) + 1), F.length("path"))
+    rows = rows.withColumn("folder", F.regexp_extract(inner, r"^/?([^/]+)/[^/]+$", 1)).withColumn("recording_id", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
+    named = mapped_class(rows.withColumn("folder", F.nullif("folder", F.lit(""))), "folder", classes, blanks=" ")
+    flat = F.coalesce(*(F.when(F.lower("recording_id").contains(name.replace(" ", "_")), value) for name, value in classes))
+    any_ = named.agg(F.coalesce(F.max(F.col("class_id").isNotNull()), F.lit(False)).alias("any")).first()[0]
+    found = named if any_ else named.withColumn("class_id", flat)
+    person = F.element_at(F.split("recording_id", "_"), 1)
+    return found.where("class_id is not null").select("path", "recording_id", person.alias("person"), F.lit("default").alias("room"), "class_id")

@@ -2,13 +2,56 @@
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def written_folds(spark: SparkSession, path: str) -> DataFrame | None:
+    """fold, split of the partitions that a path holds; None if nothing is there."""
+    try:
+        return spark.read.parquet(path).select("fold", "split").distinct()
+    except AnalysisException:
+        return None
+
+
 def write_fold(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Window features partitioned by fold and split; existing output stays unless asked."""
-    df.write.mode("overwrite" if overwrite else "ignore").partitionBy("fold", "split").option("compression", "zstd").parquet(path)
+    """Window features partitioned by fold and split; partitions that exist stay unless asked, others are added."""
+    spark = df.sparkSession
+    there = None if overwrite else written_folds(spark, path)
+    if there is not None:
+        df = df.join(F.broadcast(there), ["fold", "split"], "left_anti")  # a row for each partition
+    rows = df.write.partitionBy("fold", "split").option("compression", "zstd")
+    (rows.mode("overwrite").option("partitionOverwriteMode", "dynamic") if overwrite else rows.mode("append")).parquet(path)
+
+
+def write_statistics(spark: SparkSession, path: str, **tables: DataFrame) -> None:
+    """A fold's statistics, a small Parquet table for each name."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_statistics(spark: SparkSession, path: str, name: str, fold: int | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{path}/{name}")
+    return df if fold is None else df.where(F.col("fold") == fold)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append to a log of metrics. The first rows fix the columns: later ones lack none (null) and add none (dropped)."""
+    try:
+        columns = rows.sparkSession.read.parquet(path).schema
+    except AnalysisException:
+        rows.write.parquet(path)
+        return
+    has = set(rows.columns)
+    rows.select(*((F.col(f.name) if f.name in has else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns)).write.mode("append").parquet(path)
+
+
+def csv_log(log: DataFrame, path: str) -> None:
+    """The log as CSV with a header."""
+    log.write.mode("overwrite").option("header", "true").csv(path)
 
 
 def read_fold(spark: SparkSession, path: str, fold: int, split: str) -> DataFrame:
@@ -27,7 +70,13 @@ def summary_json(folds: DataFrame, by: list[str]) -> DataFrame:
     return folds.groupBy(*by).agg(F.to_json(F.struct(F.avg("macro_f1").alias("mean"), F.stddev_pop("macro_f1").alias("std"), F.array_sort(F.collect_list(F.struct("fold", "macro_f1"))).alias("per_fold"))).alias("json"))
 
 
-def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+def read_summaries(spark: SparkSession, path: str) -> DataFrame | None:
+    """Summary documents; a warning and None where the path is missing."""
+    try:
+        spark.read.text(path)
+    except AnalysisException:
+        warnings.warn(f"no summaries at {path}", stacklevel=2)
+        return None
     return spark.read.option("multiLine", "true").json(path)
 
 
