@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewave.functions import arrays as A
 from tidewave.functions import kernels as K
-from tidewave.operators import align, augment, clean, metrics, split, stats
+from tidewave.operators import align, augment, clean, metrics, model, split, stats
 from tidewave.plans import preprocess
 from tidewave.sources import arrays as files
 from tidewave.sources.arrays import array_recordings
@@ -293,3 +293,28 @@ def test_fold_statistics_against_loops(spark, tmp_path):
         r = next(r for r in out if r.window_idx == 0)
         unit = (windows[r.recording_id][0][0] - own.mean(0)) / (own.std(0) + 1e-8)
         assert r.amplitude == pytest.approx(unit[:, r.rx].ravel().tolist(), abs=1e-4) and len(r.doppler) == 28 * 128
+
+
+def test_leave_one_out_resumes(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"p{i % 3}", i % 8, [float((i % 8) == j) + 0.1 * float(rng.normal()) for j in range(8)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, person string, truth int, x array<double>")
+    path = str(tmp_path / "run")
+    out = {r.id: (r.fold, r.pred) for r in model.leave_one_out(df, "person", "id", "x", "truth", path).collect()}
+    assert {i: f for i, (f, _) in out.items()} == {i: i % 3 for i in range(240)} and sum(p == i % 8 for i, (_, p) in out.items()) > 200
+    again = {r.id: (r.fold, r.pred) for r in model.leave_one_out(df.withColumn("truth", F.lit(0)), "person", "id", "x", "truth", path).collect()}
+    assert again == out
+    models = model.load(f"{path}/models/1")
+    assert {r.id: r.pred for r in model.predict(models, df.where("person = 'p1'"), "x").collect()} == {i: p for i, (f, p) in out.items() if f == 1}
+
+
+def test_joint_augmentation_draws_noise(spark):
+    df = spark.range(300).select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("rx"), F.lit(1).alias("ref")).withColumn("ant", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    df = df.withColumn("re", F.array_repeat(F.lit(1.0), 20)).withColumn("im", F.array_repeat(F.lit(0.0), 20))
+    out = augment.augmented_joint(df, "id", "rx", "ant", "ref", "re", "im", 3, noise=0.01)
+    small = out.where(F.abs(F.get("re", 0)) < 0.2)
+    assert small.where("ant = 1").select("id", "rx").distinct().groupBy("id").count().where("count > 1").isEmpty()
+    share = small.select("id").distinct().count() / 300
+    assert 0.2 < share < 0.36  # one antenna with .2, one receiver with .1
+    r = small.select(F.explode("im").alias("v")).agg(F.stddev("v").alias("s"), F.avg("v").alias("m")).first()
+    assert 0.009 < r.s < 0.012 and abs(r.m) < 0.001

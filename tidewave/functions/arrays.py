@@ -103,3 +103,13 @@ def unpacked(word: Column) -> tuple[Column, Column]:
         return m * F.pow(F.lit(2.0), F.shiftright(word, exponent).bitwiseAND(F.lit(0x3F)) - 31)
 
     return half(31, 22, 16), half(15, 6, 0)
+
+
+def frequency(k: Column, size: int = 128, rate: float = 350.0) -> Column:
+    """Hz of the k-th bin of a centred two-sided spectrum."""
+    return (k - size // 2) * rate / size
+
+
+def mean_of(parts: Column) -> Column:
+    """The element-wise mean of an array of equally long arrays."""
+    return F.transform(F.get(parts, 0), lambda _, i: F.aggregate(parts, F.lit(0.0), lambda s, p: s + F.get(p, i)) / F.size(parts))

@@ -76,6 +76,38 @@ def augmented(df: DataFrame, key: str, values: str, seed: int, shift: int = 30,
     return out.withColumn("augmented", final).drop("__by", "__factor")
 
 
+def augmented_joint(df: DataFrame, key: str, rx: str, ant: str, ref: str, re: str, im: str, seed: int, shift: int = 30, receivers: int = 3, antennas: int = 4, noise: float = 0.01) -> DataFrame:
+    """df with re and im augmented: rows are one subcarrier of one receiver and antenna in a window, arrays over time.
+
+    Every draw is the window's own: a shift of up to `shift` places with repeated edges (p .5), a
+    factor of .6 to 1.4 (p .5), one antenna but the reference replaced by noise (p .2), one
+    receiver replaced by noise (p .1), noise on all (p .3).
+    """
+    on = lambda what, p: draw(key, seed, f"{what}?") < p
+    n = F.size(re)
+    by = F.when(on("shift", 0.5), F.floor(draw(key, seed, "shift") * (2 * shift + 1)) - shift).otherwise(0).cast("int")
+    factor = F.when(on("scale", 0.5), 0.6 + 0.8 * draw(key, seed, "scale")).otherwise(1.0)
+    other = F.floor(draw(key, seed, "antenna") * (antennas - 1)).cast("int")
+    antenna = F.when(on("antenna", 0.2), other + (other >= F.col(ref)).cast("int"))
+    receiver = F.when(on("receiver", 0.1), F.floor(draw(key, seed, "receiver") * receivers).cast("int"))
+    gone = F.coalesce(F.col(ant) == antenna, F.lit(False)) | F.coalesce(F.col(rx) == receiver, F.lit(False))
+    out = df.withColumn("__d", F.struct(by.alias("by"), factor.alias("factor"), gone.alias("gone"), on("noise", 0.3).alias("noisy")))
+
+    def normal(part: str, i: Column) -> Column:
+        # two uniforms by hash to one normal (Box and Muller)
+        u = [(F.pmod(F.xxhash64(F.col(key), F.col(rx), F.col(ant), F.lit(part), F.lit(seed + j), i), F.lit(1 << 53)) + 1) / float((1 << 53) + 1) for j in range(2)]
+        return F.sqrt(-2 * F.log(u[0])) * F.cos(6.283185307179586 * u[1]) * noise
+
+    def moved(part: str) -> Column:
+        def at(i: Column) -> Column:
+            x = F.get(part, F.least(F.greatest(i - F.col("__d.by"), F.lit(0)), n - 1)) * F.col("__d.factor")
+            return F.when(F.col("__d.gone"), normal(part, i)).otherwise(x) + F.when(F.col("__d.noisy"), normal(part, i + n)).otherwise(0.0)
+
+        return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+    return out.withColumns({re: moved(re), im: moved(im)}).drop("__d")
+
+
 def weighted_sample(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     """As many rows as df has, drawn with replacement, each class as likely as any other.
 

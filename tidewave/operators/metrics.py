@@ -128,3 +128,22 @@ def learning_rate(epoch: Column, warm: int = 5, main: int = 50, fine: int = 20)
     cosine = lambda e, n, hi, lo: lo + (hi - lo) * (1 + F.cos(math.pi * e / n)) / 2
     up = 1e-5 + (1e-4 - 1e-5) * epoch / warm
     return F.when(epoch < warm, up).when(epoch < warm + main, cosine(epoch - warm, main, 1e-4, 1e-6)).otherwise(cosine(epoch - warm - main, fine, 1e-5, 1e-7))
+
+
+def curves(log: DataFrame, phase: str | None = None) -> DataFrame:
+    """phase, epoch, loss, f1, rate: the means over folds of a training log, of one phase or all."""
+    rows = log if phase is None else log.where(F.col("phase") == phase)
+    return rows.groupBy("phase", "epoch").agg(F.avg("loss").alias("loss"), F.avg("f1").alias("f1"), F.max("rate").alias("rate"))
+
+
+def colour_limits(spectrogram: Column) -> Column:
+    """(low, high): the 5th and 95th percentile, by interpolation between neighbours."""
+    s = F.sort_array(spectrogram)
+
+    def at(p: float) -> Column:
+        place = (F.size(s) - 1) * p
+        below = F.floor(place).cast("int")
+        low, high = F.get(s, below), F.get(s, F.least(below + 1, F.size(s) - 1))
+        return low + (high - low) * (place - below)
+
+    return F.struct(at(0.05).alias("low"), at(0.95).alias("high"))

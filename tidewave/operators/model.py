@@ -6,12 +6,16 @@ composition is the same, so probabilities of the eight classes sum to 1.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from functools import reduce
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folds import write_fold, written_folds
 from .metrics import argmax, composed
+from .split import person_ranks, split_of
 
 
 def fit(train: DataFrame, vector: str, truth: str, max_iter: int = 30):
@@ -40,3 +44,37 @@ def predict(models, df: DataFrame, vector: str) -> DataFrame:
 def fit_and_predict(df: DataFrame, key: str, vector: str, truth: str, test: Column) -> DataFrame:
     models = fit(df.where(~test), vector, truth)
     return predict(models, df.where(test), vector).select(key, truth, "pred", "probs")
+
+
+def save(models, path: str) -> None:
+    for name, m in zip(("presence", "motion", "activity"), models):
+        m.write().overwrite().save(f"{path}/{name}")
+
+
+def load(path: str):
+    return tuple(LogisticRegressionModel.load(f"{path}/{name}") for name in ("presence", "motion", "activity"))
+
+
+def leave_one_out(df: DataFrame, person: str, key: str, vector: str, truth: str, path: str | None = None) -> DataFrame:
+    """fold, key, truth, pred, probs: each person's rows, predicted by the models of the training persons.
+
+    With a path, models and predictions of each fold are written there, and folds that
+    are there already are not fitted again. Persons are few; each fold is jobs of its own.
+    """
+    ranks = person_ranks(df, person)
+    n = ranks.agg(F.max("persons")).first()[0]
+    rows, out = df.join(ranks, person), []
+    done = {r.fold for r in written.collect()} if path and (written := written_folds(df.sparkSession, f"{path}/predictions")) is not None else set()
+    for fold in range(n):
+        own = rows.withColumn("fold", F.lit(fold)).withColumn("split", split_of(F.col("k"), F.col("fold"), F.col("persons")))
+        if fold not in done:
+            models = fit(own.where("split = 'train'"), vector, truth)
+            pred = predict(models, own.where("split = 'test'"), vector).select("fold", "split", key, truth, "pred", "probs")
+            if path:
+                save(models, f"{path}/models/{fold}")
+                write_fold(pred, f"{path}/predictions")
+            else:
+                out.append(pred)
+    if path:
+        return df.sparkSession.read.parquet(f"{path}/predictions").select("fold", key, truth, "pred", "probs")
+    return reduce(DataFrame.unionByName, out).drop("split")

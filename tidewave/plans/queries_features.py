@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalogue import query, read
 from ..functions import arrays as A
 from ..functions.kernels import filter_matrix
-from ..operators import augment, clean, split, stats
+from ..operators import augment, clean, metrics, split, stats
 from .queries_clean import _TRACK, track
 
 
@@ -366,3 +366,36 @@ def cutmix_drawn(spark, d):
     out = augment.cut_and_mixed(rows, "b", "vec_id", "e", "label", 42, epoch=11)
     out = out.select("vec_id", "partner", F.round("weight", 6).alias("weight"), F.posexplode("mixed").alias("i", "value"))
     return out.select("vec_id", "partner", "weight", F.col("i").cast("long"), F.round("value", 6).alias("value"))
+
+
+@query("frequency_axis", "SCL11", "select k, (k - 64) * 350e0 / 128 as hz from range(128) as r(k)")
+def frequency_axis(spark, d):
+    return spark.range(128).select(F.col("id").alias("k"), A.frequency(F.col("id")).alias("hz"))
+
+
+@query("spectrogram_mean", "MET11", f"""
+with m as (select vec_id, i, (e[i + 1] + e[i + 22] + e[i + 43]) / 3 as v from ({_E}), range(21) as r(i))
+select vec_id, round(quantile_cont(v, 5e-2), 6) as low, round(quantile_cont(v, 95e-2), 6) as high, round(sum(v), 6) as total from m group by 1
+""")
+def spectrogram_mean(spark, d):
+    """Three receivers' spectrograms of 21 values: their mean and its colour limits."""
+    v = vectors(spark, d).withColumn("m", A.mean_of(F.array(*(F.slice("e", 1 + 21 * r, 21) for r in range(3)))))
+    c = metrics.colour_limits(F.col("m"))
+    return v.select("vec_id", F.round(c["low"], 6).alias("low"), F.round(c["high"], 6).alias("high"), F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("augment_joint", "AUG1", f"""
+with w as (select vec_id, rx, ant, (vec_id % 4)::int as ref, list_transform(range(5), lambda i: e[((rx * 4 + ant) * 5 + i + 1)::bigint]) as v from ({_E}), range(3) as r(rx), range(4) as q(ant)),
+f as (select *, case when {_draw('vec_id', 5, 'shift?')} < 5e-1 then floor({_draw('vec_id', 5, 'shift')} * 5)::int - 2 else 0 end as by_, case when {_draw('vec_id', 5, 'scale?')} < 5e-1 then 6e-1 + 8e-1 * {_draw('vec_id', 5, 'scale')} else 1e0 end as factor,
+      floor({_draw('vec_id', 5, 'antenna')} * 3)::int as o, {_draw('vec_id', 5, 'antenna?')} < 2e-1 as drops, {_draw('vec_id', 5, 'receiver?')} < 1e-1 and rx = floor({_draw('vec_id', 5, 'receiver')} * 3)::int as lost from w),
+g as (select *, lost or (drops and ant = o + (o >= ref)::int) as gone from f)
+select vec_id, rx::int as rx, ant::int as ant, i, round(case when gone then 0e0 else v[greatest(0, least(4, i - by_)) + 1] * factor end, 6) as re, round(case when gone then 0e0 else 2 * v[greatest(0, least(4, i - by_)) + 1] * factor end, 6) as im from g, range(5) as s(i)
+""")
+def augment_joint(spark, d):
+    """Windows of 3 receivers and 4 antennas with 5 samples each, shifted by up to 2, noise of no strength."""
+    v = vectors(spark, d).select("vec_id", (F.col("vec_id") % 4).cast("int").alias("ref"), "e")
+    cells = F.array(*(F.struct(F.lit(rx).alias("rx"), F.lit(ant).alias("ant"), F.slice("e", 1 + 5 * (4 * rx + ant), 5).alias("re")) for rx in range(3) for ant in range(4)))
+    rows = v.select("vec_id", "ref", F.explode(cells).alias("c")).select("vec_id", "ref", "c.rx", "c.ant", "c.re").withColumn("im", F.transform("re", lambda x: 2 * x))
+    out = augment.augmented_joint(rows, "vec_id", "rx", "ant", "ref", "re", "im", 5, shift=2, noise=0.0)
+    out = out.select("vec_id", "rx", "ant", F.posexplode(F.arrays_zip("re", "im")).alias("i", "z"))
+    return out.select("vec_id", "rx", "ant", F.col("i").cast("long"), F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"))

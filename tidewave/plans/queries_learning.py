@@ -204,10 +204,27 @@ def loss_consistency(spark, d):
 
 
 @query("loss_total", "LSS5", f"""
-with {_P} select round(avg(-ln(greatest(conf, 1e-8))) + 6e-1 * (3e-1 * avg(conf) + 5e-2 * avg(1 - conf)), 6) as loss from a
+with {_P}, {_HEADS}, l as (select avg(-list_sum(list_transform(range(8), lambda i: ((case when i = truth then 95e-2 else 0e0 end) + 5e-2 / 8) * ln(greatest(probs[i + 1], 1e-8)))) * [1e0, 1e0, 15e-1, 15e-1, 12e-1, 2e0, 1e0, 8e-1][truth + 1]) as main from a),
+t as (select h.*, label % 8 as truth from h join embeddings using (vec_id)), b as (select *, least(greatest(occ, 1e-7), 1 - 1e-7) as o, least(greatest(dyn, 1e-7), 1 - 1e-7) as y from t),
+k as (select avg(-case when truth <> 7 then ln(o) else ln(1 - o) end) as occ, avg(-case when truth < 6 then ln(y) else ln(1 - y) end) filter (truth <> 7) as dyn,
+      avg(-pow(1 - greatest(u[truth + 1] / list_sum(u), 1e-8), 2) * ln(greatest(u[truth + 1] / list_sum(u), 1e-8))) filter (truth < 6) as act from b),
+x as (select vec_id, r, i, e[r * 16 + i + 1] as z from ({_E}), range(3) as q(r), range(16) as s(i)), m as (select *, avg(z) over (partition by vec_id, i) as m from x), c as (select avg((z - m) * (z - m)) as cons from m)
+select epoch, round(main + least(epoch / 5, 1) * (3e-1 * (k.occ + k.dyn + act) + 5e-2 * cons), 6) as loss from l, k, c, (values (0), (3), (9)) as g(epoch)
 """)
 def loss_total(spark, d):
-    return predictions(spark, d).agg(F.round(metrics.total_loss(F.avg(-F.log(F.greatest("conf", F.lit(1e-8)))), [(0.3, F.avg("conf")), (0.05, F.avg(1 - F.col("conf")))], 3), 6).alias("loss"))
+    """All five losses of the heads, before, within and after the ramp."""
+    v = vectors(spark, d).withColumn("truth", (F.col("label") % 8).cast("int"))
+    flag = lambda c: c.cast("int").cast("double")
+    main = metrics.smoothed_loss(A.softmax(F.slice("e", 1, 8)), F.col("truth"), WEIGHTS)
+    occ = metrics.binary_loss(A.sigmoid(F.col("e")[0]), flag(F.col("truth") != 7))
+    dyn = F.when(F.col("truth") != 7, metrics.binary_loss(A.sigmoid(F.col("e")[1]), flag(F.col("truth") < 6)))
+    act = F.when(F.col("truth") < 6, metrics.focal_loss(F.get(A.softmax(F.slice("e", 3, 6)), F.col("truth"))))
+    receivers = F.array(*(F.slice("e", 1 + 16 * r, 16) for r in range(3)))
+    v = v.withColumn("m", A.mean_of(receivers))
+    apart = F.aggregate(F.flatten(F.transform(receivers, lambda p: F.zip_with(p, "m", lambda z, m: (z - m) * (z - m)))), F.lit(0.0), lambda s, x: s + x) / 48
+    one = v.agg(F.avg(main).alias("main"), F.avg(occ).alias("occ"), F.avg(dyn).alias("dyn"), F.avg(act).alias("act"), F.avg(apart).alias("cons"))
+    parts = [(0.3, F.col("occ")), (0.3, F.col("dyn")), (0.3, F.col("act")), (0.05, F.col("cons"))]
+    return one.select(F.explode(F.array(*(F.struct(F.lit(e).alias("epoch"), F.round(metrics.total_loss(F.col("main"), parts, e), 6).alias("loss")) for e in (0, 3, 9)))).alias("r")).select("r.*")
 
 
 @query("receiver_fusion", "MDL5", f"""
@@ -240,6 +257,23 @@ def lr_schedule(spark, d):
     return spark.range(75).select(F.col("id").alias("epoch"), F.round(1e9 * metrics.learning_rate(F.col("id")), 3).alias("nano_rate"))
 
 
+@query("training_curves", "MET12", """
+select case when event_id % 2 = 0 then 'train' else 'val' end as phase, user_id % 20 as epoch, round(avg(value), 5) as loss, round(avg(1 / (1 + abs(value))), 5) as f1, round(max(1e-4 * (user_id % 20)), 7) as rate from events group by 1, 2
+""")
+def training_curves(spark, d):
+    """Events as rows of a log: loss, F1 and rate by phase and epoch, folds averaged."""
+    log = read(spark, d, "events").select(F.when(F.col("event_id") % 2 == 0, "train").otherwise("val").alias("phase"), (F.col("user_id") % 20).alias("epoch"), F.col("value").alias("loss"), (1 / (1 + F.abs("value"))).alias("f1"), (1e-4 * (F.col("user_id") % 20)).alias("rate"))
+    c = metrics.curves(log)
+    return c.select("phase", "epoch", *(F.round(x, 5).alias(x) for x in ("loss", "f1")), F.round("rate", 7).alias("rate"))
+
+
+@query("hierarchical_folds", "TRN3 SPL2")
+def hierarchical_folds(spark, d):
+    """The hierarchical heads on every person left out in turn."""
+    v = vectors(spark, d).withColumn("truth", F.col("label") % 8).withColumn("person", F.col("vec_id") % 4)
+    return model.leave_one_out(v, "person", "vec_id", "e", "truth")
+
+
 @query("augment_random", "AUG1")
 def augment_random(spark, d):
     return augment.augmented(vectors(spark, d), "vec_id", "e", seed=42)

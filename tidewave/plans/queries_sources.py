@@ -23,18 +23,32 @@ def recording_discovery(spark, d):
     return found.select("recording_id", "person", "room", "activity", "repetition", "copied")
 
 
-@query("header_decode", "SRC2 SCL12", """
-with h as (select l_orderkey, l_linenumber, printf('%012x', l_orderkey * 1000003 + l_partkey) || printf('%04x', l_partkey % 65536) || printf('%04x', (l_suppkey * 13) % 65536) as hex from lineitem)
-select l_orderkey, l_linenumber, array_to_string(list_transform(range(6), lambda i: substr(hex, (1 + 2 * i)::bigint, 2)), ':') as mac,
-       (('0x' || substr(hex, 15, 2) || substr(hex, 13, 2))::bigint)::int as seq, (('0x' || substr(hex, 17, 2))::bigint & 7)::int as core from h
-""")
+_HEX = "printf('%012x', l_orderkey * 1000003 + l_partkey) || printf('%04x', l_partkey % 65536) || printf('%04x', (l_suppkey * 13) % 65536)"
+_HEADERS = f"""
+h as (select l_orderkey, l_linenumber, {_HEX} as hex from lineitem),
+p as (select l_orderkey, l_linenumber, array_to_string(list_transform(range(6), lambda i: substr(hex, (1 + 2 * i)::bigint, 2)), ':') as mac,
+      (('0x' || substr(hex, 15, 2) || substr(hex, 13, 2))::bigint)::int as seq, (('0x' || substr(hex, 17, 2))::bigint & 7)::int as core from h)
+"""
+
+
+def payloads(spark, d):
+    """Sample packets with header bytes from lineitem keys: MAC, little-endian sequence, stream with the core in its low bits; two zero samples."""
+    part = lambda c, n: F.lpad(F.hex(c), n, "0")
+    hexed = F.concat(F.lit("1111"), part(F.col("l_orderkey") * 1000003 + F.col("l_partkey"), 12), part(F.col("l_partkey") % 65536, 4), part((F.col("l_suppkey") * 13) % 65536, 4), F.lit("00" * (capture.HEADER - 10 + 8)))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.unhex(hexed).alias("payload"))
+
+
+@query("header_decode", "SRC2 SCL12", f"with {_HEADERS} select * from p")
 def header_decode(spark, d):
-    """Header bytes from lineitem keys: MAC, little-endian sequence, core in the low bits of the next."""
-    hexed = F.concat(F.lower(F.lpad(F.hex(F.col("l_orderkey") * 1000003 + F.col("l_partkey")), 12, "0")), F.lower(F.lpad(F.hex(F.col("l_partkey") % 65536), 4, "0")), F.lower(F.lpad(F.hex((F.col("l_suppkey") * 13) % 65536), 4, "0")))
-    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hexed.alias("h"))
-    number = lambda c: F.conv(c, 16, 10).cast("int")
-    mac = F.array_join(F.transform(F.array(*map(F.lit, range(6))), lambda i: F.substring(F.col("h"), 1 + 2 * i, F.lit(2))), ":")
-    return rows.select("l_orderkey", "l_linenumber", mac.alias("mac"), number(F.concat(F.substring("h", 15, 2), F.substring("h", 13, 2))).alias("seq"), number(F.substring("h", 17, 2)).bitwiseAND(F.lit(7)).alias("core"))
+    return capture.decoded(payloads(spark, d), "payload", 2).select("l_orderkey", "l_linenumber", "mac", "seq", "core")
+
+
+@query("mac_filter", "SRC4", f"with {_HEADERS} select l_orderkey, l_linenumber, seq from p where mac = (select mac from p order by l_orderkey, l_linenumber limit 1)")
+def mac_filter(spark, d):
+    """The packets of the first packet's sender, whose address is given in capitals."""
+    first = read(spark, d, "lineitem").orderBy("l_orderkey", "l_linenumber").select(F.col("l_orderkey") * 1000003 + F.col("l_partkey")).first()[0]
+    mac = ":".join(f"{first:012X}"[i : i + 2] for i in range(0, 12, 2))
+    return capture.of_mac(capture.decoded(payloads(spark, d), "payload", 2), mac).select("l_orderkey", "l_linenumber", "seq")
 
 
 @query("summary_json", "SNK6", """

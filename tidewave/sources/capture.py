@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PACKETS = "path string, seq long, ts double, mac string, core int, re array<double>, im array<double>"
 # Fixed values of the formats: capture file magics (little and big endian, micro- and nanoseconds), payload marks.
@@ -84,7 +85,29 @@ def read_captures(spark: SparkSession, path: str, mac: str | None = None, bins:
             yield pd.DataFrame(rows, columns=["path", "seq", "ts", "mac", "core", "re", "im"])
 
     out = files.mapInPandas(run, PACKETS)
-    return out if mac is None else out.where(F.lower("mac") == mac.lower())
+    return out if mac is None else of_mac(out, mac)
+
+
+def of_mac(packets: DataFrame, mac: str) -> DataFrame:
+    """The packets of one sender, in whatever case it is written."""
+    return packets.where(F.lower("mac") == mac.lower())
+
+
+def decoded(packets: DataFrame, payload: str, bins: int = 64) -> DataFrame:
+    """packets, without the payload, plus mac, seq, core, re, im; payloads that are no sample packets give no row."""
+    keep = [c for c in packets.columns if c != payload]
+    rows = packets.select(*keep, payload)
+    schema = T.StructType([*rows.select(*keep).schema.fields, *T._parse_datatype_string("mac string, seq int, core int, re array<double>, im array<double>").fields])
+
+    def run(batches):
+        for pdf in batches:
+            found = [decode(bytes(x), bins) if x is not None else None for x in pdf[payload]]
+            out = pdf.loc[[f is not None for f in found], keep].copy()
+            for i, name in enumerate(("mac", "seq", "core", "re", "im")):
+                out[name] = [f[i] for f in found if f is not None]
+            yield out
+
+    return rows.mapInPandas(run, schema)
 
 
 #: person, room, setup, trajectory and receiver come from anchored path parts; the activity from the file's stem alone.
