@@ -169,9 +169,19 @@ def read_prefix(bits: Bits, size: int) -> Prefix:
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     lengths: list[int] = []
     last = 8
+    table, top = code.table
+    mask = (1 << top) - 1
     while len(lengths) < size and most:
         most -= 1
-        s = code.read(bits)
+        if bits.have < 15:
+            bits.peek(15)
+        if bits.have >= 15:
+            v = table[bits.value & mask]
+            bits.value >>= v & 15
+            bits.have -= v & 15
+            s = v >> 4
+        else:
+            s = code.read(bits)
         if s < 16:
             lengths.append(s)
             last = s or last
@@ -246,14 +256,9 @@ def _near(width: int) -> list[int]:
     return [max(1, x + y * width) for x, y in SHORT_DISTANCES]
 
 
-def _words(data: bytes, dtype) -> np.ndarray:
-    """At each byte the bits that follow, as many as the type holds; zeros follow the end."""
-    size = np.dtype(dtype).itemsize
-    raw = np.frombuffer(data + b"\0" * (2 * size), np.uint8)
-    words = raw[: len(raw) - size].astype(dtype)
-    for i in range(1, size):
-        words |= raw[i : i + len(words)].astype(dtype) << dtype(8 * i)
-    return words
+def _words(data: bytes) -> np.ndarray:
+    """At each byte the 64 bits that follow, as a view; zeros follow the end."""
+    return np.ndarray((len(data) + 16,), "<u8", data + b"\0" * 24, strides=(1,))
 
 
 def _looked(code: Prefix) -> np.ndarray:
@@ -261,20 +266,26 @@ def _looked(code: Prefix) -> np.ndarray:
     return code.lookup if code.only is None else np.full(1 << code.top, code.only << 4, np.uint16)
 
 
-def _extra_at(words: np.ndarray, at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of length or distance symbols whose extra bits stand at the bit positions; the positions after."""
-    more = np.where(s < 4, 0, np.maximum(s - 2, 0) >> 1)
-    low = (words[np.minimum(at >> 3, len(words) - 1)] >> (at & 7).astype(np.uint64)).astype(np.int64) & ((1 << more) - 1)
-    return np.where(s < 4, s + 1, ((2 + (s & 1)) << more) + low + 1), at + more
+# Of every length or distance symbol: its extra bits, and its value when they are 0. Masks of so many bits.
+_MORE = np.array([0 if s < 4 else (s - 2) >> 1 for s in range(40)])
+_LEAST = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(40)])
+_MASK = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
+def _bits_at(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return words[at >> 3] >> (at & 7).view(np.uint64)
 
 
 def _references(words: np.ndarray, at: np.ndarray, symbol: np.ndarray, distance: Prefix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(length, distance code, position after) of back-references whose length symbols end at the bit positions."""
-    length, at = _extra_at(words, at, symbol)
-    window = (words[np.minimum(at >> 3, len(words) - 1)] >> (at & 7).astype(np.uint64)) & np.uint64((1 << distance.top) - 1)
-    seen = _looked(distance)[window.astype(np.int64)].astype(np.int64)
-    code, at = _extra_at(words, at + (seen & 15), seen >> 4)
-    return length, code, at
+    more = _MORE[symbol]
+    length = _LEAST[symbol] + (_bits_at(words, at) & _MASK[more]).view(np.int64)
+    at = at + more
+    seen = _looked(distance)[_bits_at(words, at) & _MASK[distance.top]].astype(np.int64)
+    at += seen & 15
+    symbol = seen >> 4
+    more = _MORE[symbol]
+    return length, _LEAST[symbol] + (_bits_at(words, at) & _MASK[more]).view(np.int64), at + more
 
 
 def _one_channel(bits: Bits, group: list[Prefix], width: int, total: int) -> np.ndarray:
@@ -286,18 +297,15 @@ def _one_channel(bits: Bits, group: list[Prefix], width: int, total: int) -> np.
     start = bits.position
     data, start = bits.data[start // 8 :], start % 8
     n = 8 * len(data)
-    near = _words(data, np.uint32)[: len(data)]
-    seen = np.empty((len(data), 8), np.uint16)
-    table, mask = _looked(green), np.uint32((1 << green.top) - 1)
-    for i in range(8):
-        seen[:, i] = table[near >> np.uint32(i) & mask]
-    seen = seen.reshape(-1)
+    words = _words(data)
+    near = words[: len(data)].astype(np.uint32)
+    seen = _looked(green)[(near[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.top) - 1)].reshape(-1)
     follow = (seen & np.uint16(15)).astype(np.int32)
     follow += np.arange(n, dtype=np.int32)
     far = np.flatnonzero(seen >= 256 << 4)
-    words = _words(data, np.uint64)
     if len(far):
-        follow[far] = _references(words, follow[far].astype(np.int64), (seen[far] >> 4).astype(np.int64) - 256, distance)[2]
+        # codes of the colour cache, which there is none of, are told below
+        length, code, follow[far] = _references(words, follow[far].astype(np.int64), np.minimum((seen[far] >> 4).astype(np.int64) - 256, 39), distance)
     # the chain is followed eight tokens at a time, and filled in after
     np.minimum(follow, n, out=follow)
     follow = np.append(follow, np.int32(n))
@@ -315,7 +323,11 @@ def _one_channel(bits: Bits, group: list[Prefix], width: int, total: int) -> np.
     symbol = (seen[chain] >> 4).astype(np.int64)
     ref = np.flatnonzero(symbol > 255)
     pixels = np.ones(len(chain), np.int64)
-    pixels[ref], code, _ = _references(words, chain[ref] + (seen[chain[ref]] & 15), symbol[ref] - 256, distance)
+    if len(ref):
+        place = np.searchsorted(far, chain[ref])
+        pixels[ref], code = length[place], code[place]
+    else:
+        code = ref
     ends = np.cumsum(pixels)
     last = int(np.searchsorted(ends, total)) + 1
     if last > len(chain) or ends[last - 1] != total:
@@ -554,31 +566,42 @@ def _write_code(w: Writer, lengths: list[int]) -> None:
         w.put(of[s], 3)
     w.put(0, 1)
     code, size = _codes_of(of)
+    code, size = code.tolist(), size.tolist()
     for s, value, more in runs:
-        w.put(int(code[s]), int(size[s])), w.put(value, more)
+        w.put(code[s] | value << size[s], size[s] + more)
+
+
+@functools.cache
+def _value_symbols() -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, extra bits) of every length or distance code that an image here can need, by the value less 1."""
+    u = np.arange(1 << 21)
+    symbol = np.searchsorted(_LEAST, u + 1, side="right") - 1
+    return symbol.astype(np.int64), _MORE[symbol]
 
 
 def _value_code(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbol, extra value, extra bits) of lengths or distance codes."""
-    u = v - 1
-    top = np.frexp(np.maximum(u, 1).astype(np.float64))[1] - 1
-    more = np.where(v <= 4, 0, np.maximum(top - 1, 0))
-    return np.where(v <= 4, u, 2 * top + (u >> more & 1)), u & ((1 << more) - 1), more
+    symbols, bits = _value_symbols()
+    symbol, more = symbols[v - 1], bits[v - 1]
+    return symbol, v - _LEAST[symbol], more
 
 
 def back_references(rank: np.ndarray, few: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, distance): from left to right, runs that equal the last place where their first pixels stand.
 
-    few: at most 256 kinds of pixels, of which six make a beginning; else three of at most 2^21.
+    few: at most 256 kinds of pixels, of which eight make a beginning; else three of at most 2^21.
     """
-    least, wide = (6, 8) if few else (3, 21)
+    least = 8 if few else 3
     none = (np.zeros(0, np.int64),) * 3
     n = len(rank) - least + 1
     if n < 2:
         return none
-    key = rank[:n].astype(np.uint64)
-    for i in range(1, least):
-        key |= rank[i : i + n].astype(np.uint64) << np.uint64(wide * i)
+    if few:
+        key = np.ndarray((n,), "<u8", rank.astype(np.uint8).tobytes(), strides=(1,)).copy()
+    else:
+        key = rank[:n].astype(np.uint64)
+        for i in range(1, least):
+            key |= rank[i : i + n].astype(np.uint64) << np.uint64(21 * i)
     # neighbours in the order of a short hash; of those that differ in the key none is taken
     order = np.argsort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
     sorted_ = key[order]
@@ -671,11 +694,13 @@ def _write_image(w: Writer, p: np.ndarray, width: int, main: bool, use: set[str]
         size[rows] += n.astype(np.uint64)
 
     everything = np.ones(len(place), bool)
-    parts = [(everything, first, 280 + (1 << cache_bits if cache_bits else 0))] + [(literal, (there[literal] >> np.uint32(s) & np.uint32(255)).astype(np.int64), 256) for s in (16, 0, 24)] + [(ref, dist_symbol, 40)]
+    parts = [(everything, first, 280 + (1 << cache_bits if cache_bits else 0)), (literal, 16, 256), (literal, 0, 256), (literal, 24, 256), (ref, dist_symbol, 40)]
     for i, (rows, symbols, alphabet) in enumerate(parts):
         if grey and 0 < i < 4:  # one symbol, no bits
             w.put(0b101, 3), w.put(int(there[0] >> np.uint32((16, 0, 24)[i - 1]) & np.uint32(255)), 8)
             continue
+        if 0 < i < 4:
+            symbols = (there[rows] >> np.uint32(symbols) & np.uint32(255)).astype(np.int64)
         lengths = code_lengths(np.bincount(symbols, minlength=alphabet), LONGEST)
         _write_code(w, lengths)
         if len(symbols):
@@ -790,7 +815,9 @@ def encode(pixels: np.ndarray, use: set[str] | None = None) -> bytes:
                     c = cross & 0xFF
         # the rough cost of a mode, by whole bytes; edges are left out
         flat = byte.reshape(height, width, 1) if grey else c.astype(np.uint8).reshape(height, width, 4)
-        tried = [(_rough(flat, mode), mode) for mode in (MODES[:2] if grey else MODES)] if min(height, width) > 1 else []
+        # bytes that rarely equal a neighbour are not tried
+        like = grey and max(np.count_nonzero(byte[1:] == byte[:-1]), np.count_nonzero(byte[width:] == byte[:-width])) * 5 >= len(byte)
+        tried = [(_rough(flat, mode), mode) for mode in MODES] if min(height, width) > 1 and (like or not grey) else []
         if tried and min(tried)[0] < 0.97 * best:
             use.add("predictor")
             w.put(1, 1), w.put(PREDICTOR, 2), w.put(TILE_BITS - 2, 3)
