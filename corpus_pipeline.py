@@ -22,28 +22,36 @@ SHARE = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the risk-controlled rules reject go."""
+    """Documents that the base rule or the risk-controlled rules reject go.
+
+    Null and wordless texts fail the base rule; null languages have the base rule
+    alone; repeated rows share their fate; an empty table stays empty.
+    """
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at Jaccard 0.8 over five-word shingles the smallest doc_id stays."""
+    """Of each group linked at Jaccard 0.8 over five-word shingles the smallest doc_id stays, null ids last.
+
+    Of equal rows one stays; wordless and null texts are no duplicates and all stay.
+    """
     ship(spark)
     return keep_one_each(docs, k=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found spans are replaced by their kind's name; n_chars follows the text."""
+    """Found spans are replaced by their kind's name; n_chars follows the text. Null texts stay null, with null n_chars."""
     ship(spark)
     return mask_personal_data(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn with raked probabilities."""
+    """Documents are drawn with raked probabilities; texts without tokens, or null, are not drawn; rows of one doc_id share a draw."""
     return keep_mixed(docs, SHARE)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and what encode_decode() adds: a row for each document, null and empty texts with no ids."""
     ship(spark)
     return encode_decode(docs)
 
@@ -56,7 +64,7 @@ STAGES = [
     ("token_ids", token_ids),
 ]
 
-#: Personal data and tokens have no SQL; tests/llm holds the pipeline against a brute-force version.
+#: Personal data and tokens have no SQL; tests/llm holds each stage against a plain version of its decision, where it has one.
 ORACLE_SQL = None
 
 
