@@ -245,4 +245,6 @@ def test_spans_against_plain_diagonals(spark):
 
 def test_licenses_odd_rows(spark):
     docs = odd_docs(spark)
-    assert license_scan.scan_licenses(docs).count() == docs.count() and license_scan.scan_licenses(no_docs(spark)).count() == 0
+    got = sorted((tuple(r)[:6] for r in license_scan.scan_licenses(docs).collect()), key=repr)
+    assert got == sorted(((r.doc_id, *plain_license(r.text)) for r in docs.collect()), key=repr)
+    assert license_scan.scan_licenses(no_docs(spark)).count() == 0
