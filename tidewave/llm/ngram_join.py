@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop, drop_since, mix, shingle_sets, written
 
-#: Up to so many keys of texts with partners are sent to all executors (about 24 bytes each); more are shuffled.
+#: Up to so many keys of texts with partners are sent to all executors (a long each); more are shuffled.
 BROADCAST_NODES = 2_000_000
 #: Up to so many bytes of pivots' sets are sent to all executors; more are shuffled.
 BROADCAST_PIVOTS = 32 << 20
@@ -273,9 +273,11 @@ def _neighbours(docs: DataFrame, summary: DataFrame, k: int, percent: int, pivot
     low leads to the component's least node. close: links within a component are left out where they cost comparisons.
     """
     nodes = _families(summary, percent, most, weight)
-    known = nodes.select("text_key", "region", "node", "n", "copies", "small")
-    known = F.broadcast(known) if nodes.count() <= BROADCAST_NODES else known
-    texts = docs.select("text", "text_key").join(known, "text_key").dropDuplicates(["node"]).select("text", "region", "node", "n", "copies", "small")
+    # texts without possible partners go before anything moves; of the others each text moves once
+    keys = nodes.select("text_key")
+    keys = F.broadcast(keys) if nodes.count() <= BROADCAST_NODES else keys
+    texts = docs.select("text", "text_key").join(keys, "text_key", "left_semi").dropDuplicates(["text_key"])
+    texts = texts.join(nodes.select("text_key", "region", "node", "n", "copies", "small"), "text_key").select("text", "region", "node", "n", "copies", "small")
     sets = texts.mapInArrow(_sets(k), "region long, node long, n long, copies long, small boolean, items array<long>")
     large = not nodes.where("not small").isEmpty()
     sets = cut(sets) if large else sets
