@@ -63,12 +63,16 @@ def leakage(splits: DataFrame, unit: str) -> DataFrame:
 def mapped_class(df: DataFrame, name: str, classes: list[tuple[str, int]], blanks: str = "_") -> DataFrame:
     """df plus class_id: the exact key, else the first key that contains the name or is contained in it, else null.
 
-    Names are trimmed and lower-cased, their blanks replaced. The map is a bounded list, so this is a chain of tests and no join.
+    Names are trimmed and lower-cased, their blanks replaced. The map is a bounded list, searched within the row, so this is no join.
     """
     key = F.replace(F.lower(F.trim(name)), F.lit(" "), F.lit(blanks))
-    exact = F.coalesce(*(F.when(key == k, v) for k, v in classes))
-    part = F.coalesce(*(F.when(key.contains(k) | F.lit(k).contains(key), v) for k, v in classes))
-    return df.withColumn("class_id", F.coalesce(exact, part))
+    known = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in classes))
+
+    def found(key: Column) -> Column:
+        exact, part = F.filter(known, lambda c: c["k"] == key), F.filter(known, lambda c: key.contains(c["k"]) | c["k"].contains(key))
+        return F.coalesce(F.get(exact, 0)["v"], F.get(part, 0)["v"])
+
+    return df.withColumn("class_id", F.get(F.transform(F.array(key), found), 0))
 
 
 def receiver_triplets(df: DataFrame, by: list[str], receiver: str, item: str, fallback: bool = False) -> DataFrame:
