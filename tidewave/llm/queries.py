@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .fill_middle import fill_in_middle, restored
 from .license_scan import scan_licenses
+from .line_dedup import dedup_lines
 from .mixing import mixed_ids
 from .ngram_join import jaccard_components
 from .pii import find_personal_data
+from .prefix_trie import prefix_trie
 from .quality_rules import judge
 from .secrets_scan import find_secrets, with_span_text
 from .sentencepiece_codec import encode_decode
@@ -65,5 +68,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"), seed=1, plain_percent=10, spm_percent=20)
+    again = restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("id", "parent")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}

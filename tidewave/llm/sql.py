@@ -128,4 +128,62 @@ select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.comp as component_id,
 from w left join n using (doc_id) left join c using (doc_id) join (select doc_id, min(comp) as comp from r group by 1) m using (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op3_quality_rules": OP3, "op5_url_filters": OP5, "op6_mixing": OP6}
+OP11 = r"""
+with d as (
+  select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents
+), l as (
+  select doc_id, i, ls[i] as line, translate(regexp_replace(ls[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from d)
+), k as (
+  select key, max(doc_id) as top from l where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+), r as (
+  select l.doc_id, i, line, k.key is not null and l.doc_id <> k.top as dropped from l left join k on k.key = l.key
+)
+select doc_id, count(*)::bigint as n_lines, (count(*) filter (dropped))::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not dropped), '')) as kept_sha256 from r group by doc_id
+"""
+
+OP12 = r"""
+with t as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || doc_id) as h from documents
+), u as (
+  select *, length(text)::bigint as n, [('0x' || substr(h, 1, 8))::bigint, ('0x' || substr(h, 9, 8))::bigint, ('0x' || substr(h, 17, 8))::bigint, ('0x' || substr(h, 25, 8))::bigint] as r from t
+), v as (
+  select *, least(r[1] % (n + 1), r[2] % (n + 1)) as a, greatest(r[1] % (n + 1), r[2] % (n + 1)) as b,
+         case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or r[3] % 100 >= 90 then 'plain' when r[4] % 100 < 20 then 'spm' else 'psm' end as form from u
+), w as (
+  select *, substr(text, 1, a) as p, substr(text, a + 1, b - a) as m, substr(text, b + 1) as s from v
+)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256 from w
+"""
+
+# crc32 bit by bit; a prefix is the list of its turns.
+OP13 = r"""
+with t as (
+  select conv_id, turn, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') as k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as w
+  from conversations where conv_id is not null
+), o as (
+  select conv_id, list(k order by turn nulls first, md5(k)) as ks, list(w order by turn nulls first, md5(k)) as ws,
+         xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+           lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 4 as h
+  from t group by conv_id
+), c as (
+  select o.conv_id, list_concat(coalesce(b.ks, [])[1:least(o.h, 3)], o.ks[o.h + 1:]) as ks, list_concat(coalesce(b.ws, [])[1:least(o.h, 3)], o.ws[o.h + 1:]) as ws
+  from o left join o b on b.conv_id = o.conv_id - o.conv_id % 20
+), p as (
+  select conv_id, len(ks) as turns, d, ks[1:d] as node, ws[d] as w from (select *, unnest(range(0, len(ks) + 1)) as d from c)
+), n as (
+  select node, d, any_value(w) as w, count(*) as n_convs, min(conv_id) as conv_id, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (turns = d), '')) as ends_sha256 from p group by node, d
+), k as (
+  select n.node[1:d - 1] as node, count(*) as n_children from n where d > 0 group by 1
+), a as (
+  select n.*, coalesce(k.n_children, 0) as n_children from n left join k on k.node = n.node
+), s as (
+  select node[1:e] as node, sum((n_children = 0)::bigint) as n_leaves, sum((n_convs - 1) * coalesce(w, 0)) as saved from (select *, unnest(range(0, d + 1)) as e from a) group by 1
+)
+select a.conv_id, a.d::bigint as depth, up.conv_id as parent_conv_id, a.n_convs::bigint as n_convs, a.n_children::bigint as n_children, s.n_leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, a.ends_sha256
+from a join s on s.node = a.node left join a up on a.d > 0 and up.d = a.d - 1 and up.node = a.node[1:a.d - 1]
+"""
+
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op3_quality_rules": OP3, "op5_url_filters": OP5, "op6_mixing": OP6, "op11_line_dedup": OP11, "op12_fill_in_middle": OP12, "op13_prefix_trie": OP13}
