@@ -116,10 +116,14 @@ def test_bitmaps_are_small_and_read_back(spark):
     assert L.kept_lines(rows[0][1], bitmaps[0].keep) == "\n".join(["keep me"] * 3000 + ["tail"] * 50)
 
 
-def test_many_bitmaps_join_by_a_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(L, "BROADCAST_BITMAPS", 3)
+def test_many_bitmaps_join_by_a_shuffle(spark):
     rows = corpus(9)
-    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got), key=repr) == brute(rows)
 
 

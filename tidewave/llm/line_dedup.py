@@ -24,8 +24,6 @@ from .common import cut, drop
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANKS = " \t\n\x0b\x0c\r"
-#: Up to so many bitmaps (a few dozen bytes each) are sent to all tasks; more are joined by a shuffle.
-BROADCAST_BITMAPS = 100_000
 DROP, OPEN, RUN = 0, 1, 2
 _FLAT = "kind tinyint, h1 long, h2 long, doc_id long, text_key long, at long"
 _NAMES = ["kind", "h1", "h2", "doc_id", "text_key", "at"]
@@ -165,9 +163,9 @@ def thinned(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     Other columns of docs are not read, so their names cannot clash.
     """
-    few = bitmaps.count() <= BROADCAST_BITMAPS
     b = bitmaps.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "n_dropped", "keep")
-    both = _documents(docs).join(F.broadcast(b) if few else b, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
+    # each text moves once, or not at all where Spark finds the bitmaps small enough to send
+    both = _documents(docs).join(b, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
     # texts that keep all their lines stay in the JVM
     text = F.coalesce(_thinned(F.when(F.col("keep").isNotNull(), F.col("text")), "keep"), "text")
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
