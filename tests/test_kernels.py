@@ -149,24 +149,6 @@ def test_macro_f1_of_present_classes(spark):
     assert metrics.macro_f1(metrics.per_class(metrics.confusion(df, 8))).first().macro_f1 == pytest.approx((2 / 3) / 2)
 
 
-def sample_packet(mac=b"\xaa\xbb\xcc\xdd\xee\x01", seq=7, core=2, bins=64):
-    words = np.arange(bins, dtype=np.uint64) | (np.arange(bins, dtype=np.uint64) << 22) | np.uint64(31 << 16)
-    body = b"\x11\x11\x11\x11" + mac + struct.pack("<HHHH", seq, core, 0, 0) + words.astype("<u4").tobytes()
-    ip = bytes([0x45, 0]) + struct.pack(">H", 28 + len(body)) + b"\0" * 4 + bytes([64, 17]) + b"\0" * 10
-    return b"\0" * 12 + b"\x08\x00" + ip + struct.pack(">HHHH", 5500, 5500, 8 + len(body), 0) + body
-
-
-def test_capture_roundtrip(spark, tmp_path):
-    records = [sample_packet(), b"\0" * 60, sample_packet(mac=b"\x01" * 6, seq=8, core=3)]
-    data = b"\xd4\xc3\xb2\xa1" + b"\0" * 20 + b"".join(struct.pack("<4I", 100, i * 500_000, len(r), len(r)) + r for i, r in enumerate(records))
-    (tmp_path / "a.pcap").write_bytes(data + b"\0" * 7)
-    (tmp_path / "b.pcap").write_bytes(b"no capture")
-    rows = capture.read_captures(spark, str(tmp_path)).orderBy("seq").collect()
-    assert [(r.ts, r.mac, r.core) for r in rows] == [(100.0, "aa:bb:cc:dd:ee:01", 2), (101.0, "01:01:01:01:01:01", 3)]
-    assert rows[0].re[:3] == [0.0, 1.0, 2.0]
-    assert capture.read_captures(spark, str(tmp_path), mac="AA:BB:CC:DD:EE:01").count() == 1
-
-
 def test_unpack_by_hand():
     word = (1 << 31) | (3 << 22) | (31 << 16) | (5 << 6) | 32
     re, im = capture.unpack(np.array([word], np.uint32))

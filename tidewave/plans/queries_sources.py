@@ -31,24 +31,25 @@ p as (select l_orderkey, l_linenumber, array_to_string(list_transform(range(6),
 """
 
 
-def payloads(spark, d):
+def payloads(spark, d, sender=None):
     """Sample packets with header bytes from lineitem keys: MAC, little-endian sequence, stream with the core in its low bits; two zero samples."""
     part = lambda c, n: F.lpad(F.hex(c), n, "0")
-    hexed = F.concat(F.lit("1111"), part(F.col("l_orderkey") * 1000003 + F.col("l_partkey"), 12), part(F.col("l_partkey") % 65536, 4), part((F.col("l_suppkey") * 13) % 65536, 4), F.lit("00" * (capture.HEADER - 10 + 8)))
+    hexed = F.concat(F.lit("1111"), part(F.col("l_orderkey") * 1000003 + F.col("l_partkey") if sender is None else sender, 12), part(F.col("l_partkey") % 65536, 4), part((F.col("l_suppkey") * 13) % 65536, 4), F.lit("00" * (capture.HEADER - 10 + 8)))
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.unhex(hexed).alias("payload"))
 
 
 @query("header_decode", "SRC2 SCL12", f"with {_HEADERS} select * from p")
 def header_decode(spark, d):
-    return capture.decoded(payloads(spark, d), "payload", 2).select("l_orderkey", "l_linenumber", "mac", "seq", "core")
+    return capture.headers(payloads(spark, d), "payload", 2).select("l_orderkey", "l_linenumber", "mac", "seq", "core")
 
 
-@query("mac_filter", "SRC4", f"with {_HEADERS} select l_orderkey, l_linenumber, seq from p where mac = (select mac from p order by l_orderkey, l_linenumber limit 1)")
+@query("mac_filter", "SRC4", """
+select l_orderkey, l_linenumber, (l_partkey % 256 * 256 + l_partkey // 256 % 256)::int as seq from lineitem where l_suppkey % 16 = 10
+""")
 def mac_filter(spark, d):
-    """The packets of the first packet's sender, whose address is given in capitals."""
-    first = read(spark, d, "lineitem").orderBy("l_orderkey", "l_linenumber").select(F.col("l_orderkey") * 1000003 + F.col("l_partkey")).first()[0]
-    mac = ":".join(f"{first:012X}"[i : i + 2] for i in range(0, 12, 2))
-    return capture.of_mac(capture.decoded(payloads(spark, d), "payload", 2), mac).select("l_orderkey", "l_linenumber", "seq")
+    """The packets of one of sixteen senders, whose address is given in capitals."""
+    sent = payloads(spark, d, F.lit(0x02A0B0C0D0E0) + F.col("l_suppkey") % 16)
+    return capture.of_mac(capture.headers(sent, "payload", 2), "02:A0:B0:C0:D0:EA").select("l_orderkey", "l_linenumber", "seq")
 
 
 @query("summary_json", "SNK6", """
@@ -96,5 +97,5 @@ def fold_features(spark, d):
     packets = preprocess.synthetic_packets(spark, persons=3, seconds=2.2)
     frames = preprocess.uniform_frames(packets.drop("person", "label"))
     recordings = packets.select("recording_id", "person", F.lit("room").alias("room"), "label").distinct().withColumn("ref", F.lit(1))
-    out = preprocess.fold_features(frames, recordings, preprocess.fit_folds(frames, recordings, 52), 52)
+    out = preprocess.fold_features(frames, recordings, preprocess.fit_folds(preprocess.moments_of(frames, recordings, 52), recordings, 52), 52)
     return out.select("fold", "split", "recording_id", "person", "label", "window_idx", "rx", F.size("amplitude").alias("n_amplitude"), F.size("doppler").alias("n_doppler"))
