@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tracks
+
 
 def pchip_slopes(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """df plus x1, y1 (the next knot), slope and slope1 at both knots, after Fritsch and Carlson."""
@@ -14,13 +16,10 @@ def pchip_slopes(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     k = k.withColumn("hp", F.lag("h").over(order)).withColumn("dp", F.lag("d").over(order))
     k = k.withColumn("hn", F.lead("h").over(order)).withColumn("dn", F.lead("d").over(order))
     k = k.withColumn("hpp", F.lag("hp").over(order)).withColumn("dpp", F.lag("dp").over(order))
-    w1, w2 = 2 * F.col("h") + F.col("hp"), F.col("h") + 2 * F.col("hp")
-    inner = F.when(F.col("d") * F.col("dp") <= 0, 0.0).otherwise((w1 + w2) / (w1 / F.col("dp") + w2 / F.col("d")))
+    inner = _inner_slope(F.col("hp"), F.col("h"), F.col("dp"), F.col("d"))
 
-    def end(h0: str, h1: str, d0: str, d1: str) -> Column:
-        h0, h1, d0, d1 = map(F.col, (h0, h1, d0, d1))
-        raw = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
-        return F.when(F.signum(raw) != F.signum(d0), 0.0).when((F.signum(d0) != F.signum(d1)) & (F.abs(raw) > F.abs(3 * d0)), 3 * d0).otherwise(raw)
+    def end(*names: str) -> Column:
+        return _end_slope(*map(F.col, names))
 
     first = F.when(F.col("dn").isNull(), F.col("d")).otherwise(end("h", "hn", "d", "dn"))
     last = F.when(F.col("dpp").isNull(), F.col("dp")).otherwise(end("hp", "hpp", "dp", "dpp"))
@@ -28,6 +27,18 @@ def pchip_slopes(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return k.withColumn("slope1", F.lead("slope").over(order)).drop("hp", "dp", "hn", "dn", "hpp", "dpp", "d")
 
 
+def _inner_slope(hp: Column, h: Column, dp: Column, d: Column) -> Column:
+    """The slope at a knot between intervals hp and h with differences dp and d."""
+    w1, w2 = 2 * h + hp, h + 2 * hp
+    return F.when(d * dp <= 0, 0.0).otherwise((w1 + w2) / (w1 / dp + w2 / d))
+
+
+def _end_slope(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
+    """The slope at the track's end of interval h0, with h1 the next one inwards."""
+    raw = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+    return F.when(F.signum(raw) != F.signum(d0), 0.0).when((F.signum(d0) != F.signum(d1)) & (F.abs(raw) > F.abs(3 * d0)), 3 * d0).otherwise(raw)
+
+
 def hermite(t: Column, x: Column, h: Column, y: Column, y1: Column, s: Column, s1: Column) -> Column:
     u = (t - x) / h
     u2, u3 = u * u, u * u * u
@@ -60,19 +71,56 @@ def resampled(df: DataFrame, by: list[str], x: str, y: str, step: float, limits:
     return k.select(*by, "i", "grid", value.alias("value"))
 
 
-def repaired(df: DataFrame, by: list[str], index: str, value: str, bad: str, min_good: int = 4) -> DataFrame:
-    """df plus repaired: bad values from the PCHIP curve through the good ones, in index space; tracks with fewer than min_good good ones stay."""
-    good = pchip_slopes(df.where(~F.col(bad)).select(*by, F.col(index).cast("double").alias("__x"), F.col(value).alias("__y")), by, "__x", "__y")
-    knot = good.select(*by, F.col("__x").cast("long").alias(index), F.struct("__x", "__y", "h", "y1", "slope", "slope1").alias("__k"))
-    order = Window.partitionBy(*by).orderBy(index)
-    out = df.withColumn(index, F.col(index).cast("long")).join(knot, [*by, index], "left")
-    left = F.last("__k", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__k", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    count = F.count("__k").over(Window.partitionBy(*by))
-    out = out.withColumn("__l", left).withColumn("__a", after).withColumn("__n", count)
-    curve = hermite(F.col(index).cast("double"), F.col("__l.__x"), F.col("__l.h"), F.col("__l.__y"), F.col("__l.y1"), F.col("__l.slope"), F.col("__l.slope1"))
-    fixed = F.when(~F.col(bad) | (F.col("__n") < min_good), F.col(value)).when(F.col("__l").isNull(), F.col("__a.__y")).when(F.col("__a").isNull(), F.col("__l.__y")).otherwise(curve)
-    return out.withColumn("repaired", fixed).drop("__k", "__l", "__a", "__n")
+def repaired(df: DataFrame, by: list[str], index: str, value: str, bad: str, min_good: int = 4, width: float | None = None) -> DataFrame:
+    """df plus repaired: bad values from the PCHIP curve through the good ones, in index space; tracks with fewer than min_good good ones stay.
+
+    The curve between two knots hangs on these and one more on either side, which
+    running windows from both ends bring to each row; nothing is joined. With a width,
+    tracks are cut into slots of index, and each slot takes the last two knots before
+    it and the first two after it along as rows of their own.
+    """
+    x = F.col(index).cast("double")
+    knot = F.when(~F.col(bad), F.struct(x.alias("x"), F.col(value).cast("double").alias("y")))
+    rows = df.withColumn(index, F.col(index).cast("long")).withColumn("__slot", tracks.slot(x, width)).withColumn("__k", knot)
+    rows = rows.withColumn("__n", F.count("__k").over(Window.partitionBy(*by, "__slot"))).withColumn("__own", F.lit(True))
+    keys = [*by, "__slot"]
+    if width is not None:
+        rows = rows.unionByName(_knots_around(rows, by, index), allowMissingColumns=True)
+        total = rows.where("__own").groupBy(*by, "__slot").agg(F.max("__n").alias("n")).groupBy(*by).agg(F.sum("n").alias("__n"))
+        rows = tracks.joined(rows.drop("__n"), total, by)
+    past, ahead = Window.partitionBy(*keys).orderBy(index), Window.partitionBy(*keys).orderBy(F.desc(index))
+    # a knot with the one behind it, seen from either end, then the nearest such pair of every row
+    for order, own, pair in ((past, "__p", "__l"), (ahead, "__q", "__r")):
+        behind = F.last("__k", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn(own, F.when(F.col("__k").isNotNull(), F.struct(F.col("__k").alias("k"), behind.alias("b"))))
+        rows = rows.withColumn(pair, F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    a, b, c, d = (F.col(k) for k in ("__l.b", "__l.k", "__r.k", "__r.b"))  # four knots, the row lies between b and c
+    h0, h, h1 = b["x"] - a["x"], c["x"] - b["x"], d["x"] - c["x"]
+    d0, m, d1 = (b["y"] - a["y"]) / h0, (c["y"] - b["y"]) / h, (d["y"] - c["y"]) / h1
+    left = F.when(a.isNull() & d.isNull(), m).when(a.isNull(), _end_slope(h, h1, m, d1)).otherwise(_inner_slope(h0, h, d0, m))
+    right = F.when(a.isNull() & d.isNull(), m).when(d.isNull(), _end_slope(h, h0, m, d0)).otherwise(_inner_slope(h, h1, m, d1))
+    curve = hermite(x, b["x"], h, b["y"], c["y"], left, right)
+    fixed = F.when(~F.col(bad) | (F.col("__n") < min_good), F.col(value)).when(b.isNull(), c["y"]).when(c.isNull(), b["y"]).otherwise(curve)
+    return rows.withColumn("repaired", fixed).where("__own").select(*df.columns, "repaired")
+
+
+def _knots_around(rows: DataFrame, by: list[str], index: str) -> DataFrame:
+    """The two knots before and the two after each slot of a track, as rows of that slot; four of every slot are read."""
+    good = rows.where(F.col("__k").isNotNull()).select(*by, "__slot", index, "__k")
+    rank = lambda order: F.row_number().over(Window.partitionBy(*by, "__slot").orderBy(order))
+    edges = good.withColumn("__a", rank(F.col(index))).withColumn("__b", rank(F.desc(index))).where("__a <= 2 or __b <= 2")
+    slots = rows.select(*by, "__slot").distinct()
+    # a slot's row stands before its knots in one order, and before them in the other
+    marks = edges.select(*by, "__slot", F.lit(1).alias("__m"), index, "__k").unionByName(slots.withColumn("__m", F.lit(0)), allowMissingColumns=True)
+    found = []
+    for slot_order, place in ((F.col("__slot"), F.col(index)), (F.desc("__slot"), F.desc(index))):
+        order = Window.partitionBy(*by).orderBy(slot_order, "__m", place).rowsBetween(Window.unboundedPreceding, -1)
+        before = marks.withColumn("__one", F.last("__k", ignorenulls=True).over(order))
+        before = before.withColumn("__two", F.last(F.when(F.col("__m") == 1, F.struct(F.col("__k").alias("k"), F.col("__one").alias("b"))), ignorenulls=True).over(order))
+        pair = F.array_compact(F.array("__two.k", "__two.b"))
+        found.append(before.where("__m = 0").select(*by, "__slot", F.explode(pair).alias("__k")))
+    halo = found[0].unionByName(found[1])
+    return halo.withColumn(index, F.col("__k.x").cast("long")).withColumn("__own", F.lit(False))
 
 
 def lags(df: DataFrame, by: list[str], name: str, index: str, value: str, reference: str, limit: int, rate: float = 1.0, warn: float = 0.1, reject: float = 0.5) -> DataFrame:

@@ -7,11 +7,14 @@ over the same keys share that exchange.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tracks
+
 MAD_TO_SIGMA = 1.4826
 
 
@@ -54,29 +57,91 @@ def gaps(df: DataFrame, by: list[str], time: str, seconds: Column, factor: float
     return out.withColumn("gap_medium", F.col("gap_small") | (F.col("ipi") > medium)).withColumn("gap_large", F.col("ipi") > large)
 
 
-def anchored_groups(df: DataFrame, by: list[str], time: str, item: Column, span: float) -> DataFrame:
+def anchored_groups(df: DataFrame, by: list[str], time: str, item: Column, span: float, width: float | None = None) -> DataFrame:
     """by, group_start, items: packets merged while they lie within `span` of the group's first.
 
     The anchor is the group's first packet, not the last one, so this is no session
-    window: one pass over the sorted track marks the anchors. A track is one recording.
+    window. A track is cut into slots of `width` (4096 spans), and three steps mark the
+    anchors. Where a slot's first anchor can lie is a matter of the packets within a span
+    of its begin; for each of these few, the slot's last anchor is noted. Along a track,
+    the notes are chained into the anchor that each slot inherits. With that, every slot
+    marks its packets. Packets without a time belong to no group.
     """
-    rows = df.select(*by, F.col(time).alias("__t"), item.alias("__item"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("group_start", rows.schema["__t"].dataType)])
-
-    def mark(track: pa.Table) -> pa.Table:
-        track = track.sort_by("__t")
-        starts, start = [], None
-        for t in track["__t"].to_pylist():
-            if start is None or abs(t - start) > span:
-                start = t
-            starts.append(start)
-        return track.append_column("group_start", pa.array(starts, track["__t"].type))
-
-    groups = rows.groupBy(*by).applyInArrow(mark, schema).groupBy(*by, "group_start")
-    packed = groups.agg(F.array_sort(F.collect_list(F.struct("__t", "__item"))).alias("__p"))
+    width = width or (4096 * span or 1.0)
+    rows = df.where(F.col(time).isNotNull()).select(*by, F.col(time).alias("__t"), item.alias("__item"))
+    rows = rows.withColumn("__slot", tracks.slot(F.col("__t"), width))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    of = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in by)
+    kind = kinds["__t"].simpleString()
+    times = rows.select(*by, "__slot", "__t")
+    notes = tracks.segmented(times, [*by, "__slot"], ["__t"], _slot_notes(by, span, width), f"{of + ', ' if by else ''}__slot long, first array<{kind}>, last array<{kind}>")
+    inherited = tracks.segmented(notes, by, ["__slot"], _chained(by, span), f"{of + ', ' if by else ''}__slot long, __t {kind}") if by else None
+    if inherited is None:
+        inherited = tracks.segmented(notes.withColumn("__all", F.lit(0)), ["__all"], ["__slot"], _chained([], span), f"__slot long, __t {kind}")
+    # the inherited anchor is a slot's first row
+    marked = rows.withColumn("__own", F.lit(1)).unionByName(inherited.withColumn("__own", F.lit(0)), allowMissingColumns=True)
+    schema = T.StructType([*rows.drop("__slot").schema.fields, T.StructField("group_start", kinds["__t"])])
+    marked = tracks.segmented(marked, [*by, "__slot"], ["__own", "__t"], _marked(by, span), schema)
+    packed = marked.groupBy(*by, "group_start").agg(F.array_sort(F.collect_list(F.struct("__t", "__item"))).alias("__p"))  # one group
     return packed.select(*by, "group_start", F.col("__p.__item").alias("items"))
 
 
+def _slot_notes(by: list[str], span: float, width: float):
+    def kernel(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        all_, slots = rows["__t"].to_pylist(), rows["__slot"].to_pylist()
+        first, last = [], []
+        for a, b in zip(starts.tolist(), tracks.ends_of(starts, len(all_)).tolist()):
+            times, begin = all_[a:b], slots[a] * width
+            beyond = span + 1e-9 * (abs(begin) + span)  # of any anchor before the slot, roundings included
+            n = next((i for i, t in enumerate(times) if t - begin > beyond), len(times) - 1) + 1
+            known: dict[int, int] = {}  # anchor -> the slot's last one
+            for i in range(n):
+                path, at = [], i
+                while at not in known and at < len(times):
+                    path.append(at)
+                    start, at = times[at], at + 1
+                    while at < len(times) and times[at] - start <= span:
+                        at += 1
+                known |= dict.fromkeys(path, known.get(at, path[-1] if path else 0))
+            first.append(times[:n])
+            last.append([times[known[i]] for i in range(n)])
+        heads = rows.take(pa.array(starts)).select([*by, "__slot"])
+        kind = pa.list_(rows["__t"].type)
+        return heads.append_column("first", pa.array(first, kind)).append_column("last", pa.array(last, kind))
+
+    return kernel
+
+
+def _chained(by: list[str], span: float):
+    def kernel(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        first, last = rows["first"].to_pylist(), rows["last"].to_pylist()
+        begins, out, anchor = set(starts.tolist()), [], None
+        for i in range(len(first)):
+            anchor = None if i in begins else anchor
+            out.append(anchor)
+            new = next((x for t, x in zip(first[i], last[i]) if anchor is None or t - anchor > span), None)
+            anchor = anchor if new is None else new
+        return rows.select([*by, "__slot"]).append_column("__t", pa.array(out, rows["first"].type.value_type))
+
+    return kernel
+
+
+def _marked(by: list[str], span: float):
+    def kernel(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        times, own = rows["__t"].to_pylist(), np.array(rows["__own"].to_pylist(), bool)
+        out = []
+        for a, b in zip(starts.tolist(), tracks.ends_of(starts, len(times)).tolist()):
+            anchor = times[a]  # of the inherited row
+            for t in times[a:b]:
+                if t is not None and (anchor is None or t - anchor > span):
+                    anchor = t
+                out.append(anchor)
+        marked = rows.select([*by, "__t", "__item"]).append_column("group_start", pa.array(out, rows["__t"].type))
+        return marked.filter(pa.array(own))
+
+    return kernel
+
+
 def gain_normalised(df: DataFrame, by: list[str], magnitudes: str, floor_ratio: float = 1e-3) -> DataFrame:
     """df plus gain (mean magnitude) and normalised magnitudes; gains under floor_ratio x the track's largest count as 1."""
     mean = F.aggregate(magnitudes, F.lit(0.0), lambda s, x: s + F.abs(x)) / F.size(magnitudes)
@@ -85,27 +150,38 @@ def gain_normalised(df: DataFrame, by: list[str], magnitudes: str, floor_ratio:
     return out.withColumn("__safe", safe).withColumn("normalised", F.transform(magnitudes, lambda x: x / (F.col("__safe") + 1e-8))).drop("__top", "__safe")
 
 
-def running_median(values: Column, half: int) -> Column:
-    """Medians over 2 half + 1 neighbours, edges repeated, as an array."""
-    n = F.size(values)
+def running_median(values: np.ndarray, first: np.ndarray, last: np.ndarray, half: int) -> np.ndarray:
+    """Medians over 2 half + 1 neighbours; those beyond a row's segment (places first to last) are its edge, repeated."""
+    near = np.clip(np.arange(len(values))[:, None] + np.arange(-half, half + 1), first[:, None], last[:, None])
+    return np.partition(values[near], half, axis=1)[:, half]
 
-    def at(i: Column) -> Column:
-        near = F.transform(F.sequence(i - half, i + half), lambda j: F.get(values, F.least(F.greatest(j, F.lit(0)), n - 1)))
-        return F.get(F.sort_array(near), F.lit(half))
 
-    return F.transform(F.sequence(F.lit(0), n - 1), at)
+def hampel(df: DataFrame, by: list[str], time: str, value: str, half: int = 7, sigmas: float = 3.0, width: float | None = None, length: int = 1 << 16) -> DataFrame:
+    """by, time, value, bad, dilated: outliers against the running median, and the flags spread to both neighbours.
 
-
-def hampel(df: DataFrame, by: list[str], time: str, value: str, half: int = 7, sigmas: float = 3.0) -> DataFrame:
-    """by, time, value, bad, dilated: outliers against the running median, and the flags spread to both neighbours."""
-    track = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("v")))).alias("rows"))
-    track = track.withColumn("v", F.col("rows.v"))
-    track = track.withColumn("dev", F.zip_with("v", running_median(F.col("v"), half), lambda x, m: F.abs(x - m)))
-    track = track.withColumn("mad", running_median(F.col("dev"), half))
-    track = track.withColumn("bad", F.zip_with("dev", "mad", lambda d, m: d > sigmas * MAD_TO_SIGMA * m))
-    spread = F.transform("bad", lambda b, i: b | F.coalesce(F.get("bad", i + 1), F.lit(False)) | F.when(i > 0, F.get("bad", i - 1)).otherwise(False))
-    rows = F.transform("rows", lambda r, i: F.struct(r["t"].alias(time), r["v"].alias(value), F.get("bad", i).alias("bad"), F.get("wide", i).alias("dilated")))
-    return track.withColumn("wide", spread).select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
+    A row depends on 2 half + 1 places on either side. Tracks are cut into pieces of
+    `length` places that overlap by so many, and only own rows are given out; with a
+    `width` of time, places are counted without gathering a track. Rows of one time are
+    ordered by value; null values count as NaN, above all others.
+    """
+    rows = df.select(*by, F.col(time), F.col(value).cast("double").alias(value))
+    rows = tracks.with_halos(tracks.placed(rows, by, time, [value], width, "__i"), "__i", length, 2 * half + 1)
+    keep = [*by, time, value]
+    schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("bad", T.BooleanType()), T.StructField("dilated", T.BooleanType())])
+
+    def kernel(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        n = t.num_rows
+        ends = tracks.ends_of(starts, n)
+        first, last = np.repeat(starts, ends - starts), np.repeat(ends - 1, ends - starts)
+        v = tracks.numbers(t[value])
+        dev = np.abs(v - running_median(v, first, last, half))
+        bad = dev > sigmas * MAD_TO_SIGMA * running_median(dev, first, last, half)
+        at = np.arange(n)
+        dilated = bad | bad[np.minimum(at + 1, last)] | bad[np.maximum(at - 1, first)]
+        out = t.select(keep).append_column("bad", pa.array(bad)).append_column("dilated", pa.array(dilated))
+        return out.filter(t["__own"])
+
+    return tracks.segmented(rows, [*by, "__piece"], ["__i"], kernel, schema)
 
 
 def outlier_verdict(flags: DataFrame, by: list[str], reject: float = 0.5, warn: float = 0.2) -> DataFrame:
@@ -116,7 +192,8 @@ def outlier_verdict(flags: DataFrame, by: list[str], reject: float = 0.5, warn:
 def edge_filled(df: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
     """Nulls before the first and after the last value take the nearest one; tracks of nulls take 0; inner nulls stay."""
     order = Window.partitionBy(*by).orderBy(time)
-    back, ahead, all_ = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(*by)
-    before, after = F.last(value, ignorenulls=True).over(back), F.first(value, ignorenulls=True).over(ahead)
+    back, all_ = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+    ahead = Window.partitionBy(*by).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)  # a running frame from the other end
+    before, after = F.last(value, ignorenulls=True).over(back), F.last(value, ignorenulls=True).over(ahead)
     filled = F.when(F.count(value).over(all_) == 0, F.lit(0.0)).when(before.isNull(), after).when(after.isNull(), before).otherwise(F.col(value))
     return df.withColumn("filled", filled)

@@ -45,11 +45,16 @@ def zscore_apply(df: DataFrame, stats: DataFrame, by: list[str], value: str) ->
 
 def fisher(df: DataFrame, sub: str, label: str, value: str, eps: float = 1e-12, by: tuple[str, ...] = ()) -> DataFrame:
     """by, sub, score: between-class over within-class scatter."""
-    per = df.groupBy(*by, sub, label).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
-    w = Window.partitionBy(*by, sub)
-    per = per.withColumn("g", F.sum(F.col("n") * F.col("m")).over(w) / F.sum("n").over(w))
-    between = F.sum(F.col("n") * (F.col("m") - F.col("g")) * (F.col("m") - F.col("g")))
-    return per.groupBy(*by, sub).agg((between / (F.sum(F.col("n") * F.col("v")) + eps)).alias("score"))
+    n = F.count(F.lit(1))
+    return fisher_of(df.groupBy(*by, sub, label).agg(n.alias("n"), F.avg(value).alias("mean"), (n * F.var_pop(value)).alias("m2")), [*by, sub], eps)
+
+
+def fisher_of(classes: DataFrame, by: list[str], eps: float = 1e-12) -> DataFrame:
+    """by, score from the classes' moments (n, mean, m2)."""
+    w = Window.partitionBy(*by)
+    per = classes.withColumn("__g", F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w))
+    between = F.sum(F.col("n") * (F.col("mean") - F.col("__g")) * (F.col("mean") - F.col("__g")))
+    return per.groupBy(*by).agg((between / (F.sum("m2") + eps)).alias("score"))
 
 
 def group_of(sub: Column, size: int, groups: int) -> Column:
@@ -64,21 +69,73 @@ def best_per_group(scores: DataFrame, sub: str, size: int, groups: int = 13, by:
     return ranked.groupBy(*by, "grp").agg(F.max_by(F.struct(sub, "score"), F.struct("score", -F.col(sub))).alias("b")).select(*by, "grp", f"b.{sub}", "b.score")
 
 
-def fold_statistics(windows: DataFrame, size: int, groups: int = 13) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What each fold learns from its training windows alone, over all folds at once: three small tables.
+def person_moments(windows: DataFrame) -> DataFrame:
+    """person, label, place, n, mean, m2, xn, xmean, xm2: what a person's windows of a class add to any fold's statistics.
 
-    windows: fold, label, window (its key), mean and var of every place's centred
-    amplitude (arrays), x (a dynamic feature of every subcarrier). All windows have one
-    length, so the pooled variance, samples in two windows counted twice, is the mean of
-    the variances plus the variance of the means.
+    windows: person, label, mean and var of every place's centred amplitude (arrays), x
+    (a dynamic feature of every subcarrier, an array no longer than mean). One pass: a
+    window becomes a row for each place, which is added up before it moves. m2 is the
+    sum of squares about the mean: all windows have one length, so that of samples (those
+    in two windows counted twice) is the sum of the variances plus that of the means.
+    The columns with x are of the subcarrier whose number is the place, null beyond.
+    """
+    rows = windows.select("person", "label", F.posexplode(F.arrays_zip("mean", "var", "x")).alias("place", "w"))
+    n, xn = F.count("w.mean"), F.count("w.x")
+    return rows.groupBy("person", "label", "place").agg(
+        n.alias("n"), F.avg("w.mean").alias("mean"), (F.sum("w.var") + n * F.var_pop("w.mean")).alias("m2"),
+        xn.alias("xn"), F.avg("w.x").alias("xmean"), (xn * F.var_pop("w.x")).alias("xm2"),
+    )
+
+
+def of_all_folds(parts: DataFrame, persons: int, by: list[str], n: str, mean: str, m2: str) -> DataFrame:
+    """by, fold, n, mean, m2: moments of all persons but two for every fold, from the moments of each.
+
+    parts: by, k (the person's rank), n, mean, m2. Fold k is tested on person k and
+    validated on the next, so its training persons are those before k and those after
+    k + 1: two running sums along the ranks, one from either end, and no row for each
+    fold and window. Sums are of differences from the mean over all persons, so squares
+    of large means do not cancel. Every fold has a row for each value of by that any
+    person has; n is 0, and mean and m2 are null, where no training person has it.
+    """
+    whole = Window.partitionBy(*by)
+    p = parts.groupBy(*by, "k").agg(F.collect_list(F.struct(F.col(n).alias("n"), F.col(mean).alias("m"), F.col(m2).alias("s"))).alias("__p"))  # a row for each class at most
+    p = p.withColumn("__n", F.aggregate("__p", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    p = p.withColumn("__nm", F.aggregate("__p", F.lit(0.0), lambda a, x: a + x["n"] * F.coalesce(x["m"], F.lit(0.0))))
+    p = p.withColumn("__c", F.sum("__nm").over(whole) / F.sum("__n").over(whole))
+    p = p.withColumn("__d", F.col("__nm") - F.col("__n") * F.col("__c"))
+    p = p.withColumn("__q", F.aggregate("__p", F.lit(0.0), lambda a, x: a + F.coalesce(x["s"] + x["n"] * (x["m"] - F.col("__c")) * (x["m"] - F.col("__c")), F.lit(0.0))))
+    cells = p.select(*by, "__c").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(persons - 1))))
+    p = cells.join(p.select(*by, "k", "__n", "__d", "__q"), [*by, "k"], "left")
+    before = whole.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    after = whole.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -2)
+
+    def others(c: str) -> Column:
+        # the last fold is validated on the first person
+        first = F.when(F.col("k") == persons - 1, F.sum(F.when(F.col("k") > 0, F.col(c))).over(before)).otherwise(F.sum(c).over(before))
+        return F.coalesce(first, F.lit(0)) + F.coalesce(F.sum(c).over(after), F.lit(0))
+
+    p = p.select(*by, F.col("k").alias("fold"), "__c", others("__n").alias("n"), others("__d").alias("d"), others("__q").alias("q"))
+    shift = F.when(F.col("n") > 0, F.col("d") / F.col("n"))
+    return p.select(*by, "fold", "n", (F.col("__c") + shift).alias("mean"), F.greatest(F.col("q") - F.col("d") * shift, F.lit(0.0)).alias("m2"))
+
+
+def fold_statistics(moments: DataFrame, ranks: DataFrame, size: int, groups: int = 13) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What each fold learns from its training persons alone, for all folds at once: three small tables.
+
+    moments: those of person_moments(), which are the only thing read, so write them
+    first where windows are dear. ranks: person, k, persons, of split.person_ranks().
 
     (fold, place, mu, sigma), (fold, sub, score) and (fold, grp, sub, score): z-score
-    statistics, Fisher scores, and the best subcarrier of each group.
+    statistics, Fisher scores, and the best subcarrier of each group. A place or
+    subcarrier without training windows in a fold has no row there.
     """
-    places = windows.select("fold", F.posexplode(F.arrays_zip("mean", "var")).alias("place", "w"))
-    zscore = places.groupBy("fold", "place").agg(F.avg("w.mean").alias("mu"), (F.sqrt(F.avg("w.var") + F.var_pop("w.mean")) + 1e-8).alias("sigma"))
-    features = windows.select("fold", "label", F.posexplode("x").alias("sub", "v"))
-    scores = fisher(features, "sub", "label", "v", by=("fold",))
+    ranked = moments.join(ranks, "person")
+    persons = ranks.first()["persons"]
+    z = of_all_folds(ranked, persons, ["place"], "n", "mean", "m2").where("n > 0")
+    zscore = z.select("fold", "place", F.col("mean").alias("mu"), (F.sqrt(F.col("m2") / F.col("n")) + 1e-8).alias("sigma"))
+    x = ranked.where("xn > 0").withColumnRenamed("place", "sub")
+    per = of_all_folds(x, persons, ["sub", "label"], "xn", "xmean", "xm2").where("n > 0")
+    scores = fisher_of(per, ["fold", "sub"])
     return zscore, scores, best_per_group(scores, "sub", size, groups, by=("fold",))
 
 

@@ -144,11 +144,15 @@ def window_summaries(frames: DataFrame, references: DataFrame, bins: int, antenn
     return whole.select("recording_id", "window", F.flatten("r.mean").alias("mean"), F.flatten("r.var").alias("var"), total.alias("x"))
 
 
-def fit_folds(frames: DataFrame, recordings: DataFrame, bins: int, **shape) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The statistics of every fold from its training persons alone; recordings: recording_id, person, label, ref."""
+def moments_of(frames: DataFrame, recordings: DataFrame, bins: int, **shape) -> DataFrame:
+    """What fit_folds() takes: one pass over all windows; recordings: recording_id, person, label, ref."""
     windows = window_summaries(frames, recordings.select("recording_id", "ref"), bins, **shape)
-    folds = split.with_folds(recordings.select("recording_id", "person", "label"), "person").where("split = 'train'")
-    return stats.fold_statistics(windows.join(folds, "recording_id"), bins)
+    return stats.person_moments(windows.join(recordings.select("recording_id", "person", "label"), "recording_id"))
+
+
+def fit_folds(moments: DataFrame, recordings: DataFrame, bins: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The statistics of every fold from its training persons alone; each reads the moments, and no window, again."""
+    return stats.fold_statistics(moments, split.person_ranks(recordings, "person"), bins)
 
 
 def fold_features(frames: DataFrame, recordings: DataFrame, statistics: tuple[DataFrame, DataFrame, DataFrame], bins: int, antennas: int = 4, length: int = 350, stride: int = 175) -> DataFrame:
@@ -201,7 +205,9 @@ def preprocess(packets: DataFrame, path: str, bins: int, rate: float = 350.0) ->
     antenna = antenna.select("recording_id", F.concat_ws(":", "t_idx", "rx").alias("time"), (F.col("i") % 4).alias("ant"), "m")
     refs = stats.reference_antenna(antenna, ["recording_id"], "time", "ant", "m").select("recording_id", F.col("ant").cast("int").alias("ref"))
     recordings = packets.select("recording_id", "person", "room", "label").distinct().join(refs, "recording_id")
-    folds.write_statistics(spark, f"{path}/statistics", **dict(zip(("zscore", "fisher", "selected"), fit_folds(frames, recordings, bins))))
+    folds.write_statistics(spark, f"{path}/statistics", moments=moments_of(frames, recordings, bins))
+    moments = folds.read_statistics(spark, f"{path}/statistics", "moments")
+    folds.write_statistics(spark, f"{path}/statistics", **dict(zip(("zscore", "fisher", "selected"), fit_folds(moments, recordings, bins))))
     statistics = tuple(folds.read_statistics(spark, f"{path}/statistics", name) for name in ("zscore", "fisher", "selected"))
     folds.write_fold(fold_features(frames, recordings, statistics, bins), f"{path}/folds")
 

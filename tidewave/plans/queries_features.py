@@ -296,7 +296,7 @@ h as (select s.fold, s.sub, sum(s.n * (s.m - g.m) * (s.m - g.m)) / (sum(s.n * s.
 
 
 def fold_windows(spark, d):
-    """Windows of made-up frames of 16 subcarriers and 4 antennas, with the reference antenna 0, on their folds' training side."""
+    """Windows of made-up frames of 16 subcarriers and 4 antennas, with the reference antenna 0."""
     v = vectors(spark, d)
     rows = v.select("vec_id", "label", F.posexplode("e").alias("j", "v"))
     ref = F.abs(F.get(F.col("e"), F.col("j") - F.col("j") % 4))
@@ -310,20 +310,25 @@ def fold_windows(spark, d):
     subs = subs.groupBy("label", "window_idx").agg(F.array_sort(F.collect_list(F.struct("sub", "x"))).alias("s"))
     whole = per.groupBy("label", "window_idx").agg(places.alias("p")).join(subs, ["label", "window_idx"])
     whole = whole.select((F.col("label") % 5).alias("person"), (F.col("label") % 3).alias("label"), F.concat_ws(":", "label", "window_idx").alias("window"), F.col("p.mean").alias("mean"), F.col("p.var").alias("var"), F.col("s.x").alias("x"))
-    return split.with_folds(whole, "person").where("split = 'train'")
+    return whole
+
+
+def fold_tables(spark, d):
+    windows = fold_windows(spark, d)
+    return stats.fold_statistics(stats.person_moments(windows), split.person_ranks(windows, "person"), 16, 4)
 
 
 @query("fold_zscore", "AGG4 JN5 JN6", f"with {_WIN} select fold, place, round(mu, 6) as mu, round(sigma, 6) as sigma from z")
 def fold_zscore(spark, d):
     """Each fold's z-score statistics, from the windows of its training persons."""
-    zscore, _, _ = stats.fold_statistics(fold_windows(spark, d), 16, 4)
+    zscore, _, _ = fold_tables(spark, d)
     return zscore.select(F.col("fold").cast("int"), "place", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
 
 
 @query("fold_selection", "AGG5 AGG6 AGG7", f"with {_WIN} select fold, (sub // 4)::bigint as grp, arg_max(sub, (score, -sub))::int as sub, round(max(score), 5) as score from h group by 1, 2")
 def fold_selection(spark, d):
     """Each fold's Fisher-selected subcarriers by the variance of the product with the reference antenna."""
-    _, _, best = stats.fold_statistics(fold_windows(spark, d), 16, 4)
+    _, _, best = fold_tables(spark, d)
     return best.select(F.col("fold").cast("int"), F.col("grp").cast("long"), F.col("sub").cast("int"), F.round("score", 5).alias("score"))
 
 
