@@ -30,7 +30,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from .plans import queries_clean, queries_features, queries_learning, queries_sources  # noqa: F401
+    from .plans import queries_clean, queries_features, queries_learning, queries_sources, queries_tracks  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

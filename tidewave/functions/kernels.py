@@ -55,7 +55,7 @@ def _run(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
     return x
 
 
-def _steady(sos: np.ndarray) -> np.ndarray:
+def steady_state(sos: np.ndarray) -> np.ndarray:
     """Section states for a constant input of 1."""
     out, scale = [], 1.0
     for b0, b1, b2, a1, a2 in sos:
@@ -71,7 +71,7 @@ def zero_phase(sos: np.ndarray, x: np.ndarray, lead: int) -> np.ndarray:
     x = np.asarray(x, float)
     flat = x.reshape(len(x), -1)
     ext = np.concatenate([2 * flat[0] - flat[lead:0:-1], flat, 2 * flat[-1] - flat[-2 : -lead - 2 : -1]])
-    z = _steady(sos)[:, :, None]
+    z = steady_state(sos)[:, :, None]
     y = _run(sos, ext, z * ext[0])
     y = _run(sos, y[::-1], z * y[-1])[::-1]
     return y[lead:-lead].reshape(x.shape)

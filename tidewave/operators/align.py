@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tracks
 
@@ -134,6 +137,101 @@ def lags(df: DataFrame, by: list[str], name: str, index: str, value: str, refere
     base = centred.where(F.col(name) == reference).select(*by, F.col(index).alias("__i"), F.col("__c").alias("__r"))
     base = base.withColumn("lag", F.explode(F.sequence(F.lit(-limit), F.lit(limit)))).withColumn(index, F.col("__i") + F.col("lag"))
     sums = centred.join(base, [*by, index]).groupBy(*by, name, "lag").agg(F.sum(F.col("__c") * F.col("__r")).alias("score"))
+    return _lag_verdict(sums, by, name, rate, warn, reject)
+
+
+def _lag_verdict(sums: DataFrame, by: list[str], name: str, rate: float, warn: float, reject: float) -> DataFrame:
     best = sums.groupBy(*by, name).agg(F.max_by("lag", F.struct(F.round("score", 6), -F.col("lag"))).alias("lag"))
     shift = F.col("lag") / rate
     return best.withColumn("shift", shift).withColumn("warned", F.abs(shift) > warn).withColumn("rejected", F.abs(shift) > reject)
+
+
+def correlations(df: DataFrame, by: list[str], name: str, index: str, value: str, reference: str, piece: int = 1 << 12, bins: int = 64) -> DataFrame:
+    """by, name, lag, score: the correlation of each series with `reference` at every lag at which the two overlap.
+
+    Series are centred; grid places that a series lacks count as its mean. A series of n
+    samples is cut into n / piece pieces, and a lag into whole pieces and a rest. The rest
+    is a product of the pieces' spectra; for each of their frequencies, whole pieces are
+    once more a correlation, along pieces, by their spectrum. So the work is n log n, and
+    its steps are dealt out by piece, by `bins` frequencies, and by whole pieces of lag;
+    none holds a series. What neighbours have of one lag is added at the end.
+    """
+    means = df.groupBy(*by, name).agg(F.avg(value).alias("__m"), F.min(index).cast("long").alias("__lo"), F.max(index).cast("long").alias("__hi"))
+    rows = tracks.joined(df.select(*by, name, F.col(index).cast("long").alias("__i"), F.col(value).cast("double").alias("__v")), means, [*by, name])
+    rows = rows.select(*by, name, F.floor(F.col("__i") / piece).alias("__p"), F.pmod("__i", F.lit(piece)).alias("__k"), (F.col("__v") - F.col("__m")).alias("__c"))
+    kinds = {f.name: f for f in rows.schema.fields}
+    keys = [kinds[c] for c in by]
+    pair = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("__re", "__im")]
+    size, width = 2 * piece, piece + 1
+    blocks = [(a, min(a + bins, width)) for a in range(0, width, bins)]
+
+    def parts(heads: pa.Table, spectra: list[np.ndarray], blocks: list[tuple[int, int]]) -> pa.Table:
+        """A row for each head and block of frequencies."""
+        out = heads.take(pa.array(np.repeat(np.arange(heads.num_rows), len(blocks))))
+        out = out.append_column("__f", pa.array(np.tile(np.arange(len(blocks)), heads.num_rows), pa.int64()))
+        for c, part in (("__re", np.real), ("__im", np.imag)):
+            out = out.append_column(c, pa.array([part(s[a:b]) for s in spectra for a, b in blocks], pa.list_(pa.float64())))
+        return out
+
+    def forward(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        places, values = t["__k"].to_numpy(), tracks.numbers(t["__c"])
+        spectra = []
+        for a, b in zip(starts, tracks.ends_of(starts, t.num_rows)):
+            x = np.zeros(piece)
+            np.add.at(x, places[a:b], np.nan_to_num(values[a:b]))
+            spectra.append(np.fft.rfft(x, size))
+        return parts(t.take(pa.array(starts)).select([*by, name, "__p"]), spectra, blocks)
+
+    def across(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        series, pieces = t[name].to_pylist(), t["__p"].to_numpy()
+        re, im = (t[c].to_pylist() for c in ("__re", "__im"))
+        at, lags_, found = [], [], []
+        for a, b in zip(starts.tolist(), tracks.ends_of(starts, t.num_rows).tolist()):
+            of: dict = {}
+            for i in range(a, b):
+                of.setdefault(series[i], []).append(i)
+            if reference not in of:
+                continue
+            spread = {}
+            for s, own in of.items():
+                m = np.zeros((pieces[own[-1]] - pieces[own[0]] + 1, len(re[a])), complex)
+                m[pieces[own] - pieces[own[0]]] = np.array([re[i] for i in own]) + 1j * np.array([im[i] for i in own])
+                spread[s] = int(pieces[own[0]]), m
+            r0, r = spread[reference]
+            for s, (s0, x) in spread.items():
+                n = 1 << (len(r) + len(x) - 1).bit_length()
+                product = np.fft.ifft(np.fft.fft(x, n, axis=0) * np.conj(np.fft.fft(r, n, axis=0)), axis=0)
+                for d in range(-(len(r) - 1), len(x)):
+                    at.append(of[s][0])
+                    lags_.append(d + s0 - r0)
+                    found.append(product[d])
+        out = t.take(pa.array(at, pa.int64())).select([*by, name, "__f"]).append_column("__d", pa.array(lags_, pa.int64()))
+        for c, part in (("__re", np.real), ("__im", np.imag)):
+            out = out.append_column(c, pa.array([part(s) for s in found], pa.list_(pa.float64())))
+        return out
+
+    def back(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        re, im, whole = t["__re"].to_pylist(), t["__im"].to_pylist(), t["__d"].to_numpy()
+        at, lag, score = [], [], []
+        for a, b in zip(starts.tolist(), tracks.ends_of(starts, t.num_rows).tolist()):
+            c = np.fft.irfft(np.concatenate(re[a:b]) + 1j * np.concatenate(im[a:b]), size)
+            lag.append(whole[a] * piece + np.arange(-(piece - 1), piece))
+            score.append(np.concatenate([c[piece + 1 :], c[:piece]]))
+            at.append(np.full(2 * piece - 1, a))
+        heads = t.take(pa.array(np.concatenate(at))).select([*by, name])
+        return heads.append_column("lag", pa.array(np.concatenate(lag))).append_column("score", pa.array(np.concatenate(score)))
+
+    f, d = T.StructField("__f", T.LongType()), T.StructField("__d", T.LongType())
+    spectra = tracks.segmented(rows, [*by, name, "__p"], ["__k"], forward, T.StructType([*keys, kinds[name], kinds["__p"], f, *pair]))
+    mixed = tracks.segmented(spectra, [*by, "__f"], [name, "__p"], across, T.StructType([*keys, kinds[name], f, d, *pair]))
+    partial = tracks.segmented(mixed, [*by, name, "__d"], ["__f"], back, T.StructType([*keys, kinds[name], T.StructField("lag", T.LongType()), T.StructField("score", T.DoubleType())]))
+    sums = partial.groupBy(*by, name, "lag").agg(F.sum("score").alias("score"))
+    ends = means.where(F.col(name) == reference).select(*by, F.col("__lo").alias("__rlo"), F.col("__hi").alias("__rhi"))
+    means = tracks.joined(means, ends, by) if by else means.crossJoin(F.broadcast(ends))  # one row
+    sums = tracks.joined(sums, means, [*by, name])
+    return sums.where((F.col("lag") >= F.col("__lo") - F.col("__rhi")) & (F.col("lag") <= F.col("__hi") - F.col("__rlo"))).select(*by, name, "lag", "score")
+
+
+def full_lags(df: DataFrame, by: list[str], name: str, index: str, value: str, reference: str, rate: float = 1.0, warn: float = 0.1, reject: float = 0.5, piece: int = 1 << 12) -> DataFrame:
+    """As lags(), over every lag at which a series overlaps the reference."""
+    return _lag_verdict(correlations(df, by, name, index, value, reference, piece), by, name, rate, warn, reject)
