@@ -126,7 +126,7 @@ def learning_rate(epoch: Column, warm: int = 5, main: int = 50, fine: int = 20)
     import math
 
     cosine = lambda e, n, hi, lo: lo + (hi - lo) * (1 + F.cos(math.pi * e / n)) / 2
-    up = 1e-5 + (1e-4 - 1e-5) * epoch / warm
+    up = 1e-5 + (1e-4 - 1e-5) * epoch / max(warm - 1, 1)
     return F.when(epoch < warm, up).when(epoch < warm + main, cosine(epoch - warm, main, 1e-4, 1e-6)).otherwise(cosine(epoch - warm - main, fine, 1e-5, 1e-7))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalogue import query, read
 from ..functions import arrays as A
-from ..operators import augment, metrics, model
+from ..operators import augment, metrics, model, training
 from ..sources import folds
 from .queries_features import _E, vectors
 
@@ -250,13 +251,32 @@ def envelope_per_class(spark, d):
 
 
 @query("lr_schedule", "TRN2", """
-select epoch, round(1e9 * case when epoch < 5 then 1e-5 + 9e-5 * epoch / 5 when epoch < 55 then 1e-6 + 99e-6 * (1 + cos(pi() * (epoch - 5) / 50)) / 2 else 1e-7 + 99e-7 * (1 + cos(pi() * (epoch - 55) / 20)) / 2 end, 3) as nano_rate
+select epoch, round(1e9 * case when epoch < 5 then 1e-5 + 9e-5 * epoch / 4 when epoch < 55 then 1e-6 + 99e-6 * (1 + cos(pi() * (epoch - 5) / 50)) / 2 else 1e-7 + 99e-7 * (1 + cos(pi() * (epoch - 55) / 20)) / 2 end, 3) as nano_rate
 from range(75) as r(epoch)
 """)
 def lr_schedule(spark, d):
     return spark.range(75).select(F.col("id").alias("epoch"), F.round(1e9 * metrics.learning_rate(F.col("id")), 3).alias("nano_rate"))
 
 
+@query("heads_gradient", "TRN1 LSS5", f"""
+with t as (select list_concat(e, [1e0]) as x, label % 8 as y, [1e0, 1e0, 1e0, 1e0, 1e0, 2e0, 15e-1, 3e0][label % 8 + 1] as w from ({_E})),
+g as (select x, y, list_transform(range(8), lambda i: -w * ((case when i = y then 95e-2 else 0e0 end) + 5e-2 / 8) / (case when i < 6 then 1 / 24e0 when i = 6 then 25e-2 else 5e-1 end)) as g from t),
+m as (select *, list_sum(g[1:6]) as six from g),
+d as (select x, y, h, case h when 0 then (six / 12 + g[7] / 2 - g[8]) / 4 when 1 then (six / 6 - g[7]) / 8 else (g[h - 1] - six / 6) / 24 end as main,
+        case when h = 0 then 5e-1 - (y <> 7)::int end as presence, case when h = 1 and y <> 7 then 5e-1 - (y < 6)::int end as motion,
+        case when h > 1 and y < 6 then (10e0 / 6 * ln(1 / 6e0) - 25e0 / 6) / 6 * ((y = h - 2)::int - 1 / 6e0) end as activity from m, range(8) as r(h))
+select h::int as head, f::int as feature, round(avg(main * x[f + 1]) + 3e-1 * (coalesce(avg(presence * x[f + 1]), 0) + coalesce(avg(motion * x[f + 1]), 0) + coalesce(avg(activity * x[f + 1]), 0)), 6) as gradient
+from d, range(65) as q(f) group by 1, 2
+""")
+def heads_gradient(spark, d):
+    """The joint loss's gradient over the whole table, from weights of zero and after the ramp."""
+    plan = training.Plan(batches=1)
+    rows = training.in_batches(vectors(spark, d).withColumn("truth", F.col("label") % 8), "vec_id", "e", "truth", plan)
+    counts, _, parts = training.batch_sums(rows, np.zeros((training.HEADS, 65)), "e", "truth", plan)[0]
+    g = training.joint(counts, parts, plan.ramp, plan)
+    return spark.createDataFrame([(h, f, round(float(g[h, f]), 6)) for h in range(len(g)) for f in range(65)], "head int, feature int, gradient double")
+
+
 @query("training_curves", "MET12", """
 select case when event_id % 2 = 0 then 'train' else 'val' end as phase, user_id % 20 as epoch, round(avg(value), 5) as loss, round(avg(1 / (1 + abs(value))), 5) as f1, round(max(1e-4 * (user_id % 20)), 7) as rate from events group by 1, 2
 """)
