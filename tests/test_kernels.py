@@ -155,20 +155,6 @@ def test_unpack_by_hand():
     assert (re[0], im[0]) == (3 - 512, 10.0)
 
 
-def test_array_files(spark, tmp_path):
-    a = np.arange(4 * 30 * 9).reshape(4, 270) + 1j
-    np.save(tmp_path / "x.npy", a)
-    with io.BytesIO() as b:
-        np.savez(b, csi=a.reshape(4, 1, 30, 3, 3).transpose(0, 1, 3, 4, 2))
-        (tmp_path / "y.npz").write_bytes(b.getvalue())
-    (tmp_path / "z.npy").write_bytes(b"broken")
-    rows = files.read_arrays(spark, str(tmp_path))
-    assert rows.count() == 2 * 4 * 3 * 4
-    one = rows.where("t_idx = 1 and rx = 2 and ant = 1").select("path", "re").orderBy("path").collect()
-    assert [r.re for r in one] == [a.real.reshape(4, 30, 3, 3)[1, :, 2, 1].tolist()] * 2
-    assert rows.where("ant = 3").select(A.total(F.col("re")).alias("s")).where("s <> 0").isEmpty()
-
-
 def test_fold_tables(spark, tmp_path):
     df = spark.range(20).select((F.col("id") % 2).cast("int").alias("fold"), F.when(F.col("id") < 10, "train").otherwise("test").alias("split"), F.col("id").cast("string").alias("recording_id"))
     folds.write_fold(df, str(tmp_path / "f"))

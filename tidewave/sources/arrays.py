@@ -1,22 +1,34 @@
-"""Array files (.npy, .npz) as frame rows. MATLAB files need a reader this environment lacks and are rejected."""
+"""Array files (.npy, .npz, .mat) as frame rows."""
 
 from __future__ import annotations
 
 import io
+import zipfile
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FRAMES = "path string, t_idx int, rx int, ant int, re array<double>, im array<double>"
-KEYS = ("csi", "CSI", "csi_trace", "data")
-
+from . import matlab
 
-def load(content: bytes, name: str) -> np.ndarray:
-    data = np.load(io.BytesIO(content), allow_pickle=False)
-    if name.endswith(".npz"):
-        data = data[next((k for k in KEYS if k in data.files), data.files[0])]
+FRAMES = "path string, t_idx int, rx int, ant int, re array<double>, im array<double>"
+# Names under which array files hold their samples, in the order of the search; else the first that has no leading '_'.
+NPZ_KEYS = ("csi",)
+MAT_KEYS = {"narrow": ("csi_trace", "csi", "data", "WiFiCSI"), "wide": ("csi", "CSI", "data")}
+
+
+def load(content: bytes, name: str, shape: str = "narrow") -> np.ndarray:
+    if name.lower().endswith(".mat"):
+        data, keys = matlab.variables(content), MAT_KEYS[shape]
+    else:
+        data, keys = np.load(io.BytesIO(content), allow_pickle=False), NPZ_KEYS
+    if not isinstance(data, np.ndarray):
+        names = [*data]
+        key = next((k for k in keys if k in names), next((k for k in names if not k.startswith("_")), None))
+        if key is None:
+            raise ValueError(f"{name} holds no array")
+        data = data[key]
     return data.astype(np.complex128)
 
 
@@ -31,10 +43,11 @@ def narrow(a: np.ndarray, bins: int = 30) -> np.ndarray | None:
     return a.reshape(len(a), bins, 3, 3) if a.ndim == 2 and a.shape[1] == bins * 9 else None
 
 
-def wide(a: np.ndarray) -> np.ndarray | None:
-    """(T, F, A) of one receiver from (T, F), (T, F, A), (T, A, F) or (T, F, A, B)."""
+def wide(a: np.ndarray, bins: int = 2048) -> np.ndarray | None:
+    """(T, F, A) of one receiver from (T, F), (T, F, A), (T, A, F), (T, 1, F, A) or (T, streams, antennas, F); None for other ranks."""
     if a.ndim == 4:
-        a = a.reshape(*a.shape[:2], -1)
+        a = a.reshape(len(a), -1, a.shape[-1])
+        return a if a.shape[1] == bins else np.moveaxis(a, 2, 1)
     if a.ndim == 2:
         return a[:, :, None]
     if a.ndim != 3:
@@ -48,16 +61,16 @@ def fitted(a: np.ndarray, axis: int, size: int) -> np.ndarray:
     return np.pad(a, [(0, size - a.shape[axis]) if i == axis else (0, 0) for i in range(a.ndim)])
 
 
-def read_arrays(spark: SparkSession, path: str, shape: str = "narrow", antennas: int = 4, receiver: int = 0) -> DataFrame:
-    """One row for each (file, t_idx, rx, ant). Files that cannot be read, or of other shapes, give no rows."""
+def read_arrays(spark: SparkSession, path: str, shape: str = "narrow", antennas: int = 4, receiver: int = 0, rate: float | None = None) -> DataFrame:
+    """One row for each (file, t_idx, rx, ant), with ts if a rate is given. Files that cannot be read, or of other shapes, give no rows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches):
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    a = load(content, name)
-                except (ValueError, OSError):
+                    a = load(content, name, shape)
+                except (ValueError, OSError, zipfile.BadZipFile):
                     continue
                 a = narrow(a) if shape == "narrow" else wide(a)
                 if a is None:
@@ -69,10 +82,12 @@ def read_arrays(spark: SparkSession, path: str, shape: str = "narrow", antennas:
                     index = np.indices((len(part) // (m * n), m, n)).reshape(3, -1)
                     yield pd.DataFrame({"path": name, "t_idx": index[0] + at, "rx": index[1] + (receiver if shape == "wide" else 0), "ant": index[2], "re": list(part.real), "im": list(part.imag)})
 
-    return files.mapInPandas(run, FRAMES)
+    frames = files.mapInPandas(run, FRAMES)
+    return frames if rate is None else timed(frames, rate)
 
 
 def timed(frames: DataFrame, rate: float) -> DataFrame:
+    """frames plus ts: seconds from the file's begin, at a constant rate; array files have no times of their own."""
     return frames.withColumn("ts", F.col("t_idx") / rate)
 
 
