@@ -187,16 +187,6 @@ def test_augmentation_is_a_function_of_seed_and_id(spark):
     assert a == b and any(r.v != r.augmented for r in a)
 
 
-def test_a_second_fold_is_added_and_the_first_stays(spark, tmp_path):
-    df = spark.range(12).select(F.col("id").cast("string").alias("recording_id"), (F.col("id") % 2).cast("int").alias("fold"), F.lit("test").alias("split"), F.lit(1).alias("v"))
-    path = str(tmp_path / "f")
-    folds.write_fold(df.where("fold = 0"), path)
-    folds.write_fold(df.withColumn("v", F.lit(2)), path)
-    assert {r.fold: (r.n, r.v) for r in spark.read.parquet(path).groupBy("fold").agg(F.count("v").alias("n"), F.max("v").alias("v")).collect()} == {0: (6, 1), 1: (6, 2)}
-    folds.write_fold(df.where("fold = 1").withColumn("v", F.lit(3)), path, overwrite=True)
-    assert {r.fold: r.v for r in spark.read.parquet(path).groupBy("fold").agg(F.max("v").alias("v")).collect()} == {0: 1, 1: 3}
-
-
 def test_log_keeps_its_first_columns(spark, tmp_path):
     path = str(tmp_path / "log")
     folds.append_log(spark.createDataFrame([(0, "train", 1.5)], "epoch int, phase string, loss double"), path)
@@ -230,7 +220,7 @@ def test_fold_statistics_against_loops(spark, tmp_path):
     packets = spark.createDataFrame(rows, "recording_id string, person string, room string, label int, rx int, ts double, ant int, re array<double>, im array<double>")
     path = str(tmp_path / "out")
     preprocess.preprocess(packets, path, bins)
-    windows, refs = {}, {r.recording_id: r.ref for r in spark.read.parquet(f"{path}/folds").select("recording_id", "ref").distinct().collect()}
+    windows, refs = {}, {r.recording_id: r.ref for r in folds.read_folds(spark, f"{path}/folds").select("recording_id", "ref").distinct().collect()}
     frames = {}
     for r in spark.read.parquet(f"{path}/frames").orderBy("t_idx").collect():
         frames.setdefault((r.recording_id, r.rx), []).append(np.array(r.re) + 1j * np.array(r.im))

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.folds import write_fold, written_folds
+from ..sources.folds import committed, read_folds, write_fold
 from .metrics import argmax, composed
 from .split import person_ranks, split_of
 
@@ -64,7 +64,10 @@ def leave_one_out(df: DataFrame, person: str, key: str, vector: str, truth: str,
     ranks = person_ranks(df, person)
     n = ranks.agg(F.max("persons")).first()[0]
     rows, out = df.join(ranks, person), []
-    done = {r.fold for r in written.collect()} if path and (written := written_folds(df.sparkSession, f"{path}/predictions")) is not None else set()
+    done = set(committed(df.sparkSession, f"{path}/predictions")) if path else set()
+    if path and len(done) < n:
+        rows.select("k", "persons", key, vector, truth).write.mode("overwrite").parquet(f"{path}/rows")  # read by every fold and model
+        rows = df.sparkSession.read.parquet(f"{path}/rows")
     for fold in range(n):
         own = rows.withColumn("fold", F.lit(fold)).withColumn("split", split_of(F.col("k"), F.col("fold"), F.col("persons")))
         if fold not in done:
@@ -76,5 +79,5 @@ def leave_one_out(df: DataFrame, person: str, key: str, vector: str, truth: str,
             else:
                 out.append(pred)
     if path:
-        return df.sparkSession.read.parquet(f"{path}/predictions").select("fold", key, truth, "pred", "probs")
+        return read_folds(df.sparkSession, f"{path}/predictions").select("fold", key, truth, "pred", "probs")
     return reduce(DataFrame.unionByName, out).drop("split")

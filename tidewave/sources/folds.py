@@ -2,29 +2,118 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 import warnings
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def written_folds(spark: SparkSession, path: str) -> DataFrame | None:
-    """fold, split of the partitions that a path holds; None if nothing is there."""
+#: Splits that every fold has, with or without rows.
+SPLITS = ("train", "val", "test")
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of path, and the path, by Spark's own classes."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _text(fs, path) -> str:
+    stream = fs.open(path)
     try:
-        return spark.read.parquet(path).select("fold", "split").distinct()
-    except AnalysisException:
-        return None
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def committed(spark: SparkSession, path: str) -> dict[int, dict]:
+    """The manifest of every fold that was written whole: fold, attempt, schema, splits (recordings and windows by split), attributes."""
+    fs, root = _store(spark, f"{path}/_manifests")
+    out = {}
+    for status in fs.listStatus(root) if fs.exists(root) else ():
+        if status.getPath().getName().endswith(".json"):
+            try:
+                found = json.loads(_text(fs, status.getPath()))
+            except ValueError:  # being written
+                continue
+            out[found["fold"]] = found
+    return out
+
+
+def stage_fold(df: DataFrame, path: str) -> str:
+    """Write df under path as an attempt that no reader sees; its name. If the job fails, what it wrote goes."""
+    attempt = uuid.uuid4().hex
+    try:
+        df.write.partitionBy("fold", "split").option("compression", "zstd").parquet(f"{path}/attempt={attempt}")
+    except BaseException:
+        discard(df.sparkSession, f"{path}/attempt={attempt}")
+        raise
+    return attempt
 
 
-def write_fold(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Window features partitioned by fold and split; partitions that exist stay unless asked, others are added."""
+def discard(spark: SparkSession, path: str) -> None:
+    fs, p = _store(spark, path)
+    fs.delete(p, True)
+
+
+def commit_folds(spark: SparkSession, path: str, attempt: str, overwrite: bool = False, **attributes) -> list[int]:
+    """Give the folds of an attempt their manifests, last of all; the folds that are this attempt's now.
+
+    The first manifest of a fold stays: another attempt's rows for it are deleted, unless
+    asked to overwrite, when the earlier attempt's are.
+    """
+    try:
+        rows = spark.read.option("basePath", path).parquet(f"{path}/attempt={attempt}")
+    except AnalysisException:  # no rows at all
+        discard(spark, f"{path}/attempt={attempt}")
+        return []
+    n = F.countDistinct("recording_id") if "recording_id" in rows.columns else F.lit(None).cast("long")
+    counts = rows.groupBy("fold", "split").agg(n.alias("recordings"), F.count(F.lit(1)).alias("windows")).collect()  # splits of folds
+    schema = rows.drop("attempt", "fold", "split").schema.json()
+    earlier, won = committed(spark, path), []
+    for fold in sorted({r.fold for r in counts}):
+        splits = {s: {"recordings": 0, "windows": 0} for s in SPLITS} | {r.split: {"recordings": r.recordings, "windows": r.windows} for r in counts if r.fold == fold}
+        text = json.dumps({"fold": fold, "attempt": attempt, "schema": json.loads(schema), "splits": splits, "attributes": attributes})
+        fs, p = _store(spark, f"{path}/_manifests/fold={fold}.json")
+        try:
+            stream = fs.create(p, overwrite)
+        except Py4JJavaError:
+            if not fs.exists(p):
+                raise
+            discard(spark, f"{path}/attempt={attempt}/fold={fold}")
+            continue
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        won.append(fold)
+        if overwrite and fold in earlier:
+            discard(spark, f"{path}/attempt={earlier[fold]['attempt']}/fold={fold}")
+    return won
+
+
+def write_fold(df: DataFrame, path: str, overwrite: bool = False, **attributes) -> list[int]:
+    """Window features by fold and split; folds that were written whole stay unless asked, others are added. The folds written.
+
+    An attempt is staged, then committed, so a job that fails leaves nothing to readers,
+    and of two writers of one fold the first to commit stays.
+    """
     spark = df.sparkSession
-    there = None if overwrite else written_folds(spark, path)
-    if there is not None:
-        df = df.join(F.broadcast(there), ["fold", "split"], "left_anti")  # a row for each partition
-    rows = df.write.partitionBy("fold", "split").option("compression", "zstd")
-    (rows.mode("overwrite").option("partitionOverwriteMode", "dynamic") if overwrite else rows.mode("append")).parquet(path)
+    there = [] if overwrite else sorted(committed(spark, path))
+    attempt = stage_fold(df.where(~F.col("fold").isin(there)) if there else df, path)
+    return commit_folds(spark, path, attempt, overwrite, **attributes)
+
+
+def read_folds(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the folds that were written whole."""
+    found = committed(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no folds at {path}")
+    paths = [f"{path}/attempt={m['attempt']}/fold={fold}" for fold, m in sorted(found.items())]
+    return spark.read.option("basePath", path).parquet(*paths).drop("attempt")
 
 
 def write_statistics(spark: SparkSession, path: str, **tables: DataFrame) -> None:
@@ -55,8 +144,13 @@ def csv_log(log: DataFrame, path: str) -> None:
 
 
 def read_fold(spark: SparkSession, path: str, fold: int, split: str) -> DataFrame:
-    """One split of one fold; other partitions are not listed."""
-    return spark.read.parquet(path).where((F.col("fold") == fold) & (F.col("split") == split))
+    """One split of one fold; others are not listed. A split without rows is an empty table of the same columns."""
+    found = committed(spark, path)[fold]
+    columns = T.StructType([*T.StructType.fromJson(found["schema"]).fields, T.StructField("fold", T.IntegerType()), T.StructField("split", T.StringType())])
+    if not found["splits"].get(split, {"windows": 0})["windows"]:
+        return spark.createDataFrame([], columns)
+    place = f"{path}/attempt={found['attempt']}"
+    return spark.read.schema(columns).option("basePath", place).parquet(f"{place}/fold={fold}/split={split}")
 
 
 def write_manifest(df: DataFrame, path: str, **attributes) -> None:
