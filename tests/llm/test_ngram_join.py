@@ -88,6 +88,26 @@ def test_keep_one_each(spark):
     assert J.keep_one_each(no_docs(spark), 5, 80).count() == 0
 
 
+def test_names_of_other_columns_cannot_clash(spark):
+    docs = odd_docs(spark).withColumns({"__text": J.F.lit("own"), "__id": J.F.lit(-1), "__key": J.F.lit(None).cast("string"), "row": J.F.lit(2), "id": J.F.lit(3)})
+    kept = J.keep_one_each(docs, 5, 80)
+    assert kept.columns == docs.columns and kept.count() == 11
+    assert all((r["__text"], r["__id"], r["__key"], r.row, r.id) == ("own", -1, None, 2, 3) for r in kept.collect())
+
+
+def test_copies_are_one_row_before_anything_moves(spark):
+    """A page copied thousands of times takes part in the exchange of blocks once."""
+    page = " ".join(f"p{i}" for i in range(150))
+    near = [(10_000 + i, page.replace(f"p{i * 3} ", "x ")) for i in range(40)]
+    docs = spark.createDataFrame([(i, page) for i in range(4000)] + near + [(20_000, "alone " * 3)], "doc_id long, text string").repartition(6)
+    _, summary = J._summarised(docs, 3, 90)
+    assert J._once(summary).count() == 42 == J._once(summary).select("h1").distinct().count()
+    members = J._members(summary, 90)
+    assert members.groupBy("region").count().agg(J.F.max("count")).first()[0] <= 41
+    got = J.jaccard_components(docs, 3, 90).groupBy("component_id").count().collect()
+    assert sorted((r.component_id, r["count"]) for r in got) == [(0, 4040), (20_000, 1)]
+
+
 def test_districts_meet_whatever_the_blocks():
     """Two sets at the threshold share a district among their D + 1 rarest, in any order of rarity."""
     rng = np.random.default_rng(5)

@@ -237,16 +237,22 @@ def _summarised(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     return docs, cut(docs.mapInArrow(_summaries(k, percent), flat))
 
 
+def _once(summary: DataFrame) -> DataFrame:
+    """A row for each distinct set that is not empty: copies become one row in the task that reads them, before anything moves."""
+    some = summary.where("n > 0").select("h1", "n", "fams")
+    often = some.groupBy("h1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1")
+    return some.join(often, "h1", "left_anti").unionByName(some.join(often, "h1", "left_semi").dropDuplicates(["h1"]))
+
+
 def _members(summary: DataFrame, percent: int) -> DataFrame:
     """(region, node) of every set's D + 1 rarest shared blocks."""
-    entries = summary.where("n > 0").select(F.col("h1").alias("node"), "n", F.explode("fams").alias("f"))
+    entries = _once(summary).select(F.col("h1").alias("node"), "n", F.explode("fams").alias("f"))
     entries = entries.select("node", "n", F.col("node").bitwiseXOR(F.col("f.fam").cast("long")).alias("entry"), F.col("f.sigs").alias("sigs"))
-    # one exchange serves the count of the blocks and the choice of the shared ones; copies only raise a
-    # block's frequency, which every member sees alike
-    rows = entries.select("entry", F.explode("sigs").alias("region")).repartition("region")
-    often = rows.groupBy("region").agg(F.count(F.lit(1)).alias("freq"), F.min("entry").alias("lo"), F.max("entry").alias("hi")).where("lo < hi").select("region", "freq")
-    shared = rows.join(often.hint("shuffle_hash"), "region").dropDuplicates(["region", "entry"])
-    sizes = entries.select("entry", "node", F.size("sigs").alias("b"), F.floor(F.col("n") * (100 - percent) / percent).alias("spread")).dropDuplicates(["entry"])
+    # blocks of near copies: counts are added up before they move, and Spark splits the join of a frequent block
+    rows = entries.select("entry", F.explode("sigs").alias("region"))
+    often = rows.groupBy("region").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    shared = rows.join(often, "region")
+    sizes = entries.select("entry", "node", F.size("sigs").alias("b"), F.floor(F.col("n") * (100 - percent) / percent).alias("spread"))
     by = Window.partitionBy("entry")
     ranked = shared.join(sizes, "entry").select("region", "node", "b", "spread", F.row_number().over(by.orderBy("freq", "region")).alias("rank"), F.count(F.lit(1)).over(by).alias("cnt"))
     return cut(ranked.where("rank + b - cnt <= spread + 1").select("region", "node"))
@@ -441,12 +447,13 @@ def keep_one_each(docs: DataFrame, k: int, percent: int) -> DataFrame:
         rows = rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
         return F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
 
-    keyed = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    # rows are packed, so that no name of theirs can clash
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))
     kept = keyed.join(named(keys.where("not best")), same, "left_anti")
     again = keys.where("best and n > 1")
     if not again.isEmpty():
         again = named(again)
-        once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__text"])
+        once = kept.join(again, same, "left_semi").dropDuplicates(["id", "key"])
         kept = kept.join(again, same, "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    return kept.select("row.*")
