@@ -75,6 +75,29 @@ def mapped_class(df: DataFrame, name: str, classes: list[tuple[str, int]], blank
     return df.withColumn("class_id", F.get(F.transform(F.array(key), found), 0))
 
 
+def activity_of(path: Column, names: tuple[str, ...], rule: str = "last") -> Column:
+    """The activity that a path names, or null; cases and underscores do not count.
+
+    last: the last part of the path that contains a name counts, and of several names
+    in it the last of the list. stem: only the file's stem counts, and the first name of
+    the list that it contains. The list is bounded and searched within the row.
+    """
+    keys = [name.lower().replace("_", "") for name in names]
+    named = F.array(*map(F.lit, names))
+
+    def last(part: Column) -> Column:
+        return F.greatest(*(F.when(part.contains(k), i).otherwise(-1) for i, k in enumerate(keys)), F.lit(-1))
+
+    plain = F.replace(F.lower(path), F.lit("_"), F.lit(""))
+    if rule == "stem":
+        stem = F.regexp_extract(plain, r"([^/]*?)(?:\.[^./]*)?$", 1)
+        return F.coalesce(*(F.when(stem.contains(k), F.lit(name)) for name, k in zip(names, keys)), F.lit(None).cast("string"))
+    if rule != "last":
+        raise ValueError("rule is last or stem")
+    found = F.filter(F.transform(F.split(plain, "/"), last), lambda i: i >= 0)
+    return F.get(named, F.element_at(F.when(F.size(found) > 0, found), F.lit(-1)))
+
+
 def receiver_triplets(df: DataFrame, by: list[str], receiver: str, item: str, fallback: bool = False) -> DataFrame:
     """by, rx0, rx1, rx2, copied: groups with all three receivers; with `fallback` rx0 stands in where rx1 is missing."""
     wide = df.groupBy(*by).agg(*(F.min(F.when(F.col(receiver) == i, F.col(item))).alias(f"rx{i}") for i in range(3)))

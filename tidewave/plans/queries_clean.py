@@ -118,7 +118,7 @@ _CURVE = """case when {t} <= s3.x or s3.x1 is null then s3.y else
   + (3*pow(({t}-s3.x)/h,2) - 2*pow(({t}-s3.x)/h,3))*s3.y1 + (pow(({t}-s3.x)/h,3) - pow(({t}-s3.x)/h,2))*h*m1 end"""
 
 
-@query("pchip_resample", "WIN5 JN4 WIN14", f"""
+@query("pchip_resample", "WIN5 JN4", f"""
 with k as (select user_id as g, t as x, value as y from ({_TRACK}) where value is not null), {_SLOPES},
 n as (select g, min(x) as a, max(x) as b from k group by 1),
 grid as (select g, i, a + i * 3600e0 as t from n, lateral (select unnest(range(ceil((b - a) / 36e2)::bigint)) as i))
@@ -207,7 +207,7 @@ def class_counts_per_split(spark, d):
 CLASSES = [("small", 0), ("large", 1), ("steel", 2), ("brass", 3), ("tin", 4), ("copper", 5), ("nickel", 6), ("economy", 7)]
 
 
-@query("class_map_fuzzy", "JN7 LBL3 FLT9 SCL8", """
+@query("class_map_fuzzy", "JN7 FLT9 SCL8", """
 with k as (select p_partkey, replace(lower(trim(p_type)), ' ', '_') as key from part),
 m(name, id, ord) as (values ('small', 0, 0), ('large', 1, 1), ('steel', 2, 2), ('brass', 3, 3), ('tin', 4, 4), ('copper', 5, 5), ('nickel', 6, 6), ('economy', 7, 7))
 select p_partkey, coalesce(min(case when key = name then id end), arg_min(id, ord) filter (contains(key, name) or contains(name, key)))::int as class_id from k, m group by 1
@@ -217,6 +217,26 @@ def class_map_fuzzy(spark, d):
     return split.mapped_class(read(spark, d, "part").select("p_partkey", "p_type"), "p_type", CLASSES).where("class_id is not null").select("p_partkey", "class_id")
 
 
+#: Names in the style of the blueprint's classes; some lie within others.
+ACTIVITIES = ("steel", "polished_steel", "tin", "small", "brushed", "plated", "green", "forest_green", "nickel")
+
+
+@query("activity_from_path", "LBL3", f"""
+with f as (select p_partkey, 'set/' || replace(p_type, ' ', '_') || '/' || case when p_partkey % 3 = 0 then 'For_Est_Green/' else '' end || replace(p_name, ' ', '_') || '_rep' || p_partkey || '.pcap' as path from part),
+m(name, ord) as (values {", ".join(f"('{name}', {i})" for i, name in enumerate(ACTIVITIES))}),
+q as (select p_partkey, unnest(string_split(replace(lower(path), '_', ''), '/')) as part, generate_subscripts(string_split(path, '/'), 1) as k from f),
+l as (select p_partkey, arg_max(name, (k, ord)) as last_match from q, m where contains(part, replace(name, '_', '')) group by 1),
+s as (select p_partkey, arg_min(name, ord) as stem_match from f, m where contains(regexp_extract(replace(lower(path), '_', ''), '([^/.]*)[.]pcap$', 1), replace(name, '_', '')) group by 1)
+select f.p_partkey, last_match, stem_match from f left join l using (p_partkey) left join s using (p_partkey)
+""")
+def activity_from_path(spark, d):
+    """Both rules on made-up paths: the last match of any part, and the first one of the stem."""
+    folder = F.when(F.col("p_partkey") % 3 == 0, "For_Est_Green/").otherwise("")
+    path = F.concat(F.lit("set/"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("/"), folder, F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_rep"), F.col("p_partkey").cast("string"), F.lit(".pcap"))
+    f = read(spark, d, "part").select("p_partkey", path.alias("path"))
+    return f.select("p_partkey", split.activity_of(F.col("path"), ACTIVITIES).alias("last_match"), split.activity_of(F.col("path"), ACTIVITIES, "stem").alias("stem_match"))
+
+
 def _values(classes):
     return ", ".join(f"('{name}', {value}, {i})" for i, (name, value) in enumerate(classes))
 

@@ -288,14 +288,15 @@ def of_mac(packets: DataFrame, mac: str) -> DataFrame:
 PARTS = {"person": r"(?:^|/)person_([^/]+)/", "room": r"(?:^|/)room_([^/]+)/", "setup": r"(?:^|/)setup_([^/]+)/", "trajectory": r"(?:^|/)trajectory_([^/]+)/"}
 
 
-def recordings(files: DataFrame, suffix: str = "pcap", fallback: bool = False) -> DataFrame:
+def recordings(files: DataFrame, suffix: str = "pcap", fallback: bool = False, activities: tuple[str, ...] | None = None, rule: str = "last") -> DataFrame:
     """path -> recording_id, person, room, setup, trajectory, activity, repetition, rx0, rx1, rx2, copied.
 
     The id is the whole path less the receiver, so equal stems of two persons
     stay apart. All three receivers are needed, or, with `fallback`, the first
-    stands in where the second is missing.
+    stands in where the second is missing. The activity is the stem without its
+    repetition, or, with a list of activities, the one that the path names by the rule.
     """
-    from ..operators.split import receiver_triplets
+    from ..operators.split import activity_of, receiver_triplets
 
     rx = F.regexp_extract("path", rf"_rx([0-2])\.{suffix}$", 1)
     rows = files.select("path").withColumn("rx", rx).where("rx <> ''").withColumn("rx", F.col("rx").cast("int"))
@@ -304,4 +305,5 @@ def recordings(files: DataFrame, suffix: str = "pcap", fallback: bool = False) -
     stem = F.regexp_extract("recording_id", r"([^/]+)$", 1)
     for name, pattern in PARTS.items():
         wide = wide.withColumn(name, F.nullif(F.regexp_extract("recording_id", pattern, 1), F.lit("")))
-    return wide.withColumn("activity", F.regexp_replace(F.lower(stem), r"_?rep[0-9]+$", "")).withColumn("repetition", F.regexp_extract(stem, r"rep([0-9]+)$", 1))
+    activity = F.regexp_replace(F.lower(stem), r"_?rep[0-9]+$", "") if activities is None else activity_of(F.col("recording_id"), activities, rule)
+    return wide.withColumn("activity", activity).withColumn("repetition", F.regexp_extract(stem, r"rep([0-9]+)$", 1))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 SPLITS = ("train", "val", "test")
 
 
-def _store(spark: SparkSession, path: str):
+def store(spark: SparkSession, path: str):
     """The file system of path, and the path, by Spark's own classes."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -33,7 +33,7 @@ def _text(fs, path) -> str:
 
 def committed(spark: SparkSession, path: str) -> dict[int, dict]:
     """The manifest of every fold that was written whole: fold, attempt, schema, splits (recordings and windows by split), attributes."""
-    fs, root = _store(spark, f"{path}/_manifests")
+    fs, root = store(spark, f"{path}/_manifests")
     out = {}
     for status in fs.listStatus(root) if fs.exists(root) else ():
         if status.getPath().getName().endswith(".json"):
@@ -57,7 +57,7 @@ def stage_fold(df: DataFrame, path: str) -> str:
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    fs, p = _store(spark, path)
+    fs, p = store(spark, path)
     fs.delete(p, True)
 
 
@@ -79,7 +79,7 @@ def commit_folds(spark: SparkSession, path: str, attempt: str, overwrite: bool =
     for fold in sorted({r.fold for r in counts}):
         splits = {s: {"recordings": 0, "windows": 0} for s in SPLITS} | {r.split: {"recordings": r.recordings, "windows": r.windows} for r in counts if r.fold == fold}
         text = json.dumps({"fold": fold, "attempt": attempt, "schema": json.loads(schema), "splits": splits, "attributes": attributes})
-        fs, p = _store(spark, f"{path}/_manifests/fold={fold}.json")
+        fs, p = store(spark, f"{path}/_manifests/fold={fold}.json")
         try:
             stream = fs.create(p, overwrite)
         except Py4JJavaError:
