@@ -108,6 +108,15 @@ def test_quality_odd_rows(spark):
     assert quality_rules.judge(no_docs(spark), labels(spark)).count() == 0
 
 
+def test_many_labels_calibrate_alike(spark, monkeypatch):
+    d = "/root/testdata/sf0.01"
+    docs, marks = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    few = sorted(r.doc_id for r in quality_rules.keep_good(docs, marks).select("doc_id").collect())
+    monkeypatch.setattr(quality_rules, "BROADCAST_LABELLED", 0)
+    many = quality_rules.keep_good(docs, marks)
+    assert sorted(r.doc_id for r in many.select("doc_id").collect()) == few and 0 < len(few) < docs.count()
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.b", "/x/y", "block"), ("b", "", "allow"), ("same", "/", "allow"), ("same", "/", "block")]
 
 

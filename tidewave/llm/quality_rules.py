@@ -23,6 +23,8 @@ from .common import cut
 
 #: Strata up to this many are sent to all executors.
 BROADCAST_STRATA = 10_000
+#: Up to so many labelled ids (a long each) are sent to all executors; more are shuffled.
+BROADCAST_LABELLED = 2_000_000
 #: At most this share of a stratum's good texts may be lost by all rules together ...
 ALPHA = 0.02
 #: ... with this probability of losing more in any stratum.
@@ -166,8 +168,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
-    # only labelled rows calibrate, so only they are measured for it
-    good = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum, "text").join(labelled_good(labels), "doc_id", "left_semi")
-    steps = _bounded(choose_steps(features(good), stratum))
+    ids, texts = cut(labelled_good(labels)), docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum, "text")
+    # only labelled rows calibrate; they are measured where they lie, or, beyond what may be sent to all tasks, all are and features move: never texts
+    good = features(texts.join(F.broadcast(ids), "doc_id", "left_semi")) if ids.count() <= BROADCAST_LABELLED else features(texts).drop("text").join(ids, "doc_id", "left_semi")
+    steps = _bounded(choose_steps(good, stratum))
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(stratum).alias(stratum), F.col("text").alias("text"))
     return apply_steps(features(rows), steps, stratum).where("kept").select("__row.*")
