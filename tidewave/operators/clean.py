@@ -156,6 +156,13 @@ def running_median(values: np.ndarray, first: np.ndarray, last: np.ndarray, half
     return np.partition(values[near], half, axis=1)[:, half]
 
 
+def outliers(v: np.ndarray, first: np.ndarray, last: np.ndarray, half: int = 7, sigmas: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """(bad, dilated): values far from the running median of their segment, and those beside them."""
+    dev = np.abs(v - running_median(v, first, last, half))
+    bad, at = dev > sigmas * MAD_TO_SIGMA * running_median(dev, first, last, half), np.arange(len(v))
+    return bad, bad | bad[np.minimum(at + 1, last)] | bad[np.maximum(at - 1, first)]
+
+
 def hampel(df: DataFrame, by: list[str], time: str, value: str, half: int = 7, sigmas: float = 3.0, width: float | None = None, length: int = 1 << 16) -> DataFrame:
     """by, time, value, bad, dilated: outliers against the running median, and the flags spread to both neighbours.
 
@@ -173,11 +180,7 @@ def hampel(df: DataFrame, by: list[str], time: str, value: str, half: int = 7, s
         n = t.num_rows
         ends = tracks.ends_of(starts, n)
         first, last = np.repeat(starts, ends - starts), np.repeat(ends - 1, ends - starts)
-        v = tracks.numbers(t[value])
-        dev = np.abs(v - running_median(v, first, last, half))
-        bad = dev > sigmas * MAD_TO_SIGMA * running_median(dev, first, last, half)
-        at = np.arange(n)
-        dilated = bad | bad[np.minimum(at + 1, last)] | bad[np.maximum(at - 1, first)]
+        bad, dilated = outliers(tracks.numbers(t[value]), first, last, half, sigmas)
         out = t.select(keep).append_column("bad", pa.array(bad)).append_column("dilated", pa.array(dilated))
         return out.filter(t["__own"])
 

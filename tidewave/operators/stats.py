@@ -163,3 +163,10 @@ def blurpool(df: DataFrame, by: list[str], order: str, value: str, stride: int =
     total = sum((F.lead(value, j).over(w) * c for j, c in enumerate((1, 4, 6, 4, 1))), F.lit(0.0)) / 16
     rows = rows.withColumn("__v", total).where((F.col("__i") + 4 < F.col("__n")) & (F.col("__i") % stride == 0))
     return rows.select(*by, (F.col("__i") / stride).cast("long").alias("i"), F.col("__v").alias("value"))
+
+
+def readout(df: DataFrame, by: list[str], order: str, value: str, stride: int = 4) -> DataFrame:
+    """by, mean, energy (mean of squares), blurred (the mean of blurpool()'s outputs, null where there is none)."""
+    sums = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.avg(F.col(value) * F.col(value)).alias("energy"))
+    blurred = blurpool(df, by, order, value, stride).groupBy(*by).agg(F.avg("value").alias("blurred"))
+    return sums.join(blurred, by, "left")

@@ -14,25 +14,20 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..operators import split, stats
+from ..operators.clean import outliers
 from ..sources import folds
 
 FRAME = "recording_id string, t_idx int, rx int, re array<double>, im array<double>"
 
 
-def _median(x: np.ndarray, half: int = 7) -> np.ndarray:
-    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, half, mode="edge"), 2 * half + 1), axis=1)
-
-
 def cleaned(h: np.ndarray) -> np.ndarray | None:
     """Gain-normalised, outliers repaired; None if over half of the packets of an antenna are bad. h: (T, F, A)."""
     gain = np.abs(h).mean(1)
     safe = np.where(gain > gain.max() * 1e-3, gain, 1.0)
     h = h / (safe[:, None] + 1e-8)
     for a in range(h.shape[2]):
-        envelope = np.abs(h[:, :, a]).mean(1)
-        dev = np.abs(envelope - _median(envelope))
-        bad = dev > 3 * 1.4826 * _median(dev)
-        bad = bad | np.append(bad[1:], False) | np.insert(bad[:-1], 0, False)
+        first = np.zeros(len(h), int)
+        _, bad = outliers(np.abs(h[:, :, a]).mean(1), first, first + len(h) - 1)
         if bad.mean() > 0.5:
             return None
         good = np.flatnonzero(~bad)

@@ -9,9 +9,8 @@ from ..operators import align, clean, split
 
 
 def track(spark, d):
-    """Packets with t, seconds since 2024-01-01, exact in double precision."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    seconds = F.expr("(unix_micros(cast(ts as timestamp)) - 1704067200000000) / 1e6")
+    """Packets with t, seconds since 2024-01-01, exact in double precision, in whatever time zone the session is."""
+    seconds = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) / 1e6")
     return read(spark, d, "events").select("user_id", "event_id", "event_type", seconds.alias("t"), "value")
 
 
@@ -129,6 +128,19 @@ def pchip_resample(spark, d):
     return out.select("user_id", "i", F.round("value", 4).alias("value"))
 
 
+@query("edge_fill", "WIN14", f"""
+with g as (select user_id, event_id, t, case when event_id % 3 = 0 or user_id % 10 = 0 then null else value end as v from ({_TRACK})),
+b as (select *, last_value(v ignore nulls) over (partition by user_id order by t, event_id rows unbounded preceding) as before,
+      first_value(v ignore nulls) over (partition by user_id order by t, event_id rows between current row and unbounded following) as after, count(v) over (partition by user_id) as n from g)
+select user_id, event_id, round(case when n = 0 then 0e0 when before is null then after when after is null then before else v end, 6) as filled from b
+""")
+def edge_fill(spark, d):
+    """A third of the values and every tenth track are missing; gaps at the edges are filled, inner ones stay."""
+    gone = (F.col("event_id") % 3 == 0) | (F.col("user_id") % 10 == 0)
+    e = track(spark, d).withColumn("v", F.when(~gone, F.col("value"))).withColumn("order", F.struct("t", "event_id"))
+    return clean.edge_filled(e, ["user_id"], "order", "v").select("user_id", "event_id", F.round("filled", 6).alias("filled"))
+
+
 @query("pchip_repair", "WIN3 WIN15", _HAMPEL + f""", o as (select *, (row_number() over (partition by user_id order by t) - 1)::bigint as i from f),
 k as (select user_id as g, i::double as x, value as y from o where not dilated), {_SLOPES},
 kc as (select g, count(*) as n, min(x) as lo, arg_min(y, x) as ylo from k group by 1)

@@ -404,3 +404,15 @@ def augment_joint(spark, d):
     out = augment.augmented_joint(rows, "vec_id", "rx", "ant", "ref", "re", "im", 5, shift=2, noise=0.0)
     out = out.select("vec_id", "rx", "ant", F.posexplode(F.arrays_zip("re", "im")).alias("i", "z"))
     return out.select("vec_id", "rx", "ant", F.col("i").cast("long"), F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"))
+
+
+@query("dual_readout", "MDL6", f"""
+with x as (select vec_id, c, i, e[i * 4 + c + 1] as v from ({_E}), range(4) as q(c), range(16) as r(i)),
+b as (select vec_id, c, j, list_sum(list_transform(range(5), lambda k: e[(j * 4 + k) * 4 + c + 1] * [1, 4, 6, 4, 1][k + 1])) / 16 as v from ({_E}), range(4) as q(c), range(3) as s(j))
+select x.vec_id, x.c as channel, round(avg(x.v), 6) as mean, round(avg(x.v * x.v), 6) as energy, round(any_value(m.blurred), 6) as blurred
+from x join (select vec_id, c, avg(v) as blurred from b group by 1, 2) m on m.vec_id = x.vec_id and m.c = x.c group by 1, 2
+""")
+def dual_readout(spark, d):
+    """Vectors as 16 steps of 4 channels: mean, energy, and the mean of the blurred quarter of steps."""
+    rows = vectors(spark, d).select("vec_id", F.posexplode("e").alias("j", "v")).select("vec_id", (F.col("j") % 4).alias("channel"), F.floor(F.col("j") / 4).alias("step"), "v")
+    return stats.readout(rows, ["vec_id", "channel"], "step", "v").select("vec_id", F.col("channel").cast("long"), *(F.round(c, 6).alias(c) for c in ("mean", "energy", "blurred")))

@@ -52,7 +52,7 @@ def per_class_prf(spark, d):
     return c.select("cls", *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")), "support", "present")
 
 
-@query("macro_f1", "MET4 MET5 INF1", f"""
+@query("macro_f1", "MET4 MET5", f"""
 with {_P}, {_CELLS}, {_CLASSES} select round(avg(f1) filter (present), 6) as macro_f1, round(max(recall) filter (cls = 5), 6) as fall_recall, round(max(f1) filter (cls = 7), 6) as empty_f1 from prf
 """)
 def macro_f1(spark, d):

@@ -63,7 +63,7 @@ def summary_json(spark, d):
     return back.select("dataset", F.size("j.per_fold").cast("long").alias("folds"), F.round("j.mean", 4).alias("mean"), F.round("j.std", 3).alias("std"))
 
 
-@query("window_feature_pipeline", "DSP3 DSP4 DSP5 WIN15 AGG9 SRC16 TST1 SRC9 PRJ6")
+@query("window_feature_pipeline", "DSP3 DSP4 DSP5 WIN15 AGG9 SRC16 TST1 PRJ6")
 def window_feature_pipeline(spark, d):
     """Synthetic packets through cleaning, alignment, resampling and both feature branches."""
     packets = preprocess.synthetic_packets(spark, persons=1)
