@@ -102,8 +102,11 @@ def test_copies_are_one_row_before_anything_moves(spark):
     docs = spark.createDataFrame([(i, page) for i in range(4000)] + near + [(20_000, "alone " * 3)], "doc_id long, text string").repartition(6)
     _, summary = J._summarised(docs, 3, 90)
     assert J._once(summary).count() == 42 == J._once(summary).select("h1").distinct().count()
+    assert "Exchange hashpartitioning(h1" not in J._once(summary)._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
     members = J._members(summary, 90)
     assert members.groupBy("region").count().agg(J.F.max("count")).first()[0] <= 41
+    few = spark.createDataFrame([(i, page) for i in range(J.MANY - 1)], "doc_id long, text string")  # not worth it
+    assert J._once(J._summarised(few, 3, 90)[1]).count() == J.MANY - 1
     got = J.jaccard_components(docs, 3, 90).groupBy("component_id").count().collect()
     assert sorted((r.component_id, r["count"]) for r in got) == [(0, 4040), (20_000, 1)]
 

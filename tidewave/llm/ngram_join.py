@@ -47,6 +47,8 @@ from .common import cut, drop, drop_since, mix, shingle_sets, written
 
 #: Up to so many keys of texts with partners are sent to all executors (a long each); more are shuffled.
 BROADCAST_NODES = 2_000_000
+#: Sets with so many rows, and with a 1/HOT of all rows, take part in the exchange of blocks once.
+MANY, HOT = 64, 100_000
 #: Up to so many bytes of pivots' sets are sent to all executors; more are shuffled.
 BROADCAST_PIVOTS = 32 << 20
 #: Sets and shingles that one task compares at most.
@@ -234,25 +236,32 @@ def _summarised(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     flat = "doc_id long, text_key long, n long, h1 long, h2 long, fams array<struct<fam:int,sigs:array<long>>>"
-    return docs, cut(docs.mapInArrow(_summaries(k, percent), flat))
+    return docs, cut(docs.mapInArrow(_summaries(k, percent), flat).withColumn("row", F.monotonically_increasing_id()))
 
 
 def _once(summary: DataFrame) -> DataFrame:
-    """A row for each distinct set that is not empty: copies become one row in the task that reads them, before anything moves."""
-    some = summary.where("n > 0").select("h1", "n", "fams")
-    often = some.groupBy("h1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1")
-    return some.join(often, "h1", "left_anti").unionByName(some.join(often, "h1", "left_semi").dropDuplicates(["h1"]))
+    """The rows of sets that are not empty, of much copied ones the first alone.
+
+    A set is much copied from MANY rows on, and from a 1/HOT of all rows on: so there are
+    HOT of them at most, which all tasks know, and no row moves. What copies of others
+    add to a block is bounded by the same numbers.
+    """
+    some = summary.where("n > 0")
+    bound = max(MANY, -(-some.count() // HOT))
+    hot = some.groupBy("h1").agg(F.count(F.lit(1)).alias("c"), F.min("row").alias("first")).where(F.col("c") >= bound).select(F.col("h1").alias("hot"), "first")
+    return some.join(F.broadcast(hot), F.col("h1") == F.col("hot"), "left").where("hot is null or row = first").select("h1", "n", "fams")
 
 
 def _members(summary: DataFrame, percent: int) -> DataFrame:
     """(region, node) of every set's D + 1 rarest shared blocks."""
     entries = _once(summary).select(F.col("h1").alias("node"), "n", F.explode("fams").alias("f"))
     entries = entries.select("node", "n", F.col("node").bitwiseXOR(F.col("f.fam").cast("long")).alias("entry"), F.col("f.sigs").alias("sigs"))
-    # blocks of near copies: counts are added up before they move, and Spark splits the join of a frequent block
-    rows = entries.select("entry", F.explode("sigs").alias("region"))
-    often = rows.groupBy("region").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    shared = rows.join(often, "region")
-    sizes = entries.select("entry", "node", F.size("sigs").alias("b"), F.floor(F.col("n") * (100 - percent) / percent).alias("spread"))
+    # one exchange of pairs of numbers serves the count of the blocks and the choice of the shared ones; the
+    # copies that are left only raise a block's frequency, which every member sees alike
+    rows = entries.select("entry", F.explode("sigs").alias("region")).repartition("region")
+    often = rows.groupBy("region").agg(F.count(F.lit(1)).alias("freq"), F.min("entry").alias("lo"), F.max("entry").alias("hi")).where("lo < hi").select("region", "freq")
+    shared = rows.join(often.hint("shuffle_hash"), "region").dropDuplicates(["region", "entry"])
+    sizes = entries.select("entry", "node", F.size("sigs").alias("b"), F.floor(F.col("n") * (100 - percent) / percent).alias("spread")).dropDuplicates(["entry"])
     by = Window.partitionBy("entry")
     ranked = shared.join(sizes, "entry").select("region", "node", "b", "spread", F.row_number().over(by.orderBy("freq", "region")).alias("rank"), F.count(F.lit(1)).over(by).alias("cnt"))
     return cut(ranked.where("rank + b - cnt <= spread + 1").select("region", "node"))
@@ -409,7 +418,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, pivots: int = 16,
     names = names.join(near, "node", "left").withColumn("comp", F.coalesce("low", "node"))
     best = names.groupBy("comp").agg(F.min("least").alias("component_id"))
     names = names.join(best, "comp").select(F.col("node").alias("h1"), F.col("comp").alias("component"), F.col("component_id").alias("least"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = summary.drop("fams").join(names, "h1", "left")
+    out = summary.drop("fams", "row").join(names, "h1", "left")
     some = F.col("n") > 0
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
