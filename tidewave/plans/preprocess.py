@@ -88,12 +88,13 @@ def uniform_frames(packets: DataFrame, rate: float = 350.0, receivers: int = 3,
     return packets.groupBy("recording_id").applyInPandas(run, FRAME)
 
 
-def window_features(frames: DataFrame, references: DataFrame, bins: int, antennas: int = 4, length: int = 350, stride: int = 175) -> DataFrame:
+def window_features(frames: DataFrame, references: DataFrame, bins: int, antennas: int = 4, length: int = 350, stride: int = 175, kind: str = "float") -> DataFrame:
     """recording_id, window_idx, rx, amplitude (length x bins x antennas), doppler (frames x 128), shapes flattened row by row.
 
-    references: recording_id, ref (antenna). Windows with NaN are skipped and the rest numbered on.
+    references: recording_id, ref (antenna). Windows with NaN are skipped and the rest numbered on. kind: float or double.
     """
-    schema = "recording_id string, window_idx int, rx int, amplitude array<float>, doppler array<float>"
+    schema = f"recording_id string, window_idx int, rx int, amplitude array<{kind}>, doppler array<{kind}>"
+    number = np.float32 if kind == "float" else np.float64
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t_idx")
@@ -104,7 +105,7 @@ def window_features(frames: DataFrame, references: DataFrame, bins: int, antenna
             w = h[at : at + length]
             if not np.isfinite(w).all():
                 continue
-            rows.append((pdf["recording_id"].iloc[0], len(rows), int(pdf["rx"].iloc[0]), K.amplitude(w).ravel().astype(np.float32), K.doppler(w[:, :, others], w[:, :, ref]).ravel().astype(np.float32)))
+            rows.append((pdf["recording_id"].iloc[0], len(rows), int(pdf["rx"].iloc[0]), K.amplitude(w).ravel().astype(number), K.doppler(w[:, :, others], w[:, :, ref]).ravel().astype(number)))
         return pd.DataFrame(rows, columns=["recording_id", "window_idx", "rx", "amplitude", "doppler"])
 
     # references: an int for each recording, joined on the key that the groups shuffle on

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..catalogue import query
+from ..catalogue import query, read
 from ..operators import align, filters
+from . import preprocess
 from .queries_clean import _TRACK, track
 
 
@@ -28,6 +30,11 @@ BAND = (
 
 def zero_phase_sql(sections: tuple[tuple[str, ...], ...], rows: str) -> str:
     """The recurrence sample by sample, forward and backward over an odd extension; rows: user_id, event_id, t, value."""
+    return f"with recursive {zero_phase_ctes(sections, rows)} select user_id, event_id, round(y, 4) as filtered from filtered"
+
+
+def zero_phase_ctes(sections: tuple[tuple[str, ...], ...], rows: str) -> str:
+    """Tables up to filtered (user_id, event_id, y), for after `with recursive`."""
     n, lead = len(sections), 3 * (2 * len(sections) + 1)
     names = "b0 b1 b2 a1 a2".split()
     constants = ", ".join(f"({e})::double as {c}{k}" for k, s in enumerate(sections) for c, e in zip(names, s))
@@ -38,26 +45,26 @@ def zero_phase_sql(sections: tuple[tuple[str, ...], ...], rows: str) -> str:
 
     def pass_(name: str, source: str) -> str:
         # inside out: each level adds the output of a section
-        inner = f"select f.user_id, e.p, e.x as x0, {', '.join('f.' + s for s in state)}, c.* exclude ({', '.join(state)}) from {name} f join {source} e on e.user_id = f.user_id and e.p = f.p + 1, c"
+        inner = f"select f.user_id, e.p, e.x as x0, {', '.join('f.' + s for s in state)}, z_c.* exclude ({', '.join(state)}) from {name} f join {source} e on e.user_id = f.user_id and e.p = f.p + 1, z_c"
         for k in range(n):
             inner = f"select *, b0{k} * x{k} + z{k} as x{k + 1} from ({inner})"
         new = ", ".join(f"b1{k} * x{k} - a1{k} * x{k + 1} + w{k}, b2{k} * x{k} - a2{k} * x{k + 1}" for k in range(n))
-        first = ", ".join(f"e.x * c.{s} as {s}" for s in state)
-        return f"{name} as (select e.user_id, -1::bigint as p, 0e0 as y, {first} from {source} e, c where e.p = 0 union all select user_id, p, x{n}, {new} from ({inner}))"
+        first = ", ".join(f"e.x * z_c.{s} as {s}" for s in state)
+        return f"{name} as (select e.user_id, -1::bigint as p, 0e0 as y, {first} from {source} e, z_c where e.p = 0 union all select user_id, p, x{n}, {new} from ({inner}))"
 
     return f"""
-with recursive k as (select {constants}), c as (select *, {steady} from k),
-o as (select *, row_number() over (partition by user_id order by t, event_id) - 1 as i, count(*) over (partition by user_id) as n from ({rows})),
-g as (select user_id, n, max(value) filter (i = 0) as a, max(value) filter (i = n - 1) as z from o group by 1, 2),
-e as (
-  select user_id, i + {lead} as p, value as x from o where n > {lead}
-  union all select user_id, {lead} - i, 2 * a - value from o join g using (user_id, n) where n > {lead} and i between 1 and {lead}
-  union all select user_id, {lead} + 2 * (n - 1) - i, 2 * z - value from o join g using (user_id, n) where n > {lead} and i between n - 1 - {lead} and n - 2
+z_k as (select {constants}), z_c as (select *, {steady} from z_k),
+z_o as (select *, row_number() over (partition by user_id order by t, event_id) - 1 as i, count(*) over (partition by user_id) as n from ({rows})),
+z_g as (select user_id, n, max(value) filter (i = 0) as a, max(value) filter (i = n - 1) as z from z_o group by 1, 2),
+z_e as (
+  select user_id, i + {lead} as p, value as x from z_o where n > {lead}
+  union all select user_id, {lead} - i, 2 * a - value from z_o join z_g using (user_id, n) where n > {lead} and i between 1 and {lead}
+  union all select user_id, {lead} + 2 * (n - 1) - i, 2 * z - value from z_o join z_g using (user_id, n) where n > {lead} and i between n - 1 - {lead} and n - 2
 ),
-{pass_("there", "e")},
-r as (select there.user_id, n + {2 * lead} - 1 - p as p, y as x from there join g using (user_id) where p >= 0),
-{pass_("back", "r")}
-select o.user_id, o.event_id, round(back.y, 4) as filtered from o left join back on back.user_id = o.user_id and back.p = o.n + {lead} - 1 - o.i
+{pass_("z_there", "z_e")},
+z_r as (select z_there.user_id, n + {2 * lead} - 1 - p as p, y as x from z_there join z_g using (user_id) where p >= 0),
+{pass_("z_back", "z_r")},
+filtered as (select z_o.user_id, z_o.event_id, z_back.y from z_o left join z_back on z_back.user_id = z_o.user_id and z_back.p = z_o.n + {lead} - 1 - z_o.i)
 """
 
 
@@ -89,3 +96,69 @@ def xcorr_lag_full(spark, d):
     scores = align.correlations(hours, [], "event_type", "i", "v", first, piece=64, bins=16)
     best = align.full_lags(hours, [], "event_type", "i", "v", first, rate=10.0, piece=64).select("event_type", "lag", "shift")
     return scores.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_lags"), F.round(F.max("score"), 4).alias("score")).join(best, "event_type")
+
+
+# frames of made-up radio channels from lineitem: recording a supplier, time the order of its lines, 2 bins x 4 antennas; windows of 350 every 175
+_FRAMES = """
+l as (select l_suppkey, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 as i, l_quantity::bigint as q, l_partkey as p, round(l_discount * 100)::bigint as d from lineitem),
+h as (select l_suppkey, i, j, 10e0 + (q * (j + 3) + p) % 17 as re, ((p * (j + 1) + d * 7 + q) % 11) - 5e0 as im from l, range(8) as c(j)),
+n as (select l_suppkey, max(i) + 1 as n from l group by 1),
+w as (select h.l_suppkey, win, i - 175 * win as place, j, re, im from h join n using (l_suppkey), range(20000) as g(win) where i >= 175 * win and i < 175 * win + 350 and 175 * win + 350 <= n.n)
+"""
+
+
+def frames(spark, d):
+    q, p, k = F.col("l_quantity").cast("long"), F.col("l_partkey"), F.round(F.col("l_discount") * 100).cast("long")
+    i = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) - 1
+    re = F.array(*(10.0 + (q * (j + 3) + p) % 17 for j in range(8)))
+    im = F.array(*((p * (j + 1) + k * 7 + q) % 11 - 5.0 for j in range(8)))
+    return read(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("recording_id"), i.alias("t_idx"), F.lit(0).alias("rx"), re.alias("re"), im.alias("im"))
+
+
+def _window_features(spark, d):
+    f = frames(spark, d)
+    return preprocess.window_features(f, f.select("recording_id").distinct().withColumn("ref", F.lit(1)), 2, kind="double").withColumn("l_suppkey", F.col("recording_id").cast("long"))
+
+
+def _digest(rows, by, place):
+    """What a series is by a few numbers: its sum, first moment, energy and limits."""
+    v = F.col("v")
+    return rows.groupBy(*by).agg(F.round(F.sum(v), 3).alias("total"), F.round(F.sum(v * F.col(place)) / 1000, 3).alias("moment"), F.round(F.sum(v * v), 3).alias("energy"), F.round(F.min(v), 4).alias("low"), F.round(F.max(v), 4).alias("high"))
+
+
+_DIGEST = "round(sum(v), 3) as total, round(sum(v * {0}) / 1000, 3) as moment, round(sum(v * v), 3) as energy, round(min(v), 4) as low, round(max(v), 4) as high"
+
+
+@query("amplitude_branch", "DSP3 DSP5 PRJ6", f"""
+with recursive {_FRAMES},
+{zero_phase_ctes(LOW, "select (l_suppkey * 20000 + win) * 8 + j as user_id, place as event_id, place as t, sqrt(re * re + im * im) as value from w")},
+v as (select user_id // 8 // 20000 as l_suppkey, user_id // 8 % 20000 as window_idx, user_id % 8 as channel, event_id as place, y - median(y) over (partition by user_id) as v from filtered)
+select l_suppkey, window_idx, channel, {_DIGEST.format("place")} from v group by 1, 2, 3
+""")
+def amplitude_branch(spark, d):
+    """Magnitudes of whole windows, low-passed, less their median."""
+    rows = _window_features(spark, d).select("l_suppkey", F.col("window_idx").cast("long"), F.posexplode("amplitude").alias("k", "v"))
+    rows = rows.withColumn("channel", (F.col("k") % 8).cast("long")).withColumn("place", F.floor(F.col("k") / 8))
+    return _digest(rows, ["l_suppkey", "window_idx", "channel"], "place")
+
+
+@query("doppler_branch", "DSP4 DSP5 PRJ5", f"""
+with recursive {_FRAMES},
+r as (select l_suppkey, win, place, j // 4 as bin, re, im from w where j % 4 = 1),
+c as (select w.l_suppkey, w.win, w.place, r.bin, avg(w.re * r.re + w.im * r.im) as re, avg(w.im * r.re - w.re * r.im) as im from w join r on r.l_suppkey = w.l_suppkey and r.win = w.win and r.place = w.place and r.bin = j // 4 where j % 4 <> 1 group by all),
+z as (select *, re - avg(re) over x as a, im - avg(im) over x as b from c window x as (partition by l_suppkey, win, bin)),
+{zero_phase_ctes(BAND, "select ((l_suppkey * 20000 + win) * 2 + bin) * 2 as user_id, place as event_id, place as t, a as value from z union all select ((l_suppkey * 20000 + win) * 2 + bin) * 2 + 1, place, place, b from z")},
+t as (select user_id // 2 as s, list(y order by event_id) filter (user_id % 2 = 0) as a, list(y order by event_id) filter (user_id % 2 = 1) as b from filtered group by 1),
+hann as (select list_transform(range(128), lambda n: 5e-1 - 5e-1 * cos(2 * pi() * n / 128)) as hw),
+f as (select s, frame, list_transform(range(128), lambda n: a[8 * frame + n + 1] * hw[n + 1]) as a, list_transform(range(128), lambda n: b[8 * frame + n + 1] * hw[n + 1]) as b from t, hann, range(28) as g(frame)),
+e as (select k, list_transform(range(128), lambda n: cos(2 * pi() * k * n / 128)) as co, list_transform(range(128), lambda n: sin(2 * pi() * k * n / 128)) as si from range(128) as g(k)),
+p as (select s // 2 as win, frame, (k + 64) % 128 as bin, avg(pow((list_dot_product(a, co) + list_dot_product(b, si)) / 64, 2) + pow((list_dot_product(b, co) - list_dot_product(a, si)) / 64, 2)) as power from f, e group by all),
+q as (select *, 10 * log10(power + 1e-10) as db from p),
+v as (select win, frame, bin, (db - quantile_cont(db, 5e-1) over y) / ((quantile_cont(db, 95e-2) over y - quantile_cont(db, 5e-2) over y) / 2 + 1e-8) as v from q window y as (partition by win))
+select win // 20000 as l_suppkey, win % 20000 as window_idx, frame, {_DIGEST.format("bin")} from v group by 1, 2, 3
+""")
+def doppler_branch(spark, d):
+    """Spectrograms of the products with the reference antenna: mean removed, band-passed, in dB, scaled robustly."""
+    rows = _window_features(spark, d).select("l_suppkey", F.col("window_idx").cast("long"), F.posexplode("doppler").alias("k", "v"))
+    rows = rows.withColumn("frame", F.floor(F.col("k") / 128)).withColumn("bin", F.col("k") % 128)
+    return _digest(rows, ["l_suppkey", "window_idx", "frame"], "bin")
