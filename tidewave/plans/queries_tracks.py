@@ -87,7 +87,7 @@ with h as (select event_type, floor(t / 3600)::bigint as i, count(*)::double as
 c as (select event_type, i, v - avg(v) over (partition by event_type) as v from h),
 r as (select i, v from c where event_type = (select min(event_type) from h)),
 s as (select c.event_type, c.i - r.i as lag, sum(c.v * r.v) as score from c, r group by 1, 2)
-select event_type, count(*) as n_lags, arg_max(lag, (round(score, 6), -lag)) as lag, round(max(score), 4) as score, arg_max(lag, (round(score, 6), -lag)) / 1e1 as shift from s group by 1
+select event_type, max(lag) - min(lag) + 1 as n_lags, arg_max(lag, (round(score, 6), -lag)) as lag, round(max(score), 4) as score, arg_max(lag, (round(score, 6), -lag)) / 1e1 as shift from s group by 1
 """)
 def xcorr_lag_full(spark, d):
     """Every lag at which two series of hourly counts overlap, not only those near zero."""
