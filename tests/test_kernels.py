@@ -1,8 +1,5 @@
 """Closed forms of the numpy kernels and of operators that SQL does not express."""
 
-import io
-import struct
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +8,6 @@ from tidewave.functions import arrays as A
 from tidewave.functions import kernels as K
 from tidewave.operators import align, augment, clean, metrics, model, split, stats
 from tidewave.plans import preprocess
-from tidewave.sources import arrays as files
 from tidewave.sources.arrays import array_recordings
 from tidewave.sources import capture, folds
 
