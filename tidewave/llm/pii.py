@@ -340,8 +340,8 @@ def _model(docs: DataFrame, column: str) -> tuple[DataFrame, dict[str, str] | No
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; a row for each input row.
 
-    Null texts count as empty; other columns are not read; repeated rows stay.
-    At most BROADCAST_PATTERNS patterns are sent to the executors; more are joined.
+    Null texts count as empty; other columns are not read; repeated rows stay; texts of
+    any length are searched whole, and an empty table gives no rows and no patterns. At most BROADCAST_PATTERNS patterns are sent to the executors; more are joined.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs, patterns = _model(docs, "text")

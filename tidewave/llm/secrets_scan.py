@@ -122,7 +122,8 @@ def _run(batches):
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, found array<struct<kind,start,end>>; a row for each input row.
 
-    Null texts count as empty; other columns are not read; repeated rows stay.
+    Null texts count as empty; other columns are not read; repeated rows stay; texts of
+    any length are scanned whole, and an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:string,start:bigint,end:bigint>>")

@@ -353,7 +353,8 @@ def _run(data: bytes):
 def encode_decode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     """doc_id, n_ids, ids, ids_sha256, decoded_sha256, round_trip; a row for each input row.
 
-    Null texts count as empty, which has no ids; repeated rows stay. round_trip
+    Null texts count as empty, which has no ids; repeated rows stay; an empty table gives
+    no rows; texts of any length are encoded whole in a window's memory. round_trip
     says that decoding gives the text again, with word marks read as spaces.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -46,7 +46,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
 
     rule is host + path of the winning rule, or null; verdict its own, or
     `default`. A null URL, or one without '://', has empty host and path and
-    meets no rule. Repeated rows stay. rules: host, path, verdict ('block' or 'allow').
+    meets no rule. Repeated rows stay, an empty table stays empty, and long URLs expand no
+    further than the rules reach. rules: host, path, verdict ('block' or 'allow').
     """
     host, path = host_and_path(F.col("url").cast("string"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))

@@ -886,6 +886,7 @@ def text_media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """doc_id, sizes and digests of each text's stored image, features of what is read back; `media` itself if asked.
 
     Null texts count as empty, and empty ones store 64 zero bytes; repeated rows stay; equal texts give equal values.
+    Texts are stored whole, whatever their length; an empty table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     flat = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
