@@ -201,6 +201,8 @@ def preprocess(packets: DataFrame, path: str, bins: int, rate: float = 350.0) ->
     antenna = antenna.select("recording_id", F.concat_ws(":", "t_idx", "rx").alias("time"), (F.col("i") % 4).alias("ant"), "m")
     refs = stats.reference_antenna(antenna, ["recording_id"], "time", "ant", "m").select("recording_id", F.col("ant").cast("int").alias("ref"))
     recordings = packets.select("recording_id", "person", "room", "label").distinct().join(refs, "recording_id")
+    recordings.write.mode("overwrite").parquet(f"{path}/recordings")  # a row for each recording, read by all that follows
+    recordings = spark.read.parquet(f"{path}/recordings")
     folds.write_statistics(spark, f"{path}/statistics", moments=moments_of(frames, recordings, bins))
     moments = folds.read_statistics(spark, f"{path}/statistics", "moments")
     folds.write_statistics(spark, f"{path}/statistics", **dict(zip(("zscore", "fisher", "selected"), fit_folds(moments, recordings, bins))))
