@@ -112,10 +112,10 @@ def weighted_sample(df: DataFrame, label: str, key: str, seed: int) -> DataFrame
     """As many rows as df has, drawn with replacement, each class as likely as any other.
 
     A slot draws its class by hash, then a row of the class by rank; the join is an
-    equi-join on (class, rank). Ranks are counted in 4096 buckets of the key's hash for
-    each class and summed over the buckets, so no task ranks a whole class.
+    equi-join on (class, rank). Ranks follow a draw of the row's own; they are counted in
+    4096 buckets of it for each class and summed over the buckets, so no task ranks a whole class.
     """
-    rows = df.withColumn("__h", F.xxhash64(F.col(key))).withColumn("__b", F.shiftrightunsigned(F.col("__h"), 52))
+    rows = df.withColumn("__h", draw(key, seed, "rank")).withColumn("__b", F.floor(F.col("__h") * 4096))
     buckets = rows.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select(label, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

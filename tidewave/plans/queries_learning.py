@@ -10,7 +10,7 @@ from ..catalogue import query, read
 from ..functions import arrays as A
 from ..operators import augment, metrics, model, training
 from ..sources import folds
-from .queries_features import _E, vectors
+from .queries_features import _E, _draw, vectors
 
 WEIGHTS = [1.0, 1.0, 1.5, 1.5, 1.2, 2.0, 1.0, 0.8]
 
@@ -299,7 +299,12 @@ def augment_random(spark, d):
     return augment.augmented(vectors(spark, d), "vec_id", "e", seed=42)
 
 
-@query("weighted_sample", "SMP1")
+@query("weighted_sample", "SMP1", f"""
+with r as (select vec_id, label, row_number() over (partition by label order by {_draw('vec_id', 42, 'rank')}, vec_id) - 1 as rank from embeddings),
+c as (select label, row_number() over (order by label) - 1 as cls, count(*) as n, count(*) over () as k from embeddings group by 1),
+s as (select vec_id as slot, floor({_draw('vec_id', 42, 'class')} * (select max(k) from c))::int as cls, {_draw('vec_id', 42, 'row')} as u from embeddings)
+select slot, r.vec_id, r.label from s join c using (cls) join r on r.label = c.label and r.rank = floor(s.u * c.n)
+""")
 def weighted_sample(spark, d):
     return augment.weighted_sample(vectors(spark, d).select("vec_id", "label"), "label", "vec_id", seed=42)
 
