@@ -141,3 +141,26 @@ def test_headers_and_samples_of_odd_payloads(spark):
     out = capture.samples(capture.headers(df, "payload", 3), "payload", 3).orderBy("id").collect()
     assert [(r.id, r.mac, r.seq, r.core, r.re) for r in out] == [(4, "aa:bb:cc:dd:ee:01", 7, 2, [0.0, 1.0, 2.0]), (6, "aa:bb:cc:dd:ee:01", 7, 2, [0.0, 1.0, 2.0])]
     assert capture.samples(capture.headers(df.limit(0), "payload", 3), "payload", 3).count() == 0
+
+
+def test_headers_of_one_sender(spark):
+    rng = random.Random(11)
+    macs = [b"\x11" * 6, b"\x11\x11\xaa\xbb\xcc\xdd", b"\xaa\xbb\xcc\xdd\xee\x01", b"\xaa\xbb\xcc\xdd\x11\x11", b"\xcc\xdd\xee\x01\0\0"]
+    bodies = [sample_packet(mac=m, seq=i, bins=3, mark=mark)[42:] for i, m in enumerate(macs) for mark in (b"\x11" * 4, b"\x11\x11")]
+    rows = [None, b"", b"\x11", *bodies, *(b[: rng.randrange(len(b))] for b in bodies), *(b[:-1] for b in bodies), *(b[1:] for b in bodies)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, payload binary")
+    every = capture.headers(df, "payload", 3)
+    seen = {r.mac for r in every.collect()}
+    assert len(seen) > len(macs)
+    for mac in [*seen, "01:02:03:04:05:06"]:
+        assert sorted(capture.headers(df, "payload", 3, mac.upper()).collect()) == sorted(capture.of_mac(every, mac).collect())
+    for odd in ("", "11:11", "11-11-11-11-11-11", "zz:11:11:11:11:11", "111111111111"):
+        assert capture.headers(df, "payload", 3, odd).count() == capture.of_mac(every, odd).count() == 0
+
+
+def test_a_sender_is_filtered_without_decoding(spark):
+    """A payload that is computed appears in the filter a few times, not once for each header byte."""
+    from tidewave import catalogue
+
+    plan = catalogue.queries()["mac_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("unhex(") < 12 and "concat_ws" not in plan

@@ -49,7 +49,7 @@ select l_orderkey, l_linenumber, (l_partkey % 256 * 256 + l_partkey // 256 % 256
 def mac_filter(spark, d):
     """The packets of one of sixteen senders, whose address is given in capitals."""
     sent = payloads(spark, d, F.lit(0x02A0B0C0D0E0) + F.col("l_suppkey") % 16)
-    return capture.of_mac(capture.headers(sent, "payload", 2), "02:A0:B0:C0:D0:EA").select("l_orderkey", "l_linenumber", "seq")
+    return capture.headers(sent, "payload", 2, "02:A0:B0:C0:D0:EA").select("l_orderkey", "l_linenumber", "seq")
 
 
 @query("summary_json", "SNK6", """

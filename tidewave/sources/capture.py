@@ -244,10 +244,27 @@ def _after_mark(payload: Column) -> Column:
     return out
 
 
-def headers(packets: DataFrame, payload: str, bins: int = 64) -> DataFrame:
-    """packets plus mac, seq, core; rows whose payload is null, no sample packet or too short for its bins go."""
+def _begins(payload: Column, mac: str) -> Column:
+    """Whether a payload is a mark and this sender; of two marks that fit, the longer counts."""
+    if not _is_mac(mac.lower()):
+        return F.lit(False)
+    sender = bytes.fromhex(mac.replace(":", ""))
+    first, *others = (F.startswith(payload, F.lit(mark + sender)) for mark in PAYLOAD_MARKS)
+    for other in others:
+        first |= other & ~F.startswith(payload, F.lit(PAYLOAD_MARKS[0]))
+    return first
+
+
+def headers(packets: DataFrame, payload: str, bins: int = 64, mac: str | None = None) -> DataFrame:
+    """packets plus mac, seq, core; rows whose payload is null, no sample packet or too short for its bins go.
+
+    With a sender's mac, in whatever case, its packets alone: the payload's first bytes are
+    compared, so Spark, which takes a filter to its input and writes out every column in it,
+    decodes no other sender's header.
+    """
     p, at = F.col(payload), _after_mark(F.col(payload))
-    rows = packets.where(F.octet_length(p) >= at + HEADER + 4 * bins)
+    rows = packets if mac is None else packets.where(_begins(p, mac))
+    rows = rows.where(F.octet_length(p) >= at + HEADER + 4 * bins)
     digits = F.lower(F.hex(F.substring(p, at + 1, F.lit(10))))
     byte = lambda i: F.substring(digits, 2 * i + 1, 2)
     number = lambda *i: F.conv(F.concat(*map(byte, i)), 16, 10).cast("int")
@@ -280,7 +297,7 @@ def read_captures(spark: SparkSession, path: str, mac: str | None = None, bins:
 
 
 def of_mac(packets: DataFrame, mac: str) -> DataFrame:
-    """The packets of one sender, in whatever case it is written."""
+    """The packets of one sender, in whatever case it is written; for payloads not yet decoded see headers()."""
     return packets.where(F.lower("mac") == mac.lower())
 
 
